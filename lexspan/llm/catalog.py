@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lexspan.llm.packing import op2_best_fit_packing
+from lexspan.llm.secrets import op3_secret_scans
 from lexspan.llm.token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_best_fit_packing,
+        op3_secret_scans,
         op8_token_counts,
     )
 }
