@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.decontaminate import op10_benchmark_decontamination
 from lexspan.llm.packing import op2_best_fit_packing
 from lexspan.llm.secrets import op3_secret_scans
 from lexspan.llm.token_counts import op8_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_secret_scans,
         op8_token_counts,
+        op10_benchmark_decontamination,
     )
 }
 SQL: dict[str, str] = {}
