@@ -8,6 +8,7 @@ from lexspan.llm.packing import op2_best_fit_packing
 from lexspan.llm.quality_rules import op6_quality_rules
 from lexspan.llm.secrets import op3_secret_scans
 from lexspan.llm.token_counts import op8_token_counts
+from lexspan.llm.warc import op9_warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +18,7 @@ QUERIES = {
         op6_quality_rules,
         op7_html_extraction,
         op8_token_counts,
+        op9_warc,
         op10_benchmark_decontamination,
     )
 }
