@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from lexspan.llm.decontaminate import op10_benchmark_decontamination
 from lexspan.llm.html_text import op7_html_extraction
+from lexspan.llm.language_id import op4_language_id
 from lexspan.llm.packing import op2_best_fit_packing
+from lexspan.llm.quality_classifier import op5_quality_classifier
 from lexspan.llm.quality_rules import op6_quality_rules
 from lexspan.llm.secrets import op3_secret_scans
 from lexspan.llm.token_counts import op8_token_counts
@@ -15,6 +17,8 @@ QUERIES = {
     for f in (
         op2_best_fit_packing,
         op3_secret_scans,
+        op4_language_id,
+        op5_quality_classifier,
         op6_quality_rules,
         op7_html_extraction,
         op8_token_counts,
