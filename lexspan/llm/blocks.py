@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 2_000_000
 
@@ -50,7 +51,7 @@ class TextBlock:
 def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, TextBlock]]:
     """The batches, cut into blocks of whole documents."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         total = np.cumsum(sizes)
         while at < batch.num_rows:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexspan.llm.decontaminate import op10_benchmark_decontamination
 from lexspan.llm.html_text import op7_html_extraction
+from lexspan.llm.jaccard_join import op1_jaccard_join
 from lexspan.llm.language_id import op4_language_id
 from lexspan.llm.packing import op2_best_fit_packing
 from lexspan.llm.quality_classifier import op5_quality_classifier
@@ -15,6 +16,7 @@ from lexspan.llm.warc import op9_warc
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_jaccard_join,
         op2_best_fit_packing,
         op3_secret_scans,
         op4_language_id,
