@@ -21,8 +21,8 @@ from lexspan.llm import bpe
 from lexspan.llm.blocks import text_blocks
 from lexspan.session import forget, settled, ship, spill, table
 
-#: Rows of one length that one task ranks; more are dealt over further tasks.
-SLICE = 100_000
+#: Rows of one length that are ranked together, and into how many such slices a length is dealt at most.
+SLICE, MAX_SLICES = 500, 4096
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -264,7 +264,7 @@ def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("do
     ship(spark)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row for each length up to the capacity
     places = Places(plan(counts, capacity, nodes), capacity)
-    slices = max(1, -(-max(counts.values(), default=1) // SLICE))
+    slices = min(MAX_SLICES, max(1, -(-max(counts.values(), default=1) // SLICE)))
     dealt = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     if slices == 1:
         ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length").orderBy(*pieces.columns)).cast("long") - 1)
