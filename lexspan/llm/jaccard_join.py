@@ -6,10 +6,11 @@
    documents hold last, otherwise by hash); two sets that overlap enough must share one of
    their first ``n - ceil(0.85 n) + 1`` shingles in that order, so a tile is the classes
    that share such a shingle. Whatever list of frequent shingles is used, no link is lost.
-3. Each class is compared with the smallest class of the tile that it shares most with;
-   links found make components. Then, only in tiles whose members are still in different
-   components, all members are compared, in blocks of bounded size and by size band, so a
-   tile of any number of members is dealt over many tasks.
+3. Each class is compared with one class of one of its tiles, and with one of another
+   component in a second round; links found make components. Then, only in tiles whose
+   members are still in different components, all members of different components are
+   compared, in blocks of bounded size and by size band, so a tile of any number of members
+   is dealt over many tasks.
 4. Every comparison first checks sizes, then bounds the overlap from above by the bits in
    which the two hashed bitmaps differ (each set's bitmap is as wide as its size band
    asks), and only what is left intersects the sorted arrays.
@@ -38,6 +39,8 @@ NGRAM, PERCENT = 4, 85
 FREQUENT, FREQUENT_LEAST = 1 << 18, 24
 #: Shingles that a task counts at a time; beyond that the rarest leave its summary.
 SUMMARY = 1 << 16
+#: Times that every class is compared with one other class of one of its tiles, before tiles are compared as wholes.
+ROUNDS = 2
 #: Members of a tile that one task compares with as many others.
 TILE_ROWS = 512
 #: Keys of documents to read again are broadcast up to this many rows; more are joined by shuffle.
@@ -221,12 +224,18 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs in one tile but in different components, as far as sizes and bitmaps leave them.
 
-    ``rows``: sig, cid, comp and the tile's number of members. Members are dealt by hash into
-    blocks of about ``TILE_ROWS``; a block meets every block of its tile in a task group of
-    its own, so each member is copied once per block, and no group is larger than two blocks.
+    ``rows``: sig, cid, comp of tiles with more than one component. A tile's largest component
+    need not be compared with itself, so its members meet only the others, and these meet all.
+    Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet are a
+    group of their own, so no group is larger than two blocks, however large the tile.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / F.lit(TILE_ROWS))).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tally = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members"))
+    cut = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
+    tally = tally.select("sig", "main", cut(F.col("n_main")).alias("m"), cut(F.col("members") - F.col("n_main")).alias("k"))
+    placed = rows.join(tally, "sig").withColumn("is_main", F.col("comp") == F.col("main"))
+    tag = F.when(F.col("is_main"), F.pmod(F.xxhash64("cid"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("cid"), "k")).cast("int")
+    partner = F.explode(F.sequence(F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("k") - 1))
+    dealt = placed.withColumn("own", tag).withColumn("other", partner)
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
     dealt = dealt.join(classes.select("cid", "n", "bits"), "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "cid")
 
@@ -293,31 +302,45 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
     classes = keep(full.groupBy("cid").agg(F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits"))
     signed = full.select("cid", F.explode("prefix").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig", "lo")
-    tiles = keep(signed.join(shared, "sig").select("sig", "cid", "lo").distinct())
-
-    votes = tiles.where("cid <> lo").groupBy(F.col("cid").alias("x"), F.col("lo").alias("y")).agg(F.count("*").alias("votes"))
-    left = keep(_bounded(votes, classes, percent).join(votes, ["x", "y"]))
-    best = left.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-    wanted = lambda pairs: classes.join(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "cid")
-    first = keep(best)
-    arrays = keep(_arrays(docs, wanted(first), text, key, ngram))
-    links = keep(_linked(first, arrays, percent))
-    groups = settled(spark, components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    apart = F.coalesce("c_x", "x") != F.coalesce("c_y", "y")
-    untried = left.select("x", "y").join(first, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    placed = tiles.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.count("*").alias("members"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("members > 2 and a <> b").select("sig", "members")
-    more = _block_pairs(placed.join(mixed, "sig"), classes, percent)
-    rest = keep(untried.union(more).distinct().join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
-    if not rest.isEmpty():
-        lacking = wanted(rest).join(arrays.select("cid"), "cid", "left_anti")
-        arrays = arrays.union(keep(_arrays(docs, lacking, text, key, ngram)))
-        links = links.union(keep(_linked(rest, arrays, percent)))
+    shared = signed.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig")
+    tiles = keep(signed.join(shared, "sig").distinct())
+
+    arrays, links, groups, tried = None, None, None, None
+
+    def comparison(pairs: DataFrame) -> None:
+        """Bound, intersect, and merge the components of what links."""
+        nonlocal arrays, links, groups
+        pairs = keep(_bounded(pairs, classes, percent))
+        if pairs.isEmpty():
+            return
+        wanted = classes.join(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "cid")
+        new = keep(_arrays(docs, wanted if arrays is None else wanted.join(arrays.select("cid"), "cid", "left_anti"), text, key, ngram))
+        arrays = new if arrays is None else arrays.unionByName(new)
+        found = keep(_linked(pairs, arrays, percent))
+        links = found if links is None else links.unionByName(found)
         groups = settled(spark, components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
+    def mixed() -> tuple[DataFrame, DataFrame]:
+        """Tile members with their components; and tiles of several components, with a member of the smallest."""
+        placed = tiles.withColumn("comp", F.col("cid"))
+        if groups is not None:
+            placed = tiles.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
+        several = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("cid", "comp").alias("y")).where("a <> b").select("sig", "a", "y")
+        return placed, several
+
+    for number in range(ROUNDS):
+        placed, several = mixed()
+        offers = placed.join(several, "sig").where("comp <> a").select(F.col("cid").alias("x"), "y", F.xxhash64("sig", F.lit(number)).alias("h"))
+        if tried is not None:
+            offers = offers.join(tried, ["x", "y"], "left_anti")
+        pairs = keep(offers.groupBy("x").agg(F.min_by("y", "h").alias("y")))  # one for each class: near copies agree on most of their tiles, and so on this one
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        comparison(pairs)
+    placed, several = mixed()
+    comparison(_block_pairs(placed.join(several.select("sig"), "sig"), classes, percent))
+    if groups is None:
+        groups = spark.createDataFrame([], "node long, component long")
+
     named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = named.join(smallest, "comp").select("cid", "comp", "component_id")
