@@ -63,12 +63,12 @@ def passages(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bags:
-    """The network: encoder, gated attention, output."""
+    """The network: encoder, gated attention, output. Small first weights, so that signs never seen in training say little."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = [draw(FEATURES, HIDDEN, scale=0.3), np.zeros(HIDDEN, np.float32), draw(HIDDEN, ATTENTION, scale=0.3), draw(HIDDEN, ATTENTION, scale=0.3), draw(ATTENTION, scale=0.3), draw(HIDDEN, scale=0.3), np.zeros(1, np.float32)]
+        self.p = [draw(FEATURES, HIDDEN, scale=0.02), np.zeros(HIDDEN, np.float32), draw(HIDDEN, ATTENTION, scale=0.3), draw(HIDDEN, ATTENTION, scale=0.3), draw(ATTENTION, scale=0.3), draw(HIDDEN, scale=0.3), np.zeros(1, np.float32)]
 
     def forward(self, x: np.ndarray, firsts: np.ndarray):
         w, b, v, u, a, c, bias = self.p
