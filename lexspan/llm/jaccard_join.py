@@ -2,12 +2,12 @@
 
 1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with the same set are
    one class from here on.
-2. Each class has tiles. All classes agree on one order of shingles (those that very many
+2. Each class has tiles, by size band. All classes agree on one order of shingles (those that very many
    documents hold last, otherwise by hash); two sets that overlap enough must share one of
    their first ``n - ceil(0.85 n) + 1`` shingles in that order, so a tile is the classes
    that share such a shingle. Whatever list of frequent shingles is used, no link is lost.
-3. Each class is compared with one class of one of its tiles, and with one of another
-   component in a second round; links found make components. Then, only in tiles whose
+3. Each class is compared with one class of one of its tiles, and in further rounds with
+   one of another component; links found make components. Then, only in tiles whose
    members are still in different components, all members of different components are
    compared, in blocks of bounded size and by size band, so a tile of any number of members
    is dealt over many tasks.
@@ -40,7 +40,9 @@ FREQUENT, FREQUENT_LEAST = 1 << 18, 24
 #: Shingles that a task counts at a time; beyond that the rarest leave its summary.
 SUMMARY = 1 << 16
 #: Times that every class is compared with one other class of one of its tiles, before tiles are compared as wholes.
-ROUNDS = 2
+ROUNDS = 3
+#: Partners that a class names in a group of blocks at first; eight times as many each time that some were left out.
+FIRST_PARTNERS = 2
 #: Members of a tile that one task compares with as many others.
 TILE_ROWS = 512
 #: Keys of documents to read again are broadcast up to this many rows; more are joined by shuffle.
@@ -166,6 +168,48 @@ def _described(docs: DataFrame, frequent: np.ndarray, text: str, key: str, ngram
     return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, f"`{key}` {kind}, th long, n long, cid long, prefix array<long>, bits binary")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by sig and cid: those whose sig several classes share, each once. Holds one row between batches."""
+    held = [np.zeros(0, np.int64)] * 3
+    linked = False  # whether the held row's sig has come before
+    for batch in _and_end(batches):
+        sig, cid, n = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("sig", "cid", "n")))
+        if not len(sig):
+            continue
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])
+        sig, cid, n = sig[fresh], cid[fresh], n[fresh]
+        same = sig[1:] == sig[:-1]
+        shared = np.zeros(len(sig), bool)
+        shared[0] = linked
+        shared[1:] |= same
+        shared[:-1] |= same
+        if batch is not None:  # the last row waits for what follows
+            held, linked = [sig[-1:], cid[-1:], n[-1:]], bool(shared[-1])
+            sig, cid, n, shared = sig[:-1], cid[:-1], n[:-1], shared[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(cid[shared]), pa.array(n[shared])], ["sig", "cid", "n"])
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _tiles(signed: DataFrame, percent: int) -> DataFrame:
+    """sig, cid of all tiles: classes that share a prefix shingle and whose sizes are near enough to link.
+
+    Sizes fall into bands as wide as the threshold allows two linked sets to differ; a
+    class joins its own band's tile and that of the next band, so classes of one or of
+    neighbouring bands meet, and all that could link do.
+    """
+    shared = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_members, "sig long, cid long, n long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent).item() * 1.000001)).cast("int")
+    banded = shared.withColumn("band", band).withColumn("k", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    banded = banded.select(F.xxhash64("sig", "k").alias("sig"), "cid", (F.col("band") == F.col("k")).alias("own"))
+    real = banded.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("sig")
+    return banded.join(real, "sig").select("sig", "cid")
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that sizes and bitmaps leave."""
     of = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
@@ -221,13 +265,16 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "x long, y long")
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs in one tile but in different components, as far as sizes and bitmaps leave them.
 
     ``rows``: sig, cid, comp of tiles with more than one component. A tile's largest component
     need not be compared with itself, so its members meet only the others, and these meet all.
     Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet are a
     group of their own, so no group is larger than two blocks, however large the tile.
+
+    A class names its ``most`` likeliest partners of a group; a row of nulls says that some
+    group had more. The caller merges what links and asks again for more, until none is left out.
     """
     tally = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members"))
     cut = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
@@ -239,10 +286,10 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
     dealt = dealt.join(classes.select("cid", "n", "bits"), "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "cid")
 
-    def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int], list[int]]:
+    def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int | None], list[int | None]]:
         members.sort(key=lambda m: (len(m[4]), m[3]))
         bands = [(size, list(g)) for size, g in groupby(members, key=lambda m: len(m[4]))]
-        out_x, out_y = [], []
+        out_x, out_y, more = [], [], False
         for a, (size, left) in enumerate(bands):
             for wider, right in bands[a : a + 2]:
                 if wider > 2 * size:
@@ -259,10 +306,13 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                     near = np.flatnonzero(ok)
                     if len(near):
                         differing = np.bitwise_count(bits_r[near] ^ bits_l[at]).sum(axis=1).astype(np.int64)
-                        near = near[may_link(n_r[near], n_l[at], differing, percent)]
+                        may = may_link(n_r[near], n_l[at], differing, percent)
+                        near, differing = near[may], differing[may]
+                        if len(near) > most:
+                            near, more = near[np.argpartition(differing, most)[:most]], True
                         out_x += [int(cid_l[at])] * len(near)
                         out_y += cid_r[near].tolist()
-        return out_x, out_y
+        return ([*out_x, None], [*out_y, None]) if more else (out_x, out_y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "own", "cid", "comp", "n", "bits"))))
@@ -301,9 +351,7 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     full = told.where("cid is not null")
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
     classes = keep(full.groupBy("cid").agg(F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits"))
-    signed = full.select("cid", F.explode("prefix").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig")
-    tiles = keep(signed.join(shared, "sig").distinct())
+    tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), percent))
 
     arrays, links, groups, tried = None, None, None, None
 
@@ -336,8 +384,19 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
         pairs = keep(offers.groupBy("x").agg(F.min_by("y", "h").alias("y")))  # one for each class: near copies agree on most of their tiles, and so on this one
         tried = pairs if tried is None else tried.unionByName(pairs)
         comparison(pairs)
-    placed, several = mixed()
-    comparison(_block_pairs(placed.join(several.select("sig"), "sig"), classes, percent))
+    most = FIRST_PARTNERS
+    while True:
+        placed, several = mixed()
+        named = keep(_block_pairs(placed.join(several.select("sig"), "sig"), classes, percent, most))
+        more = not named.where("x is null").isEmpty()
+        pairs = named.where("x is not null").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        if not pairs.isEmpty():
+            pairs = keep(pairs)
+            tried = tried.unionByName(pairs)
+            comparison(pairs)
+        if not more:
+            break
+        most *= 8
     if groups is None:
         groups = spark.createDataFrame([], "node long, component long")
 

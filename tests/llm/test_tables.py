@@ -94,7 +94,9 @@ def test_bitmaps_never_lose_a_link():
         assert (len(a) + len(b) - differing) // 2 >= both
 
 
-def test_components(spark):
+@pytest.mark.parametrize("size", [10, 10_000])
+def test_components(spark, monkeypatch, size):
+    monkeypatch.setattr("lexspan.llm.components.TASK_EDGES", size)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (100, 300), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
