@@ -31,6 +31,8 @@ TRAIN_DOCS = 300
 TRAIN_BYTES = 512
 #: ... and so many languages, the most frequent ones.
 MAX_LANGUAGES = 100
+#: A language's rows are ranked in so many parts first, so that no task ranks them all.
+SAMPLE_PARTS = 64
 #: Windows that one step reads together.
 BATCH = 4096
 
@@ -190,7 +192,9 @@ def fit(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "la
     known = [r[lang] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()]
     place = F.pmod(F.xxhash64(key, F.lit(3)), F.greatest(F.length(text) - TRAIN_BYTES, F.lit(1)))
     drawn = rows.where(F.col(lang).isin(known)).select(lang, F.xxhash64(key, F.lit(1)).alias("h"), F.substr(F.col(text), (place + 1).cast("int"), F.lit(TRAIN_BYTES)).alias("t"))
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy(lang).orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS)
+    part = F.pmod("h", F.lit(SAMPLE_PARTS))  # the first of a language are among the first of its parts
+    for keys in ([lang, part], [lang]):
+        drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS).drop("k")
     sample = sorted(tuple(r) for r in drawn.select(lang, "h", "t").collect())
     names = sorted(known)
     if not sample:
