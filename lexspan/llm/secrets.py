@@ -39,7 +39,7 @@ _DUMMIES = {"changeme", "password", "secret", "example", "placeholder", "undefin
 THRESHOLD = 4.0
 
 _TOKEN = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>[A-Za-z_$][\w$.-]*|[\w+/=.-]+)|(?P<op>:=|=>|==|!=|[-+*/%]=|[=:+,;(){}\[\]])""", re.ASCII)
-_LINE = re.compile(r"[^\n]*[=:][^\n]*")
+_SIGN = re.compile(r"[=:]")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -69,11 +69,21 @@ def literal_score(value: str) -> float:
     return min(3.0, (kinds - 1) * 0.75 + (entropy - 2.5) * 0.75)
 
 
+def lines_with_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each line that holds ``=`` or ``:``, in one pass."""
+    at = 0
+    while m := _SIGN.search(text, at):
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        yield text.rfind("\n", 0, m.start()) + 1, end
+        at = end
+
+
 def assignments(text: str) -> Iterator[tuple[str, int, int, str]]:
     """Name, start and end of a literal that reaches it, and the literal; constants propagate in the order of the text."""
     bound: dict[str, tuple[int, int, str]] = {}
-    for line in _LINE.finditer(text):
-        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, *line.span())]
+    for first, last in lines_with_signs(text):
+        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
         i = 0
         while i < len(tokens) - 2:
             kind, name, _, _ = tokens[i]
