@@ -2,10 +2,11 @@
 
 1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with the same set are
    one class from here on.
-2. Each class has tiles, by size band. All classes agree on one order of shingles (those that very many
-   documents hold last, otherwise by hash); two sets that overlap enough must share one of
-   their first ``n - ceil(0.85 n) + 1`` shingles in that order, so a tile is the classes
-   that share such a shingle. Whatever list of frequent shingles is used, no link is lost.
+2. Each class has tiles, by size band. All classes agree on one order of shingles (those
+   that very many documents hold last, otherwise by hash); two sets that overlap enough must
+   share k of their first ``n - ceil(0.85 n) + k`` shingles in that order, so a tile is the
+   classes that share such a shingle, and a class in fewer than k tiles has no link.
+   Whatever list of frequent shingles is used, no link is lost.
 3. Each class is compared with one class of one of its tiles, and in further rounds with
    one of another component; links found make components. Then, only in tiles whose
    members are still in different components, all members of different components are
@@ -39,6 +40,8 @@ NGRAM, PERCENT = 4, 85
 FREQUENT, FREQUENT_LEAST = 1 << 18, 24
 #: Shingles that a task counts at a time; beyond that the rarest leave its summary.
 SUMMARY = 1 << 16
+#: One more shared prefix shingle is asked for each so many shingles of a set.
+SHARE = 40
 #: Times that every class is compared with one other class of one of its tiles, before tiles are compared as wholes.
 ROUNDS = 3
 #: Partners that a class names in a group of blocks at first; eight times as many each time that some were left out.
@@ -73,8 +76,14 @@ def class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def must_share(n: int) -> int:
+    """How many prefix shingles a set of this size shares with any that it links to and that is as large or larger."""
+    return 1 + n // SHARE
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """Leading shingles among which two linked sets have ``must_share`` of the smaller in common."""
+    return n - -(-percent * n // 100) + must_share(n) if n else 0
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -205,9 +214,19 @@ def _tiles(signed: DataFrame, percent: int) -> DataFrame:
     shared = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_members, "sig long, cid long, n long")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent).item() * 1.000001)).cast("int")
     banded = shared.withColumn("band", band).withColumn("k", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    banded = banded.select(F.xxhash64("sig", "k").alias("sig"), "cid", (F.col("band") == F.col("k")).alias("own"))
-    real = banded.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("sig")
-    return banded.join(real, "sig").select("sig", "cid")
+    return banded.select(F.xxhash64("sig", "k").alias("sig"), "cid", "n", (F.col("band") == F.col("k")).alias("own"))
+
+
+def _pruned(rows: DataFrame, percent: int) -> DataFrame:
+    """Without tiles of one class or of a lower band only, and without classes in fewer tiles than any link asks for.
+
+    A class's partner may be smaller, by the threshold at most, and so may what they share.
+    """
+    real = rows.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("sig")
+    rows = rows.join(real, "sig")
+    least = 1 + F.floor(F.ceil(F.col("n") * F.lit(percent) / 100) / SHARE)
+    enough = rows.groupBy("cid").agg(F.count("*").alias("tiles"), F.max("n").alias("n")).where(F.col("tiles") >= least).select("cid")
+    return rows.join(enough, "cid").select("sig", "cid", "n", "own")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -273,8 +292,8 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -
     Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet are a
     group of their own, so no group is larger than two blocks, however large the tile.
 
-    A class names its ``most`` likeliest partners of a group; a row of nulls says that some
-    group had more. The caller merges what links and asks again for more, until none is left out.
+    A class names its ``most`` likeliest partners of a group; a row without x and y names a
+    tile that had more. The caller merges what links and asks again for more, until none is left out.
     """
     tally = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members"))
     cut = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
@@ -286,7 +305,7 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
     dealt = dealt.join(classes.select("cid", "n", "bits"), "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "cid")
 
-    def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int | None], list[int | None]]:
+    def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int], list[int], bool]:
         members.sort(key=lambda m: (len(m[4]), m[3]))
         bands = [(size, list(g)) for size, g in groupby(members, key=lambda m: len(m[4]))]
         out_x, out_y, more = [], [], False
@@ -297,31 +316,37 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -
                 make = lambda group: (np.array([m[0] for m in group]), np.array([m[1] for m in group]), np.array([m[2] for m in group]), np.array([m[3] for m in group]), folded(np.stack([np.frombuffer(m[4], np.uint8) for m in group]), size).view(np.uint64))
                 own_l, cid_l, comp_l, n_l, bits_l = make(left)
                 own_r, cid_r, comp_r, n_r, bits_r = make(right)
-                for at in range(len(left)):
-                    ok = (comp_r != comp_l[at]) & (100 * np.minimum(n_r, n_l[at]) >= percent * np.maximum(n_r, n_l[at]))
+                step = max(1, 400_000 // bits_r.size)
+                for at in range(0, len(left), step):
+                    part = slice(at, at + step)
+                    size_l = n_l[part, None]
+                    ok = (comp_l[part, None] != comp_r) & (100 * np.minimum(size_l, n_r) >= percent * np.maximum(size_l, n_r))
                     if i != j:
-                        ok &= own_r != own_l[at]  # pairs within a block belong to that block's own group
+                        ok &= own_l[part, None] != own_r  # pairs within a block belong to that block's own group
                     if wider == size:
-                        ok[: at + 1] = False
-                    near = np.flatnonzero(ok)
-                    if len(near):
-                        differing = np.bitwise_count(bits_r[near] ^ bits_l[at]).sum(axis=1).astype(np.int64)
-                        may = may_link(n_r[near], n_l[at], differing, percent)
-                        near, differing = near[may], differing[may]
+                        ok &= np.arange(at, at + len(size_l))[:, None] < np.arange(len(right))
+                    if not ok.any():
+                        continue
+                    differing = np.bitwise_count(bits_l[part, None, :] ^ bits_r).sum(axis=2, dtype=np.int64)
+                    ok &= may_link(size_l, n_r, differing, percent)
+                    for row in np.flatnonzero(ok.any(axis=1)).tolist():
+                        near = np.flatnonzero(ok[row])
                         if len(near) > most:
-                            near, more = near[np.argpartition(differing, most)[:most]], True
-                        out_x += [int(cid_l[at])] * len(near)
+                            near, more = near[np.argpartition(differing[row, near], most)[:most]], True
+                        out_x += [int(cid_l[at + row])] * len(near)
                         out_y += cid_r[near].tolist()
-        return ([*out_x, None], [*out_y, None]) if more else (out_x, out_y)
+        return out_x, out_y, more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "own", "cid", "comp", "n", "bits"))))
-        for (_, i, j), group in groupby(stream, key=lambda r: r[:3]):
-            x, y = compare(i, j, [r[3:] for r in group])
+        for (sig, i, j), group in groupby(stream, key=lambda r: r[:3]):
+            x, y, more = compare(i, j, [r[3:] for r in group])
+            if more:  # a row without classes names the tile
+                x, y = [*x, None], [*y, None]
             if x:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([None] * (len(x) - more) + [sig] * more, pa.int64())], ["x", "y", "sig"])
 
-    return dealt.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return dealt.mapInArrow(run, "x long, y long, sig long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sig").distinct()
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,6 +377,9 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
     classes = keep(full.groupBy("cid").agg(F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits"))
     tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), percent))
+    for _ in range(2):
+        tiles = keep(_pruned(tiles, percent))
+    tiles = tiles.select("sig", "cid")
 
     arrays, links, groups, tried = None, None, None, None
 
@@ -384,17 +412,19 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
         pairs = keep(offers.groupBy("x").agg(F.min_by("y", "h").alias("y")))  # one for each class: near copies agree on most of their tiles, and so on this one
         tried = pairs if tried is None else tried.unionByName(pairs)
         comparison(pairs)
-    most = FIRST_PARTNERS
+    most, left = FIRST_PARTNERS, None
     while True:
         placed, several = mixed()
-        named = keep(_block_pairs(placed.join(several.select("sig"), "sig"), classes, percent, most))
-        more = not named.where("x is null").isEmpty()
-        pairs = named.where("x is not null").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        several = several.select("sig") if left is None else several.select("sig").join(left, "sig", "left_semi")
+        named = keep(_block_pairs(placed.join(several, "sig"), classes, percent, most))
+        left = named.where("x is null").select("sig").distinct()  # tiles of which some pairs are still to be named
+        done = left.isEmpty()
+        pairs = named.where("x is not null").select("x", "y").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
         if not pairs.isEmpty():
             pairs = keep(pairs)
             tried = tried.unionByName(pairs)
             comparison(pairs)
-        if not more:
+        if done:
             break
         most *= 8
     if groups is None:
