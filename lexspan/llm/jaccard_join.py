@@ -285,15 +285,15 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs in one tile but in different components, as far as sizes and bitmaps leave them.
+    """Pairs in one group (``sig``) but in different components, as far as sizes and bitmaps leave them.
 
-    ``rows``: sig, cid, comp of tiles with more than one component. A tile's largest component
+    ``rows``: sig, cid, comp of groups with more than one component. A group's largest component
     need not be compared with itself, so its members meet only the others, and these meet all.
-    Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet are a
-    group of their own, so no group is larger than two blocks, however large the tile.
+    Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet go to
+    one task, so no task holds more than two blocks, however large the group.
 
-    A class names its ``most`` likeliest partners of a group; a row without x and y names a
-    tile that had more. The caller merges what links and asks again for more, until none is left out.
+    A class names its ``most`` likeliest partners of a block; a row without x and y says that
+    some had more. The caller merges what links and asks again for more, until none is left out.
     """
     tally = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members"))
     cut = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
@@ -339,14 +339,14 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "own", "cid", "comp", "n", "bits"))))
-        for (sig, i, j), group in groupby(stream, key=lambda r: r[:3]):
+        for (_, i, j), group in groupby(stream, key=lambda r: r[:3]):
             x, y, more = compare(i, j, [r[3:] for r in group])
-            if more:  # a row without classes names the tile
+            if more:
                 x, y = [*x, None], [*y, None]
             if x:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([None] * (len(x) - more) + [sig] * more, pa.int64())], ["x", "y", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
-    return dealt.mapInArrow(run, "x long, y long, sig long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sig").distinct()
+    return dealt.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -397,13 +397,32 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
         groups = settled(spark, components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     def mixed() -> tuple[DataFrame, DataFrame]:
-        """Tile members with their components; and tiles of several components, with a member of the smallest."""
-        placed = tiles.withColumn("comp", F.col("cid"))
+        """Tile members with their components (``linked``: of more than one class); tiles of several, with a member of the smallest."""
+        placed = tiles.withColumn("comp", F.col("cid")).withColumn("linked", F.lit(False))
         if groups is not None:
-            placed = tiles.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
+            placed = tiles.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"), F.col("component").isNotNull().alias("linked"))
         several = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("cid", "comp").alias("y")).where("a <> b").select("sig", "a", "y")
         return placed, several
 
+    def meetings() -> DataFrame:
+        """sig, cid, comp of groups whose members of different components must be compared.
+
+        A tile's largest linked component is left out of it. Its members stand once, with all
+        classes of other components that share a tile with it, in a group of the component's
+        own: so a class is not compared with the same component in each of their tiles.
+        """
+        placed, several = mixed()
+        rows = placed.join(several.select("sig"), "sig")
+        largest = rows.where("linked").groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"))
+        rows = keep(rows.join(largest, "sig", "left").where("main is null or comp <> main").select("sig", "cid", "comp", "main"))
+        still = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sig")
+        out = rows.join(still, "sig").select("sig", "cid", "comp")
+        if groups is None:
+            return out
+        guests = rows.where("main is not null").select("main", "cid", "comp").distinct()
+        hosts = groups.select(F.col("component").alias("main"), F.col("node").alias("cid"), F.col("component").alias("comp")).join(guests.select("main").distinct(), "main", "left_semi")
+        return out.unionByName(guests.unionByName(hosts).select(F.xxhash64("main", F.lit("component")).alias("sig"), "cid", "comp"))
+
     for number in range(ROUNDS):
         placed, several = mixed()
         offers = placed.join(several, "sig").where("comp <> a").select(F.col("cid").alias("x"), "y", F.xxhash64("sig", F.lit(number)).alias("h"))
@@ -412,14 +431,11 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
         pairs = keep(offers.groupBy("x").agg(F.min_by("y", "h").alias("y")))  # one for each class: near copies agree on most of their tiles, and so on this one
         tried = pairs if tried is None else tried.unionByName(pairs)
         comparison(pairs)
-    most, left = FIRST_PARTNERS, None
+    most = FIRST_PARTNERS
     while True:
-        placed, several = mixed()
-        several = several.select("sig") if left is None else several.select("sig").join(left, "sig", "left_semi")
-        named = keep(_block_pairs(placed.join(several, "sig"), classes, percent, most))
-        left = named.where("x is null").select("sig").distinct()  # tiles of which some pairs are still to be named
-        done = left.isEmpty()
-        pairs = named.where("x is not null").select("x", "y").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        named = keep(_block_pairs(keep(meetings()), classes, percent, most))
+        done = named.where("x is null").isEmpty()
+        pairs = named.where("x is not null").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
         if not pairs.isEmpty():
             pairs = keep(pairs)
             tried = tried.unionByName(pairs)
