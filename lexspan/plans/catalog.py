@@ -697,13 +697,10 @@ def _labels_long(spark, sf):
     return rows.select(F.col("doc_id").cast("string").alias("contract"), F.col("doc_id").cast("string").alias("chunk_id"), "text", (F.col("doc_id") % 3).cast("int").alias("fold"), F.explode(pairs).alias("p")).select("contract", "chunk_id", "text", "fold", "p.*", F.lit(True).alias("mask"))
 
 
-_TFIDF_CONFIG = tfidf.Config(max_terms=20_000, max_iterations=20)
-
-
 @query("tfidf_logreg_score")
 def tfidf_logreg_score(spark, sf):
     rows = _labels_long(spark, sf)
-    model = tfidf.fit(rows.where("fold <> 0"), _TFIDF_CONFIG)
+    model = tfidf.fit(rows.where("fold <> 0"))
     held = rows.where("fold = 0")
     scores = model.predict(held.select("chunk_id", "text").distinct()).select("chunk_id", "category", "score")
     return held.drop("text").join(scores, ["chunk_id", "category"])
@@ -711,7 +708,7 @@ def tfidf_logreg_score(spark, sf):
 
 @query("tfidf_oof")
 def tfidf_oof(spark, sf):
-    return tfidf.out_of_fold(_labels_long(spark, sf), _TFIDF_CONFIG)
+    return tfidf.out_of_fold(_labels_long(spark, sf))
 
 
 # Risk -----------------------------------------------------------------------

@@ -135,6 +135,21 @@ def test_classifier_learns_toy_labels(spark):
         tfidf.require_disjoint(long, long)
 
 
+def test_classifier_queries_keep_every_term(spark, tmp_path, monkeypatch):
+    from lexspan.plans import catalog
+
+    words = [" ".join(f"w{part}x{i}" for i in range(5500)) for part in range(2)]
+    docs = [(i, f"{words[i // 3 % 2]} own{i}") for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i // 3 % 2, 1 - i // 3 % 2) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fitted, fit = [], tfidf.fit
+    monkeypatch.setattr(tfidf, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    assert catalog.QUERIES["tfidf_logreg_score"](spark, str(tmp_path)).count() == 8
+    assert catalog.QUERIES["tfidf_oof"](spark, str(tmp_path)).count() == 24
+    assert [len(m.vectoriser.vocabulary) for m in fitted] == [2 * (5500 + 5499)] * 4 and {m.config for m in fitted} == {tfidf.Config()}
+    assert all(m.summary.totalIterations < tfidf.Config().max_iterations for x in fitted for m in x.models.values())
+
+
 def test_rules_on_a_stream(spark, tmp_path):
     import datetime
 
