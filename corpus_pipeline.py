@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but one document of each group of near duplicates (4-word shingles, Jaccard of 0.85 or more)."""
-    return jaccard_join.one_of_each(docs)
+    """Drops all but one document of each group of near duplicates (5-word shingles, Jaccard of 0.8 or more)."""
+    return jaccard_join.one_of_each(docs, ngram=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

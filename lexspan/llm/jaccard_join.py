@@ -459,7 +459,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each component the row with the smallest key.
 
     Among rows with the same smallest key that of the smallest text hash stays, and of
@@ -467,7 +467,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     near duplicates and all stay.
     """
     spark = docs.sparkSession
-    found = grouped(docs, text=text, key=key).where("comp is not null").select("comp", F.col(key).alias("_key"), F.col("th").alias("_th"))
+    found = grouped(docs, ngram, percent, text, key).where("comp is not null").select("comp", F.col(key).alias("_key"), F.col("th").alias("_th"))
     order = F.struct(F.col("_key").isNull().alias("late"), "_key", "_th")
     chosen = found.groupBy("comp").agg(F.min(order).alias("c"))
     rows = found.groupBy("comp", "_key", "_th").agg(F.count("*").alias("times")).join(chosen, "comp").withColumn("stays", order.eqNullSafe(F.col("c")))

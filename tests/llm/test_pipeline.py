@@ -41,6 +41,16 @@ def test_stages_take_effect(spark, folder):
     assert set(seen["secret_scans"]) == set(seen["benchmark_decontamination"])
 
 
+def test_near_duplicates_by_five_words_and_eighty_percent(spark, folder):
+    words = [f"u{i}" for i in range(60)]
+    near = words[:30] + ["other"] + words[31:]  # 4 words: 53 of 61 shingles, 0.869; 5 words: 51 of 61, 0.836
+    ends = [*words[:53], *(f"z{i}" for i in range(6))]  # against words, 4: 50 of 63, 0.794; 5: 49 of 62, 0.790
+    wide = [f"v{i}" for i in range(60)]
+    less = wide[:54] + [f"y{i}" for i in range(6)]  # 4: 51 of 63, 0.810; 5: 50 of 62, 0.806
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate((words, near, ends, wide, less))], COLUMNS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, folder).collect()) == [0, 2, 3]
+
+
 def test_run_packs_all_that_is_left(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     kept = {r["doc_id"] for r in rows}
