@@ -3,9 +3,9 @@
 A line is normalised (A to Z lower-cased, words joined by one space) and hashed. For each
 host the documents that hold a line are counted, exact copies of a text as one, so that
 a copied document does not make all its own lines frequent. A line held by more than
-``limit`` documents of a host (``least_limit``, or ``share`` of the host's distinct texts
-if that is more) is taken out of every document there; a document left with less than
-``keep_share`` of its words is depleted and rejected.
+``limit`` documents of a host is taken out of every document there, however many the
+host has; a document left with less than ``keep_share`` of its words is depleted and
+rejected.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def line_counts(docs: DataFrame, text: str, key: str, host: str) -> DataFrame:
     return docs.select(key, host, text).mapInArrow(run, schema)
 
 
-def apply_rules(docs: DataFrame, least_limit: int = 10, share: float = 0.05, keep_share: float = 0.5, least_words: int = 50, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, limit: int = 10, keep_share: float = 0.5, least_words: int = 50, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """Per row of ``docs``: key, the base counts, ``base_failed``, ``frequent_words`` (in lines taken out) and ``kept``.
 
     A null or empty text has no words, fails the base rules and is not kept. Rows with
@@ -123,9 +123,7 @@ def apply_rules(docs: DataFrame, least_limit: int = 10, share: float = 0.05, kee
     stored, path = spill(spark, line_counts(docs, text, key, host))
     at = F.coalesce(F.col(host).cast("string"), F.lit("\u0000")).alias("_host")
     lines = stored.select("row", at, "digest", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "_host", "digest", F.col("l.line_hash").alias("hash"), F.col("l.line_words").alias("words"))
-    texts = stored.select(at, "digest").distinct().groupBy("_host").agg(F.count("*").alias("texts"))
-    held = lines.groupBy("_host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("_host", "hash").agg(F.count("*").alias("held")).where(F.col("held") > least_limit)
-    frequent = held.join(texts, "_host").where(F.col("held") > F.greatest(F.lit(float(least_limit)), F.col("texts") * F.lit(share))).select("_host", "hash")
+    frequent = lines.groupBy("_host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("_host", "hash").agg(F.count("*").alias("held")).where(F.col("held") > limit).select("_host", "hash")
     frequent, frequent_path = spill(spark, frequent)
     known = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
     lost = lines.join(known, ["_host", "hash"]).groupBy("row").agg(F.sum("words").alias("frequent_words"))

@@ -237,6 +237,17 @@ def test_frequent_lines_deplete_documents(spark, odd):
     assert apply_rules(odd).count() == len(ODD) and apply_rules(odd.limit(0)).isEmpty()
 
 
+def test_repeated_lines_are_judged_alike_in_hosts_of_any_size(spark):
+    prose = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
+    shared = " ".join(f"s{k}" for k in range(80))
+    rows = [(n * 1000 + i, f"{prose(i)}\n{shared}" if i < 11 else prose(i), f"h{n}") for n in (20, 600) for i in range(n)]
+    rows += [(i, f"{prose(i)}\n{shared}" if i < 10 else prose(i), "ten") for i in range(20)]
+    got = {r["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for n in (20, 600):
+        assert [i for i in range(n) if not got[n * 1000 + i]["kept"]] == list(range(11)), f"a line of 11 of {n} texts"
+    assert all(got[i]["kept"] for i in range(20)), "a line of 10 texts stays"
+
+
 PAGES = {
     "<p>a <b>b</b>c<p>d": "a bc\n\nd",
     "<ul><li>x<li>y<ol start=3><li>one<li>two</ol></ul>z": "- x\n- y\n  3. one\n  4. two\n\nz",
