@@ -170,6 +170,22 @@ def test_bootstrap(spark):
     assert {r["w"] for r in weights} == {10}
 
 
+def test_bootstrap_queries_draw_2000_samples(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from lexspan.plans import catalog
+
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(150 + 20 * (i % 5))), "en") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("boot_paired", "boot_contract"):
+        more = catalog.SQL[name].replace("range(0, 50)", "range(0, 2000)")  # the registered SQL draws 50
+        key = lambda r: tuple(x for x in r if isinstance(x, str))
+        got, want = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=key), sorted(duckdb.execute(more).fetchall(), key=key)
+        assert more != catalog.SQL[name] and len(got) == len(want) > 0
+        for a, b in zip(got, want):
+            assert a == pytest.approx(b, abs=1e-8)
+
+
 def test_decisions(spark):
     summary, pairs = samples.arm_tables(spark)
     assert bootstrap.choose_arm(summary, pairs) == {"pick": "focal", "decided_by": "weak_f1", "beats_control_macro_f1": True, "beats_control_weak_f1": True}
