@@ -731,8 +731,8 @@ def risk_review(spark, sf):
 
 @query("risk_base_points", with_sql("SELECT contract, category, points AS base, CASE WHEN points >= 4 THEN 'High' WHEN points >= 2 THEN 'Medium' ELSE 'Low' END AS level FROM (SELECT DISTINCT contract, category FROM spans) JOIN (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p})" for c, p in risk.BASE.items()) + ") b(category, points)) USING (category)", "spans"))
 def risk_base_points(spark, sf):
-    scored = risk.score_clauses(B.spans(spark, sf).select("contract", "category").distinct().withColumn("text", F.lit("no flag here")))
-    return scored.select("contract", "category", "base", "level")
+    scored = risk.score_clauses(B.spans(spark, sf).select("contract", "category", "text"))
+    return scored.select("contract", "category", "base", "level").distinct()
 
 
 def _cap_tables(spark, sf):
@@ -755,7 +755,7 @@ _POINTS = "points(category, score) AS (VALUES " + ", ".join(f"('{c}', {p})" for
 
 @query("risk_triage", with_sql("SELECT m.contract, coalesce(max(score), 0) + any_value(missing_points) AS triage_score, CAST(coalesce(sum(CASE WHEN score >= 4 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_high, count(score) AS n_clauses FROM missing m LEFT JOIN spans s USING (contract) LEFT JOIN points USING (category) GROUP BY m.contract", "spans", more=_CAPS + ",\n" + _POINTS))
 def risk_triage(spark, sf):
-    scored = risk.score_clauses(B.spans(spark, sf).select("contract", "category", F.lit("no flag here").alias("text")))
+    scored = risk.score_clauses(B.spans(spark, sf).select("contract", "category", "text"))
     return risk.triage(scored, risk.missing_cap(*_cap_tables(spark, sf)))
 
 

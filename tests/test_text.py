@@ -111,6 +111,26 @@ def test_paragraphs_and_fixed_words(spark):
     assert [tuple(r) for r in words.collect()] == [("c", 0, 0, 4, "a b c d"), ("c", 1, 3, 4, "d e f g")]
 
 
+def test_risk_queries_read_the_spans(spark, tmp_path):
+    from lexspan.plans import bindings, catalog
+
+    texts = [(i, ("at its sole discretion without notice; " if i % 2 else "plain words and nothing more of it all; ") * 20, "en") for i in range(20)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    flags = {"Anti-Assignment": "sole discretion", "Change Of Control": "sole discretion", "Termination For Convenience": "sole discretion", "Audit Rights": "without notice"}
+    want, top = {}, {}
+    for r in bindings.spans(spark, str(tmp_path)).collect():
+        base = risk.BASE[r["category"]]
+        score = base + (flags.get(r["category"], "\0") in r["text"])
+        want[r["contract"], r["category"]] = base, "High" if score >= 4 else "Medium" if score >= 2 else "Low"
+        top.setdefault(r["contract"], []).append(score)
+    got = {(r["contract"], r["category"]): (r["base"], r["level"]) for r in catalog.QUERIES["risk_base_points"](spark, str(tmp_path)).collect()}
+    assert got == want and any(base < 2 and level == "Medium" for base, level in got.values())
+    missing = {r["contract"]: r["missing_points"] for r in catalog.QUERIES["risk_missing_cap"](spark, str(tmp_path)).collect()}
+    rows = catalog.QUERIES["risk_triage"](spark, str(tmp_path)).collect()
+    assert {r["contract"]: r["triage_score"] for r in rows} == {c: max(top[c]) + missing[c] for c in missing}
+    assert any(max(top[r["contract"]]) == 3 for r in rows)
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("The cat, a CAT's hat",), ("x",)], "text string")
     assert [r[0] for r in df.select(tfidf.terms(df.text)).collect()] == [["the", "cat", "cat", "hat", "the cat", "cat cat", "cat hat"], []]
