@@ -77,10 +77,13 @@ ALNUM = byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Words are polynomials modulo these two primes; a modulus of a power of two would give words of a
+#: regular build (Thue-Morse sequences) the same hash whatever the base.
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 _RNG = np.random.default_rng(20240607)
-_BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
+_BASES = [int(_RNG.integers(1 << 20, p - 1)) for p in _PRIMES]
+_BYTE_KEYS = [_RNG.integers(1, p, 256, dtype=np.uint64) for p in _PRIMES]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,24 +95,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def _power_table(base: int, prime: int, size: int) -> np.ndarray:
+    """base**i modulo the prime for i below ``size``, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+    return out[:size]
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the powers of its base and of the base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+        _POWERS[:] = [(_power_table(b, p, size), _power_table(pow(b, -1, p), p, size)) for b, p in zip(_BASES, _PRIMES)]
+    return _POWERS
+
+
+def _polynomials(values: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run ``[starts[i]:ends[i]]`` of values (below the prime, an array for each prime), the same wherever the run stands."""
+    lanes = []
+    for own, (up, down), prime in zip(values, _powers(len(values[0]) + 1), _PRIMES):
+        p = np.uint64(prime)
+        sums = np.empty(len(own) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(own * up[: len(own)] % p, out=sums[1:])  # below 2**64 up to 2**33 values
+        lanes.append((sums[ends] - sums[starts]) % p * down[starts] % p)
+    return mix(mix(lanes[0] << np.uint64(32) | lanes[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[starts[i]:ends[i]]``, the same wherever the word stands."""
+    """A 64-bit hash (62 bits of two primes and the length) of each ``data[starts[i]:ends[i]]``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return _polynomials([keys[data] for keys in _BYTE_KEYS], starts, ends)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``words[starts[i]:ends[i]]`` of 64-bit values, in order."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return _polynomials([mix(words ^ np.uint64(0xA0761D6478BD642F * i)) % np.uint64(p) for i, p in enumerate(_PRIMES)], starts, ends)
 
 
 _LANES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

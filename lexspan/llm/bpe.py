@@ -4,7 +4,7 @@ A text is first cut into pieces (an optional space and letters, digits or other
 white space; English contractions), as the vocabulary's own pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` does,
 and merges never cross a piece's ends. So what a piece yields doesn't depend on its
-surroundings and is kept, by the piece's 64-bit hash, for as long as a worker lives
+surroundings and is kept, with the piece's bytes, for as long as a worker lives
 (at most ``STORE`` pieces; then the store starts anew, which costs time only).
 Documents that hold a special token's string go to the library as they are.
 """
@@ -172,7 +172,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class PieceStore:
-    """What ``measure`` says of each distinct piece, in arrays that whole blocks look up at once."""
+    """What ``measure`` says of each distinct piece, in arrays that whole blocks look up at once.
+
+    Pieces are found by hash and then compared byte by byte; one that shares its hash with
+    another is kept apart by its bytes.
+    """
 
     def __init__(self, measure: Callable[[list[bytes]], list[np.ndarray]]):
         self.measure = measure
@@ -183,6 +187,19 @@ class PieceStore:
         self.slots = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.raw_first = np.zeros(1, np.int64)
+        self.raw = np.zeros(0, np.uint8)
+        self.others: dict[bytes, int] = {}
+
+    def _add(self, found: list[bytes]) -> np.ndarray:
+        """New slots for these pieces."""
+        values = self.measure(found)
+        base = len(self.first) - 1
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(v) for v in values], dtype=np.int64)))
+        self.flat = np.concatenate((self.flat, *values))
+        self.raw_first = np.concatenate((self.raw_first, self.raw_first[-1] + np.cumsum([len(p) for p in found], dtype=np.int64)))
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(found), np.uint8)))
+        return base + np.arange(len(found))
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The slot of every piece ``data[starts[i]:ends[i]]``; ``flat[first[slot]:first[slot + 1]]`` is its value."""
@@ -195,14 +212,31 @@ class PieceStore:
         known[known] = self.keys[at[known]] == distinct[known]
         if not known.all():
             new = sample[~known]
-            values = self.measure([data[s:e].tobytes() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
-            base = len(self.first) - 1
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(v) for v in values])))
-            self.flat = np.concatenate((self.flat, *values))
+            slots = self._add([data[s:e].tobytes() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
             self.keys = np.insert(self.keys, at[~known], distinct[~known])
-            self.slots = np.insert(self.slots, at[~known], base + np.arange(len(new)))
+            self.slots = np.insert(self.slots, at[~known], slots)
             at = np.searchsorted(self.keys, distinct)
-        return self.slots[at][back]
+        slots = self.slots[at][back]
+        for i in np.flatnonzero(~self._same(data, starts, ends, slots)).tolist():
+            piece = data[starts[i] : ends[i]].tobytes()
+            if piece not in self.others:
+                self.others[piece] = int(self._add([piece])[0])
+            slots[i] = self.others[piece]
+        return slots
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Whether each piece has its slot's bytes."""
+        sizes = ends - starts
+        same = self.raw_first[slots + 1] - self.raw_first[slots] == sizes
+        which = np.flatnonzero(same & (sizes > 0))
+        if len(which):
+            size = sizes[which]
+            stops = np.cumsum(size)
+            moved = np.arange(stops[-1])
+            differ = self.raw[moved + np.repeat(self.raw_first[slots[which]] - (stops - size), size)] != data[moved + np.repeat(starts[which] - (stops - size), size)]
+            if differ.any():
+                same[which[np.searchsorted(stops, np.flatnonzero(differ), "right")]] = False
+        return same
 
 
 def plain(block: TextBlock, special: list[str]) -> np.ndarray:

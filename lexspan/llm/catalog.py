@@ -42,9 +42,8 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEF
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, array_to_string(w[p : p + 2], ' ') AS g FROM docs WHERE len(w) >= 3),
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY doc_id),
-normal AS (SELECT doc_id, host, md5(t) AS m, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_SPACED}) AS v FROM (SELECT doc_id, host, t, unnest(lines) AS l FROM docs)),
-texts AS (SELECT host, count(DISTINCT md5(t)) AS texts FROM docs GROUP BY host),
-frequent AS (SELECT host, array_to_string(v, ' ') AS line FROM normal JOIN texts USING (host) GROUP BY ALL HAVING count(DISTINCT m) > 10 AND count(DISTINCT m) > any_value(texts) * 0.05),
+normal AS (SELECT doc_id, host, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_SPACED}) AS v FROM (SELECT doc_id, host, unnest(lines) AS l FROM docs)),
+frequent AS (SELECT host, array_to_string(v, ' ') AS line FROM normal GROUP BY ALL HAVING count(DISTINCT doc_id) > 10),
 lost AS (SELECT doc_id, CAST(sum(len(v)) AS BIGINT) AS n FROM normal n JOIN frequent f ON f.host = n.host AND f.line = array_to_string(v, ' ') GROUP BY doc_id),
 base AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS frequent_words
 FROM docs LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id))

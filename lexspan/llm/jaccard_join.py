@@ -2,22 +2,23 @@
 
 1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with the same set are
    one class from here on.
-2. Each class has tiles, by size band. All classes agree on one order of shingles (those
-   that very many documents hold last, otherwise by hash); two sets that overlap enough must
-   share k of their first ``n - ceil(0.85 n) + k`` shingles in that order, so a tile is the
-   classes that share such a shingle, and a class in fewer than k tiles has no link.
-   Whatever list of frequent shingles is used, no link is lost.
-3. Each class is compared with one class of one of its tiles, and in further rounds with
-   one of another component; links found make components. Then, only in tiles whose
-   members are still in different components, all members of different components are
-   compared, in blocks of bounded size and by size band, so a tile of any number of members
-   is dealt over many tasks.
-4. Every comparison first checks sizes, then bounds the overlap from above by the bits in
-   which the two hashed bitmaps differ (each set's bitmap is as wide as its size band
-   asks), and only what is left intersects the sorted arrays.
-
-A link within one component need not be looked at again, since only components are asked;
-so a group of near copies costs a few comparisons per member, not per pair.
+2. All classes agree on one order of shingles (those that very many documents hold last,
+   otherwise by hash); two sets that overlap enough must share one of their first
+   ``n - ceil(0.85 n) + 1`` shingles in that order. A tile is the classes that share such a
+   shingle, cut into bands where the next size is too far to link. Whatever list of frequent
+   shingles is used, no link is lost. Tiles of the same members are one tile: near copies
+   share dozens of prefix shingles, and equal tiles hold equal pairs.
+3. In a tile, sizes are checked first; then the bits in which two hashed bitmaps differ (each
+   as wide as its size band asks) bound the overlap from above. Of the pairs that are left, a
+   tile names a spanning forest of the likeliest, so at most one pair per member; sorted-array
+   intersection decides these, and links make components.
+4. Tiles in which the bound leaves pairs of different components untested are looked at again,
+   with eight times as many partners a member each time, until none is left. A tile of more
+   than ``TILE_ROWS`` members is dealt in blocks: at first each block by itself, then its
+   largest component's blocks against the others' only.
+
+A link within one component need not be looked at, since only components are asked; so a
+group of near copies costs about one exact comparison a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import LOWER, SPACED, TextBlock, text_blocks, window_hashes, word_hashes
+from lexspan.llm.blocks import LOWER, SPACED, TextBlock, mix, text_blocks, window_hashes, word_hashes
 from lexspan.llm.components import components
 from lexspan.session import forget, settled, ship, spill, table
 
@@ -40,16 +41,18 @@ NGRAM, PERCENT = 4, 85
 FREQUENT, FREQUENT_LEAST = 1 << 18, 24
 #: Shingles that a task counts at a time; beyond that the rarest leave its summary.
 SUMMARY = 1 << 16
-#: One more shared prefix shingle is asked for each so many shingles of a set.
-SHARE = 40
-#: Times that every class is compared with one other class of one of its tiles, before tiles are compared as wholes.
-ROUNDS = 3
-#: Partners that a class names in a group of blocks at first; eight times as many each time that some were left out.
-FIRST_PARTNERS = 2
+#: Classes whose prefixes a task remembers having sent; beyond that some are sent twice, which tiles undo.
+REMEMBERED = 1 << 18
+#: A frequent shingle's tile is gathered in parts of about so many documents.
+PART_ROWS = 100_000
 #: Members of a tile that one task compares with as many others.
-TILE_ROWS = 512
+TILE_ROWS = 1024
 #: Keys of documents to read again are broadcast up to this many rows; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rounds of testing; partners a member grow eightfold, so blocks are exhausted after five.
+MAX_ROUNDS = 20
+#: Rows that a task gathers before it sends them on.
+OUT_ROWS = 5_000
 
 
 def shingle_sets(block: TextBlock, ngram: int = NGRAM) -> list[np.ndarray]:
@@ -71,19 +74,15 @@ def shingle_sets(block: TextBlock, ngram: int = NGRAM) -> list[np.ndarray]:
     return out
 
 
-def class_id(shingles: np.ndarray) -> int:
-    """64 bits of a hash over the sorted set: the same for equal sets."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def must_share(n: int) -> int:
-    """How many prefix shingles a set of this size shares with any that it links to and that is as large or larger."""
-    return 1 + n // SHARE
+def class_id(shingles: np.ndarray) -> tuple[int, int]:
+    """A hash over the sorted set in two halves of 64 bits: the same for equal sets."""
+    raw = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Leading shingles among which two linked sets have ``must_share`` of the smaller in common."""
-    return n - -(-percent * n // 100) + must_share(n) if n else 0
+    """Leading shingles of which a set shares one with every set that it links to."""
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -119,12 +118,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _frequent(docs: DataFrame, text: str, ngram: int) -> np.ndarray:
-    """Shingles that many documents hold, sorted. A summary of bounded size from every task, of all documents."""
+def _frequent(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and how many at least. A summary of bounded size from every task, of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for _, block in text_blocks(batches, text):
+        for _, block in text_blocks(batches):
             sets = shingle_sets(block, ngram)
             own, times = np.unique(np.concatenate(sets) if sets else keys[:0], return_counts=True)
             again = times > 1
@@ -139,27 +138,32 @@ def _frequent(docs: DataFrame, text: str, ngram: int) -> np.ndarray:
         large = counts > 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[large].view(np.int64)), pa.array(counts[large])], ["sig", "n"])
 
-    found = docs.select(text).mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
-    rows = found.orderBy(F.desc("n"), "sig").limit(FREQUENT).select("sig").toArrow().column("sig").to_numpy()
-    return np.sort(rows.view(np.uint64))
+    found = docs.select("text").mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
+    rows = found.orderBy(F.desc("n"), "sig").limit(FREQUENT).toArrow()
+    sigs = rows.column("sig").to_numpy().view(np.uint64)
+    order = np.argsort(sigs)
+    return sigs[order], rows.column("n").to_numpy()[order]
 
 
-def _described(docs: DataFrame, frequent: np.ndarray, text: str, key: str, ngram: int, percent: int) -> DataFrame:
-    """Per row: key, hash of the text, set size, class, prefix in the common order, bitmap."""
-    kind = docs.schema[key].dataType.simpleString()
+def _described(docs: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
+    """Per row: key, hash of the text, set size, class (``cid`` and ``cid2``), prefix in the common order, bitmap."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(1 << 20, bool)
         marked[(frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        seen: set[int] = set()  # classes of this task whose prefix is out already
-        for batch, block in text_blocks(batches, text):
-            sizes, classes, prefixes, stops, bits = [], [], [], [0], []
+        seen: set[tuple[int, int]] = set()  # classes of this task whose prefix is out already
+        for batch, block in text_blocks(batches):
+            sizes, classes, seconds, prefixes, stops, bits = [], [], [], [], [0], []
             for own in shingle_sets(block, ngram):
                 sizes.append(len(own))
-                c = class_id(own) if len(own) else None
-                classes.append(c)
+                c = class_id(own) if len(own) else (None, None)
+                classes.append(c[0])
+                seconds.append(c[1])
                 length = 0
-                if c is not None and c not in seen:
+                if len(own) and c not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(c)
                     length = prefix_length(len(own), percent)
                     late = marked[(own & np.uint64((1 << 20) - 1)).astype(np.int64)]
@@ -172,97 +176,119 @@ def _described(docs: DataFrame, frequent: np.ndarray, text: str, key: str, ngram
                 stops.append(stops[-1] + length)
                 bits.append(bitmap(own) if length else None)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())], [key, "th", "n", "cid", "prefix", "bits"])
-
-    return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, f"`{key}` {kind}, th long, n long, cid long, prefix array<long>, bits binary")
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and cid: those whose sig several classes share, each once. Holds one row between batches."""
-    held = [np.zeros(0, np.int64)] * 3
-    linked = False  # whether the held row's sig has come before
-    for batch in _and_end(batches):
-        sig, cid, n = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("sig", "cid", "n")))
-        if not len(sig):
-            continue
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])
-        sig, cid, n = sig[fresh], cid[fresh], n[fresh]
-        same = sig[1:] == sig[:-1]
-        shared = np.zeros(len(sig), bool)
-        shared[0] = linked
-        shared[1:] |= same
-        shared[:-1] |= same
-        if batch is not None:  # the last row waits for what follows
-            held, linked = [sig[-1:], cid[-1:], n[-1:]], bool(shared[-1])
-            sig, cid, n, shared = sig[:-1], cid[:-1], n[:-1], shared[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(cid[shared]), pa.array(n[shared])], ["sig", "cid", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(seconds, pa.int64()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())], ["key", "th", "n", "cid", "cid2", "prefix", "bits"])
 
+    return docs.mapInArrow(run, f"key {kind}, th long, n long, cid long, cid2 long, prefix array<long>, bits binary")
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
 
+def _told_apart(told: DataFrame) -> DataFrame:
+    """``told`` with class ids that differ wherever the halves of the class hash do: equal first halves are rare, but not impossible."""
+    same = told.where("cid is not null").groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).where("lo <> hi").select("cid")
+    if same.isEmpty():
+        return told
+    again = told.join(F.broadcast(same.withColumn("twice", F.lit(True))), "cid", "left")
+    return again.withColumn("cid", F.when(F.col("twice"), F.xxhash64("cid", "cid2")).otherwise(F.col("cid"))).drop("twice")
 
-def _tiles(signed: DataFrame, percent: int) -> DataFrame:
-    """sig, cid of all tiles: classes that share a prefix shingle and whose sizes are near enough to link.
 
-    Sizes fall into bands as wide as the threshold allows two linked sets to differ; a
-    class joins its own band's tile and that of the next band, so classes of one or of
-    neighbouring bands meet, and all that could link do.
-    """
-    shared = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_members, "sig long, cid long, n long")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent).item() * 1.000001)).cast("int")
-    banded = shared.withColumn("band", band).withColumn("k", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    return banded.select(F.xxhash64("sig", "k").alias("sig"), "cid", "n", (F.col("band") == F.col("k")).alias("own"))
+def _members(percent: int):
+    """Of rows sorted by part, sig, n and cid: tiles of several classes, a row each, with a hash of the members.
 
+    A tile is cut wherever the next size is too large to link, so no pair of it is lost. One of
+    more than ``TILE_ROWS`` members comes in rows of as many; its id is its shingle's, and so is
+    that of a tile that is gathered in parts (``part`` > 0), whose single members stay.
+    """
+    limit = TILE_ROWS
 
-def _pruned(rows: DataFrame, percent: int) -> DataFrame:
-    """Without tiles of one class or of a lower band only, and without classes in fewer tiles than any link asks for.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], []]
+
+        def put(d1: int, d2: int, row: int, cids: np.ndarray) -> None:
+            for column, value in zip(out, (d1, d2, row, cids)):
+                column.append(value)
+
+        def flush() -> pa.RecordBatch:
+            stops = np.concatenate(([0], np.cumsum([len(c) for c in out[3]]))).astype(np.int32)
+            flat = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))], ["tile", "tile2", "row", "cids"])
+            for column in out:
+                column.clear()
+            return made
+
+        names = ("part", "sig", "n", "cid")
+        held = [np.zeros(0, np.int64)] * 4  # the group that may go on
+        rows_out, goes_on = 0, 0  # its rows that are out already, and its id
+        for batch in _and_end(batches):
+            part, sig, n, cid = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names))
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
+            apart = new.copy()
+            apart[1:] |= (part[1:] == 0) & (100 * n[:-1] < percent * n[1:])
+            fresh = apart.copy()
+            fresh[1:] |= cid[1:] != cid[:-1]
+            part, sig, n, cid, apart = part[fresh], sig[fresh], n[fresh], cid[fresh], apart[fresh]
+            begins = np.flatnonzero(apart)
+            ends = np.append(begins[1:], len(sig))
+            mixed = mix(cid.view(np.uint64))
+            sums = [np.concatenate(([np.uint64(0)], np.cumsum(m))) for m in (mixed, mix(mixed ^ np.uint64(0x5851F42D4C957F2D)))]
+            d1, d2 = ((t[ends] - t[begins]).view(np.int64).tolist() for t in sums)
+            lowest = np.where(part[begins] == 0, n[begins], 0).view(np.uint64)  # of the band; parts of a tile have one id
+            own = mix(mix(sig[begins].view(np.uint64)) ^ mix(lowest)).view(np.int64).tolist()
+            if rows_out:
+                own[0] = goes_on
+            last = len(begins) - 1
+            for g, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+                if batch is not None and g == last:  # waits for what follows, but for full rows
+                    while b - a > limit:
+                        put(own[g], int(part[a]), rows_out, cid[a : a + limit])
+                        a, rows_out = a + limit, rows_out + 1
+                    held, goes_on = [part[a:b], sig[a:b], n[a:b], cid[a:b]], own[g]
+                elif rows_out or b - a > limit or part[a]:
+                    for at in range(a, b, limit):
+                        put(own[g], int(part[a]), rows_out, cid[at : min(b, at + limit)])
+                        rows_out += 1
+                    rows_out = 0
+                elif b - a > 1:
+                    put(d1[g], d2[g], 0, cid[a:b])
+            if len(out[0]) >= OUT_ROWS:
+                yield flush()
+        yield flush()
+
+    return run
 
-    A class's partner may be smaller, by the threshold at most, and so may what they share.
-    """
-    real = rows.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("sig")
-    rows = rows.join(real, "sig")
-    least = 1 + F.floor(F.ceil(F.col("n") * F.lit(percent) / 100) / SHARE)
-    enough = rows.groupBy("cid").agg(F.count("*").alias("tiles"), F.max("n").alias("n")).where(F.col("tiles") >= least).select("cid")
-    return rows.join(enough, "cid").select("sig", "cid", "n", "own")
 
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that sizes and bitmaps leave."""
-    of = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    least, most = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    sized = pairs.join(of("x"), "x").join(of("y"), "y").where(100 * least >= percent * most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            columns = [batch.column(c).to_pylist() for c in ("n_x", "n_y", "bits_x", "bits_y")]
-            for i, (n_x, n_y, a, b) in enumerate(zip(*columns)):
-                p, q = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-                if len(p) != len(q):
-                    size = min(len(p), len(q))
-                    p, q = folded(p, size), folded(q, size)
-                keep[i] = may_link(n_x, n_y, int(np.bitwise_count(p.view(np.uint64) ^ q.view(np.uint64)).sum()), percent)
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], ["x", "y"])
+def _tiles(signed: DataFrame, hot: DataFrame | None, percent: int) -> DataFrame:
+    """tile, cids: classes that share a prefix shingle and whose sizes are near enough to link, each member set once.
 
-    return sized.mapInArrow(run, "x long, y long")
+    ``hot``: frequent shingles with the number of parts in which their members are gathered.
+    """
+    part = F.lit(0).cast("long")
+    if hot is not None:
+        signed = signed.join(F.broadcast(hot), "sig", "left")
+        part = F.when(F.col("parts").isNull(), part).otherwise(1 + F.pmod(F.xxhash64("cid"), "parts"))
+    placed = signed.select(part.alias("part"), "sig", "n", "cid").repartition("sig", "part").sortWithinPartitions("part", "sig", "n", "cid")
+    found = placed.mapInArrow(_members(percent), "tile long, tile2 long, row long, cids array<long>")
+    return found.dropDuplicates(["tile", "tile2", "row"]).select("tile", "cids")
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, text: str, key: str, ngram: int) -> DataFrame:
-    """``cid`` and ``shingles`` of the classes in ``wanted`` (with ``rep`` and ``th`` of one document of each)."""
+def _arrays(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+    """``cid`` and ``shingles`` of the classes in ``wanted`` (with ``cid2`` and ``rep`` and ``th`` of one document of each)."""
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = wanted.select(F.col("rep").alias("_rep"), F.col("th").alias("_th"), F.col("cid").alias("_cid"))
-    read = docs.select(key, text).withColumn("th", F.xxhash64(text))
-    found = read.join(F.broadcast(keys) if small else keys, (F.col("th") == F.col("_th")) & F.col(key).eqNullSafe(F.col("_rep"))).select("_cid", text)
+    keys = wanted.select("rep", F.col("th").alias("rep_th"), "cid", "first", "cid2")
+    found = docs.join(F.broadcast(keys) if small else keys, (F.col("th") == F.col("rep_th")) & F.col("key").eqNullSafe(F.col("rep"))).select("cid", "first", "cid2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             sets = shingle_sets(block, ngram)
-            right = [class_id(s) == c for s, c in zip(sets, batch.column("_cid").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_cid").filter(pa.array(right)), pa.array([s.tobytes() for s, r in zip(sets, right) if r], pa.binary())], ["cid", "shingles"])
+            told = zip(batch.column("first").to_pylist(), batch.column("cid2").to_pylist())
+            right = [class_id(s) == c for s, c in zip(sets, told)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(right)), pa.array([s.tobytes() for s, r in zip(sets, right) if r], pa.binary())], ["cid", "shingles"])
 
     return found.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
@@ -284,69 +310,152 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "x long, y long")
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs in one group (``sig``) but in different components, as far as sizes and bitmaps leave them.
+def _distances(band: list[tuple[np.ndarray, ...]], percent: int) -> np.ndarray:
+    """For members in bands of one bitmap width each: the share of bits that differ, and infinity where sizes or the bound rule a link out.
 
-    ``rows``: sig, cid, comp of groups with more than one component. A group's largest component
-    need not be compared with itself, so its members meet only the others, and these meet all.
-    Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks that must meet go to
-    one task, so no task holds more than two blocks, however large the group.
+    Only bands of the same or of neighbouring widths meet; a wider bitmap is folded first.
+    """
+    total = sum(len(n) for n, _ in band)
+    out = np.full((total, total), np.inf, np.float32)
+    at = 0
+    for b, (n_l, bits_l) in enumerate(band):
+        to = at
+        for n_r, bits_r in band[b : b + 2]:
+            begin, to = to, to + len(n_r)
+            if bits_r.shape[1] > 2 * bits_l.shape[1]:
+                break
+            words_l, words_r = bits_l.view(np.uint64), folded(bits_r, bits_l.shape[1]).view(np.uint64)
+            step = max(1, 200_000 // words_r.size)
+            for i in range(0, len(n_l), step):
+                size = n_l[i : i + step, None]
+                near = 100 * np.minimum(size, n_r) >= percent * np.maximum(size, n_r)
+                if not near.any():
+                    continue
+                differing = np.bitwise_count(words_l[i : i + step, None, :] ^ words_r).sum(axis=2, dtype=np.int64)
+                near &= may_link(size, n_r, differing, percent)
+                found = np.where(near, (differing / (size + n_r)).astype(np.float32), np.float32(np.inf))
+                out[at + i : at + i + len(size), begin:to] = found
+                if begin != at:
+                    out[begin:to, at + i : at + i + len(size)] = found.T
+        at += len(n_l)
+    return out
+
+
+def likeliest(distances: np.ndarray, comp: np.ndarray, partners: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs to test: a spanning forest over the components by least distances, and each member's ``partners`` nearest others.
 
-    A class names its ``most`` likeliest partners of a block; a row without x and y says that
-    some had more. The caller merges what links and asks again for more, until none is left out.
+    ``distances`` is symmetric, infinite where a pair is out. Also whether pairs of different components are left out.
     """
-    tally = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members"))
-    cut = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
-    tally = tally.select("sig", "main", cut(F.col("n_main")).alias("m"), cut(F.col("members") - F.col("n_main")).alias("k"))
-    placed = rows.join(tally, "sig").withColumn("is_main", F.col("comp") == F.col("main"))
-    tag = F.when(F.col("is_main"), F.pmod(F.xxhash64("cid"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("cid"), "k")).cast("int")
-    partner = F.explode(F.sequence(F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("k") - 1))
-    dealt = placed.withColumn("own", tag).withColumn("other", partner)
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
-    dealt = dealt.join(classes.select("cid", "n", "bits"), "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "cid")
+    open_ = np.where(comp[:, None] == comp, np.float32(np.inf), distances)
+    free = np.isfinite(open_)
+    possible = int(free.sum()) // 2
+    if not possible:
+        return [], False
+    pairs: set[tuple[int, int]] = set()
+    if partners:
+        for row in np.flatnonzero(free.any(axis=1)).tolist():
+            near = np.flatnonzero(free[row])
+            if len(near) > partners:
+                near = near[np.argpartition(open_[row, near], partners)[:partners]]
+            pairs.update((min(row, c), max(row, c)) for c in near.tolist())
+    _, label = np.unique(comp, return_inverse=True)
+    while True:
+        best = open_.argmin(axis=1)
+        least = open_[np.arange(len(best)), best]
+        rows = np.flatnonzero(np.isfinite(least))
+        if not len(rows):
+            break
+        rows = rows[np.lexsort((rows, least[rows], label[rows]))]
+        first = np.ones(len(rows), bool)
+        first[1:] = label[rows][1:] != label[rows][:-1]
+        root = np.arange(label.max() + 1)
+        for row in rows[first].tolist():  # every component's nearest other; equal distances may name a pair too many, which is only tested too
+            x, y = int(label[row]), int(label[best[row]])
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                pairs.add((min(row, int(best[row])), max(row, int(best[row]))))
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+        open_[label[:, None] == label] = np.inf
+    return sorted(pairs), len(pairs) < possible
+
+
+def _candidates(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, percent: int, number: int) -> DataFrame:
+    """x, y, tile: pairs of different components to test, and rows without x and y for tiles with more to come.
+
+    ``rows``: tile, cid, comp. Tiles of one component need nothing. A tile's largest component
+    need not be compared with itself, so in a tile of many its members meet only the others,
+    and these meet all. Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks
+    that must meet go to one task, so no task holds more than two blocks, however large the
+    tile. In the first round every block is by itself.
+    """
+    if number:
+        tally = rows.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members")).where("n_main < members")
+    else:
+        tally = rows.groupBy("tile").agg(F.min("cid").alias("main"), F.lit(0).alias("n_main"), F.count("*").alias("members"))
+    cut = lambda n: F.greatest(F.ceil(n / F.lit(TILE_ROWS)), F.lit(1)).cast("int")
+    whole = F.col("members") <= TILE_ROWS
+    tally = tally.select("tile", "main", F.when(whole, 0).otherwise(cut(F.col("n_main")) if number else F.lit(0)).alias("m"), F.when(whole, 1).otherwise(cut(F.col("members") - F.col("n_main"))).alias("k"))
+    placed = rows.join(tally, "tile").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("m") > 0))
+    tag = F.when(F.col("is_main"), F.pmod(F.xxhash64("cid"), F.greatest("m", F.lit(1)))).otherwise(F.col("m") + F.pmod(F.xxhash64("cid"), "k")).cast("int")
+    dealt = placed.withColumn("own", tag)
+    if number:
+        partner = F.explode(F.sequence(F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("k") - 1))
+    else:
+        partner = F.col("own")
+    dealt = dealt.withColumn("other", partner).select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "cid", "comp")
+    dealt = dealt.join(classes.select("cid", "n", "bits"), "cid")
+    if failed is None:
+        dealt = dealt.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        dealt = dealt.join(failed.groupBy(F.col("x").alias("cid")).agg(F.collect_set("y").alias("failed")), "cid", "left")
+    dealt = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "cid")
+    names = ["tile", "i", "j", "own", "k", "cid", "comp", "n", "bits", "failed"]
+    partners = 8**number if number else 0
 
     def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int], list[int], bool]:
-        members.sort(key=lambda m: (len(m[4]), m[3]))
-        bands = [(size, list(g)) for size, g in groupby(members, key=lambda m: len(m[4]))]
-        out_x, out_y, more = [], [], False
-        for a, (size, left) in enumerate(bands):
-            for wider, right in bands[a : a + 2]:
-                if wider > 2 * size:
-                    continue
-                make = lambda group: (np.array([m[0] for m in group]), np.array([m[1] for m in group]), np.array([m[2] for m in group]), np.array([m[3] for m in group]), folded(np.stack([np.frombuffer(m[4], np.uint8) for m in group]), size).view(np.uint64))
-                own_l, cid_l, comp_l, n_l, bits_l = make(left)
-                own_r, cid_r, comp_r, n_r, bits_r = make(right)
-                step = max(1, 400_000 // bits_r.size)
-                for at in range(0, len(left), step):
-                    part = slice(at, at + step)
-                    size_l = n_l[part, None]
-                    ok = (comp_l[part, None] != comp_r) & (100 * np.minimum(size_l, n_r) >= percent * np.maximum(size_l, n_r))
-                    if i != j:
-                        ok &= own_l[part, None] != own_r  # pairs within a block belong to that block's own group
-                    if wider == size:
-                        ok &= np.arange(at, at + len(size_l))[:, None] < np.arange(len(right))
-                    if not ok.any():
-                        continue
-                    differing = np.bitwise_count(bits_l[part, None, :] ^ bits_r).sum(axis=2, dtype=np.int64)
-                    ok &= may_link(size_l, n_r, differing, percent)
-                    for row in np.flatnonzero(ok.any(axis=1)).tolist():
-                        near = np.flatnonzero(ok[row])
-                        if len(near) > most:
-                            near, more = near[np.argpartition(differing[row, near], most)[:most]], True
-                        out_x += [int(cid_l[at + row])] * len(near)
-                        out_y += cid_r[near].tolist()
-        return out_x, out_y, more
+        own, k, cid, comp, n, bits, failed = zip(*members)
+        cid, comp, n = np.array(cid), np.array(comp), np.array(n)
+        widths = [len(b) for b in bits]
+        order = np.lexsort((cid, n, widths))
+        bands = [(n[list(g)], np.stack([np.frombuffer(bits[r], np.uint8) for r in g])) for _, g in ((w, list(g)) for w, g in groupby(order.tolist(), key=lambda r: widths[r]))]
+        distances = _distances(bands, percent)
+        cid, comp = cid[order], comp[order]
+        if i != j:
+            own = np.array(own)[order]
+            distances[own[:, None] == own] = np.inf  # pairs within a block belong to that block's own group
+        if any(f is not None for f in failed):
+            place = {c: r for r, c in enumerate(cid.tolist())}
+            for r, at in enumerate(order.tolist()):
+                for other in failed[at] or ():
+                    if other in place:
+                        distances[r, place[other]] = distances[place[other], r] = np.inf
+        pairs, more = likeliest(distances, comp, partners)
+        return [int(cid[a]) for a, _ in pairs], [int(cid[b]) for _, b in pairs], more or (number == 0 and k[0] > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "own", "cid", "comp", "n", "bits"))))
-        for (_, i, j), group in groupby(stream, key=lambda r: r[:3]):
-            x, y, more = compare(i, j, [r[3:] for r in group])
+        stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names)))
+        out: list[list] = [[], [], []]
+        for (tile, i, j), group in groupby(stream, key=lambda r: r[:3]):
+            members = [r[3:] for r in group]
+            if len(members) == 1 and members[0][1] == 1:
+                continue
+            x, y, more = compare(i, j, members)
             if more:
                 x, y = [*x, None], [*y, None]
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+            for column, values in zip(out, (x, y, [tile] * len(x))):
+                column += values
+            if len(out[0]) >= OUT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y", "tile"])
+                out = [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y", "tile"])
 
-    return dealt.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return dealt.select(names).mapInArrow(run, "x long, y long, tile long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "tile")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -356,100 +465,75 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     own key as component. Rows with equal texts or equal shingle sets are linked, also
     where their keys are equal. A null key counts as larger than all others; a component
     of null keys only has a null id. An empty table gives an empty result; other columns
-    are not read. Classes are told apart by 64-bit hashes.
+    are not read, whatever their names. Classes are told apart by 128-bit hashes of their
+    sets, shingles by 64-bit hashes.
     """
-    return grouped(docs, ngram, percent, text, key).select(key, "n_shingles", "component_id")
+    return grouped(docs, ngram, percent, text, key).select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``key``, ``text`` and ``th``, the text's xxhash64, whatever the columns of ``docs`` are called."""
+    return docs.select(docs[_quoted(key)].alias("key"), docs[_quoted(text)].alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``near_duplicates`` with, per row, ``th`` (the text's xxhash64) and ``comp`` (the component, null without words)."""
+    """Per row: ``key``, ``th`` (the text's xxhash64), ``n_shingles``, ``component_id`` and ``comp`` (the component, null without words)."""
     spark = docs.sparkSession
     ship(spark)
-    told, told_path = spill(spark, _described(docs, _frequent(docs, text, ngram), text, key, ngram, percent))
-    paths = [told_path]
+    docs = _read(docs, text, key)
+    frequent, counts = _frequent(docs, ngram)
+    paths: list[str] = []
 
     def keep(frame: DataFrame) -> DataFrame:
         frame, path = spill(spark, frame)
         paths.append(path)
         return frame
 
+    told = _told_apart(keep(_described(docs, frequent, ngram, percent).withColumn("first", F.col("cid"))))
     full = told.where("cid is not null")
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
-    classes = keep(full.groupBy("cid").agg(F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits"))
-    tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), percent))
-    for _ in range(2):
-        tiles = keep(_pruned(tiles, percent))
-    tiles = tiles.select("sig", "cid")
-
-    arrays, links, groups, tried = None, None, None, None
-
-    def comparison(pairs: DataFrame) -> None:
-        """Bound, intersect, and merge the components of what links."""
-        nonlocal arrays, links, groups
-        pairs = keep(_bounded(pairs, classes, percent))
-        if pairs.isEmpty():
-            return
-        wanted = classes.join(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "cid")
-        new = keep(_arrays(docs, wanted if arrays is None else wanted.join(arrays.select("cid"), "cid", "left_anti"), text, key, ngram))
-        arrays = new if arrays is None else arrays.unionByName(new)
-        found = keep(_linked(pairs, arrays, percent))
-        links = found if links is None else links.unionByName(found)
-        groups = settled(spark, components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-
-    def mixed() -> tuple[DataFrame, DataFrame]:
-        """Tile members with their components (``linked``: of more than one class); tiles of several, with a member of the smallest."""
-        placed = tiles.withColumn("comp", F.col("cid")).withColumn("linked", F.lit(False))
-        if groups is not None:
-            placed = tiles.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"), F.col("component").isNotNull().alias("linked"))
-        several = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("cid", "comp").alias("y")).where("a <> b").select("sig", "a", "y")
-        return placed, several
-
-    def meetings() -> DataFrame:
-        """sig, cid, comp of groups whose members of different components must be compared.
-
-        A tile's largest linked component is left out of it. Its members stand once, with all
-        classes of other components that share a tile with it, in a group of the component's
-        own: so a class is not compared with the same component in each of their tiles.
-        """
-        placed, several = mixed()
-        rows = placed.join(several.select("sig"), "sig")
-        largest = rows.where("linked").groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", "n").alias("main"))
-        rows = keep(rows.join(largest, "sig", "left").where("main is null or comp <> main").select("sig", "cid", "comp", "main"))
-        still = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sig")
-        out = rows.join(still, "sig").select("sig", "cid", "comp")
+    classes = full.groupBy("cid").agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("first").alias("first"), F.min("cid2").alias("cid2"))
+    classes = keep(classes.select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits", "first", "cid2"))
+    parts = -(-counts // PART_ROWS)
+    hot = None
+    if (parts > 1).any():
+        hot = spark.createDataFrame(pa.table({"sig": frequent[parts > 1].view(np.int64), "parts": parts[parts > 1].astype(np.int64)}))
+    tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), hot, percent))
+    members = tiles.select("tile", F.explode("cids").alias("cid"))
+
+    links = groups = failed = again = None
+    for number in range(MAX_ROUNDS):
+        rows = members if again is None else members.join(again, "tile", "left_semi")
         if groups is None:
-            return out
-        guests = rows.where("main is not null").select("main", "cid", "comp").distinct()
-        hosts = groups.select(F.col("component").alias("main"), F.col("node").alias("cid"), F.col("component").alias("comp")).join(guests.select("main").distinct(), "main", "left_semi")
-        return out.unionByName(guests.unionByName(hosts).select(F.xxhash64("main", F.lit("component")).alias("sig"), "cid", "comp"))
-
-    for number in range(ROUNDS):
-        placed, several = mixed()
-        offers = placed.join(several, "sig").where("comp <> a").select(F.col("cid").alias("x"), "y", F.xxhash64("sig", F.lit(number)).alias("h"))
-        if tried is not None:
-            offers = offers.join(tried, ["x", "y"], "left_anti")
-        pairs = keep(offers.groupBy("x").agg(F.min_by("y", "h").alias("y")))  # one for each class: near copies agree on most of their tiles, and so on this one
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comparison(pairs)
-    most = FIRST_PARTNERS
-    while True:
-        named = keep(_block_pairs(keep(meetings()), classes, percent, most))
-        done = named.where("x is null").isEmpty()
-        pairs = named.where("x is not null").join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+            rows = rows.withColumn("comp", F.col("cid"))
+        else:
+            rows = rows.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        named = keep(_candidates(rows.select("tile", "cid", "comp"), classes, failed, percent, number))
+        pairs = keep(named.where("x is not null").select("x", "y").distinct())
         if not pairs.isEmpty():
-            pairs = keep(pairs)
-            tried = tried.unionByName(pairs)
-            comparison(pairs)
-        if done:
+            wanted = classes.join(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "cid", "left_semi")
+            found = keep(_linked(pairs, keep(_arrays(docs, wanted, ngram)), percent))
+            links = found if links is None else links.unionByName(found)
+            wrong = keep(pairs.join(found, ["x", "y"], "left_anti"))
+            failed = wrong if failed is None else failed.unionByName(wrong)
+            if not found.isEmpty():
+                groups = keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        again = keep(named.where("x is null").select("tile").distinct())
+        if again.isEmpty():
             break
-        most *= 8
+    else:
+        raise RuntimeError(f"pairs are left after {MAX_ROUNDS} rounds")
+
     if groups is None:
         groups = spark.createDataFrame([], "node long, component long")
-
     named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = named.join(smallest, "comp").select("cid", "comp", "component_id")
-    out = told.select(key, "th", "n", "cid").join(by_class, "cid", "left").select(key, "th", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), "comp")
+    out = told.select("key", "th", "n", "cid").join(by_class, "cid", "left").select("key", "th", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), "comp")
     out = settled(spark, out)
     forget(spark, *paths)
     return out
@@ -464,19 +548,19 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, tex
 
     Among rows with the same smallest key that of the smallest text hash stays, and of
     rows equal in both one; null keys come after all others. Rows without words have no
-    near duplicates and all stay.
+    near duplicates and all stay. Columns keep their names, whatever these are; an empty
+    table stays empty.
     """
-    spark = docs.sparkSession
-    found = grouped(docs, ngram, percent, text, key).where("comp is not null").select("comp", F.col(key).alias("_key"), F.col("th").alias("_th"))
-    order = F.struct(F.col("_key").isNull().alias("late"), "_key", "_th")
+    found = grouped(docs, ngram, percent, text, key).where("comp is not null").select("comp", "key", "th")
+    order = F.struct(F.col("key").isNull().alias("late"), "key", "th")
     chosen = found.groupBy("comp").agg(F.min(order).alias("c"))
-    rows = found.groupBy("comp", "_key", "_th").agg(F.count("*").alias("times")).join(chosen, "comp").withColumn("stays", order.eqNullSafe(F.col("c")))
-    rows = settled(spark, rows.where("not stays or times > 1").select("_key", "_th", "stays"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_this") == F.col("_th"))
-    hashed = docs.withColumn("_this", F.xxhash64(text))
+    rows = found.groupBy("comp", "key", "th").agg(F.count("*").alias("times")).join(chosen, "comp").withColumn("stays", order.eqNullSafe(F.col("c")))
+    rows = settled(docs.sparkSession, rows.where("not stays or times > 1").select(F.col("key").alias("its_key"), F.col("th").alias("its_th"), "stays"))
+    same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("th") == F.col("its_th"))
+    hashed = docs.select(F.struct("*").alias("whole"), docs[_quoted(key)].alias("key"), F.xxhash64(docs[_quoted(text)]).alias("th"))
     fit = lambda part: F.broadcast(part) if part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else part
     again = rows.where("stays").drop("stays")
     out = hashed.join(fit(rows.drop("stays")), same, "left_anti")
     if not again.isEmpty():
-        out = out.unionByName(hashed.join(fit(again), same, "left_semi").dropDuplicates([key, "_this"]))
-    return out.drop("_this")
+        out = out.unionByName(hashed.join(fit(again), same, "left_semi").dropDuplicates(["key", "th"]))
+    return out.select("whole.*")

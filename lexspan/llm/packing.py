@@ -250,7 +250,7 @@ def ids_of_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id
             columns = [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, pa.int64() if digest else pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", last.split(" ")[0]])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, piece int, start long, length long, {last}")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, {last}")
 
 
 def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), nodes: int = 4000) -> DataFrame:

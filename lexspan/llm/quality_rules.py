@@ -1,16 +1,14 @@
 """Quality rules: per-text counts, and lines that too many documents of one host share.
 
 A line is normalised (A to Z lower-cased, words joined by one space) and hashed. For each
-host the documents that hold a line are counted, exact copies of a text as one, so that
-a copied document does not make all its own lines frequent. A line held by more than
+host the documents that hold a line are counted, each once. A line held by more than
 ``limit`` documents of a host is taken out of every document there, however many the
 host has; a document left with less than ``keep_share`` of its words is depleted and
-rejected.
+rejected. So documents of which a host holds more than ``limit`` copies go.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import LOWER, SPACED, TextBlock, _powers, byte_table, mix, text_blocks, window_hashes, word_hashes
+from lexspan.llm.blocks import LOWER, SPACED, TextBlock, byte_table, mix, run_hashes, text_blocks, window_hashes, word_hashes
 from lexspan.session import forget, settled, ship, spill, table
 
 _SYMBOLS = np.zeros(256, bool)
@@ -34,13 +32,6 @@ def _per_document(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return sums[firsts[1:]] - sums[firsts[:-1]]
 
 
-def _run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each run ``words[starts[i]:ends[i]]`` of word hashes, in order."""
-    up, down = _powers(len(words) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 class Counts:
     """The counts of a block, an array each with one figure per document, and its lines."""
 
@@ -77,7 +68,7 @@ class Counts:
             self.n_repeat_words = _per_document(marked, firsts)
         # normalised lines: hash and words, each once a document
         lowered = word_hashes(LOWER[data], starts, ends)
-        normal = _run_hashes(lowered, word_from, word_to) if len(lowered) else np.zeros(0, np.uint64)
+        normal = run_hashes(lowered, word_from, word_to)
         order = np.lexsort((normal, line_doc))
         key_doc, key = line_doc[order], normal[order]
         fresh = np.ones(len(order), bool)
@@ -88,49 +79,48 @@ class Counts:
         self.line_firsts = np.searchsorted(key_doc[at], np.arange(n + 1))
 
 
-def line_counts(docs: DataFrame, text: str, key: str, host: str) -> DataFrame:
-    """Per row: a row number, the key, host, a digest of the text, the base counts and the normalised lines."""
+def line_counts(docs: DataFrame) -> DataFrame:
+    """Per row: a row number, the key, host, the base counts and the normalised lines."""
     ship(docs.sparkSession)
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (key, host)}
-    schema = f"row long, `{key}` {kinds[key]}, `{host}` {kinds[host]}, digest binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("key", "host")}
+    schema = f"row long, key {kinds['key']}, host {kinds['host']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             c = Counts(block)
-            raw = block.data.tobytes()
-            digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
             stops = pa.array(c.line_firsts, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + block.n)), batch.column(key), batch.column(host), pa.array(digests, pa.binary()), *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)), *(pa.ListArray.from_arrays(stops, pa.array(x)) for x in (c.line_hash, c.line_words))],
-                ["row", key, host, "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"],
+                [pa.array(np.arange(row, row + block.n)), batch.column("key"), batch.column("host"), *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)), *(pa.ListArray.from_arrays(stops, pa.array(x)) for x in (c.line_hash, c.line_words))],
+                ["row", "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"],
             )
             row += block.n
 
-    return docs.select(key, host, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def apply_rules(docs: DataFrame, limit: int = 10, keep_share: float = 0.5, least_words: int = 50, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """Per row of ``docs``: key, the base counts, ``base_failed``, ``frequent_words`` (in lines taken out) and ``kept``.
 
     A null or empty text has no words, fails the base rules and is not kept. Rows with
-    a null host form one host. Repeated or null keys are rows like any other; equal
-    texts count as one document in the line counts but each row gets its verdict. Other
-    columns are not read. The counts and hashed lines are stored once in the shared
-    folder; what is shuffled is one small row for each line of a document.
+    a null host form one host. Rows with repeated or null keys or equal texts are
+    documents like any other. An empty table gives an empty result; other columns are
+    not read, whatever their names. The counts and hashed lines are stored once in the
+    shared folder; what is shuffled is one small row for each line of a document, summed
+    before it is sent.
     """
     spark = docs.sparkSession
-    stored, path = spill(spark, line_counts(docs, text, key, host))
-    at = F.coalesce(F.col(host).cast("string"), F.lit("\u0000")).alias("_host")
-    lines = stored.select("row", at, "digest", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "_host", "digest", F.col("l.line_hash").alias("hash"), F.col("l.line_words").alias("words"))
-    frequent = lines.groupBy("_host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("_host", "hash").agg(F.count("*").alias("held")).where(F.col("held") > limit).select("_host", "hash")
+    named = docs.select(*(docs["`" + c.replace("`", "``") + "`"].alias(to) for c, to in ((key, "key"), (host, "host"), (text, "text"))))
+    stored, path = spill(spark, line_counts(named))
+    lines = stored.select("row", F.coalesce(F.col("host").cast("string"), F.lit("\u0000")).alias("at"), F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "at", F.col("l.line_hash").alias("hash"), F.col("l.line_words").alias("words"))
+    frequent = lines.groupBy("at", "hash").agg(F.count("*").alias("held")).where(F.col("held") > limit).select("at", "hash")
     frequent, frequent_path = spill(spark, frequent)
     known = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
-    lost = lines.join(known, ["_host", "hash"]).groupBy("row").agg(F.sum("words").alias("frequent_words"))
+    lost = lines.join(known, ["at", "hash"]).groupBy("row").agg(F.sum("words").alias("frequent_words"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = stored.select("row", key, *counts).join(lost, "row", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)))
-    out = settled(spark, judged.select(key, *counts, "frequent_words", failed.alias("base_failed"), (~failed & (F.col("n_words") - F.col("frequent_words") >= keep_share * F.col("n_words"))).alias("kept")))
+    judged = stored.select("row", "key", *counts).join(lost, "row", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)))
+    out = settled(spark, judged.select(F.col("key").alias(key), *counts, "frequent_words", failed.alias("base_failed"), (~failed & (F.col("n_words") - F.col("frequent_words") >= keep_share * F.col("n_words"))).alias("kept")))
     forget(spark, path, frequent_path)
     return out
 

@@ -145,7 +145,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t.as_py(), threshold)] for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, spans)], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def masked_text(text: str | None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> str | None:

@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int | None = None, te
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType
-    counted = [f"{key} {kind.simpleString()}", "n_bytes long", "n_tokens long", *(["fits_chars long"] if budget is not None else [])]
+    names = [key, "n_bytes", "n_tokens", *(["fits_chars"] if budget is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(vocabulary)
@@ -115,9 +115,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int | None = None, te
                 for i in np.flatnonzero(totals > budget):
                     chars[i] = PrefixCounts(vocab, block.texts[int(i)].as_py()).within(budget)
                 out.append(pa.array(chars))
-            yield pa.RecordBatch.from_arrays(out, [c.split(" ")[0] for c in counted])
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(key, text).mapInArrow(run, ", ".join(counted))
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

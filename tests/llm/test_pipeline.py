@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     rows = []
     for i in range(120):
         rows.append((i, prose(i) if i % 4 else " ".join(w + "###$$$" for w in prose(i).split())))
-    rows += [(200, prose(1)), (201, prose(2) + " " + prose(900, 12)), (202, "password = hunter2hunter\n" + prose(3000)), (203, None), (204, "")]
+    rows += [(200, prose(1)), (201, prose(901) + " " + prose(900, 12)), (202, "password = hunter2hunter\n" + prose(3000)), (203, None), (204, "")]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(bool(i % 4)), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, prose(900, 12))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")

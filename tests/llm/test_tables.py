@@ -59,10 +59,19 @@ def corpus(seed):
     return rows + [(None, "a b c d e"), (None, "a b c d e"), (5000, "x y z"), (3, None), (None, None)]
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, seed):
+def twins(n=11):
+    """Two different words that are equal under every polynomial hash modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("seed, parts", [(5, 2), (6, 100_000)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, parts):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", 4)
     monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 3)
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", parts)
     rows = corpus(seed)
     docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, sig string").repartition(3)
     got = sorted(map(tuple, jaccard_join.near_duplicates(docs).collect()), key=str)
@@ -74,6 +83,58 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed):
         assert sum(not (r["text"] or "").strip() for r in kept) == sum(not (t or "").strip() for _, t in rows)
 
 
+def test_words_of_one_polynomial_hash_are_not_linked(spark):
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(twins())], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect())) == [(0, 1, 0), (1, 1, 1)]
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 64)
+    rng = random.Random(3)
+    base = [f"u{i}" for i in range(90)]
+    rows = []
+    for i in range(400):  # one or two words changed: most copies link with few others
+        own = list(base)
+        for _ in range(rng.choice([1, 2])):
+            own[rng.randrange(90)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect()), key=str) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("names", [("th", "bits"), ("cid", "n"), ("tile", "key"), ("a b", "text")])
+def test_columns_of_any_name(spark, names):
+    key, text = names
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "q")], f"`{key}` long, `{text}` string").withColumns({"whole": F.lit(1), "comp": F.lit(2), "its_key": F.lit(3)})
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs, text=text, key=key).collect())) == [(1, 2, 1), (2, 2, 1), (3, 1, 3)]
+    kept = jaccard_join.one_of_each(docs, text=text, key=key)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
+
+
+def test_likeliest_pairs():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        m = rng.integers(1, 12)
+        d = np.where(rng.random((m, m)) < 0.4, rng.random((m, m)), np.inf).astype(np.float32)
+        d = np.minimum(d, d.T)
+        comp = rng.integers(0, m, m)
+        possible = {(a, b) for a in range(m) for b in range(a + 1, m) if np.isfinite(d[a, b]) and comp[a] != comp[b]}
+        pairs, more = jaccard_join.likeliest(d, comp, 0)
+        assert set(pairs) <= possible and len(pairs) < m and more == (len(pairs) < len(possible))
+        groups = lambda edges: components_of(m, comp, edges)
+        assert groups(pairs) == groups(possible)
+        every, more = jaccard_join.likeliest(d, comp, 12)
+        assert set(every) == possible and not more
+
+
+def components_of(m, comp, edges):
+    label = list(comp)
+    for a, b in [*edges, *edges]:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    return label
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_duplicates(empty).collect() == [] and jaccard_join.one_of_each(empty).collect() == []

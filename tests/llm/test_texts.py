@@ -35,6 +35,35 @@ def noise(seed, alphabet, sizes, n):
 TEXTS = [*noise(1, list("ab 's'tred'll  \n\t.,12é \x1c\x85ß漢😀́²"), range(40), 400), "I'll we've 'sabc \"'s don't", "x<|endoftext|> y", "", None]
 
 
+def twins(n=11):
+    """Two different words that are equal under every polynomial hash modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_twin_words_keep_their_own_tokens_and_counts():
+    vocab = bpe.vocabulary(VOCABULARY)
+    store = bpe.PieceStore(lambda found: bpe.library_ids(vocab, found))
+    a, b = twins()
+    for text, ids in zip((a, b), bpe.encoded(TextBlock(pa.array([a, b])), vocab, store)):
+        assert ids.tolist() == vocab.library.encode(text, add_special_tokens=False).ids
+    counts = Counts(TextBlock(pa.array([f"{a}\n{b}", " ".join(a) + "\n" + " ".join(b)])))
+    assert counts.n_dup_lines.tolist() == [0, 0] and len(set(counts.line_hash.tolist())) == 4
+    hashes, firsts = terms(TextBlock(pa.array([a, b])))
+    assert search(hashes, firsts, Windows([a]))[1] == [{0}, set()]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))  # many collisions
+    vocab = bpe.vocabulary(VOCABULARY)
+    store = bpe.PieceStore(lambda found: bpe.library_ids(vocab, found))
+    for _ in range(2):
+        for text, ids in zip(TEXTS, bpe.encoded(TextBlock(pa.array(TEXTS, pa.string())), vocab, store)):
+            assert ids.tolist() == vocab.library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_blocks_hold_whole_texts():
     batch = pa.RecordBatch.from_arrays([pa.array(TEXTS, pa.string())], ["text"]).slice(3)
     parts = [b for _, b in text_blocks([batch], limit=50)]
@@ -232,8 +261,9 @@ def test_frequent_lines_deplete_documents(spark, odd):
     rows = [(i, f"{prose(i)}\n{shared}" if i < 20 else prose(i), "a") for i in range(40)] + [(100 + i, prose(99), "a") for i in range(30)] + [(200, f"{prose(200)}\n{shared}", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in apply_rules(docs).collect()}
-    assert all(not got[i]["kept"] and got[i]["frequent_words"] == 80 for i in range(20)), "a line of 20 of a host's 41 texts"
-    assert all(got[i]["kept"] for i in (*range(20, 40), *range(100, 130), 200)), "copies and other hosts stay"
+    assert all(not got[i]["kept"] and got[i]["frequent_words"] == 80 for i in range(20)), "a line of 20 of a host's documents"
+    assert all(got[i]["kept"] for i in (*range(20, 40), 200)), "unshared lines and other hosts stay"
+    assert not any(got[i]["kept"] for i in range(100, 130)), "a line of 30 documents, copies or not"
     assert apply_rules(odd).count() == len(ODD) and apply_rules(odd.limit(0)).isEmpty()
 
 
