@@ -12,10 +12,10 @@
    as wide as its size band asks) bound the overlap from above. Of the pairs that are left, a
    tile names a spanning forest of the likeliest, so at most one pair per member; sorted-array
    intersection decides these, and links make components.
-4. Tiles in which the bound leaves pairs of different components untested are looked at again,
-   with eight times as many partners a member each time, until none is left. A tile of more
-   than ``TILE_ROWS`` members is dealt in blocks: at first each block by itself, then its
-   largest component's blocks against the others' only.
+4. Tiles in which the bound leaves pairs of different components are looked at once more: a
+   member with such a pair, counted in the first tile that the two share only, comes with its
+   sorted array, and every pair still apart is intersected in its task. A tile of more than ``TILE_ROWS`` members is dealt in blocks: at first each
+   block by itself, then its largest component's blocks against the others' only.
 
 A link within one component need not be looked at, since only components are asked; so a
 group of near copies costs about one exact comparison a member, not one a pair.
@@ -45,12 +45,10 @@ SUMMARY = 1 << 16
 REMEMBERED = 1 << 18
 #: A frequent shingle's tile is gathered in parts of about so many documents.
 PART_ROWS = 100_000
-#: Members of a tile that one task compares with as many others.
-TILE_ROWS = 1024
+#: Members of a tile that one task compares with as many others, by bitmaps and by sorted arrays.
+TILE_ROWS, ARRAY_ROWS = 1024, 512
 #: Keys of documents to read again are broadcast up to this many rows; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Rounds of testing; partners a member grow eightfold, so blocks are exhausted after five.
-MAX_ROUNDS = 20
 #: Rows that a task gathers before it sends them on.
 OUT_ROWS = 5_000
 
@@ -341,23 +339,16 @@ def _distances(band: list[tuple[np.ndarray, ...]], percent: int) -> np.ndarray:
     return out
 
 
-def likeliest(distances: np.ndarray, comp: np.ndarray, partners: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs to test: a spanning forest over the components by least distances, and each member's ``partners`` nearest others.
+def likeliest(distances: np.ndarray, comp: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs to test: a spanning forest over the components, by least distances.
 
     ``distances`` is symmetric, infinite where a pair is out. Also whether pairs of different components are left out.
     """
     open_ = np.where(comp[:, None] == comp, np.float32(np.inf), distances)
-    free = np.isfinite(open_)
-    possible = int(free.sum()) // 2
+    possible = int(np.isfinite(open_).sum()) // 2
     if not possible:
         return [], False
     pairs: set[tuple[int, int]] = set()
-    if partners:
-        for row in np.flatnonzero(free.any(axis=1)).tolist():
-            near = np.flatnonzero(free[row])
-            if len(near) > partners:
-                near = near[np.argpartition(open_[row, near], partners)[:partners]]
-            pairs.update((min(row, c), max(row, c)) for c in near.tolist())
     _, label = np.unique(comp, return_inverse=True)
     while True:
         best = open_.argmin(axis=1)
@@ -369,7 +360,7 @@ def likeliest(distances: np.ndarray, comp: np.ndarray, partners: int) -> tuple[l
         first = np.ones(len(rows), bool)
         first[1:] = label[rows][1:] != label[rows][:-1]
         root = np.arange(label.max() + 1)
-        for row in rows[first].tolist():  # every component's nearest other; equal distances may name a pair too many, which is only tested too
+        for row in rows[first].tolist():  # every component's nearest other
             x, y = int(label[row]), int(label[best[row]])
             while root[x] != x:
                 x = root[x]
@@ -385,77 +376,149 @@ def likeliest(distances: np.ndarray, comp: np.ndarray, partners: int) -> tuple[l
     return sorted(pairs), len(pairs) < possible
 
 
-def _candidates(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, percent: int, number: int) -> DataFrame:
-    """x, y, tile: pairs of different components to test, and rows without x and y for tiles with more to come.
+def linked_pairs(distances: np.ndarray, comp: np.ndarray, shingles: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components as far as any do, found by intersecting the arrays of every pair still apart, the likeliest first."""
+    x, y = np.nonzero(np.triu(np.isfinite(distances) & (comp[:, None] != comp)))
+    order = np.argsort(distances[x, y], kind="stable")
+    root = {c: c for c in comp.tolist()}
+    out = []
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
+        p, q = comp[a], comp[b]
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        while root[q] != q:
+            root[q] = root[root[q]]
+            q = root[q]
+        if p != q:
+            both = overlap(shingles[a], shingles[b])
+            if 100 * both >= percent * (len(shingles[a]) + len(shingles[b]) - both):
+                root[max(p, q)] = min(p, q)
+                out.append((a, b))
+    return out
+
 
-    ``rows``: tile, cid, comp. Tiles of one component need nothing. A tile's largest component
-    need not be compared with itself, so in a tile of many its members meet only the others,
-    and these meet all. Both are dealt by hash into blocks of about ``TILE_ROWS``; two blocks
-    that must meet go to one task, so no task holds more than two blocks, however large the
-    tile. In the first round every block is by itself.
+def _dealt(rows: DataFrame, again: bool, block: int) -> DataFrame:
+    """tile, i, j, own, k, cid, comp: the members of tiles (tile, cid, comp), dealt into groups that one task compares.
+
+    A tile's largest component need not be compared with itself, so in a tile of many its
+    members meet only the others, and these meet all. Both are dealt by hash into blocks of
+    about ``block``; two blocks that must meet go to one task, so no task holds more than two
+    blocks, however large the tile. Tiles of one component are left out. The first time
+    (not ``again``) every block is by itself.
     """
-    if number:
+    if again:
         tally = rows.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("members")).where("n_main < members")
     else:
         tally = rows.groupBy("tile").agg(F.min("cid").alias("main"), F.lit(0).alias("n_main"), F.count("*").alias("members"))
-    cut = lambda n: F.greatest(F.ceil(n / F.lit(TILE_ROWS)), F.lit(1)).cast("int")
-    whole = F.col("members") <= TILE_ROWS
-    tally = tally.select("tile", "main", F.when(whole, 0).otherwise(cut(F.col("n_main")) if number else F.lit(0)).alias("m"), F.when(whole, 1).otherwise(cut(F.col("members") - F.col("n_main"))).alias("k"))
+    cut = lambda n: F.greatest(F.ceil(n / F.lit(block)), F.lit(1)).cast("int")
+    whole = F.col("members") <= block
+    tally = tally.select("tile", "main", F.when(whole, 0).otherwise(cut(F.col("n_main")) if again else F.lit(0)).alias("m"), F.when(whole, 1).otherwise(cut(F.col("members") - F.col("n_main"))).alias("k"))
     placed = rows.join(tally, "tile").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("m") > 0))
     tag = F.when(F.col("is_main"), F.pmod(F.xxhash64("cid"), F.greatest("m", F.lit(1)))).otherwise(F.col("m") + F.pmod(F.xxhash64("cid"), "k")).cast("int")
     dealt = placed.withColumn("own", tag)
-    if number:
-        partner = F.explode(F.sequence(F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("k") - 1))
-    else:
-        partner = F.col("own")
-    dealt = dealt.withColumn("other", partner).select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "cid", "comp")
-    dealt = dealt.join(classes.select("cid", "n", "bits"), "cid")
-    if failed is None:
-        dealt = dealt.withColumn("failed", F.lit(None).cast("array<long>"))
-    else:
-        dealt = dealt.join(failed.groupBy(F.col("x").alias("cid")).agg(F.collect_set("y").alias("failed")), "cid", "left")
-    dealt = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "cid")
-    names = ["tile", "i", "j", "own", "k", "cid", "comp", "n", "bits", "failed"]
-    partners = 8**number if number else 0
-
-    def compare(i: int, j: int, members: list[tuple]) -> tuple[list[int], list[int], bool]:
-        own, k, cid, comp, n, bits, failed = zip(*members)
-        cid, comp, n = np.array(cid), np.array(comp), np.array(n)
-        widths = [len(b) for b in bits]
-        order = np.lexsort((cid, n, widths))
-        bands = [(n[list(g)], np.stack([np.frombuffer(bits[r], np.uint8) for r in g])) for _, g in ((w, list(g)) for w, g in groupby(order.tolist(), key=lambda r: widths[r]))]
-        distances = _distances(bands, percent)
-        cid, comp = cid[order], comp[order]
+    partner = F.explode(F.sequence(F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("k") - 1)) if again else F.col("own")
+    return dealt.withColumn("other", partner).select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "cid", "comp")
+
+
+class _Group:
+    """The members that one task compares, in order of bitmap width and size."""
+
+    def __init__(self, i: int, j: int, members: list[tuple], percent: int):
+        """``members``: own, k, cid, comp, n, bits and what else the caller adds."""
+        widths = [len(m[5]) for m in members]
+        order = np.lexsort(([m[2] for m in members], [m[4] for m in members], widths)).tolist()
+        self.members = [members[r] for r in order]
+        self.comp = np.array([m[3] for m in self.members])
+        bands = [(np.array([m[4] for m in g]), np.stack([np.frombuffer(m[5], np.uint8) for m in g])) for g in (list(g) for _, g in groupby(self.members, key=lambda m: len(m[5])))]
+        self.distances = _distances(bands, percent)
         if i != j:
-            own = np.array(own)[order]
-            distances[own[:, None] == own] = np.inf  # pairs within a block belong to that block's own group
-        if any(f is not None for f in failed):
-            place = {c: r for r, c in enumerate(cid.tolist())}
-            for r, at in enumerate(order.tolist()):
-                for other in failed[at] or ():
-                    if other in place:
-                        distances[r, place[other]] = distances[place[other], r] = np.inf
-        pairs, more = likeliest(distances, comp, partners)
-        return [int(cid[a]) for a, _ in pairs], [int(cid[b]) for _, b in pairs], more or (number == 0 and k[0] > 1)
+            own = np.array([m[0] for m in self.members])
+            self.distances[own[:, None] == own] = np.inf  # pairs within a block belong to that block's own group
+
+
+def _compared(dealt: DataFrame, names: list[str], compare, schema: str) -> DataFrame:
+    """``compare(tile, i, j, members)`` of every group gives rows of longs."""
+    names = ["tile", "i", "j", *names]
+    dealt = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").select(names)
+    out_names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(len(out_names))], out_names)
         stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names)))
-        out: list[list] = [[], [], []]
+        out: list[tuple] = []
         for (tile, i, j), group in groupby(stream, key=lambda r: r[:3]):
-            members = [r[3:] for r in group]
-            if len(members) == 1 and members[0][1] == 1:
-                continue
-            x, y, more = compare(i, j, members)
-            if more:
-                x, y = [*x, None], [*y, None]
-            for column, values in zip(out, (x, y, [tile] * len(x))):
-                column += values
-            if len(out[0]) >= OUT_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y", "tile"])
-                out = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y", "tile"])
+            out += compare(tile, i, j, [r[3:] for r in group])
+            if len(out) >= OUT_ROWS:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """x, y, tile: the likeliest pairs of each tile, and rows without x and y for tiles with more to come."""
+    dealt = _dealt(rows, False, TILE_ROWS).join(classes.select("cid", "n", "bits"), "cid")
+
+    def compare(tile: int, i: int, j: int, members: list[tuple]) -> list[tuple]:
+        if len(members) == 1:
+            return [(None, None, tile)] if members[0][1] > 1 else []
+        group = _Group(i, j, members, percent)
+        pairs, more = likeliest(group.distances, group.comp)
+        ids = [m[2] for m in group.members]
+        out = [(min(ids[a], ids[b]), max(ids[a], ids[b]), tile) for a, b in pairs]
+        return [*out, (None, None, tile)] if more or members[0][1] > 1 else out
+
+    return _compared(dealt, ["own", "k", "cid", "comp", "n", "bits"], compare, "x long, y long, tile long")
 
-    return dealt.select(names).mapInArrow(run, "x long, y long, tile long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "tile")
+
+def _leave_out_earlier(group: _Group, tile: int, lists: list[list[int]]) -> None:
+    """Pairs that share an earlier tile are looked at there; ``lists`` has the tiles of each member."""
+    before = [[t for t in own if t < tile] for own in lists]
+    _, back, times = np.unique(np.array([t for b in before for t in b], np.int64), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    common = times[back] > 1
+    held = np.zeros((len(before), int((times > 1).sum())), np.float32)
+    held[np.repeat(np.arange(len(before)), [len(b) for b in before])[common], column[back[common]]] = 1
+    group.distances[held @ held.T > 0] = np.inf
+
+
+def _undecided(rows: DataFrame, classes: DataFrame, percent: int, once: bool) -> DataFrame:
+    """The rows (tile, cid, comp) of members with a pair that the bound leaves and that no component joins.
+
+    ``once``: a pair counts in the first of ``rows``' tiles that it shares only.
+    """
+    told = classes.select("cid", "n", "bits")
+    if once:
+        told = told.join(rows.groupBy("cid").agg(F.collect_set("tile").alias("tiles")), "cid")
+    else:
+        told = told.withColumn("tiles", F.array().cast("array<long>"))
+
+    def compare(tile: int, i: int, j: int, members: list[tuple]) -> list[tuple]:
+        group = _Group(i, j, members, percent)
+        apart = np.isfinite(group.distances) & (group.comp[:, None] != group.comp)
+        if once and apart.any():
+            _leave_out_earlier(group, tile, [m[6] for m in group.members])
+            apart &= np.isfinite(group.distances)
+        return [(tile, group.members[r][2], group.members[r][3]) for r in np.flatnonzero(apart.any(axis=1)).tolist()]
+
+    return _compared(_dealt(rows, True, TILE_ROWS).join(told, "cid"), ["own", "k", "cid", "comp", "n", "bits", "tiles"], compare, "tile long, cid long, comp long").distinct()
+
+
+def _last_links(rows: DataFrame, classes: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """x, y: links that join the components of each tile as far as any do."""
+    tiles = rows.groupBy("cid").agg(F.collect_set("tile").alias("tiles"))
+    dealt = _dealt(rows, True, ARRAY_ROWS).join(classes.select("cid", "n", "bits").join(tiles, "cid").join(arrays, "cid"), "cid")
+
+    def compare(tile: int, i: int, j: int, members: list[tuple]) -> list[tuple]:
+        group = _Group(i, j, members, percent)
+        _leave_out_earlier(group, tile, [m[6] for m in group.members])
+        found = linked_pairs(group.distances, group.comp, [np.frombuffer(m[7], np.uint64) for m in group.members], percent)
+        ids = [m[2] for m in group.members]
+        return [(ids[a], ids[b]) for a, b in found]
+
+    return _compared(dealt, ["own", "k", "cid", "comp", "n", "bits", "tiles", "shingles"], compare, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -505,28 +568,34 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), hot, percent))
     members = tiles.select("tile", F.explode("cids").alias("cid"))
 
-    links = groups = failed = again = None
-    for number in range(MAX_ROUNDS):
-        rows = members if again is None else members.join(again, "tile", "left_semi")
+    groups = None
+    named = keep(_candidates(members.withColumn("comp", F.col("cid")), classes, percent))
+    pairs = keep(named.where("x is not null").select("x", "y").distinct())
+    again = keep(named.where("x is null").select("tile").distinct())
+    links = None
+
+    def of_classes(wanted: DataFrame) -> DataFrame:
+        return keep(_arrays(docs, classes.join(wanted, "cid", "left_semi"), ngram))
+
+    def merged(found: DataFrame) -> None:
+        nonlocal links, groups
+        links = found if links is None else links.unionByName(found)
+        groups = keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+
+    if not pairs.isEmpty():
+        merged(keep(_linked(pairs, of_classes(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()), percent)))
+    if not again.isEmpty():
+        rows = members.join(again, "tile", "left_semi")
         if groups is None:
             rows = rows.withColumn("comp", F.col("cid"))
         else:
-            rows = rows.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-        named = keep(_candidates(rows.select("tile", "cid", "comp"), classes, failed, percent, number))
-        pairs = keep(named.where("x is not null").select("x", "y").distinct())
-        if not pairs.isEmpty():
-            wanted = classes.join(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "cid", "left_semi")
-            found = keep(_linked(pairs, keep(_arrays(docs, wanted, ngram)), percent))
-            links = found if links is None else links.unionByName(found)
-            wrong = keep(pairs.join(found, ["x", "y"], "left_anti"))
-            failed = wrong if failed is None else failed.unionByName(wrong)
-            if not found.isEmpty():
-                groups = keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        again = keep(named.where("x is null").select("tile").distinct())
-        if again.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"pairs are left after {MAX_ROUNDS} rounds")
+            rows = rows.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("tile", "cid", F.coalesce("component", "cid").alias("comp"))
+        several = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+        rows = keep(rows.join(several, "tile", "left_semi"))
+        for once in (False, True):  # the tiles of a member, told with each row, are few after the first
+            rows = rows if rows.isEmpty() else keep(_undecided(rows, classes, percent, once))
+        if not rows.isEmpty():
+            merged(keep(_last_links(rows, classes, of_classes(rows.select("cid").distinct()), percent)))
 
     if groups is None:
         groups = spark.createDataFrame([], "node long, component long")

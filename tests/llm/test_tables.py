@@ -70,6 +70,7 @@ def twins(n=11):
 @pytest.mark.parametrize("seed, parts", [(5, 2), (6, 100_000)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, parts):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "ARRAY_ROWS", 3)
     monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 3)
     monkeypatch.setattr(jaccard_join, "PART_ROWS", parts)
     rows = corpus(seed)
@@ -90,6 +91,7 @@ def test_words_of_one_polynomial_hash_are_not_linked(spark):
 
 def test_near_copies_of_one_text(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", 64)
+    monkeypatch.setattr(jaccard_join, "ARRAY_ROWS", 32)
     rng = random.Random(3)
     base = [f"u{i}" for i in range(90)]
     rows = []
@@ -119,12 +121,14 @@ def test_likeliest_pairs():
         d = np.minimum(d, d.T)
         comp = rng.integers(0, m, m)
         possible = {(a, b) for a in range(m) for b in range(a + 1, m) if np.isfinite(d[a, b]) and comp[a] != comp[b]}
-        pairs, more = jaccard_join.likeliest(d, comp, 0)
+        pairs, more = jaccard_join.likeliest(d, comp)
         assert set(pairs) <= possible and len(pairs) < m and more == (len(pairs) < len(possible))
         groups = lambda edges: components_of(m, comp, edges)
         assert groups(pairs) == groups(possible)
-        every, more = jaccard_join.likeliest(d, comp, 12)
-        assert set(every) == possible and not more
+        sets = [np.unique(rng.integers(0, 12, 9, dtype=np.uint64)) for _ in range(m)]
+        true = {(a, b) for a, b in possible if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
+        links = jaccard_join.linked_pairs(d, comp, sets, 60)
+        assert set(links) <= true and groups(links) == groups(true)
 
 
 def components_of(m, comp, edges):
