@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.operators.folds import draw
+from lexspan.operators.checks import require_empty
 from lexspan.operators.metrics import SCALE, fixed, ratio
 from lexspan.schema import WEAK_CATEGORIES
+from lexspan.session import ship
 
 # The order in which equal fixes are preferred, and the control.
 FIXES = ("pos_weight", "focal", "downsample")
@@ -21,31 +28,61 @@ def contract_counts(decided: DataFrame, arm: str = "arm") -> DataFrame:
     return decided.where("mask").groupBy(arm, "contract", "category").agg(F.sum(y * d).alias("tp"), F.sum((1 - y) * d).alias("fp"), F.sum(y * (1 - d)).alias("fn"))
 
 
-def resamples(contracts: DataFrame, samples: int, seed: int = 42) -> DataFrame:
-    """sample, contract, weight: for every sample as many draws with replacement as there are contracts.
-
-    Contracts are numbered by name; a draw is a hash of sample and draw number. The work is
-    spread over samples x draws; only the number of contracts comes to the driver.
-    """
-    from pyspark.sql import Window
+def weight_bounds() -> list[int]:
+    """A draw of 32 bits at or above the k-th of these makes a weight above k: the Poisson distribution of mean 1."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(12):
+        total += term
+        out.append(int(total * 2**32))
+        term /= k + 1
+    return out
 
-    names = contracts.select("contract").distinct()
-    n = names.count()
-    numbered = names.withColumn("i", F.row_number().over(Window.orderBy("contract")) - 1)  # one narrow row per contract
-    spark = contracts.sparkSession
-    picks = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    picked = picks.withColumn("i", draw(seed, F.col("sample"), F.col("draw")) % n).groupBy("sample", "i").agg(F.count("*").alias("weight"))
-    return picked.join(numbered, "i").select("sample", "contract", "weight")
 
+def resampled_sums(counts: DataFrame, samples: int, seed: int = 42) -> DataFrame:
+    """arm, sample, category, tp, fp, fn: each sample's sums of ``contract_counts``, with the data as they are as sample -1.
 
-def _sample_means(counts: DataFrame, draws: DataFrame, weak: tuple[str, ...]) -> DataFrame:
+    A contract's weight in a sample is a Poisson number of mean 1, made from the bits of
+    ``md5("seed:contract:block")``, a block for every four samples. So weights are made where
+    the counts are, are the same in any order and on any engine, and no draws are shuffled:
+    a task multiplies the matrix of its contracts' weights with that of their counts.
+    """
+    ship(counts.sparkSession)
+    fields = ("tp", "fp", "fn")
+    by_contract = counts.groupBy("contract").agg(F.collect_list(F.struct("arm", "category", *fields)).alias("c"))
+    blocks = -(-samples // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array(weight_bounds())
+        place: dict[tuple[str, str], int] = {}
+        sums = np.zeros((samples, 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = b"".join(hashlib.md5(f"{seed}:{contract}:{b}".encode()).digest() for contract in part.column("contract").to_pylist() for b in range(blocks))
+                weights = np.searchsorted(bounds, np.frombuffer(raw, ">u4").reshape(part.num_rows, 4 * blocks)[:, :samples], "right").astype(float)
+                lists = part.column("c").to_pylist()
+                for key in {(x["arm"], x["category"]) for own in lists for x in own} - set(place):
+                    place[key] = len(place)
+                values = np.zeros((part.num_rows, 3 * len(place)))
+                for row, own in enumerate(lists):
+                    for x in own:
+                        k = 3 * place[x["arm"], x["category"]]
+                        values[row, k : k + 3] = [x[f] for f in fields]
+                sums = np.pad(sums, ((0, 0), (0, values.shape[1] - sums.shape[1]))) + weights.T @ values  # whole numbers below 2**53
+        for (arm, category), k in place.items():
+            own = [pa.array(sums[:, 3 * k + f].astype(np.int64)) for f in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([arm] * samples), pa.array(np.arange(samples)), pa.array([category] * samples), *own], ["arm", "sample", "category", *fields])
+
+    drawn = by_contract.mapInArrow(run, "arm string, sample long, category string, tp long, fp long, fn long")
+    total = lambda rows: rows.groupBy("arm", "sample", "category").agg(*(F.sum(f).alias(f) for f in fields))
+    return total(drawn.unionByName(counts.select("arm", F.lit(-1).cast("long").alias("sample"), "category", *fields)))
+
+
+def _sample_means(counts: DataFrame, samples: int, seed: int, weak: tuple[str, ...]) -> DataFrame:
     """Per arm and sample: macro F1 and mean F1 of the weak categories."""
-    whole = counts.select("contract").distinct().select(F.lit(-1).cast("long").alias("sample"), "contract", F.lit(1).cast("long").alias("weight"))  # the data as they are
-    sums = counts.join(draws.unionByName(whole), "contract").groupBy("arm", "sample", "category").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
-    every = counts.select("arm", "category").distinct()
-    grid = every.join(F.broadcast(draws.select("sample").distinct().unionByName(draws.sparkSession.createDataFrame([(-1,)], "sample long"))))
+    sums = resampled_sums(counts, samples, seed)
     f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    rows = grid.join(sums, ["arm", "sample", "category"], "left").select("arm", "sample", "category", F.coalesce(f1, F.lit(0.0)).alias("f1"))
+    rows = sums.select("arm", "sample", "category", F.coalesce(f1, F.lit(0.0)).alias("f1"))
     mean = lambda keep: F.sum(F.when(keep, fixed(F.col("f1")))) / (F.sum(keep.cast("long")) * F.lit(SCALE).cast("long"))
     return rows.groupBy("arm", "sample").agg(mean(F.lit(True)).alias("macro_f1"), mean(F.col("category").isin(*weak)).alias("weak_f1"))
 
@@ -58,7 +95,7 @@ def paired_bootstrap(decided: DataFrame, samples: int = 2000, seed: int = 42, we
     97.5th percentile, interpolated linearly.
     """
     counts = contract_counts(decided)
-    means = _sample_means(counts, resamples(decided, samples, seed), weak)
+    means = _sample_means(counts, samples, seed, weak)
     long = means.select("arm", "sample", F.explode(F.array(F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")), F.struct(F.lit("weak_f1").alias("metric"), F.col("weak_f1").alias("value")))).alias("m")).select("arm", "sample", "m.metric", "m.value")
     left, right = long.withColumnRenamed("arm", "arm_a").withColumnRenamed("value", "a"), long.withColumnRenamed("arm", "arm_b").withColumnRenamed("value", "b")
     pairs = left.join(right, ["sample", "metric"]).where("arm_a < arm_b").withColumn("d", F.col("a") - F.col("b"))
@@ -74,8 +111,7 @@ def _intervals(differences: DataFrame, *keys: str) -> DataFrame:
 def contract_intervals(decided: DataFrame, base: str, other: str, samples: int = 2000, seed: int = 42) -> DataFrame:
     """comparison, category (and macro), ci_low, ci_high of F1 differences between two arms on contract-level decisions."""
     counts = contract_counts(decided.where(F.col("arm").isin(base, other)))
-    draws = resamples(decided, samples, seed)
-    sums = counts.join(draws, "contract").groupBy("arm", "sample", "category").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
+    sums = resampled_sums(counts, samples, seed).where("sample >= 0")
     f1 = sums.select("arm", "sample", "category", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
     macro = f1.groupBy("arm", "sample").agg(F.lit("macro avg").alias("category"), (F.sum(fixed(F.col("f1"))) / (F.count("*") * F.lit(SCALE).cast("long"))).alias("f1"))
     both = f1.unionByName(macro.select("arm", "sample", "category", "f1"))
@@ -84,29 +120,47 @@ def contract_intervals(decided: DataFrame, base: str, other: str, samples: int =
     return a.join(b, ["sample", "category"]).groupBy("category").agg(ci.alias("ci")).select(F.lit(f"{other} - {base}").alias("comparison"), "category", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
-def clearly_better(pairs: list[dict], a: str, b: str, metric: str) -> bool:
-    """Whether the interval of a - b lies above 0; a pair may be listed either way round, but once."""
-    found = [p for p in pairs if p["metric"] == metric and {p["arm_a"], p["arm_b"]} == {a, b}]
-    if len(found) != 1:
-        raise ValueError(f"{len(found)} rows for {a}, {b}, {metric}")
-    return found[0]["ci_low"] > 0 if found[0]["arm_a"] == a else found[0]["ci_high"] < 0
-
-
-def choose_arm(summary: DataFrame, pairs: DataFrame, fixes: tuple[str, ...] = FIXES, control: str = CONTROL) -> dict:
-    """The fix to take: clear macro F1 leader, else clear leader on weak categories among those tied, else the first in order."""
-    rows = {r["arm"]: r.asDict() for r in summary.collect() if r["arm"] in (*fixes, control)}  # a row per arm
-    listed = [p.asDict() for p in pairs.collect()]
-    order = [f for f in fixes if f in rows]
-    lead = max(order, key=lambda f: (rows[f]["macro_f1"], -order.index(f)))
-    tied = [f for f in order if f == lead or not clearly_better(listed, lead, f, "macro_f1")]
-    how, pick = "macro_f1", lead
-    if len(tied) > 1:
-        weak = max(tied, key=lambda f: (rows[f]["weak_f1"], -order.index(f)))
-        left = [f for f in tied if f == weak or not clearly_better(listed, weak, f, "weak_f1")]
-        how, pick = ("weak_f1", weak) if len(left) == 1 else ("simplicity", next(f for f in order if f in left))
-    out = {"pick": pick, "decided_by": how}
-    if control in rows:
-        out |= {f"beats_control_{m}": clearly_better(listed, pick, control, m) for m in ("macro_f1", "weak_f1")}
+def clear_wins(pairs: DataFrame) -> DataFrame:
+    """winner, loser, metric of the comparisons whose interval leaves out 0, whichever way round they are listed."""
+    sides = F.when(F.col("ci_low") > 0, F.struct(F.col("arm_a").alias("winner"), F.col("arm_b").alias("loser"))).when(F.col("ci_high") < 0, F.struct(F.col("arm_b").alias("winner"), F.col("arm_a").alias("loser")))
+    return pairs.select(sides.alias("s"), "metric").where("s is not null").select("s.winner", "s.loser", "metric")
+
+
+def _contenders(arms: DataFrame, wins: DataFrame, metric: str) -> DataFrame:
+    """The arms (arm, place, and their means) that the leader on ``metric`` does not clearly beat, with ``leader``."""
+    lead = arms.agg(F.max_by("arm", F.struct(F.col(metric), -F.col("place"))).alias("leader"))
+    beaten = wins.where(F.col("metric") == metric).select(F.col("winner").alias("leader"), F.col("loser").alias("arm"))
+    return arms.drop("leader").crossJoin(lead).join(beaten, ["leader", "arm"], "left_anti")  # one leader
+
+
+def choose_arm(summary: DataFrame, pairs: DataFrame, fixes: tuple[str, ...] = FIXES, control: str = CONTROL) -> DataFrame:
+    """One row: the fix to take, how it was decided, the leaders and those level with them, and how it stands to the control.
+
+    A fix that clearly beats the others on macro F1 is taken (``macro_f1``); else, of those
+    level with the leader, one that clearly beats the rest on the weak categories
+    (``weak_f1``); else the first of these in the order of ``fixes`` (``simplicity``).
+    ``summary``: arm, macro_f1, weak_f1; ``pairs``: ``paired_bootstrap``, where every two of
+    the arms must be listed once for each metric. ``*_against_control``: 1 clearly better,
+    -1 clearly worse, 0 neither, null without a control.
+    """
+    spark = summary.sparkSession
+    order = spark.createDataFrame([(a, i) for i, a in enumerate((*fixes, control))], "arm string, place int")
+    arms = summary.join(F.broadcast(order), "arm")  # a row per arm
+    listed = pairs.groupBy(F.least("arm_a", "arm_b").alias("one"), F.greatest("arm_a", "arm_b").alias("other"), "metric").agg(F.count("*").alias("n"))
+    metrics = spark.createDataFrame([("macro_f1",), ("weak_f1",)], "metric string")
+    due = arms.select(F.col("arm").alias("one")).crossJoin(arms.select(F.col("arm").alias("other"))).where("one < other").crossJoin(metrics)
+    require_empty(due.join(listed, ["one", "other", "metric"], "left").where("n is null or n <> 1"), "every two arms need one row for each metric")
+    wins = clear_wins(pairs)
+    tied = _contenders(arms.where(F.col("arm") != control), wins, "macro_f1")
+    left = _contenders(tied, wins, "weak_f1")
+    names = lambda rows, name: rows.agg(F.max("leader").alias(f"{name}_leader"), F.transform(F.array_sort(F.collect_list(F.struct("place", "arm"))), lambda x: x["arm"]).alias(f"{name}_level"))
+    out = names(tied, "macro_f1").crossJoin(names(left, "weak_f1"))  # a row each
+    how = F.when(F.size("macro_f1_level") == 1, "macro_f1").when(F.size("weak_f1_level") == 1, "weak_f1").otherwise("simplicity")
+    out = out.select(F.get("weak_f1_level", F.lit(0)).alias("pick"), how.alias("decided_by"), "macro_f1_leader", "macro_f1_level", "weak_f1_leader", "weak_f1_level")
+    for metric in ("macro_f1", "weak_f1"):
+        against = wins.where(F.col("metric") == metric).select(F.when(F.col("loser") == control, F.col("winner")).when(F.col("winner") == control, F.col("loser")).alias("pick"), F.when(F.col("loser") == control, 1).otherwise(-1).alias("sign"))
+        known = arms.where(F.col("arm") == control).select(F.lit(0).alias("level"))
+        out = out.join(against.where("pick is not null"), "pick", "left").join(known, F.lit(True), "left").withColumn(f"{metric}_against_control", F.coalesce("sign", "level")).drop("sign", "level")
     return out
 
 

@@ -608,7 +608,7 @@ def sample_length_fit(spark, sf):
 
 
 _ARMS = (("a", 0.5), ("b", 0.6), ("c", 0.75))
-_SQL_SAMPLES = 50  # the SQL draws fewer than the queries, which take the operators' 2000
+_SAMPLES = 2000
 
 
 def _arms(spark, sf):
@@ -618,10 +618,10 @@ def _arms(spark, sf):
 
 
 _BOOT = f"""arms(arm, t) AS (VALUES {', '.join(f"('{a}', {t})" for a, t in _ARMS)}),
-counts AS (SELECT arm, contract, category, sum(CASE WHEN score >= t AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= t AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < t AND label = 1 THEN 1 ELSE 0 END) AS fn FROM pooled, arms GROUP BY ALL),
-named AS (SELECT contract, row_number() OVER (ORDER BY contract) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT contract FROM pooled)),
-picks AS (SELECT s AS sample, {_draw_sql("concat_ws(':', '42', s, d)")} % (SELECT max(n) FROM named) AS i FROM (SELECT unnest(range(0, {_SQL_SAMPLES})) AS s), (SELECT unnest(range(0, (SELECT max(n) FROM named))) AS d)),
-draws AS (SELECT sample, contract, count(*) AS weight FROM picks JOIN named USING (i) GROUP BY ALL UNION ALL SELECT -1, contract, 1 FROM named),
+counts AS (SELECT arm, contract, category, sum(CASE WHEN score >= t AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= t AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < t AND label = 1 THEN 1 ELSE 0 END) AS fn FROM pooled, arms WHERE mask GROUP BY ALL),
+blocks AS (SELECT contract, b, md5('42:' || contract || ':' || b) AS h FROM (SELECT DISTINCT contract FROM counts), (SELECT unnest(range(0, {_SAMPLES // 4})) AS b)),
+picks AS (SELECT contract, 4 * b + k AS sample, CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) AS u FROM blocks, (SELECT unnest([0, 1, 2, 3]) AS k)),
+draws AS (SELECT sample, contract, {' + '.join(f"CAST(u >= {t} AS INTEGER)" for t in bootstrap.weight_bounds())} AS weight FROM picks UNION ALL SELECT -1, contract, 1 FROM (SELECT DISTINCT contract FROM counts)),
 f AS (SELECT arm, sample, category, CASE WHEN sum(weight * (2 * tp + fp + fn)) = 0 THEN 0.0 ELSE sum(weight * 2 * tp) / CAST(sum(weight * (2 * tp + fp + fn)) AS DOUBLE) END AS f1 FROM counts JOIN draws USING (contract) GROUP BY ALL)"""
 _WEAK = "category IN (" + ", ".join(f"'{c}'" for c in WEAK_CATEGORIES) + ")"
 
@@ -637,18 +637,17 @@ def _rounded(frame: DataFrame) -> DataFrame:
 @query("boot_paired", with_sql("""SELECT a.arm AS arm_a, b.arm AS arm_b, a.metric, max(CASE WHEN sample < 0 THEN a.value - b.value END) AS difference, round(quantile_cont(CASE WHEN sample >= 0 THEN a.value - b.value END, 0.025), 9) AS ci_low, round(quantile_cont(CASE WHEN sample >= 0 THEN a.value - b.value END, 0.975), 9) AS ci_high
 FROM long a JOIN long b USING (sample, metric) WHERE a.arm < b.arm GROUP BY ALL""", "scored", more=_POOLED + ",\n" + _BOOT + f",\nlong AS (SELECT arm, sample, 'macro_f1' AS metric, {_boot_mean()} AS value FROM f GROUP BY ALL UNION ALL SELECT arm, sample, 'weak_f1', {_boot_mean(_WEAK)} FROM f GROUP BY ALL)"))
 def boot_paired(spark, sf):
-    return _rounded(bootstrap.paired_bootstrap(_arms(spark, sf)))
+    return _rounded(bootstrap.paired_bootstrap(_arms(spark, sf), _SAMPLES))
 
 
 @query("boot_contract", with_sql("""SELECT 'b - a' AS comparison, category, round(quantile_cont(y.f1 - x.f1, 0.025), 9) AS ci_low, round(quantile_cont(y.f1 - x.f1, 0.975), 9) AS ci_high FROM (SELECT * FROM long WHERE arm = 'a') x JOIN (SELECT * FROM long WHERE arm = 'b') y USING (sample, category) GROUP BY category""", "scored", more=_POOLED + ",\n" + _BOOT + f",\nlong AS (SELECT arm, sample, category, f1 FROM f WHERE sample >= 0 UNION ALL SELECT arm, sample, 'macro avg', {_boot_mean()} FROM f WHERE sample >= 0 GROUP BY arm, sample)"))
 def boot_contract(spark, sf):
-    return _rounded(bootstrap.contract_intervals(_arms(spark, sf), "a", "b"))
+    return _rounded(bootstrap.contract_intervals(_arms(spark, sf), "a", "b", _SAMPLES))
 
 
 @query("decide_arm", "SELECT 'focal' AS pick, 'weak_f1' AS decided_by")
 def decide_arm(spark, sf):
-    found = bootstrap.choose_arm(*samples.arm_tables(spark))
-    return spark.createDataFrame([(found["pick"], found["decided_by"])], "pick string, decided_by string")
+    return bootstrap.choose_arm(*samples.arm_tables(spark)).select("pick", "decided_by")
 
 
 @query("decide_config", "SELECT 'lr2e-05-ep2' AS pick, 2 AS epochs, 2e-5::DOUBLE AS learning_rate, 2::BIGINT AS tied")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -166,8 +167,18 @@ def test_bootstrap(spark):
     assert math.isclose(got["full", "half", "macro_f1"]["difference"], 1 - (10 / 15 + 1) / 2, abs_tol=1e-9)
     same = got["full", "twin", "macro_f1"]
     assert (same["difference"], same["ci_low"], same["ci_high"]) == (0, 0, 0)
-    weights = bootstrap.resamples(decided, 5).groupBy("sample").agg(F.sum("weight").alias("w")).collect()
-    assert {r["w"] for r in weights} == {10}
+    sums = {(r["arm"], r["category"], r["sample"]): (r["tp"], r["fp"], r["fn"]) for r in bootstrap.resampled_sums(bootstrap.contract_counts(decided), 7).collect()}
+    assert len(sums) == 3 * 2 * 8 and sums["half", "Exclusivity", -1] == (5, 0, 5)
+    for sample in range(7):
+        weight = [sum(int.from_bytes(hashlib.md5(f"42:c{i}:{sample // 4}".encode()).digest()[4 * (sample % 4) :][:4], "big") >= b for b in bootstrap.weight_bounds()) for i in range(10)]
+        assert sums["half", "Exclusivity", sample] == (sum(weight[:5]), 0, sum(weight[5:]))
+        assert sums["full", GL, sample] == (sum(weight), 0, 0)
+
+
+def test_weights_are_poisson():
+    bounds = bootstrap.weight_bounds()
+    share = [b / 2**32 for b in bounds]
+    assert math.isclose(share[0], math.exp(-1), rel_tol=1e-6) and math.isclose(sum(1 - s for s in share), 1, abs_tol=1e-6)
 
 
 def test_bootstrap_queries_draw_2000_samples(spark, tmp_path):
@@ -178,21 +189,27 @@ def test_bootstrap_queries_draw_2000_samples(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     for name in ("boot_paired", "boot_contract"):
-        more = catalog.SQL[name].replace("range(0, 50)", "range(0, 2000)")  # the registered SQL draws 50
         key = lambda r: tuple(x for x in r if isinstance(x, str))
-        got, want = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=key), sorted(duckdb.execute(more).fetchall(), key=key)
-        assert more != catalog.SQL[name] and len(got) == len(want) > 0
+        got, want = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=key), sorted(duckdb.execute(catalog.SQL[name]).fetchall(), key=key)
+        assert len(got) == len(want) > 0
         for a, b in zip(got, want):
             assert a == pytest.approx(b, abs=1e-8)
 
 
 def test_decisions(spark):
     summary, pairs = samples.arm_tables(spark)
-    assert bootstrap.choose_arm(summary, pairs) == {"pick": "focal", "decided_by": "weak_f1", "beats_control_macro_f1": True, "beats_control_weak_f1": True}
-    clear = pairs.withColumn("ci_low", F.when((F.col("arm_a") == "focal") & (F.col("metric") == "macro_f1"), F.lit(-0.5)).otherwise(F.col("ci_low"))).withColumn("ci_high", F.when((F.col("arm_a") == "focal") & (F.col("metric") == "macro_f1"), F.lit(-0.1)).otherwise(F.col("ci_high")))
-    assert bootstrap.choose_arm(summary, clear)["decided_by"] == "macro_f1"
+    found = bootstrap.choose_arm(summary, pairs).first().asDict()
+    assert found == {"pick": "focal", "decided_by": "weak_f1", "macro_f1_leader": "pos_weight", "macro_f1_level": ["pos_weight", "focal"], "weak_f1_leader": "focal", "weak_f1_level": ["focal"], "macro_f1_against_control": 1, "weak_f1_against_control": 1}
+    macro = (F.col("arm_a") == "focal") & (F.col("metric") == "macro_f1")
+    clear = pairs.withColumn("ci_low", F.when(macro, F.lit(-0.5)).otherwise(F.col("ci_low"))).withColumn("ci_high", F.when(macro, F.lit(-0.1)).otherwise(F.col("ci_high")))
+    assert bootstrap.choose_arm(summary, clear).first()["decided_by"] == "macro_f1"
     tied = pairs.withColumn("ci_low", F.lit(-0.1)).withColumn("ci_high", F.lit(0.1))
-    assert bootstrap.choose_arm(summary, tied)["pick"] == "pos_weight"
+    found = bootstrap.choose_arm(summary, tied).first()
+    assert (found["pick"], found["decided_by"], found["macro_f1_against_control"]) == ("pos_weight", "simplicity", 0)
+    worse = pairs.withColumn("ci_low", F.lit(0.1)).withColumn("ci_high", F.lit(0.2))  # the first of each pair is better, and the control is first
+    assert bootstrap.choose_arm(summary, worse).first()["weak_f1_against_control"] == -1
+    with pytest.raises(ValueError):
+        bootstrap.choose_arm(summary, pairs.unionByName(pairs)).first()
     with pytest.raises(ValueError):
-        bootstrap.choose_arm(summary, pairs.unionByName(pairs))
+        bootstrap.choose_arm(summary, pairs.where("metric = 'macro_f1'")).first()
     assert bootstrap.select_config(*samples.config_tables(spark)).first()["pick"] == "lr2e-05-ep2"
