@@ -31,6 +31,9 @@ def threshold_values(thresholds, categories: Iterable[str] = CATEGORIES) -> dict
         missing = [c for c in names if c not in thresholds]
         if missing:
             raise ValueError(f"no threshold for {missing}")
+        unknown = sorted(set(thresholds) - set(names))
+        if unknown:
+            raise ValueError(f"thresholds for unknown categories: {unknown}")
         values = {c: float(thresholds[c]) for c in names}
     elif isinstance(thresholds, (int, float)):
         values = dict.fromkeys(names, float(thresholds))

@@ -98,7 +98,7 @@ def downsample(rows: DataFrame, rate: float = 2.0, seed: int = 42, epoch: int =
     """
     drawn = rows.withColumn("_d", F.when(F.col("positive"), F.lit(-1).cast("long")).otherwise(draw(seed * 1000 + epoch, F.col("chunk_id"))))
     counts = drawn.agg(F.sum(F.col("positive").cast("long")).alias("p")).first()["p"] or 0
-    quota = int(rate * counts + 0.5)
+    quota = round(rate * counts)  # halves to the even number
     negatives = drawn.where("not positive")
     cells = negatives.groupBy((F.col("_d") / 2**20).cast("int").alias("cell")).agg(F.count("*").alias("n"))  # 4096 cells at most
     seen = 0

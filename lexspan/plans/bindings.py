@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.plans.samples import CLAUSES
 from lexspan.schema import CATEGORIES
 from lexspan.session import table
 
 WINDOW_CHARS, STRIDE_CHARS = 400, 300
+CLAUSE_TEXTS = [text for _, text in CLAUSES]
 
 
 def category_at(index) -> F.Column:
@@ -43,6 +45,12 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("contract", "doc_id", "split", chunk.alias("chunk_id"), "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("text"))
 
 
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with a sentence of a contract after their own text, since the tables' invented prose has no legal words."""
+    told = F.element_at(F.array(*(F.lit(t) for t in CLAUSE_TEXTS)), ((F.col("doc_id") + F.floor(F.col("start") / STRIDE_CHARS)) % len(CLAUSE_TEXTS) + 1).cast("int"))
+    return windows(spark, sf_dir).select("contract", "chunk_id", "start", "end", F.concat("text", F.lit(" "), told).alias("text"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled windows by category with a score and one of five folds."""
     from lexspan.operators.labeling import label_windows
@@ -62,13 +70,14 @@ spans1 AS (SELECT *, least(start + 20 + (doc_id * 13 + k * 7) % 200, n_chars) AS
 spans AS (SELECT contract, split, category, substring(text, CAST(start + 1 AS BIGINT), CAST("end" - start AS BIGINT)) AS text, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", n_chars FROM spans1 JOIN cats ON category_idx = (doc_id + 3 * k) % 10 WHERE start < "end")""",
     "windows": f"""windows0 AS (SELECT *, unnest(range(0, n_chars, {STRIDE_CHARS})) AS start FROM contracts),
 windows AS (SELECT contract, doc_id, split, concat_ws(':', contract, start, least(start + {WINDOW_CHARS}, n_chars)) AS chunk_id, start, least(start + {WINDOW_CHARS}, n_chars) AS "end", substring(text, start + 1, least(start + {WINDOW_CHARS}, n_chars) - start) AS text FROM windows0)""",
+    "clauses": f"""clauses AS (SELECT contract, chunk_id, start, "end", text || ' ' || [{', '.join("'" + t.replace("'", "''") + "'" for t in CLAUSE_TEXTS)}][(doc_id + start // {STRIDE_CHARS}) % {len(CLAUSE_TEXTS)} + 1] AS text FROM windows)""",
     "evidence": """evidence AS (SELECT DISTINCT w.chunk_id, w.contract, s.category, s.start AS span_start, s."end" AS span_end, greatest(w.start, s.start) AS overlap_start, least(w."end", s."end") AS overlap_end, w.start <= s.start AND s."end" <= w."end" AS fully_contained
 FROM windows w JOIN spans s ON w.contract = s.contract AND w.start < s."end" AND s.start < w."end")""",
     "labeled": """touched AS (SELECT chunk_id, category, bool_or(fully_contained) AS full_ FROM evidence GROUP BY chunk_id, category),
 labeled AS (SELECT w.contract, w.doc_id, w.chunk_id, w.start, c.category, c.category_idx, CASE WHEN t.full_ THEN 1 ELSE 0 END AS label, t.full_ IS NULL OR t.full_ AS mask FROM windows w CROSS JOIN cats c LEFT JOIN touched t ON t.chunk_id = w.chunk_id AND t.category = c.category)""",
     "scored": f"""scored AS (SELECT *, least((doc_id * 7919 + (start // {STRIDE_CHARS}) * 104729 + category_idx * 1299709) % 1000 + label * 300, 999) / 1000.0::DOUBLE AS score, CAST(doc_id % 5 AS INTEGER) AS fold FROM labeled)""",
 }
-_NEEDS = {"spans": ("cats", "contracts"), "windows": ("contracts",), "evidence": ("spans", "windows"), "labeled": ("evidence",), "scored": ("labeled",)}
+_NEEDS = {"spans": ("cats", "contracts"), "windows": ("contracts",), "clauses": ("windows",), "evidence": ("spans", "windows"), "labeled": ("evidence",), "scored": ("labeled",)}
 
 
 def with_sql(query: str, *names: str, more: str = "") -> str:

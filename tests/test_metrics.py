@@ -213,3 +213,16 @@ def test_decisions(spark):
     with pytest.raises(ValueError):
         bootstrap.choose_arm(summary, pairs.where("metric = 'macro_f1'")).first()
     assert bootstrap.select_config(*samples.config_tables(spark)).first()["pick"] == "lr2e-05-ep2"
+
+
+def test_thresholds_of_unknown_categories_are_refused():
+    from lexspan.operators.checks import threshold_values
+
+    with pytest.raises(ValueError):
+        threshold_values(dict.fromkeys(CATEGORIES, 0.5) | {"No Such": 0.5})
+
+
+@pytest.mark.parametrize("rate, positives, others", [(0.5, 1, 0), (2.5, 1, 2), (0.5, 3, 2)])
+def test_half_quotas_go_to_the_even_number(spark, rate, positives, others):
+    rows = spark.createDataFrame([(f"w{i}", i < positives) for i in range(20)], "chunk_id string, positive boolean")
+    assert folds.downsample(rows, rate).count() == positives + others
