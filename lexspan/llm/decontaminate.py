@@ -1,16 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is split by document: each block of documents has its own, which maps a term
-to the sorted positions where it stands in the block. A window of a test item is looked
-up from its rarest term in the block: that term's positions, moved by its place in the
-window, are intersected with those of the next rarer term, and so on, until the whole
-window has matched or no position is left. The postings never leave the task that made
-them, so there is no shuffle, and a word or passage that a third of all documents hold
-makes no task larger than another.
+The index is stored in the shared folder, split by document: each row holds a block of
+documents with its sorted terms, the sorted positions where each term stands, and where the
+documents begin. No row grows with the corpus, so a word or passage that a third of all
+documents hold makes no task larger than another, and nothing is shuffled.
+
+A window of a test item is looked up from its rarest term in the whole corpus: that term's
+positions, moved by its place in the window, are intersected with the positions of the next
+rarer term, and so on, until the whole window has matched or no position is left. Proximity
+search intersects the same lists within a distance, in any order.
 
 The test items go to every task. Their size is checked: beyond ``ITEM_BYTES`` they are
-taken in several passes over the documents, each with its own part of the items, which
-hand on the words that are hit so far.
+taken in several passes over the index, each with its own part of the items, which hand on
+the words that are hit so far.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.blocks import ALNUM, LOWER, TextBlock, text_blocks, window_hashes, word_hashes
-from lexspan.session import ship, table
+from lexspan.session import forget, settled, ship, spill, table
 
 WINDOW = 10
 #: UTF-8 bytes of test items that one pass sends to the executors.
 ITEM_BYTES = 16_000_000
+#: Keys of documents to leave out are broadcast up to this many rows; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def terms(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -60,53 +64,70 @@ class TestWindows:
                     entry[1].append(item)
         #: length -> (terms of each window, items of all windows in a row, where each window's items start)
         self.groups = {n: (np.stack([w for w, _ in g.values()]), np.concatenate([np.array(i) for _, i in g.values()]), np.concatenate(([0], np.cumsum([len(i) for _, i in g.values()])))) for n, g in kept.items()}
+        #: All terms of the windows, sorted.
+        self.vocabulary = np.unique(np.concatenate([w.ravel() for w, _, _ in self.groups.values()])) if self.groups else np.zeros(0, np.uint64)
 
 
 class PositionalIndex:
     """Postings of one block: a term's positions are ``positions[first[t]:first[t + 1]]``, in rising order."""
 
-    def __init__(self, hashes: np.ndarray, vocabulary: np.ndarray):
-        """Only terms of ``vocabulary`` (sorted) get postings; ``codes`` keeps -1 for the others."""
-        at = np.searchsorted(vocabulary, hashes)
-        at[at == len(vocabulary)] = 0
-        self.codes = np.where(vocabulary[at] == hashes, at, -1) if len(vocabulary) else np.full(len(hashes), -1)
-        kept = np.flatnonzero(self.codes >= 0)
-        self.positions = kept[np.argsort(self.codes[kept], kind="stable")]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.codes[kept], minlength=len(vocabulary)))))
-        self.counts = np.diff(self.first)
-
-    def phrases(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window and start position of all places where the terms (codes) of a window stand in a row."""
-        rarity = self.counts[windows]
-        order = np.argsort(rarity, axis=1, kind="stable")  # rarest first
-        rows = np.flatnonzero(np.take_along_axis(rarity, order[:, :1], 1)[:, 0] > 0)
-        if not len(rows):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out_w, out_p = [], []
+    def __init__(self, terms: np.ndarray, first: np.ndarray, positions: np.ndarray, size: int):
+        """``terms``: sorted hashes; ``size``: words in the block."""
+        self.terms, self.first, self.positions, self.size = terms, first, positions, size
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> PositionalIndex:
+        order = np.argsort(hashes, kind="stable")
+        told = hashes[order]
+        begins = np.flatnonzero(np.concatenate(([True], told[1:] != told[:-1]))) if len(told) else np.zeros(0, np.int64)
+        return cls(told[begins], np.append(begins, len(told)), order, len(hashes))
+
+    def within(self, vocabulary: np.ndarray) -> PositionalIndex:
+        """The postings of the terms of ``vocabulary`` (sorted) only; terms that the block lacks have none."""
+        at = np.searchsorted(self.terms, vocabulary)
+        there = at < len(self.terms)
+        there[there] = self.terms[at[there]] == vocabulary[there]
+        begin = np.where(there, self.first[np.minimum(at, len(self.first) - 1)], 0)
+        n = np.where(there, self.first[np.minimum(at + 1, len(self.first) - 1)] - begin, 0)
+        ends = np.cumsum(n)
+        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)
+        return PositionalIndex(vocabulary, np.concatenate(([0], ends)), self.positions[flat], self.size)
+
+    def phrases(self, windows: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and start position of all places where the terms of a window (places in ``terms``) stand in a row.
+
+        ``rarity``: how often each term stands in the whole corpus.
+        """
+        counts = np.diff(self.first)
+        keys = (np.repeat(np.arange(len(self.terms)), counts) << 40) + self.positions  # all postings as one sorted list
+        order = np.argsort(rarity[windows], axis=1, kind="stable")  # rarest first
+        rows = np.flatnonzero((counts[windows] > 0).all(axis=1))
+        out_w, out_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         size = windows.shape[1]
         rarest = order[:, 0]
-        lists = self.counts[windows[rows, rarest[rows]]]
-        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(lists) // 2_000_000)) + 1):  # bounds the lists held at once
+        lists = counts[windows[rows, rarest[rows]]]
+        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(lists) // 2_000_000)) + 1) if len(rows) else []:  # bounds the lists held at once
             anchor = windows[part, rarest[part]]
-            n = self.counts[anchor]
+            n = counts[anchor]
             which = np.repeat(part, n)
             ends = np.cumsum(n)
             places = self.positions[np.arange(ends[-1]) + np.repeat(self.first[anchor] - (ends - n), n)] - rarest[which]
-            good = (places >= 0) & (places + size <= len(self.codes))
+            good = (places >= 0) & (places + size <= self.size)
             which, places = which[good], places[good]
-            for k in range(1, size):  # the next rarer term must stand where its place in the window says
-                offset = order[which, k]
-                good = self.codes[places + offset] == windows[which, offset]
-                which, places = which[good], places[good]
+            for k in range(1, size):  # the list of the next rarer term, moved by its place in the window
                 if not len(which):
                     break
+                offset = order[which, k]
+                want = (windows[which, offset] << 40) + places + offset
+                good = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+                which, places = which[good], places[good]
             out_w.append(which)
             out_p.append(places)
         return np.concatenate(out_w), np.concatenate(out_p)
 
-    def near(self, codes: np.ndarray, slop: int) -> np.ndarray:
+    def near(self, codes: np.ndarray, slop: int, rarity: np.ndarray) -> np.ndarray:
         """Positions of the rarest of ``codes`` within ``slop`` of which all the others stand, in any order."""
-        codes = codes[np.argsort(self.counts[codes], kind="stable")]
+        codes = codes[np.argsort(rarity[codes], kind="stable")]
         found = self.positions[self.first[codes[0]] : self.first[codes[0] + 1]]
         for c in codes[1:]:
             own = self.positions[self.first[c] : self.first[c + 1]]
@@ -115,14 +136,15 @@ class PositionalIndex:
         return found
 
 
-def search(hashes: np.ndarray, firsts: np.ndarray, tests: TestWindows) -> tuple[np.ndarray, list[set[int]]]:
-    """Of a block's terms: whether each is inside an occurrence of a window; of its documents: the items that occur."""
-    edges = np.zeros(len(hashes) + 1, np.int64)
+def search(index: PositionalIndex, firsts: np.ndarray, tests: TestWindows, rarity: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
+    """Of a block's terms: whether each is inside an occurrence of a window; of its documents: the items that occur.
+
+    ``index`` holds the terms of ``tests.vocabulary``; ``firsts``: each document's first word.
+    """
+    edges = np.zeros(index.size + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(len(firsts) - 1)]
-    vocabulary = np.unique(np.concatenate([w.ravel() for w, _, _ in tests.groups.values()])) if tests.groups else np.zeros(0, np.uint64)
-    index = PositionalIndex(hashes, vocabulary)
     for size, (windows, held, held_at) in tests.groups.items():
-        which, places = index.phrases(np.searchsorted(vocabulary, windows))
+        which, places = index.phrases(np.searchsorted(tests.vocabulary, windows), rarity)
         doc = np.searchsorted(firsts, places, "right") - 1
         inside = places + size <= firsts[doc + 1]  # not over a document's end
         which, places, doc = which[inside], places[inside], doc[inside]
@@ -143,56 +165,141 @@ def item_passes(benchmark: DataFrame, text: str, key: str) -> Iterator[tuple[lis
         yield [r["k"] for r in rows], [r["t"] for r in rows]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """Per row of ``docs``: the key, ``n_words``, ``n_hit`` and ``items`` (sorted keys, as strings, of items with occurring windows).
+_INDEX = "terms array<long>, first array<int>, positions array<int>, firsts array<int>"
 
-    Null and empty texts have no words; items without words have no windows. Repeated
-    documents and items are rows like any other; a null item key is the text ``null``.
-    An empty table of documents gives no rows, one of items no hits. Other columns are
-    not read. With items in several parts each pass hands its marks on to the next.
+
+def _lists(*arrays: np.ndarray) -> list[pa.Array]:
+    """Each array as a column of one row."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for a in arrays]
+
+
+def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The index of ``docs``, a row per block: ``keys`` and ``hashes`` (xxhash64 of the texts) of its documents, and the postings.
+
+    Null and empty texts have no terms; repeated rows are documents like any other.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key), F.col(text), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
-    schema = f"`{key}` {kind}, `{text}` string, _hit binary, _items array<string>, n_words long, n_hit long"
-    for names, texts in item_passes(benchmark, text, item):
+    named = docs.select(docs[_quoted(key)].alias("key"), docs[_quoted(text)].alias("text")).withColumn("th", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in text_blocks(batches):
+            hashes, firsts = terms(block)
+            index = PositionalIndex.of(hashes)
+            whole = pa.array([0, block.n], pa.int32())
+            columns = [pa.ListArray.from_arrays(whole, _compact(batch.column(c))) for c in ("key", "th")]
+            columns += _lists(index.terms.view(np.int64), index.first.astype(np.int32), index.positions.astype(np.int32), firsts.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(columns, ["keys", "hashes", "terms", "first", "positions", "firsts"])
+
+    kind = named.schema["key"].dataType.simpleString()
+    return named.mapInArrow(run, f"keys array<{kind}>, hashes array<long>, {_INDEX}")
+
+
+def _compact(column: pa.Array) -> pa.Array:
+    """The values of a slice in an array of their own."""
+    return pa.concat_arrays([column])
+
 
-        def run(batches: Iterator[pa.RecordBatch], names=names, texts=texts) -> Iterator[pa.RecordBatch]:
-            tests = TestWindows(texts, window)
-            for batch, block in text_blocks(batches, text):
-                hashes, firsts = terms(block)
-                mark, occurring = search(hashes, firsts, tests)
-                lists = [{names[i] for i in f} for f in occurring]
-                marks, n_hit = [], []
-                for i, (had, old) in enumerate(zip(batch.column("_hit").to_pylist(), batch.column("_items").to_pylist())):
-                    own = mark[firsts[i] : firsts[i + 1]]
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _index_of(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[PositionalIndex, np.ndarray]:
+    """The postings of a stored row that ``vocabulary`` needs, and each document's first word."""
+    own = lambda name: batch.column(name)[row].values.to_numpy()
+    firsts = own("firsts").astype(np.int64)
+    index = PositionalIndex(own("terms").view(np.uint64), own("first").astype(np.int64), own("positions").astype(np.int64), int(firsts[-1]))
+    return index.within(vocabulary), firsts
+
+
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each term of ``vocabulary`` (sorted) stands in the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column("terms")[row].values.to_numpy().view(np.uint64)
+                counts = np.diff(batch.column("first")[row].values.to_numpy())
+                at = np.searchsorted(vocabulary, own)
+                there = at < len(vocabulary)
+                there[there] = vocabulary[at[there]] == own[there]
+                sums[at[there]] += counts[there]
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["t", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    told = index.select("terms", "first").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the test items at most
+    out[told.column("t").to_numpy()] = told.column("n").to_numpy()
+    return out
+
+
+def contaminated_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
+    """Per document of the index: ``key``, ``th``, ``n_words``, ``n_hit`` and ``items`` (sorted keys of items with occurring windows)."""
+    found = index.withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("array<array<string>>"))
+    for names, texts in item_passes(benchmark, text, item):
+        tests = TestWindows(texts, window)
+        rarity = term_counts(index, tests.vocabulary)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, tests=tests, rarity=rarity) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks, lists = [], []
+                for row in range(batch.num_rows):
+                    own, firsts = _index_of(batch, row, tests.vocabulary)
+                    mark, occurring = search(own, firsts, tests, rarity)
+                    held = [{names[i] for i in f} for f in occurring]
+                    had = batch.column("hit")[row].as_py()
                     if had is not None:
-                        own = own | np.unpackbits(np.frombuffer(had, np.uint8), count=len(own)).astype(bool)
-                        lists[i] |= set(old)
-                    marks.append(np.packbits(own).tobytes())
-                    n_hit.append(int(own.sum()))
-                columns = [batch.column(key), batch.column(text), pa.array(marks, pa.binary()), pa.array([sorted(f) for f in lists], pa.list_(pa.string())), pa.array(np.diff(firsts).astype(np.int64)), pa.array(n_hit, pa.int64())]
-                yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns], [key, text, "_hit", "_items", "n_words", "n_hit"])
+                        mark = mark | np.unpackbits(np.frombuffer(had, np.uint8), count=len(mark)).astype(bool)
+                        held = [a | set(b) for a, b in zip(held, batch.column("items")[row].as_py())]
+                    marks.append(np.packbits(mark).tobytes())
+                    lists.append([sorted(f) for f in held])
+                columns = {name: batch.column(name) for name in batch.schema.names} | {"hit": pa.array(marks, pa.binary()), "items": pa.array(lists, pa.list_(pa.list_(pa.string())))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        found = found.select(key, text, "_hit", "_items").mapInArrow(run, schema)
-    return found.select(key, "n_words", "n_hit", F.col("_items").alias("items"))
+        found = found.mapInArrow(run, found.schema)
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                firsts = batch.column("firsts")[row].values.to_numpy().astype(np.int64)
+                mark = np.unpackbits(np.frombuffer(batch.column("hit")[row].as_py(), np.uint8), count=int(firsts[-1]))
+                sums = np.concatenate(([0], np.cumsum(mark, dtype=np.int64)))
+                columns = [_compact(batch.column("keys")[row].values), _compact(batch.column("hashes")[row].values), pa.array(np.diff(firsts)), pa.array(sums[firsts[1:]] - sums[firsts[:-1]]), _compact(batch.column("items")[row].values)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "th", "n_words", "n_hit", "items"])
 
-def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of ``docs``, all columns, of which no word is inside an occurrence of a window. No shuffle."""
-    ship(docs.sparkSession)
-    for _, texts in item_passes(benchmark, text, item):
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    return found.select("keys", "hashes", "firsts", "hit", "items").mapInArrow(told, f"key {kind}, th long, n_words long, n_hit long, items array<string>")
 
-        def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
-            tests = TestWindows(texts, window)
-            for batch, block in text_blocks(batches, text):
-                hashes, firsts = terms(block)
-                mark, _ = search(hashes, firsts, tests)
-                sums = np.concatenate(([0], np.cumsum(mark)))
-                yield batch.filter(pa.array(sums[firsts[1:]] == sums[firsts[:-1]]))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of ``docs``: the key, ``n_words``, ``n_hit`` and ``items`` (sorted keys, as strings, of items with occurring windows).
+
+    Null and empty texts have no words; items without words have no windows. Repeated
+    documents and items are rows like any other; a null item key is the text ``null``.
+    An empty table of documents gives no rows, one of items no hits. Other columns are
+    not read, whatever their names. The index is stored while it is searched.
+    """
+    spark = docs.sparkSession
+    index, path = spill(spark, build_index(docs, text, key))
+    out = settled(spark, contaminated_index(index, benchmark, window, item_text, item).select(F.col("key").alias(key), "n_words", "n_hit", "items"))
+    forget(spark, path)
+    return out
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which no word is inside an occurrence of a window.
+
+    Rows go by key and text, so equal rows go or stay together; null keys are equal here.
+    Null and empty texts stay, and an empty table stays empty.
+    """
+    spark = docs.sparkSession
+    index, path = spill(spark, build_index(docs, text, key))
+    gone = settled(spark, contaminated_index(index, benchmark, window, item_text, item).where("n_hit > 0").select(F.col("key").alias("its_key"), F.col("th").alias("its_th")).distinct())
+    forget(spark, path)
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    whole = docs.select(F.struct("*").alias("whole"), docs[_quoted(key)].alias("key"), F.xxhash64(docs[_quoted(text)]).alias("th"))
+    kept = whole.join(F.broadcast(gone) if small else gone, (F.col("th") == F.col("its_th")) & F.col("key").eqNullSafe(F.col("its_key")), "left_anti")
+    return kept.select("whole.*")
 
 
 def near_matches(docs: DataFrame, phrases: list[str], slop: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -204,30 +311,39 @@ def near_matches(docs: DataFrame, phrases: list[str], slop: int = 10, text: str
     """
     if sum(len(p.encode()) for p in phrases) > ITEM_BYTES:
         raise ValueError(f"phrases of over {ITEM_BYTES} bytes")
-    ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    spark = docs.sparkSession
+    index, path = spill(spark, build_index(docs, text, key))
+    out = settled(spark, near_in_index(index, phrases, slop).withColumnRenamed("key", key))
+    forget(spark, path)
+    return out
+
+
+def near_in_index(index: DataFrame, phrases: list[str], slop: int) -> DataFrame:
+    """``key``, ``phrase``, ``n_places`` of ``near_matches`` from a stored index."""
+    hashes, at = terms(TextBlock(pa.array(phrases, pa.string())))
+    vocabulary = np.unique(hashes)
+    rarity = term_counts(index, vocabulary)
+    wanted = [np.unique(np.searchsorted(vocabulary, hashes[a:b])) for a, b in zip(at[:-1], at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, firsts = terms(TextBlock(pa.array(phrases, pa.string())))
-        vocabulary = np.unique(hashes)
-        for batch, block in text_blocks(batches, text):
-            own, at = terms(block)
-            spaced = np.arange(len(own)) + np.repeat(np.arange(block.n), np.diff(at)) * (2 * slop)  # documents lie apart
-            index = PositionalIndex(own, vocabulary)
-            index.positions = spaced[index.positions]
-            rows, which, n = [], [], []
-            for p in range(len(phrases)):
-                codes = np.unique(np.searchsorted(vocabulary, hashes[firsts[p] : firsts[p + 1]]))
-                if not len(codes) or not len(own):
-                    continue
-                doc = np.searchsorted(at, np.searchsorted(spaced, index.near(codes, slop)), "right") - 1
-                docs_hit, counts = np.unique(doc, return_counts=True)
-                rows += docs_hit.tolist()
-                which += [p] * len(docs_hit)
-                n += counts.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(which, pa.int32()), pa.array(n, pa.int64())], [key, "phrase", "n_places"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, phrase int, n_places long")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, firsts = _index_of(batch, row, vocabulary)
+                spaced = np.arange(own.size) + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts)) * (2 * slop)  # documents lie apart
+                own.positions = spaced[own.positions]
+                rows, which, n = [], [], []
+                for p, codes in enumerate(wanted):
+                    if not len(codes) or not own.size:
+                        continue
+                    doc = np.searchsorted(firsts, np.searchsorted(spaced, own.near(codes, slop, rarity)), "right") - 1
+                    docs_hit, counts = np.unique(doc, return_counts=True)
+                    rows += docs_hit.tolist()
+                    which += [p] * len(docs_hit)
+                    n += counts.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("keys")[row].values.take(pa.array(rows, pa.int64())), pa.array(which, pa.int32()), pa.array(n, pa.int64())], ["key", "phrase", "n_places"])
+
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    return index.select("keys", "terms", "first", "positions", "firsts").mapInArrow(run, f"key {kind}, phrase int, n_places long")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

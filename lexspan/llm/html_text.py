@@ -1,8 +1,8 @@
 """Layout-aware text of HTML pages.
 
-A tokenizer and tree builder (implied start and end tags, raw-text elements, void
-elements, stray end tags) make a tree; visibility rules drop what a browser would not
-show; a renderer writes the rest as text: blocks on lines of their own, blank lines
+A tokenizer that only moves forward and a tree builder (implied start and end tags,
+raw-text elements, void elements, stray end tags) make a tree of any depth; visibility rules
+drop what a browser would not show (of a closed list of choices all but the chosen one); a renderer writes the rest as text: blocks on lines of their own, blank lines
 where paragraphs, headings, lists and tables meet their neighbours, list markers with
 indentation, ``pre`` as it stands, and table cells padded so that columns line up.
 """
@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from itertools import count
 
 import pyarrow as pa
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.session import ship, table
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:([\"'])|([^\s>]*+)))?+)?+")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
+#: Elements that may end themselves: ``<path/>``.
+_FOREIGN = frozenset("svg path g circle rect line polygon polyline ellipse use stop image mspace mprescripts none math".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that show nothing.
-_UNSEEN = frozenset("head script style title template meta link base iframe noembed noframes object audio video canvas svg math datalist select textarea area param source track".split())
+_UNSEEN = frozenset("head script style title template meta link base iframe noembed noframes object audio video canvas datalist area param source track desc defs metadata symbol annotation annotation-xml".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table ul caption tr tbody thead tfoot xmp".split())
 #: Blocks that a blank line parts from their neighbours.
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure ol ul dir menu pre table hr xmp".split())
@@ -43,102 +48,191 @@ _IMPLIED_ENDS = {
 _HEAD_ONLY = frozenset("title meta link base style script template noscript bgsound basefont".split())
 #: Where these open elements end, so does the search for an end tag's start tag.
 _SCOPES = frozenset("table td th caption template html".split())
-_DISPLAY_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Deeper elements are handled as children of the element at this depth; keeps recursion bounded.
-MAX_DEPTH = 200
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 class Node:
     __slots__ = ("name", "attrs", "children")
 
-    def __init__(self, name: str, attrs: str = ""):
+    def __init__(self, name: str, attrs: list[tuple[str, str]] | None = None):
         self.name, self.attrs, self.children = name, attrs, []
 
     def attributes(self) -> dict[str, str]:
-        return {k.lower(): html.unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(self.attrs))} if self.attrs else {}
-
-
-def parse(page: str) -> Node:
-    """The tree of a page, whatever its markup."""
+        return {k.lower(): html.unescape(v) for k, v in reversed(self.attrs)} if self.attrs else {}
+
+
+def _tag(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """Attributes from ``at`` and where the tag ends; -1 if the page ends within it. Only ever moves forward."""
+    attrs = []
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        name, quote, value = m.groups()
+        at = m.end()
+        if quote:
+            end = page.find(quote, at)
+            if end < 0:
+                return attrs, -1
+            value, at = page[at:end], end + 1
+        if name:
+            attrs.append((name, value or ""))
+        elif page[at : at + 1] == ">":
+            return attrs, at + 1
+        elif at >= len(page):
+            return attrs, -1
+
+
+class _Open:
+    """The open elements, and for each name where it stands among them, so that no look-up walks the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.deepest = [root], {}, 1
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+        self.deepest = max(self.deepest, len(self.stack))
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """The innermost open element of one of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """End all open elements of ``names`` that stand within the innermost of ``stops``."""
+        stop = self.last(stops)
+        first = min((p for n in names for p in self.places.get(n, ())[_after(self.places.get(n, ()), stop) :][:1]), default=0)
+        if first:
+            self.cut(first)
+
+
+def _after(places, stop: int) -> int:
+    return bisect_right(places, stop)
+
+
+def parse(page: str) -> tuple[Node, int]:
+    """The tree of a page, whatever its markup, and its depth. Time grows with the page's length alone."""
     root = Node("html")
-    stack = [root]
-
-    def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return close(names, stops)
-            if stack[i].name in stops:
-                return
-
+    open_ = _Open(root)
+    stack = open_.stack
     at, size = 0, len(page)
-    while at < size:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            text, at = page[at:], size
-        else:
-            text, at = page[at : m.start()], m.end()
+
+    def put_text(text: str) -> None:
         if text:
             if stack[-1].name == "head" and text.strip():
-                del stack[-1]
+                open_.cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if m is None or m.group(2) is None:
+
+    text_from = 0
+    while True:
+        mark = page.find("<", at)
+        if mark < 0:
+            put_text(page[text_from:])
+            return root, open_.deepest
+        after = page[mark + 1 : mark + 2]
+        if after == "!" or after == "?":
+            put_text(page[text_from:mark])
+            end = page.find("-->", mark + 4) if page.startswith("<!--", mark) and not page.startswith(("<!-->", "<!--->"), mark) else page.find(">", mark)
+            if end < 0:
+                return root, open_.deepest
+            text_from = at = page.index(">", end) + 1
             continue
-        name = m.group(2).lower()
-        if m.group(1):
-            if name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            elif name == "br":
-                stack[-1].children.append(Node("br"))
+        closing = after == "/"
+        m = _NAME.match(page, mark + 1 + closing)
+        if m is None:
+            if closing:  # no end tag: a comment
+                put_text(page[text_from:mark])
+                end = page.find(">", mark)
+                if end < 0:
+                    return root, open_.deepest
+                text_from = at = end + 1
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
-                        break
-                    if stack[i].name in _SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
-                        break
+                at = mark + 1  # plain text
+            continue
+        put_text(page[text_from:mark])
+        attrs, end = _tag(page, m.end())
+        if end < 0:  # the page ends within a tag, which so is none
+            return root, open_.deepest
+        text_from = at = end
+        name = m.group().lower()
+        if closing:
+            _end_tag(name, open_)
             continue
         if name == "html":
-            root.attrs = root.attrs or m.group(3)
+            root.attrs = root.attrs or attrs
             continue
-        if stack[-1].name == "head" and name not in _HEAD_ONLY:
-            del stack[-1]
-        if name in _ENDS_P:
-            close(("p",), ("td", "th", "table", "button", "caption"))
-        if name in _IMPLIED_ENDS:
-            close(*_IMPLIED_ENDS[name])
-        if name == "body" and any(n.name == "body" for n in stack):
+        node = _start_tag(name, attrs, open_)
+        if node is None:
             continue
-        if name in ("td", "th") and stack[-1].name not in ("tr",) and any(n.name == "table" for n in stack):
-            row = Node("tr")  # implied
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(name, m.group(3))
-        stack[-1].children.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            stop = end.start() if end else size
-            node.children.append(page[at:stop])
-            at = end.end() if end else size
-        elif name not in _VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
-    return root
-
-
-def visible(node: Node) -> bool:
+            found = _raw_end(name).search(page, at)
+            stop = found.start() if found else size
+            inner = page[at:stop]
+            node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
+            if not found:
+                return root, open_.deepest
+            end = page.find(">", found.end())
+            if end < 0:
+                return root, open_.deepest
+            text_from = at = end + 1
+        elif name not in _VOID and not (name in _FOREIGN and page[end - 2] == "/"):
+            open_.push(node)
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I)
+
+
+def _end_tag(name: str, open_: _Open) -> None:
+    top = open_.stack[-1]
+    own = open_.last((name,))
+    if name == "p" and not own:
+        top.children.append(Node("p"))
+    elif name == "br":
+        top.children.append(Node("br"))
+    elif own and (name in ("table", "tr", "tbody", "thead", "tfoot", "body") or own >= open_.last(_SCOPES)):
+        open_.cut(own)
+
+
+def _start_tag(name: str, attrs: list[tuple[str, str]], open_: _Open) -> Node | None:
+    """The element, put where it belongs; null for a second body."""
+    stack = open_.stack
+    if stack[-1].name == "head" and name not in _HEAD_ONLY:
+        open_.cut(len(stack) - 1)
+    if name in _ENDS_P:
+        open_.close(("p",), ("td", "th", "table", "button", "caption"))
+    if name in _IMPLIED_ENDS:
+        open_.close(*_IMPLIED_ENDS[name])
+    if name == "body" and open_.last(("body",)):
+        return None
+    if name in ("td", "th") and stack[-1].name != "tr" and open_.last(("table",)):
+        row = Node("tr")  # implied
+        stack[-1].children.append(row)
+        open_.push(row)
+    node = Node(name, attrs or None)
+    stack[-1].children.append(node)
+    return node
+
+
+def shown(node: Node, hidden: bool) -> bool | None:
+    """Whether an element's own text is hidden (False: it shows); null if the element shows nothing, its children included.
+
+    ``hidden``: whether its parent's text is. Hidden children of ``visibility`` take room no
+    text can show, but their own children may be visible again.
+    """
     if node.name in _UNSEEN:
-        return False
-    if node.attrs:
-        a = node.attrs.lower()
-        if "hidden" in a or "style" in a or node.name in ("dialog", "input"):
-            attrs = node.attributes()
-            if "hidden" in attrs or _DISPLAY_NONE.search(attrs.get("style", "")):
-                return False
-            if node.name == "dialog":
-                return "open" in attrs
-    elif node.name == "dialog":
-        return False
-    return True
+        return None
+    if not node.attrs:
+        return None if node.name == "dialog" else hidden
+    attrs = node.attributes()
+    style = {k.lower(): v.lower() for k, v in _STYLE.findall(attrs.get("style", ""))}
+    if style.get("display") == "none" or "hidden" in attrs and "display" not in style or node.name == "dialog" and "open" not in attrs:
+        return None
+    told = style.get("visibility")
+    return hidden if told is None or told == "inherit" else told in ("hidden", "collapse")
 
 
 class Layout:
@@ -188,21 +282,23 @@ class Layout:
             self.owed = True
 
 
-def lines_of(children: list, marks: count | bool | None = None) -> list[str]:
+def lines_of(children: list, hidden: bool = False, marks: count | bool | None = None) -> list[str]:
     """``marks``: the numbers of an ordered list, or False inside a list or its items."""
     out = Layout()
     for child in children:
-        write(child, out, marks)
+        write(child, out, hidden, marks)
     out.end()
     return out.lines
 
 
-def write(node, out: Layout, marks=None) -> None:
+def write(node, out: Layout, hidden: bool = False, marks=None) -> None:
     if isinstance(node, str):
-        out.words(node)
+        if not hidden:
+            out.words(node)
         return
     name = node.name
-    if not visible(node):
+    hidden = shown(node, hidden)
+    if hidden is None:
         return
     if name == "br":
         out.line("".join(out.parts))
@@ -213,29 +309,41 @@ def write(node, out: Layout, marks=None) -> None:
         out.gap()
     elif name in ("ul", "ol", "menu", "dir"):
         attrs = node.attributes()
-        start = int(attrs["start"]) if re.fullmatch(r"-?\d{1,9}", attrs.get("start", "")) else 1
-        out.block(lines_of(node.children, count(start) if name == "ol" else False), marks is None)
+        start = int(attrs["start"]) if re.fullmatch(r"-?[0-9]{1,9}", attrs.get("start", "")) else 1
+        out.block(lines_of(node.children, hidden, count(start) if name == "ol" else False), marks is None)
     elif name == "li":
         mark = f"{next(marks)}. " if isinstance(marks, count) else "- "
-        inner = lines_of(node.children, False)
+        inner = lines_of(node.children, hidden, False)
         if inner:
             out.block([mark + inner[0], *(" " * len(mark) + x if x else "" for x in inner[1:])], False)
     elif name == "dd":
-        out.block(["    " + x if x else "" for x in lines_of(node.children)], False)
+        out.block(["    " + x if x else "" for x in lines_of(node.children, hidden)], False)
     elif name == "blockquote":
-        out.block(["    " + x if x else "" for x in lines_of(node.children)], True)
+        out.block(["    " + x if x else "" for x in lines_of(node.children, hidden)], True)
     elif name in ("pre", "xmp"):
-        text = "".join(_raw_text(node)).replace("\r\n", "\n")
+        text = _raw_text(node, hidden).replace("\r\n", "\n")
         out.block(text.removeprefix("\n").rstrip("\n").split("\n") if text.strip("\n") else [], True)
+    elif name == "textarea":  # its lines as they stand, a box of its own in the line
+        out.space = True
+        for i, line in enumerate(_raw_text(node, hidden).replace("\r\n", "\n").removeprefix("\n").split("\n")):
+            if i:
+                out.end()
+            out.words(line)
+        out.space = True
+    elif name == "select":
+        out.space = True
+        for option in _chosen(node):
+            write(option, out, hidden)
+            out.space = True
     elif name == "table":
-        out.block(table_lines(node), True)
+        out.block(table_lines(node, hidden), True)
     elif name in _BLOCK:
         if name in _SPACED:
             out.gap()
         else:
             out.end()
         for child in node.children:
-            write(child, out)
+            write(child, out, hidden)
         if name in _SPACED:
             out.gap()
         else:
@@ -243,77 +351,136 @@ def write(node, out: Layout, marks=None) -> None:
     else:
         if name in ("td", "th"):  # a cell outside a table
             out.space = True
-        if name == "q":
+        if name == "q" and not hidden:
             out.words('"')
         for child in node.children:
-            write(child, out, marks)
-        if name == "q":
+            write(child, out, hidden, marks)
+        if name == "q" and not hidden:
             out.words('"')
             out.space = False
 
 
-def _raw_text(node: Node) -> Iterator[str]:
-    for child in node.children:
+def _chosen(select: Node) -> list[Node]:
+    """The options that a closed list shows: those selected, else the first; all of a list of many."""
+    options, work = [], list(reversed(select.children))
+    while work:
+        child = work.pop()
+        if isinstance(child, Node):
+            if child.name == "option":
+                options.append(child)
+            elif child.name == "optgroup":
+                work += reversed(child.children)
+    if "multiple" in select.attributes():
+        return options
+    chosen = [o for o in options if "selected" in o.attributes()]
+    return chosen[-1:] or options[:1]
+
+
+def _raw_text(node: Node, hidden: bool) -> str:
+    out, work = [], [(child, hidden) for child in reversed(node.children)]
+    while work:
+        child, hidden = work.pop()
         if isinstance(child, str):
-            yield child
+            if not hidden:
+                out.append(child)
         elif child.name == "br":
-            yield "\n"
-        elif visible(child):
-            yield from _raw_text(child)
+            out.append("\n")
+        elif (own := shown(child, hidden)) is not None:
+            work += [(c, own) for c in reversed(child.children)]
+    return "".join(out)
 
 
-def table_lines(node: Node) -> list[str]:
-    """Captions, then the rows with each column as wide as its widest cell and two spaces between columns."""
-    before, rows = [], []
+def table_lines(node: Node, hidden: bool = False) -> list[str]:
+    """Captions, then the rows with each column as wide as its widest cell and two spaces between columns.
 
-    def gather(parent: Node) -> None:
+    A cell of several rows holds its columns in the rows below it, where nothing stands.
+    """
+    before: list[str] = []
+    rows: list[list[tuple[int, list[str], int]]] = []  # column, lines, columns
+    taken: dict[int, int] = {}  # column -> rows that a cell above still holds
+
+    def add_row(row: Node, hidden: bool) -> None:
+        at, placed, held = 0, [], {}
+        for cell in row.children:
+            if isinstance(cell, str) or cell.name not in ("td", "th"):
+                if not isinstance(cell, str) or cell.strip():
+                    before.extend(lines_of([cell], hidden))
+                continue
+            own = shown(cell, hidden)
+            if own is None:
+                continue
+            while taken.get(at, 0):
+                at += 1
+            attrs = cell.attributes()
+            across, down = _span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65534)
+            placed.append((at, lines_of(cell.children, own), across))
+            if down != 1:
+                held |= dict.fromkeys(range(at, at + across), down or 65535)
+            at += across
+        rows.append(placed)
+        for c in [c for c, n in taken.items() if n == 1]:
+            del taken[c]
+        for c in taken:
+            taken[c] -= 1
+        taken.update({c: n - 1 for c, n in held.items()})
+
+    def gather(parent: Node, hidden: bool) -> None:
         for child in parent.children:
             if isinstance(child, str):
                 if child.strip():
-                    before.extend(lines_of([child]))
-            elif not visible(child):
+                    before.extend(lines_of([child], hidden))
+                continue
+            own = shown(child, hidden)
+            if own is None:
                 continue
-            elif child.name == "caption":
-                before.extend(lines_of(child.children))
+            if child.name == "caption":
+                before.extend(lines_of(child.children, own))
             elif child.name in ("tbody", "thead", "tfoot"):
-                gather(child)
+                taken.clear()
+                gather(child, own)
+                taken.clear()
             elif child.name == "tr":
-                rows.append([(lines_of(c.children), _span(c)) for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
-                loose = [c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.name not in ("td", "th")]
-                before.extend(lines_of(loose))
+                add_row(child, own)
             elif child.name not in ("col", "colgroup"):
-                before.extend(lines_of([child]))
+                before.extend(lines_of([child], hidden))
 
-    gather(node)
+    gather(node, hidden)
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for cell, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, cell), default=0))
-            at += span
+        for at, cell, span in row:
+            widths[at] = max(widths.get(at, 0), max(map(len, cell), default=0) if span == 1 else 0)
+    left, total = {}, 0  # where each column that a cell begins in stands
+    for c in sorted(widths):
+        left[c] = total
+        total += widths[c] + 2
     out = []
     for row in rows:
-        for i in range(max((len(cell) for cell, _ in row), default=0)):
-            at, parts = 0, []
-            for cell, span in row:
-                room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                parts.append((cell[i] if i < len(cell) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        for i in range(max((len(cell) for _, cell, _ in row), default=0)):
+            parts, length = [], 0
+            for at, cell, _ in row:
+                if i < len(cell) and cell[i]:
+                    pad = max(left[at] - length, 2 if parts else 0)
+                    parts.append(" " * pad + cell[i])
+                    length += pad + len(cell[i])
+            out.append("".join(parts).rstrip())
     return before + out
 
 
-def _span(cell: Node) -> int:
-    n = cell.attributes().get("colspan", "1") if cell.attrs else "1"
-    return min(max(int(n), 1), 1000) if re.fullmatch(r"\d{1,6}", n) else 1
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
+    """Columns or rows of a cell; 0 rows are all that follow."""
+    told = attrs.get(name, "1")
+    n = int(told) if re.fullmatch(r"[0-9]{1,9}", told) else 1
+    return min(n if name == "rowspan" else max(n, 1), most)
 
 
 def page_text(page: str | None) -> str:
     """All visible text of a page; null and empty pages have none."""
     if not page:
         return ""
-    return "\n".join(x.rstrip() for x in lines_of(parse(page).children)).strip("\n")
+    root, depth = parse(page)
+    if 4 * depth + 500 > sys.getrecursionlimit():
+        sys.setrecursionlimit(4 * depth + 500)
+    return "\n".join(x.rstrip() for x in lines_of(root.children)).strip("\n")
 
 
 def extract(pages: DataFrame, page: str = "html", key: str = "page_id") -> DataFrame:

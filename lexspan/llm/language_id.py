@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.blocks import TextBlock, text_blocks
@@ -29,10 +29,8 @@ HIDDEN = 8
 TRAIN_DOCS = 300
 #: ... so many bytes of each, from a place chosen by hash, ...
 TRAIN_BYTES = 512
-#: ... and so many languages, the most frequent ones.
-MAX_LANGUAGES = 100
-#: A language's rows are ranked in so many parts first, so that no task ranks them all.
-SAMPLE_PARTS = 64
+#: ... and so many documents of all languages together, shared evenly, but at least one of each.
+TRAIN_TOTAL = 60_000
 #: Windows that one step reads together.
 BATCH = 4096
 
@@ -187,15 +185,24 @@ def lettered(block: TextBlock) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[Network | None, list[str]]:
-    """Train on rows where ``learn_from`` holds and ``lang`` and ``text`` are not null; the sample is bounded as said above."""
-    rows = docs.where(learn_from & F.col(lang).isNotNull() & (F.length(text) > 0))
-    known = [r[lang] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()]
-    place = F.pmod(F.xxhash64(key, F.lit(3)), F.greatest(F.length(text) - TRAIN_BYTES, F.lit(1)))
-    drawn = rows.where(F.col(lang).isin(known)).select(lang, F.xxhash64(key, F.lit(1)).alias("h"), F.substr(F.col(text), (place + 1).cast("int"), F.lit(TRAIN_BYTES)).alias("t"))
-    part = F.pmod("h", F.lit(SAMPLE_PARTS))  # the first of a language are among the first of its parts
-    for keys in ([lang, part], [lang]):
-        drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS).drop("k")
-    sample = sorted(tuple(r) for r in drawn.select(lang, "h", "t").collect())
+    """Train on rows where ``learn_from`` holds and ``lang`` and ``text`` are not null; the sample is bounded as said above.
+
+    Every language is learned. Rows equal in key, language and text count once; others of
+    equal keys are told apart by their texts. Without rows there is no network.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(learn_from & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text, F.lit(1)).alias("h"), F.xxhash64(key, F.lit(3)).alias("at"))
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(1, min(TRAIN_DOCS, TRAIN_TOTAL // max(1, len(known))))
+    # hashes below a language's bound are about twice as many as wanted; the smallest of them are the sample, so nothing is sorted
+    bounds = spark.createDataFrame([(name, min(2**63 - 1, int(2**64 * min(1.0, (2 * each + 64) / n)) - 2**63)) for name, n in known.items()], "lang string, bound long")
+    place = F.pmod("at", F.greatest(F.length("text") - TRAIN_BYTES, F.lit(1)))
+    drawn = rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "h", F.substr("text", (place + 1).cast("int"), F.lit(TRAIN_BYTES)).alias("t")).distinct()  # a row per language is broadcast
+    sample, taken = [], dict.fromkeys(known, 0)
+    for name, h, t in sorted(tuple(r) for r in drawn.collect()):
+        if taken[name] < each:
+            taken[name] += 1
+            sample.append((name, h, t))
     names = sorted(known)
     if not sample:
         return None, []

@@ -34,48 +34,48 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 # The search -----------------------------------------------------------------
 
 
-def fillings(counts: dict[int, int], room: int, limit: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the lengths in ``counts``, least waste first.
+def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` from the lengths in ``counts``, least waste first; all of them, as far as asked for.
 
-    Lengths are taken in falling order. Every returned filling is maximal: no length
-    left would still fit. A filling is dominated if another one's items can each hold
-    some of its items; with equal waste the one of fewer, larger items dominates.
+    Every filling is maximal: no length left would still fit. A filling is dominated if
+    another one's items can each hold some of its items. Which sums the lengths from each
+    place on can reach is known as bits, so no branch is entered that ends elsewhere.
     """
     sizes = sorted((s for s in counts if s <= room and counts[s] > 0), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def grow(start: int, left: int, taken: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 60 * limit or len(found) >= limit and found[-1][0] == 0:
-            return
-        fits = False
-        lo = start
-        while lo < len(sizes) and sizes[lo] > left:
-            lo += 1
-        used = taken.count
-        if lo < len(sizes) and left and counts.get(left, 0) > used(left) and left <= sizes[lo]:  # an exact end
-            found.append((0, (*taken, left)))
-            return
-        for k in range(lo, min(len(sizes), lo + 6)):
-            s = sizes[k]
-            if counts[s] > used(s):
-                fits = True
-                grow(k, left - s, [*taken, s])
-        if not fits and left <= most_waste:
-            if lo >= len(sizes) or all(counts[s] <= used(s) for s in sizes[lo:] if s <= left):
-                found.append((left, tuple(taken)))
-
-    grow(0, room, [])
-    found.sort(key=lambda f: (f[0], len(f[1]), tuple(-s for s in f[1])))
+    reach = [1] * (len(sizes) + 1)
+    mask = (1 << (room + 1)) - 1
+    for k in range(len(sizes) - 1, -1, -1):
+        sums, left, step = reach[k + 1], min(counts[sizes[k]], room // sizes[k]), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << (step * sizes[k]) & mask
+            left -= step
+            step *= 2
+        reach[k] = sums
+
+    def exact(k: int, total: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        work = [(k, total, taken)]
+        while work:
+            k, total, taken = work.pop()
+            if not total:
+                yield taken
+                continue
+            if k == len(sizes) or not reach[k] >> total & 1:
+                continue
+            size = sizes[k]
+            for n in range(min(counts[size], total // size) + 1):  # the last put is looked at first: larger items first
+                work.append((k + 1, total - n * size, taken + (size,) * n))
+
     kept: list[tuple[int, ...]] = []
-    for _, f in found:
-        if f not in kept and not any(holds(g, f) for g in kept):
-            kept.append(f)
-        if len(kept) >= limit:
-            break
-    return kept
+    for waste in range(min(most_waste, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for filling in exact(0, room - waste, ()):
+            if any(s <= waste and counts[s] > filling.count(s) for s in sizes[::-1]):
+                continue
+            if not any(holds(other, filling) for other in kept):
+                kept.append(filling)
+                yield filling
 
 
 def holds(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
@@ -123,19 +123,21 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(p, n) for group in open_bins.values() for p, n in group.items()]
 
 
-def plan(lengths: dict[int, int], capacity: int, nodes: int = 4000, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(lengths: dict[int, int], capacity: int, nodes: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences each fills, in as few sequences as the search finds.
 
     Bin completion: the largest length left opens a sequence, the undominated fillings
     around it are the branches, best fit first. A filling is used as often as its
-    counts allow before the next choice. A branch goes when the waste so far leaves no
-    way to beat the incumbent; the first incumbent is best-fit decreasing, and each
-    completed descent that is better replaces it. The search ends when an incumbent
-    meets the bound (total length over capacity, rounded up) or after ``nodes`` nodes.
+    counts allow, and less often only when all else has been tried. A branch goes when the
+    waste so far leaves no way to beat the incumbent; the first incumbent is best-fit
+    decreasing, and each completed descent that is better replaces it. The search ends
+    when an incumbent meets the bound (total length over capacity, rounded up), when no
+    branch is left, or after ``nodes`` nodes (4 for each distinct length, 4000 at least).
     """
     lengths = {int(s): int(n) for s, n in lengths.items() if n > 0}
     if any(s < 1 or s > capacity for s in lengths):
         raise ValueError("lengths must lie in 1 to the capacity")
+    nodes = max(4000, 4 * len(lengths)) if nodes is None else nodes
     total = sum(s * n for s, n in lengths.items())
     least = -(-total // capacity)
     best = best_fit(lengths, capacity)
@@ -155,20 +157,13 @@ def plan(lengths: dict[int, int], capacity: int, nodes: int = 4000, width: int =
             if spare < 0 or used + -(-left // capacity) >= best_bins:
                 stack.pop()
                 continue
-            top = max(counts)
-            rest = dict(counts)
-            rest[top] -= 1
-            ways = fillings(rest, capacity - top, width, spare)
-            branches = stack[-1][4] = [(top, *w) for w in reversed(ways)]
-        if not branches:
+            branches = stack[-1][4] = _branches(counts, capacity, spare)
+        pattern, times = next(branches, (None, 0))
+        if pattern is None:
             stack.pop()
             continue
-        pattern = branches.pop()
         visited += 1
-        need: dict[int, int] = {}
-        for s in pattern:
-            need[s] = need.get(s, 0) + 1
-        times = min(counts[s] // k for s, k in need.items())
+        need = {s: pattern.count(s) for s in pattern}
         waste = capacity - sum(pattern)
         spare = (best_bins - 1) * capacity - used * capacity - left
         if waste:
@@ -182,6 +177,21 @@ def plan(lengths: dict[int, int], capacity: int, nodes: int = 4000, width: int =
     return best
 
 
+def _branches(counts: dict[int, int], capacity: int, spare: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """A pattern around the largest length and how often to use it: each as often as it can, then each less often."""
+    top = max(counts)
+    rest = counts | {top: counts[top] - 1}
+    told = []
+    for filling in fillings(rest, capacity - top, spare):
+        pattern = (top, *filling)
+        times = min(counts[s] // pattern.count(s) for s in set(pattern))
+        told.append((pattern, times))
+        yield pattern, times
+    for pattern, most in told:
+        for times in range(most - 1, 0, -1):
+            yield pattern, times
+
+
 def _unlink(made) -> list[tuple[tuple[int, ...], int]]:
     out = []
     while made:
@@ -253,7 +263,7 @@ def ids_of_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, {last}")
 
 
-def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), nodes: int = 4000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), nodes: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
     ``pieces`` is read twice and should be a stored table. Equal rows in ``order`` are

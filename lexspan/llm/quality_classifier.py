@@ -110,21 +110,27 @@ def train(x: np.ndarray, firsts: np.ndarray, y: np.ndarray, rounds: int = 150, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> Bags | None:
-    """Train on labelled rows of ``docs``, drawn by hash of their key from the rows of ``labels`` where ``learn_from`` holds."""
+    """Train on labelled rows of ``docs``, drawn by hash of their key from the rows of ``labels`` where ``learn_from`` holds.
+
+    At most ``TRAIN_ROWS`` labels and, where keys are repeated, twice as many documents, the
+    first by hash of key and text. Null keys and labels teach nothing; repeated labels count
+    as often as they stand. Without any labelled row there is no network.
+    """
     ship(docs.sparkSession)
-    drawn = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64(key, F.lit(9)), key, "_y").limit(TRAIN_ROWS)
-    sample = docs.select(key, text).join(F.broadcast(drawn), key).select("_y", text)  # at most TRAIN_ROWS rows are broadcast
+    drawn = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(9)), "k", "y").limit(TRAIN_ROWS)
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    sample = own.join(F.broadcast(drawn), "k").select("y", "text", F.xxhash64("k", "text").alias("h"))  # at most TRAIN_ROWS rows are broadcast
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             x, firsts = passages(block)
             bags = []
             for a, b in zip(firsts[:-1], firsts[1:]):
                 own = x[a:b] if b - a <= TRAIN_PASSAGES else x[a + np.linspace(0, b - a - 1, TRAIN_PASSAGES).astype(int)]
                 bags.append(own.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(bags, pa.binary())], ["y", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array(bags, pa.binary())], ["y", "h", "bag"])
 
-    rows = sorted((r["y"], bytes(r["bag"])) for r in sample.mapInArrow(encode, "y int, bag binary").limit(2 * TRAIN_ROWS).collect())  # repeated keys may double the sample
+    rows = sorted((r["y"], bytes(r["bag"])) for r in sample.mapInArrow(encode, "y int, h long, bag binary").orderBy("h", "y", "bag").limit(2 * TRAIN_ROWS).collect())
     if not rows:
         return None
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, b in rows]
@@ -155,7 +161,11 @@ def score(docs: DataFrame, net: Bags | None, text: str = "text", key: str = "doc
 
 
 def keep_good(docs: DataFrame, net: Bags | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with a score of ``threshold`` or more."""
+    """The rows of ``docs``, all columns, with a score of ``threshold`` or more.
+
+    Null and empty texts are scored as an empty passage; repeated rows are judged alike, and
+    an empty table stays empty. Without a network every score is 0.5.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

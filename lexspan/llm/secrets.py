@@ -1,10 +1,12 @@
 """Secret scan: base patterns, and assignment-aware lexing of source and configuration text.
 
-The lexer reads each line that holds ``=`` or ``:`` as tokens (names, string and bare
-literals, operators), builds name-literal pairs (``name = literal``, ``name: literal``,
-``"name": "literal"``, ``--name=literal``, ``name = other`` with ``other`` bound before,
-joined literals ``"a" + "b"``), and keeps for every document what each name is bound to,
-so that constants propagate to later uses. A literal's score comes from the words of the
+The lexer reads a text that holds ``=`` or ``:`` as tokens (names, string and bare literals,
+operators, line breaks), builds name-literal pairs (``name = literal``, ``name: literal``,
+``"name": "literal"``, ``--name=literal``, ``<name>literal</name>``, ``name = other`` with
+``other`` bound before, joined literals ``"a" + "b"``, values on the line below), with the
+keys of enclosing braces and of lines with less indentation before the name, and keeps for
+every document which literals each name is bound to until it is bound anew, so that
+constants propagate to later uses. A call is no literal. A literal's score comes from the words of the
 name that it reaches: secret words add, harmless words (hash, id, path ...) take off, and
 the literal's own length and variety count. Literals at or above ``threshold`` are
 secrets of kind ``literal``.
@@ -38,8 +40,13 @@ WORD_SCORES = {
 _DUMMIES = {"changeme", "password", "secret", "example", "placeholder", "undefined", "redacted", "required", "optional"}
 THRESHOLD = 4.0
 
-_TOKEN = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>[A-Za-z_$][\w$.-]*|[\w+/=.-]+)|(?P<op>:=|=>|==|!=|[-+*/%]=|[=:+,;(){}\[\]])""", re.ASCII)
-_SIGN = re.compile(r"[=:]")
+_TOKEN = re.compile(
+    r"""(?P<string>\"""[\s\S]*?\"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>(?:--?)?[A-Za-z_$][\w$.-]*|[\w/][\w+/=.-]*)|(?P<op>:=|=>|==|!=|[-+*/%]=|[=:+,;(){}\[\]])|(?P<line>\n[\x20\t]*)""",
+    re.ASCII,
+)
+_BARE = re.compile(r"[\w$][\w$+/=.-]*", re.ASCII)
+_BINDS = ("=", ":", ":=", "=>")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>([^<>\s]{8,}+)</\1>", re.ASCII)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -69,52 +76,84 @@ def literal_score(value: str) -> float:
     return min(3.0, (kinds - 1) * 0.75 + (entropy - 2.5) * 0.75)
 
 
-def lines_with_signs(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each line that holds ``=`` or ``:``, in one pass."""
-    at = 0
-    while m := _SIGN.search(text, at):
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        yield text.rfind("\n", 0, m.start()) + 1, end
-        at = end
-
-
 def assignments(text: str) -> Iterator[tuple[str, int, int, str]]:
     """Name, start and end of a literal that reaches it, and the literal; constants propagate in the order of the text."""
-    bound: dict[str, tuple[int, int, str]] = {}
-    for first, last in lines_with_signs(text):
-        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
-        i = 0
-        while i < len(tokens) - 2:
-            kind, name, _, _ = tokens[i]
-            if tokens[i + 1][1] in ("=", ":", ":=", "=>") and kind in ("word", "string"):
-                name = name[1:-1] if kind == "string" else name.lstrip("-$")
-                spans, k = [], i + 2
-                while k < len(tokens) and tokens[k][0] in ("string", "word"):
-                    what, value, start, end = tokens[k]
-                    if what == "string":
-                        spans.append((start + 1, end - 1, value[1:-1]))
-                    elif value in bound:
-                        spans.append(bound[value])
-                    else:
-                        spans.append((start, end, value))
-                    if k + 1 < len(tokens) and tokens[k + 1][1] == "+":
-                        k += 2
-                        continue
+    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    bound: dict[str, list[tuple[int, int, str]]] = {}
+    braces: list[str] = []  # the key of each open brace
+    above: list[tuple[int, str]] = []  # indentation and key of the lines that this one belongs to
+    indent, i, n = 0, 0, len(tokens)
+    of = lambda k: tokens[k][1] if k < n else ""
+    kind_of = lambda k: tokens[k][0] if k < n else ""
+    while i < n:
+        kind, raw, _, _ = tokens[i]
+        if kind == "line":
+            if kind_of(i + 1) != "line":
+                indent = len(raw) - 1
+                while above and above[-1][0] >= indent:
+                    above.pop()
+        elif raw == "{":
+            braces.append("")
+        elif raw == "}" and braces:
+            braces.pop()
+        elif kind in ("string", "word") and of(i + 1) in _BINDS:
+            name = _inner(raw)[0] if kind == "string" else raw.lstrip("-$")
+            k = i + 2
+            if of(i + 1) in ("=", ":") and kind_of(k) == "line":
+                k += 1
+            if of(k) == "{":
+                braces.append(name)
+                i = k + 1
+                continue
+            if kind_of(k) in ("string", "word") and k > i + 2 and (of(k + 1) in _BINDS or len(tokens[k - 1][1]) - 1 <= indent and of(i + 1) == ":" and above):
+                above.append((indent, name))  # the lines below belong to this key
+                i += 2
+                continue
+            spans: list[tuple[int, int, str]] = []
+            while kind_of(k) in ("string", "word"):
+                what, value, start, end = tokens[k]
+                if what == "string":
+                    inside, skip = _inner(value)
+                    spans.append((start + skip, end - skip, inside))
+                elif value in bound:
+                    spans += bound[value]
+                elif of(k + 1) == "(":
+                    spans = []
+                    k += 1
                     break
-                if spans and name:
-                    joined = "".join(s[2] for s in spans)
-                    for start, end, _ in spans:
-                        yield name, start, end, joined
-                    if len(spans) == 1 and re.fullmatch(r"[A-Za-z_][\w.]*", name):
-                        bound[name] = spans[0]
-                i = k if spans else i + 2
+                else:  # a bare literal may hold signs that part names
+                    end = max(end, _BARE.match(text, start).end() if _BARE.match(text, start) else end)
+                    spans.append((start, end, text[start:end]))
+                    while k + 1 < n and tokens[k + 1][2] < end:
+                        k += 1
+                k += 1
+                if of(k) == "+" or of(k) == "(" and not spans:
+                    k += 2 if kind_of(k + 1) == "line" else 1
+                    continue
+                break
+            path = " ".join([*(key for key in braces if key), *(key for _, key in above), name])
+            joined = "".join(s[2] for s in spans)
+            for start, end, _ in spans:
+                yield path, start, end, joined
+            if spans:
+                bound[name] = spans
             else:
-                i += 1
+                bound.pop(name, None)
+            i = max(k, i + 2)
+            continue
+        i += 1
+    for m in _ELEMENT.finditer(text):
+        yield m.group(1), m.start(2), m.end(2), m.group(2)
+
+
+def _inner(raw: str) -> tuple[str, int]:
+    """A string literal's contents and the size of its quotes."""
+    size = 3 if len(raw) >= 6 and raw[:3] in ('"' * 3, "'" * 3) else 1
+    return raw[size:-size], size
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     found = {}
     for name, start, end, value in assignments(text):
@@ -149,7 +188,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
 
 
 def masked_text(text: str | None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> str | None:
-    """The text with every span (overlapping ones as one) replaced; null stays null."""
+    """The text with every span (overlapping ones as one) replaced; null stays null, empty stays empty."""
     if not text:
         return text
     out, at = [], 0
@@ -161,7 +200,10 @@ def masked_text(text: str | None, threshold: float = THRESHOLD, mark: str = "[SE
 
 
 def mask(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with secrets in ``text`` masked, all rows and columns kept; ``length``, if there, counts code points anew."""
+    """``docs`` with secrets in ``text`` masked, all rows and columns kept; ``length``, if there, counts code points anew.
+
+    Null and empty texts stay; repeated rows are masked alike, and an empty table stays empty.
+    """
     ship(docs.sparkSession)
     schema = docs.schema
 

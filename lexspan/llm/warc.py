@@ -117,9 +117,12 @@ def _file_system(path: str):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], names: list[str]):
         self.path = options["path"]
+        self.names = names
         self.want = options.get("payload", "bytes")  # bytes: the payload; digest: checked against its header only; none: not read
+        if self.want == "bytes" and "payload" not in names:
+            self.want = "none"
         self.size = int(options.get("partitionBytes", PARTITION_BYTES))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -169,7 +172,11 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(self.path)
-        schema = pa.schema([(c.split(" ")[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split(" ")[1]]) for c in SCHEMA.split(", ")])
+        every = [c.split(" ") for c in SCHEMA.split(", ")]
+        place = {name: i for i, (name, _) in enumerate(every)}
+        kinds = {name: {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind] for name, kind in every}
+        schema = pa.schema([(name, kinds[name]) for name in self.names])
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[place[n]] for r in rows], kinds[n]) for n in self.names], schema=schema)
         rows, held = [], 0
         for path in partition.paths:
             with system.open_input_stream(path, compression=None) if path.endswith(".gz") else system.open_input_file(path) as raw:
@@ -178,13 +185,13 @@ class WarcReader(DataSourceReader):
                     rows.append([*(header.get(h) for h in _HEADERS.values()), size, payload, path, offset])
                     held += len(payload or b"") + 500
                     if held > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        yield told(rows)
                         rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield told(rows)
 
     def records(self, source) -> Iterator[tuple[int, dict[str, str], bytes | None, int]]:
-        reader = _Buffered(source)
+        reader = _Buffered(source, self.want == "none")
         while True:
             offset = reader.at
             head = reader.until(b"\r\n\r\n")
@@ -198,17 +205,21 @@ class WarcReader(DataSourceReader):
             if not self.wanted(header):
                 reader.skip(length + 4)
                 continue
-            if self.want == "none" and header.get("warc-type") != "revisit" and "http" not in header.get("content-type", ""):
+            if self.want == "none":
+                size = length
+                if header.get("content-type", "").startswith("application/http"):
+                    http = reader.head(length)
+                    size = _told_length(http, length - len(http))
+                    length -= len(http)
                 reader.skip(length + 4)
-                yield offset, header, None, length
+                yield offset, header, None, size
                 continue
             block = reader.take(length)
             reader.skip(4)
             payload, size = block, length
             if header.get("content-type", "").startswith("application/http"):
                 http, _, payload = block.partition(b"\r\n\r\n")
-                told = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                size = int(told[0]) if told else len(payload)
+                size = _told_length(http, len(payload))
             if header.get("warc-type") == "revisit":
                 payload = None
             else:
@@ -218,16 +229,22 @@ class WarcReader(DataSourceReader):
             yield offset, header, payload if self.want == "bytes" else None, size
 
 
+def _told_length(http: bytes, otherwise: int) -> int:
+    told = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    return int(told[0]) if told else otherwise
+
+
 class _Buffered:
-    """A stream read in large steps; skipping seeks where the stream can."""
+    """A stream read in steps, large ones where blocks are wanted; skipping seeks where the stream can."""
 
-    STEP = 1 << 20
+    STEP, HEADER_STEP = 1 << 20, 1 << 13
 
-    def __init__(self, source):
+    def __init__(self, source, headers_only: bool = False):
         self.source, self.held, self.at, self.pos = source, b"", 0, 0
+        self.step = self.HEADER_STEP if headers_only else self.STEP
 
     def _fill(self) -> bool:
-        more = self.source.read(self.STEP)
+        more = self.source.read(self.step)
         self.held = self.held[self.pos :] + more
         self.pos = 0
         return bool(more)
@@ -243,6 +260,15 @@ class _Buffered:
         self.pos = found + len(mark)
         return out
 
+    def head(self, most: int) -> bytes:
+        """The next bytes up to the end of an HTTP header, of at most ``most`` bytes."""
+        seen = self.pos
+        while (found := self.held.find(b"\r\n\r\n", seen)) < 0 and len(self.held) - self.pos < most:
+            seen = max(0, len(self.held) - self.pos - 3)
+            if not self._fill():
+                raise ValueError("the archive ends within a record")
+        return self.take(min(most, found + 4 - self.pos) if found >= 0 else most)
+
     def take(self, n: int) -> bytes:
         while len(self.held) - self.pos < n:
             if not self._fill():
@@ -262,12 +288,16 @@ class _Buffered:
         if hasattr(self.source, "seekable") and self.source.seekable() and not isinstance(self.source, gzip.GzipFile):
             self.source.seek(self.source.tell() + left)
         else:
-            while left and (got := self.source.read(min(left, self.STEP))):
+            while left and (got := self.source.read(min(left, self.step))):
                 left -= len(got)
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(path)``; options ``payload`` (bytes, digest, none) and ``partitionBytes``."""
+    """``spark.read.format("warc").load(path)``; options ``payload`` (bytes, digest, none) and ``partitionBytes``.
+
+    Only the columns of a schema given to the reader are made; without ``payload`` among them
+    blocks are skipped after their HTTP header, as with the option ``none``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -277,11 +307,15 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        return WarcReader(dict(self.options), schema.names)
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
-    """The records of the archives in a folder (or of one file)."""
+    """The records of the archives in a folder (or of one file).
+
+    A folder without archives has none. A record that is cut short, does not begin as one, or
+    whose payload differs from its digest is an error that names the byte.
+    """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)

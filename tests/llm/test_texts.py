@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter as Tally
 
@@ -12,7 +13,7 @@ import pytest
 from lexspan.llm import bpe, html_text, packing, secrets, token_counts
 from lexspan.llm.blocks import TextBlock, text_blocks
 from lexspan.llm.decontaminate import TestWindows as Windows
-from lexspan.llm.decontaminate import find_contamination, items_digest, near_matches, search, terms, without_contamination
+from lexspan.llm.decontaminate import PositionalIndex, find_contamination, items_digest, near_matches, search, terms, without_contamination
 from lexspan.llm.quality_rules import Counts, apply_rules
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -52,7 +53,7 @@ def test_twin_words_keep_their_own_tokens_and_counts():
     counts = Counts(TextBlock(pa.array([f"{a}\n{b}", " ".join(a) + "\n" + " ".join(b)])))
     assert counts.n_dup_lines.tolist() == [0, 0] and len(set(counts.line_hash.tolist())) == 4
     hashes, firsts = terms(TextBlock(pa.array([a, b])))
-    assert search(hashes, firsts, Windows([a]))[1] == [{0}, set()]
+    assert searched(hashes, firsts, Windows([a]))[1] == [{0}, set()]
 
 
 def test_pieces_of_one_hash_are_told_apart(monkeypatch):
@@ -201,6 +202,12 @@ def brute_hits(text, items, size):
     return len(words), sum(hit), found
 
 
+def searched(hashes, firsts, tests, rng=None):
+    """Whatever the rarity of terms is taken to be, the same windows are found."""
+    rarity = np.array([rng.randrange(9) if rng else 0 for _ in tests.vocabulary], np.int64)
+    return search(PositionalIndex.of(hashes).within(tests.vocabulary), firsts, tests, rarity)
+
+
 def test_contamination_against_brute_force():
     rng = random.Random(3)
     make = lambda n: rng.choice([" ", ". ", "\n"]).join(rng.choice(["a", "B", "é", "c3", "Dd"]) for _ in range(n)) if n else rng.choice(["", None, "!!"])
@@ -208,7 +215,7 @@ def test_contamination_against_brute_force():
         items = [make(rng.choice([0, 1, 3, 4, 6])) for _ in range(rng.randint(0, 6))]
         docs = [make(rng.choice([0, 1, 5, 30, 60])) for _ in range(8)]
         hashes, firsts = terms(TextBlock(pa.array(docs, pa.string())))
-        mark, occurring = search(hashes, firsts, Windows(items, 4))
+        mark, occurring = searched(hashes, firsts, Windows(items, 4), rng)
         for i, d in enumerate(docs):
             assert (firsts[i + 1] - firsts[i], int(mark[firsts[i] : firsts[i + 1]].sum()), sorted(occurring[i])) == brute_hits(d, items, 4)
 
@@ -287,7 +294,12 @@ PAGES = {
     "a &amp; &lt;b&gt; &eacute;&#33;": "a & <b> é!",
     "<title>t</title><h1>H</h1>text<br>more<hr>end": "H\n\ntext\nmore\n\nend",
     "<div>a<div>b</div>c</div>": "a\nb\nc",
-    "<select><option>o</select><textarea>t</textarea><p>end": "end",
+    "<select><option>o<option>no</select><textarea>t &amp; u</textarea><p>end": "o t & u\n\nend",
+    "<table><tr><td rowspan=2>A<td>B<tr><td>C</table>": "A  B\n   C",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>x": "yes\nx",
+    "<div>" * 205 + "<div hidden>no</div>shown": "shown",
+    "a<svg><title>no</title><text>yes</text><path/></svg>b": "ayesb",
+    "x <3 <!-- c --><a \"> y": "x <3 y",
     "</p></li>lost <b": "lost",
     "": "",
 }
@@ -307,3 +319,90 @@ def test_pages_never_crash(spark):
     assert "deep" in deep
     pages = spark.createDataFrame([(1, None), (1, ""), (None, "<p>x")], "page_id long, html string")
     assert sorted((str(r[0]), r[1]) for r in html_text.extract(pages).collect()) == [("1", ""), ("1", ""), ("None", "x")]
+
+
+def random_page(rng, depth=0):
+    """Markup and the words that show, in order, by construction."""
+    markup, words = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "text", "block", "inline", "hidden", "script", "comment", "revealed"]) if depth < 6 else "text"
+        if kind == "text":
+            own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 3))]
+            markup.append(" " + rng.choice([" ", "\n"]).join(own) + " ")
+            words += own
+        elif kind == "script":
+            markup.append(f"<script>var no = '<p>no</p>';</script><style>no {{}}</style>")
+        elif kind == "comment":
+            markup.append("<!-- <div>no</div> --><?no ?><!no>")
+        else:
+            inner, own = random_page(rng, depth + 1)
+            if kind == "hidden":
+                markup.append(rng.choice(["<div hidden>{}</div>", "<span style='color:red;display : none'>{}</span>", "<template>{}</template>"]).format(inner))
+            elif kind == "revealed":
+                markup.append(f"<div style='visibility:hidden'>no <p>no</p><div style='visibility:visible'>{inner}</div> no</div>")
+                words += own
+            else:
+                name = rng.choice(["div", "p", "section", "h2"] if kind == "block" else ["b", "i", "a href='x>y'", "span"])
+                name = "div" if name == "p" and "<" in inner else name
+                markup.append(f"<{name}>{inner}</{name.split()[0]}>")
+                words += own
+    return "".join(markup), words
+
+
+def test_visible_words_by_construction():
+    rng = random.Random(11)
+    for _ in range(300):
+        markup, words = random_page(rng)
+        assert html_text.page_text(markup).split() == words, markup
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<div "', "<div>", "<p>", "<b><i>", "<td colspan=1000>", "</div>", "<!--", "<script>", '<a b="', "<table><tr><td>"])
+def test_hostile_markup_takes_seconds(piece):
+    began = time.monotonic()
+    html_text.page_text(piece * ((100_000 if piece == "<table><tr><td>" else 1_000_000) // len(piece)) + "x")
+    assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("text, found", [
+    ('a="abcD1234efgh"\na="no"+"pe"\nmy_password_x=a', []),
+    ('x="Zx9kQw1!"+"rTyU8"\nsecret_key=x', ["Zx9kQw1!", "rTyU8"]),
+    ('{"password": {"value": "Zx9kQw1rTyU8"}, "name": "Zx9kQw1rTyU9"}', ["Zx9kQw1rTyU8"]),
+    ("db:\n  secret:\n    inner: Zx9kQw1rTyU8\nname: Zx9kQw1rTyU9", ["Zx9kQw1rTyU8"]),
+    ("password:\n  Zx9kQw1rTyU8\n", ["Zx9kQw1rTyU8"]),
+    ("<password>Zx9kQw1rTyU8</password>", ["Zx9kQw1rTyU8"]),
+    ('client_secret = fetch_from_vault("x")', []),
+    ("auth = \"\"\"Zx9kQw1rTyU8\"\"\"", ["Zx9kQw1rTyU8"]),
+    ("--auth-token=Zx9k+Qw1/rTyU8==", ["Zx9k+Qw1/rTyU8=="]),
+])
+def test_literals_across_lines_and_names(text, found):
+    assert [text[a:b] for kind, a, b in secrets.scan_text(text) if kind == "literal"] == found
+
+
+def test_one_long_text_with_signs():
+    text = "x = 1\n" * 100_000 + 'my_secret = "Zx9kQw1rTyU8"\n' + "k: {" * 50_000
+    began = time.monotonic()
+    spans = secrets.scan_text(text)
+    assert [text[a:b] for kind, a, b in spans if kind == "literal"] == ["Zx9kQw1rTyU8"] and time.monotonic() - began < 30
+
+
+def test_plans_equal_an_exhaustive_search_of_thirteen_items():
+    rng = random.Random(1)
+    for _ in range(400):
+        capacity = rng.choice([20, 30, 50, 100])
+        items = sorted((rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 6, capacity // 2) for _ in range(13)), reverse=True)
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for room in {b for b in bins if b >= items[i]}:
+                at = bins.index(room)
+                go(i + 1, [*bins[:at], room - items[i], *bins[at + 1 :]])
+            go(i + 1, [*bins, capacity - items[i]])
+
+        go(0, [])
+        assert sum(n for _, n in packing.plan(Tally(items), capacity)) == best
