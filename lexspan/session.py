@@ -11,11 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Bytes of an Arrow batch that a session with Spark's own setting gets: whole texts of any length stay few in a worker.
+_ARROW, _ARROW_DEFAULT, _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they need no installed copy."""
+    """Send this package to the executors, once per application, so that they need no installed copy, and keep Arrow batches small."""
     context = spark.sparkContext
+    if str(spark.conf.get(_ARROW, None)).removesuffix("b") == str(_ARROW_DEFAULT):
+        spark.conf.set(_ARROW, str(_ARROW_BYTES))
     if getattr(context, "_lexspan_shipped", False):
         return
     target = Path(tempfile.mkdtemp()) / "lexspan_code.zip"  # the driver serves it; executors fetch it from there
@@ -52,12 +56,16 @@ def spill(spark: SparkSession, frame: DataFrame) -> tuple[DataFrame, str]:
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``spill`` wrote, on whatever file system they are."""
+    """Delete tables that ``spill`` wrote, on whatever file system they are, and let Spark drop the shuffle files of what made them.
+
+    Spark's cleaner drops these once the driver has collected the queries as garbage.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
+    jvm.System.gc()
 
 
 def settled(spark: SparkSession, frame: DataFrame) -> DataFrame:
