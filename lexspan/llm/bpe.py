@@ -15,6 +15,7 @@ import json
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def pieces(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """A byte-level BPE file of the ``tokenizers`` library, with what the prefix counts need of it."""
+    """A byte-level BPE file of the ``tokenizers`` library; its tables are read when the prefix counts first need them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,20 +93,35 @@ class Vocabulary:
         if (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["normalizer"] or told["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a plain byte-level BPE vocabulary is needed")
         self.special = [t["content"] for t in told["added_tokens"]]
+        self.path = path
+        self._fits: dict[tuple[int, int], bool] = {}
+        self._whole: dict[int, bool] = {}
+
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
         spelled = _byte_letters()
-        self.bytes_of = {}
-        self.id_of = {}
-        for text, i in told["model"]["vocab"].items():
-            self.bytes_of[i] = raw = bytes(spelled[c] for c in text)
-            self.id_of[raw] = i
-        self.merges = {}
-        for rank, pair in enumerate(told["model"]["merges"]):
+        return {i: bytes(spelled[c] for c in text) for text, i in self._model()["vocab"].items()}
+
+    @cached_property
+    def id_of(self) -> dict[bytes, int]:
+        return {raw: i for i, raw in self.bytes_of.items()}
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        spelled, out = _byte_letters(), {}
+        for rank, pair in enumerate(self._model()["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             x, y = (self.id_of[bytes(spelled[c] for c in s)] for s in (a, b))
-            self.merges[x, y] = rank, self.id_of[self.bytes_of[x] + self.bytes_of[y]]
-        self.longest = max(map(len, self.id_of))
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+            out[x, y] = rank, self.id_of[self.bytes_of[x] + self.bytes_of[y]]
+        return out
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.id_of))
+
+    def _model(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
 
     def merge(self, raw: bytes) -> list[int]:
         """Byte-pair merging as defined: the lowest-ranked pair first, the leftmost among equals."""

@@ -18,14 +18,15 @@ the words that are hit so far.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import ALNUM, LOWER, TextBlock, text_blocks, window_hashes, word_hashes
+from lexspan.llm.blocks import ALNUM, LOWER, TextBlock, give_back, text_blocks, window_hashes, word_hashes
 from lexspan.session import forget, settled, ship, spill, table
 
 WINDOW = 10
@@ -155,14 +156,18 @@ def search(index: PositionalIndex, firsts: np.ndarray, tests: TestWindows, rarit
     return np.cumsum(edges[:-1]) > 0, items
 
 
-def item_passes(benchmark: DataFrame, text: str, key: str) -> Iterator[tuple[list[str], list[str | None]]]:
-    """The test items (names and texts) in parts of about ``ITEM_BYTES`` at most; each part is read by itself."""
+def item_passes(benchmark: DataFrame, text: str, key: str) -> Iterator[Callable[[], tuple[list[str], list[str | None]]]]:
+    """Readers of the test items (names and texts) in parts of about ``ITEM_BYTES`` at most; each part is read by itself."""
     read = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.col(text).alias("t"))
     total = read.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     parts = -(-2 * total // ITEM_BYTES) if total > ITEM_BYTES else 1
-    for p in range(parts):
+
+    def part(p: int) -> tuple[list[str], list[str | None]]:
         rows = read.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == p).collect()
-        yield [r["k"] for r in rows], [r["t"] for r in rows]
+        return [r["k"] for r in rows], [r["t"] for r in rows]
+
+    for p in range(parts):
+        yield partial(part, p)
 
 
 _INDEX = "terms array<long>, first array<int>, positions array<int>, firsts array<int>"
@@ -233,14 +238,22 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def contaminated_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
-    """Per document of the index: ``key``, ``th``, ``n_words``, ``n_hit`` and ``items`` (sorted keys of items with occurring windows)."""
-    found = index.withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("array<array<string>>"))
-    for names, texts in item_passes(benchmark, text, item):
+def contaminated_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> tuple[DataFrame, list[str]]:
+    """Per document of the index: ``key``, ``th``, ``n_words``, ``n_hit`` and ``items`` (sorted keys of items with occurring windows).
+
+    And the tables that hold what earlier passes found, to forget after use.
+    """
+    spark = index.sparkSession
+    found, paths = index.withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("array<array<string>>")), []
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    parts = list(item_passes(benchmark, text, item))
+    for number, read in enumerate(parts):
+        names, texts = read()
         tests = TestWindows(texts, window)
         rarity = term_counts(index, tests.vocabulary)
+        last = number == len(parts) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], names=names, tests=tests, rarity=rarity) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], names=names, tests=tests, rarity=rarity, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 marks, lists = [], []
                 for row in range(batch.num_rows):
@@ -251,24 +264,23 @@ def contaminated_index(index: DataFrame, benchmark: DataFrame, window: int = WIN
                     if had is not None:
                         mark = mark | np.unpackbits(np.frombuffer(had, np.uint8), count=len(mark)).astype(bool)
                         held = [a | set(b) for a, b in zip(held, batch.column("items")[row].as_py())]
+                    if last:
+                        sums = np.concatenate(([0], np.cumsum(mark, dtype=np.int64)))
+                        columns = [_compact(batch.column(c)[row].values) for c in ("keys", "hashes")] + [pa.array(np.diff(firsts)), pa.array(sums[firsts[1:]] - sums[firsts[:-1]]), pa.array([sorted(f) for f in held], pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["key", "th", "n_words", "n_hit", "items"])
                     marks.append(np.packbits(mark).tobytes())
                     lists.append([sorted(f) for f in held])
-                columns = {name: batch.column(name) for name in batch.schema.names} | {"hit": pa.array(marks, pa.binary()), "items": pa.array(lists, pa.list_(pa.list_(pa.string())))}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                if not last:
+                    columns = {name: batch.column(name) for name in batch.schema.names} | {"hit": pa.array(marks, pa.binary()), "items": pa.array(lists, pa.list_(pa.list_(pa.string())))}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            give_back()
 
-        found = found.mapInArrow(run, found.schema)
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                firsts = batch.column("firsts")[row].values.to_numpy().astype(np.int64)
-                mark = np.unpackbits(np.frombuffer(batch.column("hit")[row].as_py(), np.uint8), count=int(firsts[-1]))
-                sums = np.concatenate(([0], np.cumsum(mark, dtype=np.int64)))
-                columns = [_compact(batch.column("keys")[row].values), _compact(batch.column("hashes")[row].values), pa.array(np.diff(firsts)), pa.array(sums[firsts[1:]] - sums[firsts[:-1]]), _compact(batch.column("items")[row].values)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "th", "n_words", "n_hit", "items"])
-
-    kind = index.schema["keys"].dataType.elementType.simpleString()
-    return found.select("keys", "hashes", "firsts", "hit", "items").mapInArrow(told, f"key {kind}, th long, n_words long, n_hit long, items array<string>")
+        if last:
+            found = found.mapInArrow(run, f"key {kind}, th long, n_words long, n_hit long, items array<string>")
+        else:
+            found, path = spill(spark, found.mapInArrow(run, found.schema))
+            paths.append(path)
+    return found, paths
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -281,8 +293,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     index, path = spill(spark, build_index(docs, text, key))
-    out = settled(spark, contaminated_index(index, benchmark, window, item_text, item).select(F.col("key").alias(key), "n_words", "n_hit", "items"))
-    forget(spark, path)
+    found, paths = contaminated_index(index, benchmark, window, item_text, item)
+    out = settled(spark, found.select(F.col("key").alias(key), "n_words", "n_hit", "items"))
+    forget(spark, path, *paths)
     return out
 
 
@@ -294,8 +307,9 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = W
     """
     spark = docs.sparkSession
     index, path = spill(spark, build_index(docs, text, key))
-    gone = settled(spark, contaminated_index(index, benchmark, window, item_text, item).where("n_hit > 0").select(F.col("key").alias("its_key"), F.col("th").alias("its_th")).distinct())
-    forget(spark, path)
+    found, paths = contaminated_index(index, benchmark, window, item_text, item)
+    gone = settled(spark, found.where("n_hit > 0").select(F.col("key").alias("its_key"), F.col("th").alias("its_th")).distinct())
+    forget(spark, path, *paths)
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     whole = docs.select(F.struct("*").alias("whole"), docs[_quoted(key)].alias("key"), F.xxhash64(docs[_quoted(text)]).alias("th"))
     kept = whole.join(F.broadcast(gone) if small else gone, (F.col("th") == F.col("its_th")) & F.col("key").eqNullSafe(F.col("its_key")), "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import LOWER, SPACED, TextBlock, mix, text_blocks, window_hashes, word_hashes
+from lexspan.llm.blocks import LOWER, SPACED, TextBlock, give_back, mix, text_blocks, window_hashes, word_hashes
 from lexspan.llm.components import components
 from lexspan.session import forget, settled, ship, spill, table
 
@@ -453,6 +453,7 @@ def _compared(dealt: DataFrame, names: list[str], compare, schema: str) -> DataF
                 yield batch_of(out)
                 out = []
         yield batch_of(out)
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 
@@ -549,13 +550,16 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     ship(spark)
     docs = _read(docs, text, key)
     frequent, counts = _frequent(docs, ngram)
-    paths: list[str] = []
+    paths: dict[int, str] = {}
 
     def keep(frame: DataFrame) -> DataFrame:
         frame, path = spill(spark, frame)
-        paths.append(path)
+        paths[id(frame)] = path
         return frame
 
+    def done(*frames: DataFrame) -> None:
+        forget(spark, *(paths.pop(id(f)) for f in frames))
+
     told = _told_apart(keep(_described(docs, frequent, ngram, percent).withColumn("first", F.col("cid"))))
     full = told.where("cid is not null")
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
@@ -572,6 +576,7 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     named = keep(_candidates(members.withColumn("comp", F.col("cid")), classes, percent))
     pairs = keep(named.where("x is not null").select("x", "y").distinct())
     again = keep(named.where("x is null").select("tile").distinct())
+    done(named)
     links = None
 
     def of_classes(wanted: DataFrame) -> DataFrame:
@@ -583,7 +588,9 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
         groups = keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     if not pairs.isEmpty():
-        merged(keep(_linked(pairs, of_classes(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()), percent)))
+        arrays = of_classes(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
+        merged(keep(_linked(pairs, arrays, percent)))
+        done(arrays)
     if not again.isEmpty():
         rows = members.join(again, "tile", "left_semi")
         if groups is None:
@@ -592,8 +599,11 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
             rows = rows.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("tile", "cid", F.coalesce("component", "cid").alias("comp"))
         several = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
         rows = keep(rows.join(several, "tile", "left_semi"))
+        done(tiles)
         for once in (False, True):  # the tiles of a member, told with each row, are few after the first
-            rows = rows if rows.isEmpty() else keep(_undecided(rows, classes, percent, once))
+            if not rows.isEmpty():
+                before, rows = rows, keep(_undecided(rows, classes, percent, once))
+                done(before)
         if not rows.isEmpty():
             merged(keep(_last_links(rows, classes, of_classes(rows.select("cid").distinct()), percent)))
 
@@ -604,7 +614,7 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     by_class = named.join(smallest, "comp").select("cid", "comp", "component_id")
     out = told.select("key", "th", "n", "cid").join(by_class, "cid", "left").select("key", "th", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), "comp")
     out = settled(spark, out)
-    forget(spark, *paths)
+    forget(spark, *paths.values())
     return out
 
 

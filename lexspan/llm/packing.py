@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from lexspan.session import forget, settled, ship, spill, table
 
 #: Rows of one length that are ranked together, and into how many such slices a length is dealt at most.
 SLICE, MAX_SLICES = 500, 4096
+#: Choices of the search whose further branches are held ready; those of earlier choices are made again when needed.
+LIVE_BRANCHES = 32
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -142,38 +145,41 @@ def plan(lengths: dict[int, int], capacity: int, nodes: int | None = None) -> li
     least = -(-total // capacity)
     best = best_fit(lengths, capacity)
     best_bins = sum(n for _, n in best)
-    visited = 0
-    # each entry: counts left, sequences used, total left, the plan so far (linked), branches still to try
-    stack: list[list] = [[lengths, 0, total, None, None]]
+    visited, used, left = 0, 0, total
+    counts = dict(lengths)
+    # each entry: the choice that led here (pattern, times), its branches, and how many of these have been taken
+    stack: list[list] = [[(), 0, None, 0]]
     while stack and best_bins > least and visited < nodes:
-        counts, used, left, made, branches = stack[-1]
-        if branches is None:
-            if not counts:
-                if used < best_bins:
-                    best_bins, best = used, _unlink(made)
-                stack.pop()
-                continue
-            spare = (best_bins - 1) * capacity - used * capacity - left  # waste that may still come
-            if spare < 0 or used + -(-left // capacity) >= best_bins:
-                stack.pop()
-                continue
-            branches = stack[-1][4] = _branches(counts, capacity, spare)
-        pattern, times = next(branches, (None, 0))
-        if pattern is None:
-            stack.pop()
+        entry = stack[-1]
+        spare = (best_bins - 1 - used) * capacity - left  # waste that may still come
+        choice = None
+        if not counts:
+            if used < best_bins:
+                best_bins, best = used, [(p, n) for p, n, _, _ in stack[1:]]
+        elif spare >= 0 and used + -(-left // capacity) < best_bins:
+            if entry[2] is None:  # not begun, or put aside
+                entry[2] = islice(_branches(counts, capacity, spare), entry[3], None)
+            choice = next(entry[2], None)
+        if choice is None:
+            pattern, times, _, _ = stack.pop()
+            for s in pattern:
+                counts[s] = counts.get(s, 0) + times
+            used, left = used - times, left + times * sum(pattern)
             continue
+        pattern, times = choice
         visited += 1
-        need = {s: pattern.count(s) for s in pattern}
+        entry[3] += 1
         waste = capacity - sum(pattern)
-        spare = (best_bins - 1) * capacity - used * capacity - left
         if waste:
             times = max(1, min(times, spare // waste))
-        after = dict(counts)
-        for s, k in need.items():
-            after[s] -= k * times
-            if not after[s]:
-                del after[s]
-        stack.append([after, used + times, left - times * sum(pattern), (pattern, times, made), None])
+        for s in pattern:
+            counts[s] -= times
+            if not counts[s]:
+                del counts[s]
+        used, left = used + times, left - times * sum(pattern)
+        stack.append([pattern, times, None, 0])
+        if len(stack) > LIVE_BRANCHES:
+            stack[-LIVE_BRANCHES][2] = None  # made again if the search comes back
     return best
 
 
@@ -192,14 +198,6 @@ def _branches(counts: dict[int, int], capacity: int, spare: int) -> Iterator[tup
             yield pattern, times
 
 
-def _unlink(made) -> list[tuple[tuple[int, ...], int]]:
-    out = []
-    while made:
-        pattern, times, made = made
-        out.append((pattern, times))
-    return out[::-1]
-
-
 class Places:
     """The plan, turned round: for each length, which ranks stand in which sequences and where."""
 

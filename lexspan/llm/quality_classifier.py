@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
                 bags.append(own.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array(bags, pa.binary())], ["y", "h", "bag"])
 
-    rows = sorted((r["y"], bytes(r["bag"])) for r in sample.mapInArrow(encode, "y int, h long, bag binary").orderBy("h", "y", "bag").limit(2 * TRAIN_ROWS).collect())
+    rows = sorted((r["y"], bytes(r["bag"])) for r in sample.mapInArrow(encode, "y int, h long, bag binary").orderBy("h", "y").limit(2 * TRAIN_ROWS).collect())
     if not rows:
         return None
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, b in rows]
