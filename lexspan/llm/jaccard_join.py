@@ -143,48 +143,73 @@ def _frequent(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     return sigs[order], rows.column("n").to_numpy()[order]
 
 
-def _described(docs: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
-    """Per row: key, hash of the text, set size, class (``cid`` and ``cid2``), prefix in the common order, bitmap."""
+def _described(docs: DataFrame, ngram: int) -> DataFrame:
+    """Per row: key, hash of the text, set size, class (``cid`` and ``cid2``), bitmap (once for each class of a task)."""
     kind = docs.schema["key"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch, block in text_blocks(batches):
+            sets = shingle_sets(block, ngram)
+            ids = [class_id(own) if len(own) else (None, None) for own in sets]
+            bits = [bitmap(own) if first else None for own, first in zip(sets, _first_seen(ids, seen))]
+            columns = [batch.column("key"), batch.column("th"), pa.array([len(own) for own in sets], pa.int64()), pa.array([c for c, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "th", "n", "cid", "cid2", "bits"])
+
+    return docs.mapInArrow(run, f"key {kind}, th long, n long, cid long, cid2 long, bits binary")
+
+
+def _first_seen(ids: list[tuple], seen: set[tuple]) -> Iterator[bool]:
+    """Whether each class is one that this task has not told of yet."""
+    for c in ids:
+        fresh = c[0] is not None and c not in seen
+        if fresh:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(c)
+        yield fresh
+
+
+def _prefixes(docs: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
+    """Set size, class and prefix in the common order, once for each class of a task.
+
+    Made from the texts again: stored, they would take a third of the input.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(1 << 20, bool)
         marked[(frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        seen: set[tuple[int, int]] = set()  # classes of this task whose prefix is out already
-        for batch, block in text_blocks(batches):
-            sizes, classes, seconds, prefixes, stops, bits = [], [], [], [], [0], []
-            for own in shingle_sets(block, ngram):
-                sizes.append(len(own))
-                c = class_id(own) if len(own) else (None, None)
-                classes.append(c[0])
-                seconds.append(c[1])
-                length = 0
-                if len(own) and c not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(c)
-                    length = prefix_length(len(own), percent)
-                    late = marked[(own & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                    if late.any():
-                        at = np.flatnonzero(late)
-                        late[at] = np.isin(own[at], frequent, assume_unique=True)
-                        prefixes.append(np.concatenate((own[~late], own[late]))[:length])
-                    else:
-                        prefixes.append(own[:length])
-                stops.append(stops[-1] + length)
-                bits.append(bitmap(own) if length else None)
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(seconds, pa.int64()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())], ["key", "th", "n", "cid", "cid2", "prefix", "bits"])
-
-    return docs.mapInArrow(run, f"key {kind}, th long, n long, cid long, cid2 long, prefix array<long>, bits binary")
-
-
-def _told_apart(told: DataFrame) -> DataFrame:
-    """``told`` with class ids that differ wherever the halves of the class hash do: equal first halves are rare, but not impossible."""
-    same = told.where("cid is not null").groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).where("lo <> hi").select("cid")
-    if same.isEmpty():
-        return told
-    again = told.join(F.broadcast(same.withColumn("twice", F.lit(True))), "cid", "left")
+        seen: set[tuple[int, int]] = set()
+        for _, block in text_blocks(batches):
+            sets = shingle_sets(block, ngram)
+            ids = [class_id(own) if len(own) else (None, None) for own in sets]
+            kept = [(own, c) for own, c, first in zip(sets, ids, _first_seen(ids, seen)) if first]
+            prefixes = [np.zeros(0, np.uint64)]
+            for own, _ in kept:
+                length = prefix_length(len(own), percent)
+                late = marked[(own & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                if late.any():
+                    at = np.flatnonzero(late)
+                    late[at] = np.isin(own[at], frequent, assume_unique=True)
+                    own = np.concatenate((own[~late], own[late]))
+                prefixes.append(own[:length])
+            stops = np.cumsum([len(p) for p in prefixes]).astype(np.int32)
+            columns = [pa.array([len(own) for own, _ in kept], pa.int64()), pa.array([c for _, (c, _) in kept], pa.int64()), pa.array([c for _, (_, c) in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(prefixes).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "cid", "cid2", "prefix"])
+
+    return docs.select("text").mapInArrow(run, "n long, cid long, cid2 long, prefix array<long>")
+
+
+def _ambiguous(told: DataFrame) -> DataFrame:
+    """First halves of class hashes that several classes have: rare, but not impossible."""
+    return told.where("cid is not null").groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).where("lo <> hi").select("cid")
+
+
+def _told_apart(rows: DataFrame, ambiguous: DataFrame | None) -> DataFrame:
+    """``rows`` with class ids that differ wherever the halves of the class hash do."""
+    if ambiguous is None:
+        return rows
+    again = rows.join(F.broadcast(ambiguous.withColumn("twice", F.lit(True))), "cid", "left")  # a handful of rows
     return again.withColumn("cid", F.when(F.col("twice"), F.xxhash64("cid", "cid2")).otherwise(F.col("cid"))).drop("twice")
 
 
@@ -560,16 +585,21 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     def done(*frames: DataFrame) -> None:
         forget(spark, *(paths.pop(id(f)) for f in frames))
 
-    told = _told_apart(keep(_described(docs, frequent, ngram, percent).withColumn("first", F.col("cid"))))
+    stored = keep(_described(docs, ngram).withColumn("first", F.col("cid")))
+    ambiguous = settled(spark, _ambiguous(stored))
+    ambiguous = None if ambiguous.isEmpty() else ambiguous
+    told = _told_apart(stored, ambiguous)
     full = told.where("cid is not null")
     # one row per class; a task sends a class's bitmap once, so some rows of a class have none
     classes = full.groupBy("cid").agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").alias("rep"), "th")).alias("r"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("first").alias("first"), F.min("cid2").alias("cid2"))
     classes = keep(classes.select("cid", "least", F.col("r.rep").alias("rep"), F.col("r.th").alias("th"), "n", "bits", "first", "cid2"))
+    done()  # what the classes were grouped by is not needed while the tiles are gathered
     parts = -(-counts // PART_ROWS)
     hot = None
     if (parts > 1).any():
         hot = spark.createDataFrame(pa.table({"sig": frequent[parts > 1].view(np.int64), "parts": parts[parts > 1].astype(np.int64)}))
-    tiles = keep(_tiles(full.select("n", "cid", F.explode("prefix").alias("sig")), hot, percent))
+    signed = _told_apart(_prefixes(docs, frequent, ngram, percent), ambiguous).select("n", "cid", F.explode("prefix").alias("sig"))
+    tiles = keep(_tiles(signed, hot, percent))
     members = tiles.select("tile", F.explode("cids").alias("cid"))
 
     groups = None

@@ -89,6 +89,20 @@ def test_words_of_one_polynomial_hash_are_not_linked(spark):
     assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect())) == [(0, 1, 0), (1, 1, 1)]
 
 
+def test_classes_of_equal_first_halves_are_told_apart(spark, monkeypatch):
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    short = jaccard_join.class_id
+    monkeypatch.setattr(jaccard_join, "_described", lambda *a: described(*a).withColumn("cid", F.col("cid") % 3))
+    monkeypatch.setattr(jaccard_join, "_prefixes", lambda *a: prefixes(*a).withColumn("cid", F.col("cid") % 3))
+    monkeypatch.setattr(jaccard_join, "_arrays", lambda docs, wanted, ngram: arrays(docs, wanted.drop("first").join(told, "cid2"), ngram))
+    told = spark.createDataFrame([(a, b) for a, b in {short(s) for s in jaccard_join.shingle_sets(TextBlock(pa.array([t for _, t in rows], pa.string()))) if len(s)}], "first long, cid2 long")
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect()), key=str) == brute_groups(rows)
+
+
+described, prefixes, arrays = jaccard_join._described, jaccard_join._prefixes, jaccard_join._arrays
+
+
 def test_near_copies_of_one_text(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", 64)
     monkeypatch.setattr(jaccard_join, "ARRAY_ROWS", 32)
