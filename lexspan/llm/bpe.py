@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lexspan.llm.blocks import TextBlock, word_hashes
+from lexspan.llm.blocks import TextBlock, quick_hashes
 
-STORE = 1_500_000
+STORE = 600_000
 _OTHER, _LETTER, _DIGIT, _SPACE = 0, 1, 2, 3
 _CLASSES: list[np.ndarray] = []
 #: White space of the pattern: the Unicode property White_Space.
@@ -187,11 +187,14 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+
+
 class PieceStore:
     """What ``measure`` says of each distinct piece, in arrays that whole blocks look up at once.
 
-    Pieces are found by hash and then compared byte by byte; one that shares its hash with
-    another is kept apart by its bytes.
+    A piece of up to seven bytes is its own key. Longer ones are found by hash and then
+    compared byte by byte; one that shares its hash with another is kept apart by its bytes.
     """
 
     def __init__(self, measure: Callable[[list[bytes]], list[np.ndarray]]):
@@ -219,7 +222,11 @@ class PieceStore:
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The slot of every piece ``data[starts[i]:ends[i]]``; ``flat[first[slot]:first[slot + 1]]`` is its value."""
-        hashes = word_hashes(data, starts, ends)
+        sizes = ends - starts
+        long = np.flatnonzero(sizes > 7)
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        hashes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts] & _FIRST_BYTES[np.minimum(sizes, 7)] | sizes.astype(np.uint64) << np.uint64(56)
+        hashes[long] = quick_hashes(data, starts[long], ends[long]) | np.uint64(255 << 56)
         distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > STORE:
             self.clear()
@@ -233,7 +240,7 @@ class PieceStore:
             self.slots = np.insert(self.slots, at[~known], slots)
             at = np.searchsorted(self.keys, distinct)
         slots = self.slots[at][back]
-        for i in np.flatnonzero(~self._same(data, starts, ends, slots)).tolist():
+        for i in long[~self._same(data, starts[long], ends[long], slots[long])].tolist():
             piece = data[starts[i] : ends[i]].tobytes()
             if piece not in self.others:
                 self.others[piece] = int(self._add([piece])[0])
@@ -255,6 +262,14 @@ class PieceStore:
         return same
 
 
+_STORES: dict[tuple[str, str], PieceStore] = {}
+
+
+def store_of(vocab: Vocabulary, what: str, measure: Callable[[list[bytes]], list[np.ndarray]]) -> PieceStore:
+    """The worker's store of ``what`` is measured by this vocabulary; it outlives the task."""
+    return _STORES.setdefault((vocab.path, what), PieceStore(measure))
+
+
 def plain(block: TextBlock, special: list[str]) -> np.ndarray:
     """Documents without any special token's string."""
     out = np.ones(block.n, bool)

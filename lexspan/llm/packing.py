@@ -241,7 +241,7 @@ def ids_of_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(vocabulary)
-        store = bpe.PieceStore(lambda found: bpe.library_ids(vocab, found))
+        store = bpe.store_of(vocab, "ids", lambda found: bpe.library_ids(vocab, found))
         for batch, block in text_blocks(batches, text):
             rows, numbers, starts, lengths, values = [], [], [], [], []
             for row, ids in enumerate(bpe.encoded(block, vocab, store)):

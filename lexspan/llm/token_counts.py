@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int | None = None, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(vocabulary)
-        store = bpe.PieceStore(lambda found: [np.array([vocab.prefix_counts(p)[-1]], np.uint32) for p in found])
+        store = bpe.store_of(vocab, "counts", lambda found: [np.array([vocab.prefix_counts(p)[-1]], np.uint32) for p in found])
         for batch, block in text_blocks(batches, text):
             starts, firsts = bpe.pieces(block)
             slots = store.find(block.data, starts, np.append(starts[1:], len(block.data)))

@@ -57,7 +57,7 @@ def test_twin_words_keep_their_own_tokens_and_counts():
 
 
 def test_pieces_of_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))  # many collisions
+    monkeypatch.setattr(bpe, "quick_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))  # many collisions
     vocab = bpe.vocabulary(VOCABULARY)
     store = bpe.PieceStore(lambda found: bpe.library_ids(vocab, found))
     for _ in range(2):
