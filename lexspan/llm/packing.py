@@ -26,6 +26,8 @@ from lexspan.session import forget, settled, ship, spill, table
 SLICE, MAX_SLICES = 500, 4096
 #: Choices of the search whose further branches are held ready; those of earlier choices are made again when needed.
 LIVE_BRANCHES = 32
+#: Fillings that a new one is compared with; also, after so many dominated ones a node is counted.
+COMPARED = 64
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -37,7 +39,7 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 # The search -----------------------------------------------------------------
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...] | None]:
     """Undominated ways to fill ``room`` from the lengths in ``counts``, least waste first; all of them, as far as asked for.
 
     Every filling is maximal: no length left would still fit. A filling is dominated if
@@ -45,40 +47,41 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tup
     place on can reach is known as bits, so no branch is entered that ends elsewhere.
     """
     sizes = sorted((s for s in counts if s <= room and counts[s] > 0), reverse=True)
-    reach = [1] * (len(sizes) + 1)
-    mask = (1 << (room + 1)) - 1
-    for k in range(len(sizes) - 1, -1, -1):
-        sums, left, step = reach[k + 1], min(counts[sizes[k]], room // sizes[k]), 1
-        while left:
-            step = min(step, left)
-            sums |= sums << (step * sizes[k]) & mask
-            left -= step
-            step *= 2
-        reach[k] = sums
-
-    def exact(k: int, total: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        work = [(k, total, taken)]
-        while work:
-            k, total, taken = work.pop()
-            if not total:
-                yield taken
-                continue
-            if k == len(sizes) or not reach[k] >> total & 1:
-                continue
-            size = sizes[k]
-            for n in range(min(counts[size], total // size) + 1):  # the last put is looked at first: larger items first
-                work.append((k + 1, total - n * size, taken + (size,) * n))
-
     kept: list[tuple[int, ...]] = []
+    tried = 0
     for waste in range(min(most_waste, room) + 1):
-        if not reach[0] >> (room - waste) & 1:
-            continue
-        for filling in exact(0, room - waste, ()):
-            if any(s <= waste and counts[s] > filling.count(s) for s in sizes[::-1]):
+        large = [s for s in sizes if s > waste]
+        rest = tuple(s for s in sizes if s <= waste for _ in range(counts[s]))  # else the filling is not maximal
+        total = room - waste - sum(rest)
+        if total < 0:
+            break
+        reach = [1] * (len(large) + 1)
+        mask = (1 << (total + 1)) - 1
+        for k in range(len(large) - 1, -1, -1):
+            sums, left, step = reach[k + 1], min(counts[large[k]], total // large[k]), 1
+            while left:
+                step = min(step, left)
+                sums |= sums << (step * large[k]) & mask
+                left -= step
+                step *= 2
+            reach[k] = sums
+        work = [(0, total, ())]
+        while work:
+            k, missing, taken = work.pop()
+            if not reach[k] >> missing & 1:
+                continue
+            if missing:
+                size = large[k]
+                for n in range(min(counts[size], missing // size) + 1):  # the last put is looked at first: larger items first
+                    work.append((k + 1, missing - n * size, taken + (size,) * n))
                 continue
-            if not any(holds(other, filling) for other in kept):
+            filling = taken + rest
+            tried += 1
+            if not any(holds(other, filling) for other in kept[:COMPARED]):
                 kept.append(filling)
                 yield filling
+            elif tried % COMPARED == 0:
+                yield None  # so that the caller's count of nodes ends a long search
 
 
 def holds(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
@@ -169,6 +172,8 @@ def plan(lengths: dict[int, int], capacity: int, nodes: int | None = None) -> li
         pattern, times = choice
         visited += 1
         entry[3] += 1
+        if pattern is None:
+            continue
         waste = capacity - sum(pattern)
         if waste:
             times = max(1, min(times, spare // waste))
@@ -189,6 +194,9 @@ def _branches(counts: dict[int, int], capacity: int, spare: int) -> Iterator[tup
     rest = counts | {top: counts[top] - 1}
     told = []
     for filling in fillings(rest, capacity - top, spare):
+        if filling is None:
+            yield None, 0
+            continue
         pattern = (top, *filling)
         times = min(counts[s] // pattern.count(s) for s in set(pattern))
         told.append((pattern, times))

@@ -117,8 +117,9 @@ def _file_system(path: str):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, options: dict[str, str], names: list[str]):
+    def __init__(self, options: dict[str, str], names: list[str] | None = None):
         self.path = options["path"]
+        names = [c.split(" ")[0] for c in SCHEMA.split(", ")] if names is None else names
         self.names = names
         self.want = options.get("payload", "bytes")  # bytes: the payload; digest: checked against its header only; none: not read
         if self.want == "bytes" and "payload" not in names:
