@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lexspan.llm.centroids import op12_centroid_clustering
 from lexspan.llm.decontaminate import op10_benchmark_decontamination
+from lexspan.llm.hard_negatives import op13_hard_negatives
 from lexspan.llm.html_text import op7_html_extraction
 from lexspan.llm.jaccard_join import op1_jaccard_join
 from lexspan.llm.language_id import op4_language_id
@@ -26,8 +28,28 @@ QUERIES = {
         op8_token_counts,
         op9_warc,
         op10_benchmark_decontamination,
+        op12_centroid_clustering,
+        op13_hard_negatives,
     )
 }
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Clusters after so many rounds, a pair of common tables each."""
+    kept = "len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64"
+    ctes = [
+        f"v AS (SELECT vec_id, row_number() OVER () AS i, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {kept})",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x AS c FROM (SELECT x, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM v) ORDER BY h NULLS LAST, x LIMIT 16)",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS (SELECT vec_id, x, k, s FROM (SELECT vec_id, x, k, s, row_number() OVER (PARTITION BY i ORDER BY s, k) AS nth FROM (SELECT vec_id, i, x, k, list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS s FROM v, c{r})) WHERE nth = 1)")
+        if r < rounds:
+            ctes.append(f"m{r} AS (SELECT k, list(CAST(floor_div AS BIGINT) ORDER BY j) AS c FROM (SELECT k, j, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) / count(*) AS floor_div FROM (SELECT k, unnest(x) AS y, unnest(range(1, 65)) AS j FROM a{r}) GROUP BY k, j) GROUP BY k)")
+            ctes.append(f"c{r + 1} AS (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 SQL: dict[str, str] = {
@@ -59,4 +81,11 @@ found AS (SELECT DISTINCT doc_id, item_id, p, n FROM places JOIN wanted USING (n
 hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
 held AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op12_centroid_clustering": _centroid_sql(3),
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, row_number() OVER () AS i, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+scores AS (SELECT a.i AS ai, a.vec_id AS anchor_id, b.i AS bi, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.x) + 1), lambda j: a.x[j] * b.x[j])) AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.i <> b.i AND len(a.x) = len(b.x)),
+positives AS (SELECT ai, anchor_id, id AS positive_id, s AS positive_score, row_number() OVER (PARTITION BY ai ORDER BY s DESC, id) AS p FROM scores WHERE same QUALIFY p <= 5),
+negatives AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY ai, p ORDER BY s DESC, id) AS rank, id AS negative_id, positive_score, s AS negative_score FROM positives JOIN scores USING (ai, anchor_id) WHERE NOT same AND 100 * s BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score FROM negatives WHERE rank <= 10""",
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.session import settled, ship
+from lexspan.session import forget, ship, spill
 
 MAX_ROUNDS = 60
 #: Edges that one task contracts by itself; their number sets how many tasks share the edges.
@@ -47,12 +47,12 @@ def components(edges: DataFrame) -> DataFrame:
     smallest it reaches. Unless one task was enough, large-star and small-star steps join
     what the tasks found: every step hangs nodes on smaller neighbours and never makes more
     edges than there were, so a hub with a third of all nodes stays a list of single edges.
-    Each round is checkpointed, and the rounds end when the edges no longer change.
+    Each round is stored in the shared folder, and the rounds end when the edges no longer change.
     """
     spark = edges.sparkSession
     ship(spark)
     tasks = max(1, -(-edges.count() // TASK_EDGES))
-    now = settled(spark, edges.select("a", "b").repartition(tasks).mapInArrow(_contracted, "a long, b long"))
+    now, path = spill(spark, edges.select("a", "b").repartition(tasks).mapInArrow(_contracted, "a long, b long"))
     if tasks == 1:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     now = now.where("a <> b").distinct()
@@ -68,7 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = settled(spark, small)
+        before = path
+        now, path = spill(spark, small)
+        forget(spark, before)
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
