@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 #: Bytes of an Arrow batch that a session with Spark's own setting gets: whole texts of any length stay few in a worker.
 _ARROW, _ARROW_DEFAULT, _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+#: Whether queries delete their shuffle files when they end, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,30 +52,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned inside delete their shuffle files when they end; the session's own setting comes back after."""
+    had = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, had)
+
+
 def spill(spark: SparkSession, frame: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``frame`` as Parquet in the shared folder and read it again; cuts the lineage. Returns it and its path."""
+    """Write ``frame`` as Parquet in the shared folder and read it again; cuts the lineage. Returns it and its path.
+
+    The shuffle files of what made it go as soon as it is written.
+    """
     path = f"{shared_folder(spark)}/lexspan/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with _shuffles_dropped(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``spill`` wrote, on whatever file system they are, and let Spark drop the shuffle files of what made them.
-
-    Spark's cleaner drops these once the driver has collected the queries as garbage.
-    """
+    """Delete tables that ``spill`` wrote, on whatever file system they are."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    jvm.System.gc()
 
 
 def settled(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small result, in the shared folder."""
-    shared_folder(spark)
-    return frame.checkpoint(True)
+    """A stored result, in the shared folder: it outlives the tables it was made from and lost executors."""
+    return spill(spark, frame)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
