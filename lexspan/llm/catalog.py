@@ -12,6 +12,7 @@ from lexspan.llm.packing import op2_best_fit_packing
 from lexspan.llm.quality_classifier import op5_quality_classifier
 from lexspan.llm.quality_rules import op6_quality_rules
 from lexspan.llm.secrets import op3_secret_scans
+from lexspan.llm.suffix_dedup import op11_suffix_dedup
 from lexspan.llm.token_counts import op8_token_counts
 from lexspan.llm.warc import op9_warc
 
@@ -28,6 +29,7 @@ QUERIES = {
         op8_token_counts,
         op9_warc,
         op10_benchmark_decontamination,
+        op11_suffix_dedup,
         op12_centroid_clustering,
         op13_hard_negatives,
     )
@@ -81,6 +83,13 @@ found AS (SELECT DISTINCT doc_id, item_id, p, n FROM places JOIN wanted USING (n
 hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
 held AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op11_suffix_dedup": """WITH docs AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT i, p, md5_number(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT i, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM docs)),
+again AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+islands AS (SELECT i, min(p) AS b, max(p) + 200 AS e FROM (SELECT i, p, sum(fresh) OVER (PARTITION BY i ORDER BY p) AS island FROM (SELECT i, p, CASE WHEN p > lag(p) OVER (PARTITION BY i ORDER BY p) + 200 THEN 1 ELSE 0 END AS fresh FROM again)) GROUP BY i, island),
+gaps AS (SELECT i, b, e, lead(b) OVER (PARTITION BY i ORDER BY b) AS next_b, row_number() OVER (PARTITION BY i ORDER BY b) AS nth FROM islands),
+cut AS (SELECT i, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN nth = 1 THEN substr(h, 1, 2 * b) ELSE '' END || substr(h, 2 * e + 1, coalesce(2 * (next_b - e), length(h))), '' ORDER BY b) AS kept FROM gaps JOIN docs USING (i) GROUP BY i)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM docs LEFT JOIN cut USING (i)""",
     "op12_centroid_clustering": _centroid_sql(3),
     "op13_hard_negatives": """WITH v AS (SELECT vec_id, row_number() OVER () AS i, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
 WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
