@@ -16,6 +16,11 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1_000_000
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark must read it: dots and back-ticks in it are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

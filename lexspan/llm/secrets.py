@@ -1,15 +1,20 @@
 """Secret scan: base patterns, and assignment-aware lexing of source and configuration text.
 
 The lexer reads a text that holds ``=`` or ``:`` as tokens (names, string and bare literals,
-operators, line breaks), builds name-literal pairs (``name = literal``, ``name: literal``,
-``"name": "literal"``, ``--name=literal``, ``<name>literal</name>``, ``name = other`` with
-``other`` bound before, joined literals ``"a" + "b"``, values on the line below), with the
-keys of enclosing braces and of lines with less indentation before the name, and keeps for
-every document which literals each name is bound to until it is bound anew, so that
-constants propagate to later uses. A call is no literal. A literal's score comes from the words of the
-name that it reaches: secret words add, harmless words (hash, id, path ...) take off, and
-the literal's own length and variety count. Literals at or above ``threshold`` are
-secrets of kind ``literal``.
+operators, line breaks) and builds name-literal pairs: ``name = literal``, ``name: literal``,
+``name: type = literal``, ``"name": "literal"``, ``--name=literal``,
+``<name>literal</name>``, lists of literals, joined literals ``"a" + "b"``, values on the
+line below, and ``name = other`` with ``other`` bound before; the keys of enclosing braces and
+of lines with less indentation stand before the name. Names are bound until they are bound
+anew or their block ends, so that constants propagate to later uses. A call is no literal, but
+strings among its arguments count, a little less. A literal's score comes from the words of
+the name that it reaches: secret words add, harmless words (hash, id, path ...) take off, and
+its own length and variety count. Literals at or above ``threshold`` are secrets of kind
+``literal``.
+
+Values are shared, not copied: what a name is bound to is a node that knows the length and
+the characters of all that it joins, and a literal is reported once, so a text takes time in
+proportion to its length however often its names use one another.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lexspan.llm.blocks import quoted
 from lexspan.session import ship, table
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -39,12 +46,15 @@ WORD_SCORES = {
 }
 _DUMMIES = {"changeme", "password", "secret", "example", "placeholder", "undefined", "redacted", "required", "optional"}
 THRESHOLD = 4.0
+#: What an argument of a call counts less than a literal that is assigned itself.
+ARGUMENT = 1.0
 
 _TOKEN = re.compile(
-    r"""(?P<string>\"""[\s\S]*?\"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>(?:--?)?[A-Za-z_$][\w$.-]*|[\w/][\w+/=.-]*)|(?P<op>:=|=>|==|!=|[-+*/%]=|[=:+,;(){}\[\]])|(?P<line>\n[\x20\t]*)""",
+    r"""(?P<string>\"""[\s\S]*?\"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<word>(?:--?)?[A-Za-z_$][\w$.-]*|[\w/][\w+/=.-]*)|(?P<op>:=|=>|==|!=|[-+*/%]=|[=:+,;(){}\[\]])|(?P<line>\n[\x20\t]*)""",
     re.ASCII,
 )
-_BARE = re.compile(r"[\w$][\w$+/=.-]*", re.ASCII)
+#: A bare value runs to white space, a quote, a bracket or a sign that ends it.
+_BARE = re.compile(r"""[\w$/][^\s"'`,;()\[\]{}<>]*""")
 _BINDS = ("=", ":", ":=", "=>")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>([^<>\s]{8,}+)</\1>", re.ASCII)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -61,30 +71,136 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class NameScore:
+    """What the words of one or more names say: their scores, and pairs of neighbours that are one word (``api key``)."""
+
+    __slots__ = ("total", "pairs", "first", "last")
+    _JOINED = ("apikey", "passphrase")
+
+    def __init__(self, name: str = ""):
+        words = [w.lower() for w in _SPLIT.findall(name)]
+        self.total = sum(WORD_SCORES.get(w, 0) for w in words)
+        self.pairs = frozenset(p for p in (a + b for a, b in zip(words, words[1:])) if p in self._JOINED)
+        self.first, self.last = (words[0], words[-1]) if words else ("", "")
+
+    def __add__(self, other: NameScore) -> NameScore:
+        """Of the names in a row."""
+        out = NameScore()
+        out.total, out.pairs = self.total + other.total, self.pairs | other.pairs
+        if self.last + other.first in self._JOINED:
+            out.pairs |= {self.last + other.first}
+        out.first, out.last = self.first or other.first, other.last or self.last
+        return out
+
+    @property
+    def score(self) -> float:
+        return float(self.total + sum(WORD_SCORES.get(p, 0) for p in self.pairs))
+
+
 def name_score(name: str) -> float:
-    words = [w.lower() for w in _SPLIT.findall(name)]
-    joined = {a + b for a, b in zip(words, words[1:])}
-    return float(sum(WORD_SCORES.get(w, 0) for w in words) + sum(WORD_SCORES.get(w, 0) for w in joined & {"apikey", "passphrase"}))
+    return NameScore(name).score
+
+
+class Value:
+    """One literal, or several joined: the parts are shared, never copied; figures of the whole are sums of the parts' own."""
+
+    __slots__ = ("parts", "span", "counts", "length", "short", "found")
+    #: Joined values up to this length are kept as text, to know well-known dummies.
+    SHORT = 16
+
+    def __init__(self, parts: tuple[Value, ...] = (), span: tuple[int, int] | None = None, text: str = ""):
+        self.parts, self.span, self.found = parts, span, False
+        if span is not None:
+            text = text.replace("\\\n", "")  # a continued line
+            self.counts, self.length, self.short = Counter(text), len(text), text if len(text) <= self.SHORT else None
+            return
+        self.counts, self.length = Counter(), sum(p.length for p in parts)
+        for p in parts:
+            self.counts.update(p.counts)
+        self.short = "".join(p.short for p in parts) if self.length <= self.SHORT else None
+
+    @property
+    def score(self) -> float:
+        return _score(self.counts, self.length, self.short)
+
+    def mark(self, spans: list[tuple[int, int]]) -> None:
+        """Add the spans of all literals in it that were not added before: each is visited once for the whole text."""
+        open_ = [self]
+        while open_:
+            value = open_.pop()
+            if value.found:
+                continue
+            value.found = True
+            if value.span is not None:
+                spans.append(value.span)
+            open_ += value.parts
 
 
-def literal_score(value: str) -> float:
-    """From -8 (surely none) to 3: length and variety of a literal's characters."""
-    if len(value) < 8 or re.search(r"\s", value) or value.lower() in _DUMMIES or len(set(value)) < 5:
+def _score(counts: Counter, length: int, short: str | None) -> float:
+    if length < 8 or len(counts) < 5 or any(c.isspace() for c in counts) or short is not None and short.lower() in _DUMMIES:
         return -8.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in (value.count(c) for c in set(value)))
+    kinds = sum((any("a" <= c <= "z" for c in counts), any("A" <= c <= "Z" for c in counts), any("0" <= c <= "9" for c in counts), any(not (c.isascii() and c.isalnum()) for c in counts)))
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
     return min(3.0, (kinds - 1) * 0.75 + (entropy - 2.5) * 0.75)
 
 
-def assignments(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """Name, start and end of a literal that reaches it, and the literal; constants propagate in the order of the text."""
+def literal_score(value: str) -> float:
+    """From -8 (surely none) to 3: length and variety of a literal's characters."""
+    return _score(Counter(value), len(value), value)
+
+
+class _Scopes:
+    """What names are bound to; a closing brace takes back what was bound since the opening one."""
+
+    def __init__(self):
+        self.bound: dict[str, Value] = {}
+        self.undo: list[list[tuple[str, Value | None]]] = []
+
+    def open(self) -> None:
+        self.undo.append([])
+
+    def close(self) -> None:
+        if self.undo:
+            for name, before in reversed(self.undo.pop()):
+                self._put(name, before)
+
+    def bind(self, name: str, value: Value | None) -> None:
+        if self.undo:
+            self.undo[-1].append((name, self.bound.get(name)))
+        self._put(name, value)
+
+    def _put(self, name: str, value: Value | None) -> None:
+        if value is None:
+            self.bound.pop(name, None)
+        else:
+            self.bound[name] = value
+
+
+def assignments(text: str) -> Iterator[tuple[NameScore, Value, bool]]:
+    """The names that reach a value, outermost first, the value, and whether it is only an argument of a call.
+
+    In the order of the text, so that constants propagate; each token is passed once.
+    """
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    bound: dict[str, list[tuple[int, int, str]]] = {}
-    braces: list[str] = []  # the key of each open brace
-    above: list[tuple[int, str]] = []  # indentation and key of the lines that this one belongs to
+    scopes = _Scopes()
+    braces: list[NameScore] = []  # of the keys of all open braces
+    above: list[tuple[int, NameScore]] = []  # indentation and keys of the lines that this one belongs to
     indent, i, n = 0, 0, len(tokens)
     of = lambda k: tokens[k][1] if k < n else ""
     kind_of = lambda k: tokens[k][0] if k < n else ""
+
+    def literal(k: int) -> tuple[Value, int]:
+        """The value of one token, and the last token that it takes: a bare one may hold signs that part names."""
+        what, raw, start, end = tokens[k]
+        if what == "string":
+            inside, skip = _inner(raw)
+            return Value(span=(start + skip, end - skip), text=inside), k
+        bare = _BARE.match(text, start)
+        end = max(end, bare.end() if bare else end)
+        while k + 1 < n and tokens[k + 1][2] < end:
+            k += 1
+        return Value(span=(start, end), text=text[start:end]), k
+
     while i < n:
         kind, raw, _, _ = tokens[i]
         if kind == "line":
@@ -93,57 +209,65 @@ def assignments(text: str) -> Iterator[tuple[str, int, int, str]]:
                 while above and above[-1][0] >= indent:
                     above.pop()
         elif raw == "{":
-            braces.append("")
+            braces.append(braces[-1] if braces else NameScore())
+            scopes.open()
         elif raw == "}" and braces:
             braces.pop()
+            scopes.close()
         elif kind in ("string", "word") and of(i + 1) in _BINDS:
             name = _inner(raw)[0] if kind == "string" else raw.lstrip("-$")
+            own = NameScore(name)
             k = i + 2
             if of(i + 1) in ("=", ":") and kind_of(k) == "line":
                 k += 1
+            elif of(i + 1) == ":" and kind_of(k) == "word" and of(k + 1) == "=" and text[tokens[k][3] : tokens[k + 1][2]].isspace():
+                k += 2  # a type
             if of(k) == "{":
-                braces.append(name)
+                braces.append((braces[-1] if braces else NameScore()) + own)
+                scopes.open()
                 i = k + 1
                 continue
-            if kind_of(k) in ("string", "word") and k > i + 2 and (of(k + 1) in _BINDS or len(tokens[k - 1][1]) - 1 <= indent and of(i + 1) == ":" and above):
-                above.append((indent, name))  # the lines below belong to this key
+            if kind_of(k) in ("string", "word") and kind_of(k - 1) == "line" and (of(k + 1) in _BINDS or len(tokens[k - 1][1]) - 1 <= indent and of(i + 1) == ":" and above):
+                above.append((indent, (above[-1][1] if above else NameScore()) + own))  # the lines below belong to this key
                 i += 2
                 continue
-            spans: list[tuple[int, int, str]] = []
-            while kind_of(k) in ("string", "word"):
-                what, value, start, end = tokens[k]
-                if what == "string":
-                    inside, skip = _inner(value)
-                    spans.append((start + skip, end - skip, inside))
-                elif value in bound:
-                    spans += bound[value]
-                elif of(k + 1) == "(":
-                    spans = []
+            path = (braces[-1] if braces else NameScore()) + (above[-1][1] if above else NameScore()) + own
+            parts: list[Value] = []
+            if of(k) == "[":  # a list: every element by itself
+                k += 1
+                while k < n and of(k) != "]" and (kind_of(k) in ("string", "word", "line") or of(k) == ","):
+                    if kind_of(k) in ("string", "word"):
+                        value, k = (scopes.bound[of(k)], k) if of(k) in scopes.bound else literal(k)
+                        yield path, value, False
                     k += 1
-                    break
-                else:  # a bare literal may hold signs that part names
-                    end = max(end, _BARE.match(text, start).end() if _BARE.match(text, start) else end)
-                    spans.append((start, end, text[start:end]))
-                    while k + 1 < n and tokens[k + 1][2] < end:
+            while kind_of(k) in ("string", "word"):
+                if kind_of(k) == "word" and of(k) in scopes.bound:
+                    parts.append(scopes.bound[of(k)])
+                elif kind_of(k) == "word" and of(k + 1) == "(":  # a call gives no literal, but may hold a default
+                    parts, depth, k = [], 1, k + 2
+                    while k < n and depth and of(k) not in "{}":
+                        depth += (of(k) == "(") - (of(k) == ")")
+                        if kind_of(k) == "string":
+                            yield path, literal(k)[0], True
                         k += 1
+                    break
+                else:
+                    value, k = literal(k)
+                    parts.append(value)
                 k += 1
-                if of(k) == "+" or of(k) == "(" and not spans:
+                if of(k) == "+" or of(k) == "(" and not parts:
                     k += 2 if kind_of(k + 1) == "line" else 1
                     continue
                 break
-            path = " ".join([*(key for key in braces if key), *(key for _, key in above), name])
-            joined = "".join(s[2] for s in spans)
-            for start, end, _ in spans:
-                yield path, start, end, joined
-            if spans:
-                bound[name] = spans
-            else:
-                bound.pop(name, None)
+            value = parts[0] if len(parts) == 1 else Value(tuple(parts)) if parts else None
+            if value is not None:
+                yield path, value, False
+            scopes.bind(name, value)
             i = max(k, i + 2)
             continue
         i += 1
     for m in _ELEMENT.finditer(text):
-        yield m.group(1), m.start(2), m.end(2), m.group(2)
+        yield NameScore(m.group(1)), Value(span=m.span(2), text=m.group(2)), False
 
 
 def _inner(raw: str) -> tuple[str, int]:
@@ -155,12 +279,12 @@ def _inner(raw: str) -> tuple[str, int]:
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    found = {}
-    for name, start, end, value in assignments(text):
-        score = name_score(name)
-        if score > 0 and score + literal_score(value) >= threshold:
-            found["literal", start, end] = True
-    return list(found)
+    spans: list[tuple[int, int]] = []
+    for name, value, argument in assignments(text):
+        score = name.score
+        if score > 0 and not value.found and score + value.score - (ARGUMENT if argument else 0) >= threshold:
+            value.mark(spans)
+    return [("literal", *s) for s in dict.fromkeys(spans)]
 
 
 def scan_text(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
@@ -176,15 +300,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     other columns are not read. One pass, no shuffle.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    named = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    kind = named.schema["key"].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t.as_py(), threshold)] for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, spans)], [key, "spans"])
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t.as_py(), threshold)] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, spans)], ["key", "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return named.mapInArrow(run, f"key {kind}, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("key", key)
 
 
 def masked_text(text: str | None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> str | None:

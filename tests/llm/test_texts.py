@@ -373,11 +373,29 @@ def test_hostile_markup_takes_seconds(piece):
     ('client_secret = fetch_from_vault("x")', []),
     ("auth = \"\"\"Zx9kQw1rTyU8\"\"\"", ["Zx9kQw1rTyU8"]),
     ("--auth-token=Zx9k+Qw1/rTyU8==", ["Zx9k+Qw1/rTyU8=="]),
+    ("password:\n  Zx9kQw1!rTyU8\nother: x", ["Zx9kQw1!rTyU8"]),
+    ('let dbPassword: string = "Zx9kQw1rTyU8"', ["Zx9kQw1rTyU8"]),
+    ('password = ["Zx9kQw1rTyU8",\n "Ab3kQw1rTyU8"]', ["Zx9kQw1rTyU8", "Ab3kQw1rTyU8"]),
+    ('client_secret = get("X", "Zx9kQw1rTyU8")', ["Zx9kQw1rTyU8"]),
+    ('k = "Zx9kQw1rTyU8"\nf() {\n k = "other"\n}\npassword = k', ["Zx9kQw1rTyU8"]),
+    ('password = "Zx9kQ\\\nw1rTyU8"', ["Zx9kQ\\\nw1rTyU8"]),
 ])
 def test_literals_across_lines_and_names(text, found):
     assert [text[a:b] for kind, a, b in secrets.scan_text(text) if kind == "literal"] == found
 
 
+@pytest.mark.parametrize("text", [
+    'v0="Zx9kQw1!"+"rTyU8"\n' + "".join(f"v{i}=v{i - 1}+v{i - 1}\nsecret_key{i}=v{i}\n" for i in range(1, 5000)) + "my_secret=v4999",
+    'v0="Zx9kQw1!"+"rTyU8"\n' + "".join(f"password{i}=v0+v0\n" for i in range(20000)),
+    "a={" * 20000 + 'secret="Zx9kQw1!"+"rTyU8"',
+    "".join(" " * i + f"k{i}:\n" for i in range(700)) + " " * 700 + 'secret: "Zx9kQw1!"+"rTyU8"',
+])
+def test_names_that_use_one_another_take_no_longer(text):
+    began = time.monotonic()
+    spans = [text[a:b] for kind, a, b in secrets.scan_text(text) if kind == "literal"]
+    assert spans == ["Zx9kQw1!", "rTyU8"] and time.monotonic() - began < 5
+
+
 def test_one_long_text_with_signs():
     text = "x = 1\n" * 100_000 + 'my_secret = "Zx9kQw1rTyU8"\n' + "k: {" * 50_000
     began = time.monotonic()
@@ -406,3 +424,35 @@ def test_plans_equal_an_exhaustive_search_of_thirteen_items():
 
         go(0, [])
         assert sum(n for _, n in packing.plan(Tally(items), capacity)) == best
+
+
+@pytest.mark.parametrize("page, most", [
+    ("<table><tr>" + "<td colspan=1000 rowspan=65534>" * 4000 + "<tr><td>x" * 50, 50_000),
+    ("<table><tr>" + "".join(f"<td rowspan={i + 2}>" for i in range(4000)) + "<tr><td>" * 4000, 10),
+    ("<blockquote>x<br>" * 8000, 400_000), ("<ul><li>x" * 8000, 400_000), ("<dl><dd>x<p>y" * 8000, 800_000),
+    ("<table><caption>c</caption><tr><td>a<td>" * 4000, 500_000), ("<table><tr><td>" + "w" * 3000 + "<td>y" + "<tr><td colspan=1000><td>x" * 4000, 2_000_000),
+    ("<style>" + ".a{" * 30_000, 10), ("<style>" + "@media{" * 30_000, 10),
+])
+def test_pages_that_hold_one_another_stay_small(page, most):
+    began = time.monotonic()
+    assert len(html_text.page_text(page)) <= most and time.monotonic() - began < 5
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<details>x<summary>s</summary><p>body</details>y", "s\ny"), ("<details open><summary>s</summary>body</details>", "s\nbody"),
+    ("<table><tfoot><tr><td>end</tfoot><tbody><tr><td>one</table>", "one\nend"),
+    ("a<input type=submit value=Go>b<input value=hid>", "a Go b"),
+    ('<div style="white-space: pre">a  b\n c</div>', "a  b\n c"),
+    ("<style>.h, p#i {display:none} b{visibility:hidden} @media print {u{display:none}}</style>a<i class='x h'>no</i><p id=i>no</p><b>no</b><u>yes</u><i id=i>yes</i>", "ayesyes"),
+    ("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>", "日本  x\nabcd  y"),
+    ("<ul><li><ul><li>x<li>y</ul></ul>", "- - x\n  - y"), ("<ul><li></li><li>x</ul>", "- x"), ("a<blockquote><p>x<p>y</blockquote>b", "a\n\n    x\n\n    y\n\nb"),
+])
+def test_what_a_browser_shows(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_keys_with_odd_names(spark):
+    frame = spark.createDataFrame([(1, "<p>x", "password: Zx9kQw1rTyU8")], "`a.key` long, `the``page` string, `own.text` string")
+    assert [tuple(r) for r in html_text.extract(frame, "the`page", "a.key").collect()] == [(1, "x")]
+    assert secrets.scan(frame, text="own.text", key="a.key").first()["a.key"] == 1
