@@ -32,15 +32,15 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
 
 
-def threshold_column(thresholds) -> Column:
+def threshold_column(thresholds, categories: Iterable[str] = CATEGORIES) -> Column:
     """A category's threshold (validated) as an expression."""
-    values = threshold_values(thresholds)
-    return reduce(lambda acc, c: acc.when(F.col("category") == c, F.lit(values[c])), CATEGORIES, F.when(F.lit(False), F.lit(0.0)))
+    values = threshold_values(thresholds, categories)
+    return reduce(lambda acc, c: acc.when(F.col("category") == c, F.lit(values[c])), values, F.when(F.lit(False), F.lit(0.0)))
 
 
-def decisions(rows: DataFrame, thresholds=THRESHOLD) -> DataFrame:
+def decisions(rows: DataFrame, thresholds=THRESHOLD, categories: Iterable[str] = CATEGORIES) -> DataFrame:
     """Adds ``decision``: 1 where the score is the threshold or more."""
-    return rows.withColumn("decision", (F.col("score") >= threshold_column(thresholds)).cast("int"))
+    return rows.withColumn("decision", (F.col("score") >= threshold_column(thresholds, categories)).cast("int"))
 
 
 def score_counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -103,9 +103,9 @@ def score_decided(decided: DataFrame, ap: DataFrame | None, threshold: Column, *
     return rows.drop("tp").unionByName(macro).unionByName(micro)
 
 
-def score(rows: DataFrame, thresholds=THRESHOLD, *keys: str) -> DataFrame:
+def score(rows: DataFrame, thresholds=THRESHOLD, *keys: str, categories: Iterable[str] = CATEGORIES) -> DataFrame:
     """Precision, recall, F1 and average precision of each category, their mean (macro) and pooled (micro)."""
-    return score_decided(decisions(rows, thresholds), average_precision(rows, *keys), threshold_column(thresholds), *keys)
+    return score_decided(decisions(rows, thresholds, categories), average_precision(rows, *keys), threshold_column(thresholds, categories), *keys)
 
 
 def score_given(decided: DataFrame, *keys: str) -> DataFrame:

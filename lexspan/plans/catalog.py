@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from lexspan.plans import bindings as B
 from lexspan.plans import samples
 from lexspan.plans.bindings import with_sql
 from lexspan.schema import CATEGORIES, FINE_GRID, SHORT_SPAN, TUNING_GRID, WEAK_CATEGORIES
-from lexspan.session import table
+from lexspan.session import forget, shared_folder, table
 from lexspan.sources import annotations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,13 +723,41 @@ def _labels_long(spark, sf):
     return rows.select(F.col("doc_id").cast("string").alias("contract"), F.col("doc_id").cast("string").alias("chunk_id"), "text", (F.col("doc_id") % 3).cast("int").alias("fold"), F.explode(pairs).alias("p")).select("contract", "chunk_id", "text", "fold", "p.*", F.lit(True).alias("mask"))
 
 
+_FOLD_TERMS = r"""docs AS (SELECT doc_id % 3 AS fold, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM labels JOIN documents USING (doc_id)),
+seen AS (SELECT i, fold, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])))) AS term FROM (SELECT row_number() OVER () AS i, * FROM docs)),
+models AS (SELECT NULL AS held UNION ALL SELECT DISTINCT fold FROM docs),
+sizes AS (SELECT m.held, count(*) AS n FROM models m JOIN docs d ON m.held IS NULL OR d.fold <> m.held GROUP BY m.held),
+dfs AS (SELECT m.held, term, count(*) AS df FROM models m JOIN seen s ON m.held IS NULL OR s.fold <> m.held GROUP BY m.held, term)"""
+
+
+@query("tfidf_fold_vocabularies", f"WITH {_FOLD_TERMS} SELECT CAST(d.held AS INTEGER) AS held, term, df, round(ln((1.0::DOUBLE + n) / (1 + df)) + 1, 9) AS idf FROM dfs d JOIN sizes s ON s.held IS NOT DISTINCT FROM d.held WHERE df >= 2 AND df <= 0.95::DOUBLE * n")
+def tfidf_fold_vocabularies(spark, sf):
+    rows = _labels_long(spark, sf).where("category_idx = 0")
+    return tfidf.fold_vocabularies(rows).withColumn("idf", F.round("idf", 9))
+
+
 @query("tfidf_logreg_score")
 def tfidf_logreg_score(spark, sf):
+    """The scores are those of the saved and loaded model, which must be the same bit for bit."""
     rows = _labels_long(spark, sf)
     model = tfidf.fit(rows.where("fold <> 0"))
+    path = f"{shared_folder(spark)}/lexspan/{uuid.uuid4().hex}"
+    model.save(path)
     held = rows.where("fold = 0")
-    scores = model.predict(held.select("chunk_id", "text").distinct()).select("chunk_id", "category", "score")
-    return held.drop("text").join(scores, ["chunk_id", "category"])
+    texts = held.select("chunk_id", "text").distinct()
+    scores = tfidf.Model.load(path).transform(texts)
+    tfidf.require_same_scores(model.predict(texts), scores, "chunk_id")
+    model.forget()
+    forget(spark, path)
+    return held.drop("text").join(scores.drop("category_idx"), ["chunk_id", "category"])
+
+
+@query("tfidf_tuned_run")
+def tfidf_tuned_run(spark, sf):
+    """Documents whose number is divisible by 5 are the test set, the rest has three folds."""
+    rows = _labels_long(spark, sf)
+    test = F.col("contract").cast("long") % 5 == 0
+    return tfidf.run_report(tfidf.tuned_run(rows.where(~test), rows.where(test)))
 
 
 @query("tfidf_oof")

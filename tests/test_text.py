@@ -162,12 +162,18 @@ def test_classifier_queries_keep_every_term(spark, tmp_path, monkeypatch):
     docs = [(i, f"{words[i // 3 % 2]} own{i}") for i in range(12)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i // 3 % 2, 1 - i // 3 % 2) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    fitted, fit = [], tfidf.fit
-    monkeypatch.setattr(tfidf, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    fitted, fit = [], tfidf._fit
+
+    def noted(*args, **more):
+        found = fit(*args, **more)
+        fitted.append((found.model.dictionary.count(), found.model.fitted.shape.held, found.model.config, found.evaluations))
+        return found
+
+    monkeypatch.setattr(tfidf, "_fit", noted)
     assert catalog.QUERIES["tfidf_logreg_score"](spark, str(tmp_path)).count() == 8
     assert catalog.QUERIES["tfidf_oof"](spark, str(tmp_path)).count() == 24
-    assert [len(m.vectoriser.vocabulary) for m in fitted] == [2 * (5500 + 5499)] * 4 and {m.config for m in fitted} == {tfidf.Config()}
-    assert all(m.summary.totalIterations < tfidf.Config().max_iterations for x in fitted for m in x.models.values())
+    assert [f[:3] for f in fitted] == [(2 * (5500 + 5499), (None,), tfidf.Config()), (2 * (5500 + 5499), (0, 1, 2), tfidf.Config())]
+    assert all(f[3] < tfidf.Config().max_evaluations for f in fitted)
 
 
 def test_rules_on_a_stream(spark, tmp_path):
