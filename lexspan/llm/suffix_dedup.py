@@ -348,11 +348,12 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
             keys = batch.column("key").to_numpy()
             last = held[-1].column("key")[-1].as_py()
             cut = int(np.argmax(keys != last)) if keys[-1] != last else len(keys)
-            held.append(batch.slice(0, cut))
-            batch = batch.slice(cut)
-            if batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, count = [], 0
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut == batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held, count, batch = [], 0, batch.slice(cut)
         held.append(batch)
         count += batch.num_rows
     if held:
