@@ -43,6 +43,8 @@ from lexspan.session import forget, settled, ship, spill, table
 LENGTH, GRAM = 200, 32
 #: Contexts that one task sorts at once; larger groups are split first.
 GROUP = 20_000
+#: Keys of groups to split are broadcast up to this many; more are joined by shuffle.
+BROADCAST_KEYS = 100_000
 #: Bytes of a text that are looked through at once; longer texts in parts that overlap by a window.
 PART = 1 << 22
 _PLACE_BITS = 27
@@ -448,12 +450,14 @@ def repeated_spans(spark: SparkSession, texts: DataFrame, length: int = LENGTH,
     wanted = wanted.select("first.id", "first.place", "gram", "context", "often")
     around, around_path = spill(spark, contexts(texts, wanted, length).withColumn("key", F.col("gram")))
     paths = [repeated_path, around_path]
-    largest = around.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    if largest > group:
-        small, found, more = split_groups(spark, around.drop("often"), group, length)
+    large, large_path = spill(spark, around.groupBy("key").count().where(F.col("count") > group).select("key"))
+    paths.append(large_path)
+    small, found = around.drop("often"), []
+    if (n := large.count()):  # only these are split; the others stay where they are
+        mark = F.broadcast(large) if n <= BROADCAST_KEYS else large
+        parts_of_large, found, more = split_groups(spark, small.join(mark, "key", "left_semi"), group, length)
+        small = small.join(mark, "key", "left_anti").unionByName(parts_of_large)
         paths += more
-    else:
-        small, found = around.drop("often"), []
     known = compared(small, length)
     for part in found:
         known = known.unionByName(part)
