@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.operators.checks import require_empty
@@ -80,11 +80,20 @@ def resampled_sums(counts: DataFrame, samples: int, seed: int = 42) -> DataFrame
 
 def _sample_means(counts: DataFrame, samples: int, seed: int, weak: tuple[str, ...]) -> DataFrame:
     """Per arm and sample: macro F1 and mean F1 of the weak categories."""
-    sums = resampled_sums(counts, samples, seed)
+    return _means(resampled_sums(counts, samples, seed), weak, "arm", "sample")
+
+
+def _means(sums: DataFrame, weak: tuple[str, ...], *keys: str) -> DataFrame:
     f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    rows = sums.select("arm", "sample", "category", F.coalesce(f1, F.lit(0.0)).alias("f1"))
+    rows = sums.select(*keys, "category", F.coalesce(f1, F.lit(0.0)).alias("f1"))
     mean = lambda keep: F.sum(F.when(keep, fixed(F.col("f1")))) / (F.sum(keep.cast("long")) * F.lit(SCALE).cast("long"))
-    return rows.groupBy("arm", "sample").agg(mean(F.lit(True)).alias("macro_f1"), mean(F.col("category").isin(*weak)).alias("weak_f1"))
+    return rows.groupBy(*keys).agg(mean(F.lit(True)).alias("macro_f1"), mean(F.col("category").isin(*weak)).alias("weak_f1"))
+
+
+def arm_means(decided: DataFrame, weak: tuple[str, ...] = WEAK_CATEGORIES) -> DataFrame:
+    """arm, macro_f1, weak_f1 of the data as they are: what ``choose_arm`` compares."""
+    counts = contract_counts(decided).groupBy("arm", "category").agg(*(F.sum(f).alias(f) for f in ("tp", "fp", "fn")))
+    return _means(counts, weak, "arm")
 
 
 def paired_bootstrap(decided: DataFrame, samples: int = 2000, seed: int = 42, weak: tuple[str, ...] = WEAK_CATEGORIES) -> DataFrame:
@@ -179,3 +188,15 @@ def select_config(summary: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def config_name(learning_rate: float, epochs: int) -> str:
     return f"lr{learning_rate:g}-ep{epochs}"
+
+
+def parsed_config(name: Column) -> Column:
+    """The rate and the epochs that a configuration's name says; null if it is no such name."""
+    rate, epochs = (F.regexp_extract(name, r"^lr([0-9.e+-]+)-ep([0-9]+)$", i) for i in (1, 2))
+    return F.struct(F.when(rate != "", rate.cast("double")).alias("learning_rate"), F.when(epochs != "", epochs.cast("int")).alias("epochs"))
+
+
+def seed_summary(runs: DataFrame, *values: str, by: str = "config") -> DataFrame:
+    """Mean and spread over the seeds of each configuration: ``<value>_mean``, ``<value>_std`` (null for one seed), ``seeds``."""
+    figures = [f(c).alias(f"{c}_{n}") for c in values for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    return runs.groupBy(by).agg(F.count("*").alias("seeds"), *figures)

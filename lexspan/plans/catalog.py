@@ -13,7 +13,7 @@ from lexspan.plans import bindings as B
 from lexspan.plans import samples
 from lexspan.plans.bindings import with_sql
 from lexspan.schema import CATEGORIES, FINE_GRID, SHORT_SPAN, TUNING_GRID, WEAK_CATEGORIES
-from lexspan.session import forget, shared_folder, table
+from lexspan.session import forget, shared_folder, spill, table
 from lexspan.sources import annotations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -627,18 +627,22 @@ _ARMS = (("a", 0.5), ("b", 0.6), ("c", 0.75))
 _SAMPLES = 2000
 
 
-def _arms(spark, sf):
+def _arms(spark, sf, arms=_ARMS):
     rows = metrics.pool_contracts(B.scored(spark, sf))
-    decided = rows.select("contract", "category", "label", "mask", F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), (F.col("score") >= t).cast("int").alias("decision")) for a, t in _ARMS))).alias("x"))
+    decided = rows.select("contract", "category", "label", "mask", F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), (F.col("score") >= t).cast("int").alias("decision")) for a, t in arms))).alias("x"))
     return decided.select("contract", "category", "label", "mask", "x.arm", "x.decision")
 
 
-_BOOT = f"""arms(arm, t) AS (VALUES {', '.join(f"('{a}', {t})" for a, t in _ARMS)}),
+def _boot_sql(arms) -> str:
+    return f"""arms(arm, t) AS (VALUES {', '.join(f"('{a}', {t})" for a, t in arms)}),
 counts AS (SELECT arm, contract, category, sum(CASE WHEN score >= t AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= t AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < t AND label = 1 THEN 1 ELSE 0 END) AS fn FROM pooled, arms WHERE mask GROUP BY ALL),
 blocks AS (SELECT contract, b, md5('42:' || contract || ':' || b) AS h FROM (SELECT DISTINCT contract FROM counts), (SELECT unnest(range(0, {_SAMPLES // 4})) AS b)),
 picks AS (SELECT contract, 4 * b + k AS sample, CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) AS u FROM blocks, (SELECT unnest([0, 1, 2, 3]) AS k)),
 draws AS (SELECT sample, contract, {' + '.join(f"CAST(u >= {t} AS INTEGER)" for t in bootstrap.weight_bounds())} AS weight FROM picks UNION ALL SELECT -1, contract, 1 FROM (SELECT DISTINCT contract FROM counts)),
 f AS (SELECT arm, sample, category, CASE WHEN sum(weight * (2 * tp + fp + fn)) = 0 THEN 0.0 ELSE sum(weight * 2 * tp) / CAST(sum(weight * (2 * tp + fp + fn)) AS DOUBLE) END AS f1 FROM counts JOIN draws USING (contract) GROUP BY ALL)"""
+
+
+_BOOT = _boot_sql(_ARMS)
 _WEAK = "category IN (" + ", ".join(f"'{c}'" for c in WEAK_CATEGORIES) + ")"
 
 
@@ -661,14 +665,43 @@ def boot_contract(spark, sf):
     return _rounded(bootstrap.contract_intervals(_arms(spark, sf), "a", "b", _SAMPLES))
 
 
-@query("decide_arm", "SELECT 'focal' AS pick, 'weak_f1' AS decided_by")
+_LONG = f"long AS (SELECT arm, sample, 'macro_f1' AS metric, {_boot_mean()} AS value FROM f GROUP BY ALL UNION ALL SELECT arm, sample, 'weak_f1', {_boot_mean(_WEAK)} FROM f GROUP BY ALL)"
+_CI = """ci AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.metric, quantile_cont(CASE WHEN sample >= 0 THEN a.value - b.value END, 0.025) AS lo, quantile_cont(CASE WHEN sample >= 0 THEN a.value - b.value END, 0.975) AS hi FROM long a JOIN long b USING (sample, metric) WHERE a.arm < b.arm GROUP BY ALL),
+wins AS (SELECT arm_a AS winner, arm_b AS loser, metric FROM ci WHERE lo > 0 UNION ALL SELECT arm_b, arm_a, metric FROM ci WHERE hi < 0)"""
+#: The arms with the thresholds that they decide by here.
+_DECIDED = (("bce", 0.9), ("pos_weight", 0.5), ("focal", 0.55), ("downsample", 0.95))
+_PLACES = "places(arm, place) AS (VALUES " + ", ".join(f"('{a}', {i})" for i, a in enumerate((*bootstrap.FIXES, bootstrap.CONTROL))) + ")"
+
+
+def _against(metric: str) -> str:
+    return f"coalesce((SELECT max(1) FROM wins WHERE metric = '{metric}' AND winner = pick AND loser = '{bootstrap.CONTROL}'), (SELECT max(-1) FROM wins WHERE metric = '{metric}' AND loser = pick AND winner = '{bootstrap.CONTROL}'), 0) AS {metric}_against_control"
+
+
+@query("decide_arm", with_sql(f"""SELECT pick, CASE WHEN n1 = 1 THEN 'macro_f1' WHEN n2 = 1 THEN 'weak_f1' ELSE 'simplicity' END AS decided_by, l1 AS macro_f1_leader, v1 AS macro_f1_level, l2 AS weak_f1_leader, v2 AS weak_f1_level, {_against('macro_f1')}, {_against('weak_f1')}
+FROM (SELECT max(leader) AS l1, count(*) AS n1, string_agg(arm, ',' ORDER BY place) AS v1 FROM level1), (SELECT max(leader) AS l2, count(*) AS n2, string_agg(arm, ',' ORDER BY place) AS v2, arg_min(arm, place) AS pick FROM level2)""", "scored", more=_POOLED + ",\n" + _boot_sql(_DECIDED) + ",\n" + _LONG + ",\n" + _CI + ",\n" + _PLACES + f""",
+now AS (SELECT arm, place, metric, value FROM long JOIN places USING (arm) WHERE sample < 0 AND arm <> '{bootstrap.CONTROL}'),
+lead1 AS (SELECT arm AS leader FROM now WHERE metric = 'macro_f1' ORDER BY value DESC, place LIMIT 1),
+level1 AS (SELECT DISTINCT arm, place, leader FROM now, lead1 WHERE NOT EXISTS (SELECT 1 FROM wins WHERE metric = 'macro_f1' AND winner = leader AND loser = arm)),
+lead2 AS (SELECT n.arm AS leader FROM now n JOIN level1 USING (arm) WHERE metric = 'weak_f1' ORDER BY value DESC, n.place LIMIT 1),
+level2 AS (SELECT arm, place, b.leader FROM level1 a, lead2 b WHERE NOT EXISTS (SELECT 1 FROM wins WHERE metric = 'weak_f1' AND winner = b.leader AND loser = arm))"""))
 def decide_arm(spark, sf):
-    return bootstrap.choose_arm(*samples.arm_tables(spark)).select("pick", "decided_by")
+    decided = _arms(spark, sf, _DECIDED)
+    pairs, _ = spill(spark, bootstrap.paired_bootstrap(decided, _SAMPLES))
+    out = bootstrap.choose_arm(bootstrap.arm_means(decided), pairs)
+    return out.select("pick", "decided_by", *(F.concat_ws(",", c).alias(c) if c.endswith("_level") else c for c in out.columns[2:]))
+
+
+_CONFIGS = tuple((bootstrap.config_name(r, e), t) for r, e, t in ((2e-5, 1, 0.9), (2e-5, 2, 0.5), (2e-5, 3, 0.55), (3e-5, 2, 0.51)))
+_CONFIG_VALUES = "configs(arm, learning_rate, epochs) AS (VALUES " + ", ".join(f"('{n}', {n.split('-ep')[0][2:]}::DOUBLE, {n.split('-ep')[1]})" for n, _ in _CONFIGS) + ")"
 
 
-@query("decide_config", "SELECT 'lr2e-05-ep2' AS pick, 2 AS epochs, 2e-5::DOUBLE AS learning_rate, 2::BIGINT AS tied")
+@query("decide_config", with_sql("SELECT arg_min(arm, (epochs, learning_rate, arm)) AS pick, arg_min(epochs, (epochs, learning_rate, arm)) AS epochs, arg_min(learning_rate, (epochs, learning_rate, arm)) AS learning_rate, count(*) AS tied FROM configs, (SELECT arm AS leader FROM long JOIN configs USING (arm) WHERE sample < 0 AND metric = 'macro_f1' ORDER BY value DESC, epochs, learning_rate LIMIT 1) WHERE NOT EXISTS (SELECT 1 FROM wins WHERE metric = 'macro_f1' AND winner = leader AND loser = arm)", "scored", more=_POOLED + ",\n" + _boot_sql(_CONFIGS) + ",\n" + _LONG + ",\n" + _CI + ",\n" + _CONFIG_VALUES))
 def decide_config(spark, sf):
-    return bootstrap.select_config(*samples.config_tables(spark))
+    decided = _arms(spark, sf, _CONFIGS)
+    pairs, _ = spill(spark, bootstrap.paired_bootstrap(decided, _SAMPLES))
+    named = bootstrap.parsed_config(F.col("arm"))
+    summary = bootstrap.arm_means(decided).select(F.col("arm").alias("config"), "macro_f1", named["epochs"].alias("epochs"), named["learning_rate"].alias("learning_rate"))
+    return bootstrap.select_config(summary, pairs)
 
 
 def _sweep_sql(config: str, moved: float) -> str:
@@ -730,10 +763,10 @@ sizes AS (SELECT m.held, count(*) AS n FROM models m JOIN docs d ON m.held IS NU
 dfs AS (SELECT m.held, term, count(*) AS df FROM models m JOIN seen s ON m.held IS NULL OR s.fold <> m.held GROUP BY m.held, term)"""
 
 
-@query("tfidf_fold_vocabularies", f"WITH {_FOLD_TERMS} SELECT CAST(d.held AS INTEGER) AS held, term, df, round(ln((1.0::DOUBLE + n) / (1 + df)) + 1, 9) AS idf FROM dfs d JOIN sizes s ON s.held IS NOT DISTINCT FROM d.held WHERE df >= 2 AND df <= 0.95::DOUBLE * n")
+@query("tfidf_fold_vocabularies", f"WITH {_FOLD_TERMS} SELECT CAST(coalesce(d.held, -1) AS INTEGER) AS held, term, df, round(ln((1.0::DOUBLE + n) / (1 + df)) + 1, 9) AS idf FROM dfs d JOIN sizes s ON s.held IS NOT DISTINCT FROM d.held WHERE df >= 2 AND df <= 0.95::DOUBLE * n")
 def tfidf_fold_vocabularies(spark, sf):
     rows = _labels_long(spark, sf).where("category_idx = 0")
-    return tfidf.fold_vocabularies(rows).withColumn("idf", F.round("idf", 9))
+    return tfidf.fold_vocabularies(rows).withColumn("idf", F.round("idf", 9)).withColumn("held", F.coalesce("held", F.lit(-1)))
 
 
 @query("tfidf_logreg_score")

@@ -68,17 +68,68 @@ def match_categories(descriptions: DataFrame, known: DataFrame) -> DataFrame:
     return descriptions.join(F.broadcast(names), F.lower("category_raw") == F.col("_k"), "left").drop("_k")  # one row per category
 
 
-def publish_json(spark: SparkSession, value: dict, path: str) -> None:
-    """Write a small JSON file under another name and rename it: it is there only when whole."""
+def _paths(spark: SparkSession, path: str):
+    """The file system of a path, the path, and Hadoop's classes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    system = target.getFileSystem(conf)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(conf), target, jvm
+
+
+def _json_bytes(value: dict) -> bytearray:
+    return bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode())
+
+
+def publish_json(spark: SparkSession, value: dict, path: str) -> None:
+    """Write a small JSON file under another name and rename it over what is there: a reader finds the old one or the new one, whole."""
+    system, target, jvm = _paths(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = system.create(part, True)
-    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    out.write(_json_bytes(value))
     out.close()
-    system.delete(target, False)
-    if not system.rename(part, target):
-        raise OSError(f"cannot publish {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, over)
+
+
+def claim(spark: SparkSession, value: dict, path: str) -> bool:
+    """Create a small JSON file unless there is one already; whether this call made it. Of several at once one makes it."""
+    system, target, jvm = _paths(spark, path)
+    try:
+        out = system.create(target, False)
+    except Exception as failed:  # py4j wraps what the file system says
+        if "FileAlreadyExists" in str(failed) or "already exists" in str(failed):
+            return False
+        raise
+    out.write(_json_bytes(value))
+    out.close()
+    return True
+
+
+def test_once(spark: SparkSession, rows: DataFrame, path: str, run: dict, smoke_allowed: bool = False, again: bool = False) -> dict:
+    """The lock of the one test run: what it wrote to ``path`` before the test rows may be scored.
+
+    Refuses rows of any other split than ``test``, smoke runs (``run["smoke"]``) unless allowed,
+    thresholds (``run["thresholds"]``) other than the selected ones (``run["selected"]``), and a
+    second run unless ``again``, which then is marked ``second_run`` and stands beside the first.
+    """
+    require_empty(rows.where("split is null or split <> 'test'"), "only test rows are scored")
+    if run.get("smoke") and not smoke_allowed:
+        raise ValueError("a smoke run is not reported")
+    if run.get("thresholds") != run.get("selected"):
+        raise ValueError("thresholds are not the selected ones")
+    sizes = rows.agg(F.count("*").alias("chunks"), F.countDistinct("contract").alias("contracts")).first()
+    told = {**run, **sizes.asDict(), "second_run": False}
+    if claim(spark, told, path):
+        return told
+    if not again:
+        raise ValueError(f"the test rows were scored before: {path}")
+    told["second_run"] = True
+    publish_json(spark, told, f"{path}.{uuid.uuid4().hex}")
+    return told
+
+
+test_once.__test__ = False  # not a test
 
 
 def write_once(frame: DataFrame, path: str) -> None:
