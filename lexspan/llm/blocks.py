@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1_000_000
 
@@ -21,6 +22,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(frame: DataFrame) -> DataFrame:
+    """The frame with its columns named ``c0``, ``c1`` ...: ``mapInArrow`` takes no names with dots."""
+    return frame.toDF(*(f"c{i}" for i in range(len(frame.columns))))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

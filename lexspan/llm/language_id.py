@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import TextBlock, text_blocks
+from lexspan.llm.blocks import TextBlock, quoted, text_blocks
 from lexspan.session import ship, table
 
 WINDOW = 64
@@ -28,7 +28,7 @@ HIDDEN = 8
 #: The training sample: at most so many labelled documents of a language, chosen by hash, ...
 TRAIN_DOCS = 300
 #: ... so many bytes of each, from a place chosen by hash, ...
-TRAIN_BYTES = 512
+TRAIN_CHARS = 512
 #: ... and so many documents of all languages together, shared evenly, but at least one of each.
 TRAIN_TOTAL = 60_000
 #: Windows that one step reads together.
@@ -184,20 +184,23 @@ def lettered(block: TextBlock) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[Network | None, list[str]]:
+def fit(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", part: int | None = TRAIN_CHARS) -> tuple[Network | None, list[str]]:
     """Train on rows where ``learn_from`` holds and ``lang`` and ``text`` are not null; the sample is bounded as said above.
 
+    Of each row drawn the fit sees ``part`` characters from a place that its key gives, or the
+    whole text where ``part`` is null.
+
     Every language is learned. Rows equal in key, language and text count once; others of
     equal keys are told apart by their texts. Without rows there is no network.
     """
     spark = docs.sparkSession
-    rows = docs.where(learn_from & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text, F.lit(1)).alias("h"), F.xxhash64(key, F.lit(3)).alias("at"))
+    rows = docs.where(learn_from & docs[quoted(lang)].isNotNull() & (F.length(docs[quoted(text)]) > 0)).select(docs[quoted(lang)].alias("lang"), docs[quoted(text)].alias("text"), F.xxhash64(docs[quoted(key)], docs[quoted(text)], F.lit(1)).alias("h"), F.xxhash64(docs[quoted(key)], F.lit(3)).alias("at"))
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(1, min(TRAIN_DOCS, TRAIN_TOTAL // max(1, len(known))))
     # hashes below a language's bound are about twice as many as wanted; the smallest of them are the sample, so nothing is sorted
     bounds = spark.createDataFrame([(name, min(2**63 - 1, int(2**64 * min(1.0, (2 * each + 64) / n)) - 2**63)) for name, n in known.items()], "lang string, bound long")
-    place = F.pmod("at", F.greatest(F.length("text") - TRAIN_BYTES, F.lit(1)))
-    drawn = rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "h", F.substr("text", (place + 1).cast("int"), F.lit(TRAIN_BYTES)).alias("t")).distinct()  # a row per language is broadcast
+    seen = F.col("text") if part is None else F.substr("text", (F.pmod("at", F.greatest(F.length("text") - part, F.lit(1))) + 1).cast("int"), F.lit(part))
+    drawn = rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "h", seen.alias("t")).distinct()  # a row per language is broadcast
     sample, taken = [], dict.fromkeys(known, 0)
     for name, h, t in sorted(tuple(r) for r in drawn.collect()):
         if taken[name] < each:
@@ -220,10 +223,11 @@ def predict(docs: DataFrame, net: Network | None, names: list[str], text: str =
     thousand numbers) goes to every task.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    named = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    kind = named.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             found, score = [unknown] * block.n, np.zeros(block.n)
             if net is not None:
                 probs = pooled(net, block)
@@ -231,9 +235,9 @@ def predict(docs: DataFrame, net: Network | None, names: list[str], text: str =
                 ok = lettered(block)
                 found = [names[c] if k else unknown for c, k in zip(top.tolist(), ok.tolist())]
                 score = np.where(ok, np.clip(probs.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.string()), pa.array(score)], ["key", "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return named.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def held_out(key: str = "doc_id") -> Column:

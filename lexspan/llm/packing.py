@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm import bpe
-from lexspan.llm.blocks import text_blocks
+from lexspan.llm.blocks import numbered, quoted, text_blocks
 from lexspan.session import forget, settled, ship, spill, table
 
 #: Rows of one length that are ranked together, and into how many such slices a length is dealt at most.
@@ -244,13 +244,14 @@ def ids_of_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id
     ``digest`` the column ``digest`` (long) replaces the ids.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    named = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    kind = named.schema["key"].dataType.simpleString()
     last = "digest long" if digest else "ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(vocabulary)
         store = bpe.store_of(vocab, "ids", lambda found: bpe.library_ids(vocab, found))
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             rows, numbers, starts, lengths, values = [], [], [], [], []
             for row, ids in enumerate(bpe.encoded(block, vocab, store)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -263,10 +264,10 @@ def ids_of_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id
                     lengths.append(size)
                     values.append(digest(part) if digest else part.tobytes())
                     at += size
-            columns = [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, pa.int64() if digest else pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", last.split(" ")[0]])
+            columns = [batch.column("key").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, pa.int64() if digest else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "length", last.split(" ")[0]])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, {last}")
+    return named.mapInArrow(run, f"key {kind}, piece int, start long, length long, {last}").withColumnRenamed("key", key)
 
 
 def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), nodes: int | None = None) -> DataFrame:
@@ -281,24 +282,25 @@ def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("do
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row for each length up to the capacity
     places = Places(plan(counts, capacity, nodes), capacity)
     slices = min(MAX_SLICES, max(1, -(-max(counts.values(), default=1) // SLICE)))
-    dealt = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    dealt = pieces.withColumn("_slice", F.pmod(F.xxhash64(*(F.col(quoted(c)) for c in order)), F.lit(slices)))
     if slices == 1:
-        ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length").orderBy(*pieces.columns)).cast("long") - 1)
+        ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length").orderBy(*(F.col(quoted(c)) for c in pieces.columns))).cast("long") - 1)
     else:
         before = dealt.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
         before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
-        within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*pieces.columns)).cast("long") - 1
+        within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*(F.col(quoted(c)) for c in pieces.columns))).cast("long") - 1
         ranked = dealt.withColumn("_rank", within).join(before, ["length", "_slice"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
-    ranked = ranked.select(*pieces.columns, "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    ranked = numbered(ranked.select(*(F.col(quoted(c)) for c in pieces.columns), "_rank"))
+    *kept, rank = ranked.columns
+    length = kept[pieces.columns.index("length")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema[:-1]) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
-            kept = [c for c in batch.schema.names if c != "_rank"]
+            sequence, offset = places.find(batch.column(length).to_numpy(), batch.column(rank).to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, digest: Callable[[np.ndarray], int] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

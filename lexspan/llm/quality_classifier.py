@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import SPACED, TextBlock, text_blocks, word_hashes
+from lexspan.llm.blocks import SPACED, TextBlock, numbered, quoted, text_blocks, word_hashes
 from lexspan.llm.language_id import held_out
 from lexspan.session import ship, table
 
@@ -109,16 +109,17 @@ def train(x: np.ndarray, firsts: np.ndarray, y: np.ndarray, rounds: int = 150, r
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> Bags | None:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality", passages_each: int | None = TRAIN_PASSAGES) -> Bags | None:
     """Train on labelled rows of ``docs``, drawn by hash of their key from the rows of ``labels`` where ``learn_from`` holds.
 
     At most ``TRAIN_ROWS`` labels and, where keys are repeated, twice as many documents, the
     first by hash of key and text. Null keys and labels teach nothing; repeated labels count
-    as often as they stand. Without any labelled row there is no network.
+    as often as they stand. Of longer texts the fit sees ``passages_each`` passages, spread evenly,
+    or all where it is null. Without any labelled row there is no network.
     """
     ship(docs.sparkSession)
-    drawn = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(9)), "k", "y").limit(TRAIN_ROWS)
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    drawn = labels.where(learn_from & labels[quoted(label)].isNotNull() & labels[quoted(key)].isNotNull()).select(labels[quoted(key)].alias("k"), labels[quoted(label)].cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(9)), "k", "y").limit(TRAIN_ROWS)
+    own = docs.select(docs[quoted(key)].alias("k"), docs[quoted(text)].alias("text"))
     sample = own.join(F.broadcast(drawn), "k").select("y", "text", F.xxhash64("k", "text").alias("h"))  # at most TRAIN_ROWS rows are broadcast
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
             x, firsts = passages(block)
             bags = []
             for a, b in zip(firsts[:-1], firsts[1:]):
-                own = x[a:b] if b - a <= TRAIN_PASSAGES else x[a + np.linspace(0, b - a - 1, TRAIN_PASSAGES).astype(int)]
+                own = x[a:b] if passages_each is None or b - a <= passages_each else x[a + np.linspace(0, b - a - 1, passages_each).astype(int)]
                 bags.append(own.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array(bags, pa.binary())], ["y", "h", "bag"])
 
@@ -151,13 +152,14 @@ def score(docs: DataFrame, net: Bags | None, text: str = "text", key: str = "doc
     any other; only key and text are read. One pass, no shuffle.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    named = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    kind = named.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in text_blocks(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(scores(net, block))], [key, "score"])
+        for batch, block in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores(net, block))], ["key", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return named.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, net: Bags | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -167,12 +169,14 @@ def keep_good(docs: DataFrame, net: Bags | None, threshold: float = 0.5, text: s
     an empty table stays empty. Without a network every score is 0.5.
     """
     ship(docs.sparkSession)
+    at = f"c{docs.columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches, at):
             yield batch.filter(pa.array(scores(net, block) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    told = numbered(docs)
+    return told.mapInArrow(run, told.schema).toDF(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.blocks import LOWER, SPACED, TextBlock, byte_table, mix, run_hashes, text_blocks, window_hashes, word_hashes
+from lexspan.llm.blocks import LOWER, SPACED, TextBlock, byte_table, mix, quoted, run_hashes, text_blocks, window_hashes, word_hashes
 from lexspan.session import forget, settled, ship, spill, table
 
 _SYMBOLS = np.zeros(256, bool)
@@ -25,6 +25,7 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _BREAK = ~byte_table((0x0A, 0x0A))
 #: A table of frequent lines up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+SALTS = 16
 
 
 def _per_document(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -110,13 +111,17 @@ def apply_rules(docs: DataFrame, limit: int = 10, keep_share: float = 0.5, least
     before it is sent.
     """
     spark = docs.sparkSession
-    named = docs.select(*(docs["`" + c.replace("`", "``") + "`"].alias(to) for c, to in ((key, "key"), (host, "host"), (text, "text"))))
+    named = docs.select(*(docs[quoted(c)].alias(to) for c, to in ((key, "key"), (host, "host"), (text, "text"))))
     stored, path = spill(spark, line_counts(named))
     lines = stored.select("row", F.coalesce(F.col("host").cast("string"), F.lit("\u0000")).alias("at"), F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "at", F.col("l.line_hash").alias("hash"), F.col("l.line_words").alias("words"))
     frequent = lines.groupBy("at", "hash").agg(F.count("*").alias("held")).where(F.col("held") > limit).select("at", "hash")
     frequent, frequent_path = spill(spark, frequent)
-    known = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
-    lost = lines.join(known, ["at", "hash"]).groupBy("row").agg(F.sum("words").alias("frequent_words"))
+    if frequent.count() <= BROADCAST_ROWS:
+        held = lines.join(F.broadcast(frequent), ["at", "hash"])
+    else:  # a line of a third of all documents goes to many tasks
+        dealt = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = lines.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(dealt, ["at", "hash", "salt"])
+    lost = held.groupBy("row").agg(F.sum("words").alias("frequent_words"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = stored.select("row", "key", *counts).join(lost, "row", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm.blocks import quoted
+from lexspan.llm.blocks import numbered, quoted
 from lexspan.session import ship, table
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -330,20 +330,23 @@ def mask(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", leng
     Null and empty texts stay; repeated rows are masked alike, and an empty table stays empty.
     """
     ship(docs.sparkSession)
-    schema = docs.schema
+    names = docs.columns
+    at = f"c{names.index(text)}"
+    sized = f"c{names.index(length)}" if length in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column(text).to_pylist()
+            old = batch.column(at).to_pylist()
             new = [masked_text(t, threshold) for t in old]
             columns = {name: batch.column(name) for name in batch.schema.names}
-            columns[text] = pa.array(new, batch.schema.field(text).type)
-            if length in columns:
-                sizes = [n if a == b else len(b) for a, b, n in zip(old, new, columns[length].to_pylist())]
-                columns[length] = pa.array(sizes, batch.schema.field(length).type)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if sized:
+                sizes = [n if a == b else len(b) for a, b, n in zip(old, new, columns[sized].to_pylist())]
+                columns[sized] = pa.array(sizes, batch.schema.field(sized).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    told = numbered(docs)
+    return told.mapInArrow(run, told.schema).toDF(*names)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

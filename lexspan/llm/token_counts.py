@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import bpe
-from lexspan.llm.blocks import TextBlock, text_blocks
+from lexspan.llm.blocks import TextBlock, quoted, text_blocks
 from lexspan.session import ship, table
 
 TOKEN_LIMIT = 512
@@ -96,20 +96,21 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int | None = None, te
     other. Other columns are not read. One pass without a shuffle.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType
-    names = [key, "n_bytes", "n_tokens", *(["fits_chars"] if budget is not None else [])]
+    named = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].alias("text"))
+    kind = named.schema["key"].dataType
+    names = ["key", "n_bytes", "n_tokens", *(["fits_chars"] if budget is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(vocabulary)
         store = bpe.store_of(vocab, "counts", lambda found: [np.array([vocab.prefix_counts(p)[-1]], np.uint32) for p in found])
-        for batch, block in text_blocks(batches, text):
+        for batch, block in text_blocks(batches):
             starts, firsts = bpe.pieces(block)
             slots = store.find(block.data, starts, np.append(starts[1:], len(block.data)))
             sums = np.concatenate(([0], np.cumsum(store.flat[slots].astype(np.int64))))
             totals = sums[firsts[1:]] - sums[firsts[:-1]]
             for i in np.flatnonzero(~bpe.plain(block, vocab.special)):
                 totals[i] = PrefixCounts(vocab, block.texts[int(i)].as_py()).total
-            out = [batch.column(key), pa.array(block.lengths), pa.array(totals)]
+            out = [batch.column("key"), pa.array(block.lengths), pa.array(totals)]
             if budget is not None:
                 chars = pc.fill_null(pc.utf8_length(block.texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 for i in np.flatnonzero(totals > budget):
@@ -117,7 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int | None = None, te
                 out.append(pa.array(chars))
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return named.mapInArrow(run, f"key {kind.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:])).withColumnRenamed("key", key)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

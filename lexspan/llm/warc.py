@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
+from lexspan.llm.blocks import quoted
 from lexspan.session import forget, settled, shared_folder, ship, table
 
 CRLF = "\r\n"
@@ -31,6 +32,7 @@ CRLF = "\r\n"
 LEAST_REVISIT = 0
 #: Known firsts of repeated payloads are broadcast up to this many rows; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+SALTS = 32
 #: Bytes of archives that one read task gets, unless a single file is longer.
 PARTITION_BYTES = 64_000_000
 
@@ -61,13 +63,17 @@ def records(pages: DataFrame, payload: str = "html", key: str = "page_id", uri:
 
     Only digests and keys are shuffled. A payload that a third of all rows share is one
     row after the partial aggregation, and the rows that look their digest up are not
-    moved unless the table of repeated payloads is too large to broadcast.
+    moved unless the table of repeated payloads is too large to broadcast; then the rows of
+    a payload go to ``SALTS`` tasks.
     """
-    body = F.coalesce(F.col(payload), F.lit(""))
-    base = pages.select(F.col(key).alias("k"), F.regexp_replace(F.col(uri), r"[\x00-\x20\x7f]", "%20").alias("u"), body.alias("p"), F.octet_length(body).cast("long").alias("n"), base32_sha1(body).alias("d"))
+    body = F.coalesce(pages[quoted(payload)], F.lit(""))
+    base = pages.select(pages[quoted(key)].alias("k"), F.regexp_replace(pages[quoted(uri)], r"[\x00-\x20\x7f]", "%20").alias("u"), body.alias("p"), F.octet_length(body).cast("long").alias("n"), base32_sha1(body).alias("d"))
     repeated = base.where(F.col("n") >= least_revisit).groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("times")).where((F.col("times") > 1) & F.col("first").isNotNull()).drop("times")
-    small = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = base.join(F.broadcast(repeated) if small else repeated, "d", "left")
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = base.join(F.broadcast(repeated), "d", "left")
+    else:
+        dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.withColumn("salt", F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).cast("int")).join(dealt, ["d", "salt"], "left")
     again = F.col("first").isNotNull() & (F.col("k").isNull() | (F.col("k") > F.col("first"))) & (F.col("n") >= least_revisit)
     page, first = F.col("k").cast("string"), F.col("first").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(2 * CRLF))
@@ -153,7 +159,7 @@ class WarcReader(DataSourceReader):
         if info.type == fs.FileType.File:
             found = [info]
         else:
-            found = [i for i in system.get_file_info(fs.FileSelector(place)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
+            found = [i for i in system.get_file_info(fs.FileSelector(place, recursive=True)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
         parts: list[list[str]] = []
         room = 0
         for i in sorted(found, key=lambda i: (-i.size, i.path)):
@@ -312,7 +318,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
-    """The records of the archives in a folder (or of one file).
+    """The records of the archives in a folder and the folders in it (or of one file).
 
     A folder without archives has none. A record that is cut short, does not begin as one, or
     whose payload differs from its digest is an error that names the byte.

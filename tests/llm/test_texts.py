@@ -9,6 +9,7 @@ from collections import Counter as Tally
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexspan.llm import bpe, html_text, packing, secrets, token_counts
 from lexspan.llm.blocks import TextBlock, text_blocks
@@ -456,3 +457,36 @@ def test_keys_with_odd_names(spark):
     frame = spark.createDataFrame([(1, "<p>x", "password: Zx9kQw1rTyU8")], "`a.key` long, `the``page` string, `own.text` string")
     assert [tuple(r) for r in html_text.extract(frame, "the`page", "a.key").collect()] == [(1, "x")]
     assert secrets.scan(frame, text="own.text", key="a.key").first()["a.key"] == 1
+
+
+def test_all_operators_take_odd_names(spark):
+    """Dots and back-ticks in names of keys and texts; other columns named as those that are made."""
+    import public_tokenizers
+
+    from lexspan.llm import language_id, quality_classifier, warc
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "the law of utah", "en", 0, 1), (2, None, None, 1, 2), (None, "", "en", 2, 3), (1, "le droit de la mer", "fr", 3, 4)]
+    frame = spark.createDataFrame(rows, "`a.key` long, `own.text` string, lang_pred string, score int, n_tokens int")
+    named = {"text": "own.text", "key": "a.key"}
+    assert packing.pack(frame, path, digest=packing.crc32_of, **named).count() == 4
+    assert [r["a.key"] for r in token_counts.count_tokens(frame, path, **named).orderBy("n_bytes").collect()][2:] == [1, 1]
+    net, names = language_id.fit(frame.withColumnRenamed("lang_pred", "a.lang"), F.lit(True), lang="a.lang", part=None, **named)
+    assert names == ["en", "fr"] and language_id.predict(frame, net, names, **named).count() == 4
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "`a.key` long, `q.y` int")
+    net = quality_classifier.fit(frame, labels, F.lit(True), label="q.y", passages_each=None, **named)
+    assert {0 <= r["score"] <= 1 for r in quality_classifier.score(frame, net, **named).collect()} == {True}
+    assert warc.records(frame.withColumnRenamed("own.text", "own.html").withColumnRenamed("lang_pred", "its.uri"), "own.html", "a.key", "its.uri").count() == 4
+
+
+def test_frequent_lines_and_repeated_pages_beyond_a_broadcast(spark, monkeypatch):
+    """The salted joins give what the broadcasts give."""
+    from lexspan.llm import quality_rules, warc
+
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice(["a b c", "d e f", "g h", f"own {i}"]) for _ in range(9)), rng.choice(["x", "y", None])) for i in range(60)], "doc_id long, text string, source string")
+    pages = spark.createDataFrame([(i, f"u{i}", rng.choice(["", "p", "q", f"own{i}", None])) for i in range(80)], "page_id long, url string, html string")
+    before = sorted(map(str, quality_rules.apply_rules(docs, least_words=5).collect())), sorted(map(str, warc.records(pages).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert before == (sorted(map(str, quality_rules.apply_rules(docs, least_words=5).collect())), sorted(map(str, warc.records(pages).collect())))
