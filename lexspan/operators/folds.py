@@ -36,6 +36,30 @@ def fold_plan(sizes: dict[int, int], k: int) -> dict[int, tuple[list[int], list[
     return plan
 
 
+#: Rows of one size that one task ranks.
+SLICE = 1_000_000
+
+
+def ranked_within(rows: DataFrame, group: str, order: str, sizes: dict[int, int]) -> DataFrame:
+    """Adds ``r``, each row's place (from 0) in its group by ``order``; a group of more than ``SLICE`` rows is ranked in slices of its order."""
+    if max(sizes.values()) <= SLICE:
+        return rows.withColumn("r", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+    share = min(1.0, 200_000 / sum(sizes.values()))  # bounds that part each large group; any bounds are right
+    large = [g for g, n in sizes.items() if n > SLICE]
+    cuts = rows.where(F.col(group).isin(large)).sample(share, 7).groupBy(group).agg(F.array_sort(F.collect_set(order)).alias("names")).collect()
+    bounds = []
+    for r in cuts:
+        parts = max(1, -(-2 * sizes[r[group]] // SLICE))
+        step = max(1, len(r["names"]) // parts)
+        bounds.append((r[group], r["names"][step::step]))
+    told = rows.sparkSession.createDataFrame(bounds, f"{group} {rows.schema[group].dataType.simpleString()}, _bounds array<string>")
+    dealt = rows.join(F.broadcast(told), group, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0))).drop("_bounds")  # a row per large group
+    before = dealt.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
+    before = before.select(group, "_slice", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order)) - 1
+    return dealt.withColumn("r", within).join(F.broadcast(before), [group, "_slice"]).withColumn("r", (F.col("r") + F.col("_before")).cast("long")).drop("_slice", "_before")  # a row per slice
+
+
 def contract_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     """contract, fold, chunks: every contract in one fold, largest first to the lightest fold, ties by name.
 
@@ -49,9 +73,8 @@ def contract_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     plan = fold_plan(sizes, k)
     spark = rows.sparkSession
     table = spark.createDataFrame([(s, a, c) for s, (a, c) in plan.items()], "chunks long, first array<int>, cycle array<int>")
-    rank = (F.row_number().over(Window.partitionBy("chunks").orderBy("contract")) - 1).cast("int")
-    ranked = counts.withColumn("r", rank).join(F.broadcast(table), "chunks")  # a row per size
-    fold = F.when(F.col("r") < F.size("first"), F.get("first", F.col("r"))).otherwise(F.get("cycle", (F.col("r") - F.size("first")) % k))
+    ranked = ranked_within(counts, "chunks", "contract", sizes).join(F.broadcast(table), "chunks")  # a row per size
+    fold = F.when(F.col("r") < F.size("first"), F.get("first", F.col("r").cast("int"))).otherwise(F.get("cycle", ((F.col("r") - F.size("first")) % k).cast("int")))
     return ranked.select("contract", fold.cast("int").alias("fold"), "chunks")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexspan.operators.checks import check_grid, require_empty, threshold_values
 from lexspan.schema import CATEGORIES, FINE_GRID, LOW_SUPPORT, THRESHOLD, TUNING_GRID, UNSTABLE_STD
+from lexspan.session import spill
 
 SCALE = 10**12
 #: Stretches of score that are summed by themselves first, so that no task sorts a whole category.
@@ -43,11 +44,24 @@ def decisions(rows: DataFrame, thresholds=THRESHOLD, categories: Iterable[str] =
     return rows.withColumn("decision", (F.col("score") >= threshold_column(thresholds, categories)).cast("int"))
 
 
+def stored_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """All rows, masked ones too, counted by keys, category, score and mask: ``n`` rows, ``tp`` of them positive. Stored.
+
+    Everything below can be had from these counts, so what made the rows runs once.
+    """
+    return spill(rows.sparkSession, rows.groupBy(*keys, "category", "score", "mask").agg(F.count("*").alias("n"), F.sum("label").alias("tp")))[0]
+
+
 def score_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Unmasked rows counted by key, category and score: ``n`` rows, ``tp`` of them positive."""
     return rows.where("mask").groupBy(*keys, "category", "score").agg(F.count("*").alias("n"), F.sum("label").alias("tp"))
 
 
+def _unmasked(counts: DataFrame, *keys: str) -> DataFrame:
+    """``score_counts`` from ``stored_counts``."""
+    return counts.where("mask").groupBy(*keys, "category", "score").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+
+
 def cumulative(counts: DataFrame, *keys: str) -> DataFrame:
     """``score_counts`` with ``cum_n`` and ``cum_tp``: rows and positives of that score or higher."""
     by = [*keys, "category"]
@@ -62,7 +76,11 @@ def cumulative(counts: DataFrame, *keys: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
     """Per category: the sum over distinct scores of recall gained times precision there; null without positives."""
-    curve = cumulative(score_counts(rows, *keys), *keys)
+    return _precision_of(score_counts(rows, *keys), *keys)
+
+
+def _precision_of(counts: DataFrame, *keys: str) -> DataFrame:
+    curve = cumulative(counts, *keys)
     at = F.col("tp") * fixed(F.col("cum_tp") / F.col("cum_n"))
     found = curve.groupBy(*keys, "category").agg(F.sum(at).alias("s"), F.sum("tp").alias("p"))
     return found.select(*keys, "category", F.when(F.col("p") > 0, F.col("s") / (F.col("p") * F.lit(SCALE).cast("long"))).alias("average_precision"))
@@ -82,17 +100,17 @@ def _rates(tp: str, predicted: str, support: str, scored: str) -> list[Column]:
     return [F.when(some, ratio(t, p)).alias("precision"), F.when(some, ratio(t, s)).alias("recall"), F.when(some, ratio(2 * t, p + s)).alias("f1")]
 
 
-def score_decided(decided: DataFrame, ap: DataFrame | None, threshold: Column, *keys: str) -> DataFrame:
-    """Category, macro and micro rows from rows with ``decision``; ``threshold`` is an expression on category rows."""
-    valid = F.col("mask")
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+def score_counted(decided: DataFrame, threshold: Column, *keys: str) -> DataFrame:
+    """Category, macro and micro rows from ``stored_counts`` with ``decision``; ``threshold`` is an expression on category rows."""
+    valid, hit = F.col("mask"), F.col("decision") == 1
+    total = lambda c, n="n": F.coalesce(F.sum(F.when(c, F.col(n)).otherwise(0)), F.lit(0))
     sums = decided.groupBy(*keys, "category").agg(
-        count(valid & (F.col("label") == 1)).alias("support"), count(valid).alias("scored_chunks"), count(~valid).alias("masked_chunks"),
-        count(valid & (F.col("decision") == 1)).alias("predicted_positive"), count(valid & (F.col("decision") == 1) & (F.col("label") == 1)).alias("tp"),
+        total(valid, "tp").alias("support"), total(valid).alias("scored_chunks"), total(~valid).alias("masked_chunks"),
+        total(valid & hit).alias("predicted_positive"), total(valid & hit, "tp").alias("tp"),
     )
     counts = ["support", "scored_chunks", "masked_chunks", "predicted_positive"]
     rows = sums.select(*keys, "category", threshold.alias("threshold"), *counts, *_rates("tp", "predicted_positive", "support", "scored_chunks"), "tp")
-    rows = rows.join(ap, [*keys, "category"], "left") if ap is not None else rows.withColumn("average_precision", F.lit(None).cast("double"))
+    rows = rows.join(_precision_of(_unmasked(decided, *keys), *keys), [*keys, "category"], "left")
     one_threshold = F.when((F.min("threshold") == F.max("threshold")) & (F.count("threshold") == F.count("*")), F.min("threshold")).alias("threshold")
     totals = [F.sum(c).alias(c) for c in counts]
     mean = lambda c: (F.sum(fixed(F.col(c))) / (F.count(c) * F.lit(SCALE).cast("long"))).alias(c)
@@ -105,12 +123,13 @@ def score_decided(decided: DataFrame, ap: DataFrame | None, threshold: Column, *
 
 def score(rows: DataFrame, thresholds=THRESHOLD, *keys: str, categories: Iterable[str] = CATEGORIES) -> DataFrame:
     """Precision, recall, F1 and average precision of each category, their mean (macro) and pooled (micro)."""
-    return score_decided(decisions(rows, thresholds, categories), average_precision(rows, *keys), threshold_column(thresholds, categories), *keys)
+    return score_counted(decisions(stored_counts(rows, *keys), thresholds, categories), threshold_column(thresholds, categories), *keys)
 
 
 def score_given(decided: DataFrame, *keys: str) -> DataFrame:
     """``score`` of decisions made elsewhere (column ``decision``); thresholds are null."""
-    return score_decided(decided, average_precision(decided, *keys), F.lit(None).cast("double"), *keys)
+    counts = stored_counts(decided, *keys, "decision")
+    return score_counted(counts, F.lit(None).cast("double"), *keys)
 
 
 # Tuning ---------------------------------------------------------------------
@@ -147,11 +166,17 @@ def tune_thresholds(rows: DataFrame, grid: Iterable[float] = TUNING_GRID, defaul
 
     A category without unmasked rows is not listed.
     """
-    steps = check_grid(grid)
-    counts = score_counts(rows, *keys)
+    return _tuned(stored_counts(rows, *keys), check_grid(grid), default, *keys)
+
+
+def _at_default(counts: DataFrame, default: float, *keys: str) -> DataFrame:
     high = F.col("score") >= default
-    at_default = counts.groupBy(*keys, "category").agg(F.sum(F.when(high, F.col("tp")).otherwise(0)).alias("d_tp"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("d_pp"))
-    return _best(_grid_counts(counts, steps, *keys), at_default, steps, default, *keys)
+    return counts.groupBy(*keys, "category").agg(F.sum(F.when(high, F.col("tp")).otherwise(0)).alias("d_tp"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("d_pp"))
+
+
+def _tuned(counts: DataFrame, steps: tuple[float, ...], default: float, *keys: str) -> DataFrame:
+    own = _unmasked(counts, *keys)
+    return _best(_grid_counts(own, steps, *keys), _at_default(own, default, *keys), steps, default, *keys)
 
 
 def threshold_map(tuned: DataFrame) -> dict[str, float]:
@@ -161,29 +186,31 @@ def threshold_map(tuned: DataFrame) -> dict[str, float]:
 
 def cross_fit_thresholds(rows: DataFrame, grid: Iterable[float] = FINE_GRID, default: float = THRESHOLD) -> DataFrame:
     """Per held-out fold and category, the threshold tuned on all other folds: total counts less the fold's own, in one pass."""
-    steps = check_grid(grid)
-    counts = score_counts(rows, "fold")
-    folds = rows.select(F.col("fold").alias("held")).distinct()
-    per_fold = _grid_counts(counts, steps, "fold")
-    high = F.col("score") >= default
-    default_fold = counts.groupBy("fold", "category").agg(F.sum(F.when(high, F.col("tp")).otherwise(0)).alias("d_tp"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("d_pp"))
+    return _cross_fitted(stored_counts(rows, "fold"), check_grid(grid), default)
+
+
+def _cross_fitted(counts: DataFrame, steps: tuple[float, ...], default: float) -> DataFrame:
+    folds = counts.select(F.col("fold").alias("held")).distinct()
+    own = _unmasked(counts, "fold")
     others = lambda frame, *by, **sums: frame.crossJoin(F.broadcast(folds)).where("fold <> held").groupBy("held", *by).agg(*(F.sum(c).alias(c) for c in sums))  # noqa: E731  folds x grid steps
-    histogram = others(per_fold, "category", "step", n=1, tp=1)
-    at_default = others(default_fold, "category", d_tp=1, d_pp=1)
+    histogram = others(_grid_counts(own, steps, "fold"), "category", "step", n=1, tp=1)
+    at_default = others(_at_default(own, default, "fold"), "category", d_tp=1, d_pp=1)
     return _best(histogram, at_default, steps, default, "held").withColumnRenamed("held", "fold")
 
 
 def cross_fit_decisions(rows: DataFrame, grid: Iterable[float] = FINE_GRID) -> DataFrame:
     """Adds ``decision`` by each row's fold's cross-fitted threshold. At least two folds are needed."""
-    require_empty(rows.agg(F.countDistinct("fold").alias("n")).where("n < 2"), "cross-fitting needs two folds")
-    tuned = cross_fit_thresholds(rows, grid).select("fold", "category", F.col("threshold").alias("_t"))
+    counts = stored_counts(rows, "fold")
+    require_empty(counts.agg(F.countDistinct("fold").alias("n")).where("n < 2"), "cross-fitting needs two folds")
+    tuned = _cross_fitted(counts, check_grid(grid), THRESHOLD).select("fold", "category", F.col("threshold").alias("_t"))
     return rows.join(F.broadcast(tuned), ["fold", "category"]).withColumn("decision", (F.col("score") >= F.col("_t")).cast("int")).drop("_t")  # folds x categories
 
 
 def final_thresholds(rows: DataFrame, grid: Iterable[float] = TUNING_GRID) -> DataFrame:
     """Thresholds from all rows, the spread of those that leave a fold out, and a flag for shaky ones."""
-    spread = cross_fit_thresholds(rows, grid).groupBy("category").agg(F.min("threshold").alias("fold_threshold_min"), F.max("threshold").alias("fold_threshold_max"), F.stddev_samp("threshold").alias("fold_threshold_std"))
-    out = tune_thresholds(rows, grid).join(spread, "category")
+    counts, steps = stored_counts(rows, "fold"), check_grid(grid)
+    spread = _cross_fitted(counts, steps, THRESHOLD).groupBy("category").agg(F.min("threshold").alias("fold_threshold_min"), F.max("threshold").alias("fold_threshold_max"), F.stddev_samp("threshold").alias("fold_threshold_std"))
+    out = _tuned(counts, steps, THRESHOLD).join(spread, "category")
     flag = F.concat_ws("; ", F.when(F.col("fold_threshold_std") > UNSTABLE_STD, "unstable threshold"), F.when(F.col("support") < LOW_SUPPORT, "low support"))
     return out.withColumn("flag", flag)
 

@@ -59,20 +59,67 @@ RULES = (
 )
 # End of fixed values.
 
+#: Letters without which a rule cannot fire: of every group at least one must be in the text, in small letters.
+NEEDS = {
+    "in_no_event_liable": (("event",), ("liab",)),
+    "excluded_damage_types": (("damages",), ("indirect", "incidental", "consequential", "special", "punitive", "exemplary")),
+    "amount_ceiling": (("liab",), ("exceed", "capped", "limited")),
+    "cap_with_carve_out": (("event", "limitation", "damages", "liability"), ("except", "excluding", "not", "other")),
+    "governed_by_laws": (("govern",), ("law",)),
+    "laws_govern": (("govern",), ("law",)),
+    "construed_under_laws": (("construed", "interpreted", "enforced"), ("law",)),
+    "governing_law_heading": (("governing",), ("law",)),
+    "assign_needs_consent": (("assign",), ("consent",)),
+    "may_not_assign": (("assign", "transfer", "delegate"), ("not",)),
+    "no_party_assigns": (("assign",), ("party", "assignable")),
+    "void_assignment": (("purported", "attempted"), ("void", "null")),
+    "change_of_control": (("change",), ("control", "ownership")),
+    "merger_triggers_right": (("terminat",), ("merge", "consolidat", "acqui")),
+    "terminate_without_cause": (("terminate",), ("convenience", "reason", "cause")),
+    "terminate_at_any_time": (("terminate",), ("time",)),
+    "exclusive": (("exclusiv",),),
+    "sole_supplier": (("sole",),),
+    "non_compete_term": (("compet",),),
+    "restricted_competition": (("compet",), ("not", "directly", "refrain")),
+    "automatic_renewal": (("auto", "evergreen"),),
+    "renewal_period": (("renewal",),),
+    "successive_periods": (("renew", "extend"), ("successive", "additional", "further")),
+    "audit": (("audit",),),
+    "inspect_records": (("inspect", "examin", "review"), ("books", "records", "facilit", "premises", "accounts")),
+    "access_to_records": (("access",), ("books", "records", "accounts")),
+}
+
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spark.createDataFrame([(r.category, r.name, r.pattern, r.rationale) for r in rules], "category string, rule string, pattern string, rationale string")
 
 
-def hit_array(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def small_letters(text: Column) -> Column:
+    """The text with every letter that a pattern in any case takes for one of a to z as that letter."""
+    return F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
+
+
+def fires(text: Column, low: Column, rule: Rule) -> Column:
+    """Whether a rule fires; ``low`` is ``small_letters(text)``. The pattern runs only where the text has the letters it needs."""
+    needed = [reduce(lambda a, b: a | b, [low.contains(w) for w in group]) for group in (NEEDS.get(rule.name, ()) if rule in RULES else ())]
+    return F.coalesce(reduce(lambda a, b: a & b, [*needed, text.rlike(regex(rule.pattern))]), F.lit(False))
+
+
+def hit_array(text: Column, low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """One struct (category, rule, hit) per rule."""
-    return F.array(*(F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), F.coalesce(text.rlike(regex(r.pattern)), F.lit(False)).alias("hit")) for r in rules))
+    return F.array(*(F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), fires(text, low, r).alias("hit")) for r in rules))
+
+
+def _with_low(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("_low", small_letters(F.col(text)))
 
 
-def rule_hits(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """row x rule with ``hit``; the other columns stay, the text goes."""
+def rule_hits(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", fired: bool = False) -> DataFrame:
+    """row x rule with ``hit``, or with ``fired`` only the rules that fire; the other columns stay, the text goes."""
     kept = [c for c in rows.columns if c != text]
-    return rows.select(*kept, F.explode(hit_array(F.col(text), rules)).alias("h")).select(*kept, "h.category", "h.rule", "h.hit")
+    hits = hit_array(F.col(text), F.col("_low"), rules)
+    hits = F.filter(hits, lambda h: h["hit"]) if fired else hits
+    return _with_low(rows, text).select(*kept, F.explode(hits).alias("h")).select(*kept, "h.category", "h.rule", "h.hit")
 
 
 def category_scores(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -84,9 +131,9 @@ def category_scores(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
     if unknown:
         raise ValueError(f"rules of unknown categories: {unknown}")
     kept = [c for c in rows.columns if c != text]
-    fired = lambda c: reduce(lambda a, b: a + b, [F.coalesce(F.col(text).rlike(regex(r.pattern)), F.lit(False)).cast("int") for r in rules if r.category == c], F.lit(0))
+    fired = lambda c: reduce(lambda a, b: a + b, [fires(F.col(text), F.col("_low"), r).cast("int") for r in rules if r.category == c], F.lit(0))
     counts = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(i).alias("category_idx"), fired(c).cast("long").alias("n_rules")) for i, c in enumerate(categories)))
-    return rows.select(*kept, F.explode(counts).alias("c")).select(*kept, "c.category", "c.category_idx", "c.n_rules")
+    return _with_low(rows, text).select(*kept, F.explode(counts).alias("c")).select(*kept, "c.category", "c.category_idx", "c.n_rules")
 
 
 def predict(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:

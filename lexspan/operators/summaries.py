@@ -91,6 +91,10 @@ def quantile_sample(contracts: DataFrame, quantiles: tuple[float, ...] = (0.1, 0
     total = contracts.count()
     ranks = sorted({round((total - 1) * q) for q in quantiles}) if total else []
     wanted = F.array(*(F.lit(r).cast("long") for r in ranks)) if ranks else F.array().cast("array<bigint>")
-    held = before.withColumn("rank", F.explode(wanted)).where("rank >= before and rank < before + n").select("n_chars", "before", "rank")
-    inside = contracts.join(F.broadcast(held.select("n_chars", "before").distinct()), "n_chars").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("n_chars").orderBy("contract")) - 1)  # a row per quantile
+    held = before.withColumn("rank", F.explode(wanted)).where("rank >= before and rank < before + n").select("n_chars", "before", "rank", "n")
+    sizes = {r["n_chars"]: r["n"] for r in held.select("n_chars", "n").distinct().collect()}  # a row per quantile at most
+    if not sizes:
+        return contracts.limit(0).select(F.lit(0).cast("long").alias("rank"), "contract", "n_chars")
+    inside = contracts.join(F.broadcast(held.select("n_chars", "before").distinct()), "n_chars")
+    inside = ranked_within(inside, "n_chars", "contract", sizes).withColumn("place", F.col("before") + F.col("r"))
     return inside.join(F.broadcast(held.select("rank")), F.col("place") == F.col("rank")).select(F.col("rank"), "contract", "n_chars")

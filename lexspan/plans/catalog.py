@@ -432,13 +432,13 @@ _HITS = "hits AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{r.category}' AS ca
 
 @query("rule_hits", with_sql("SELECT chunk_id, category, rule FROM hits WHERE hit", "clauses", more=_HITS))
 def rule_hits(spark, sf):
-    return rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), _SAID).where("hit").select("chunk_id", "category", "rule")
+    return rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), _SAID, fired=True).select("chunk_id", "category", "rule")
 
 
 @query("rule_hits_exclusive")
 def rule_hits_exclusive(spark, sf):
     only = tuple(r for r in rules.RULES if r not in _SAID)
-    return rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), only).where("hit").select("chunk_id", "category", "rule")
+    return rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), only, fired=True).select("chunk_id", "category", "rule")
 
 
 @query("rule_category_scores", with_sql("SELECT chunk_id, category, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS n_rules FROM hits GROUP BY ALL HAVING bool_or(hit)", "clauses", more=_HITS))

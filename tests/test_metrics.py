@@ -226,3 +226,15 @@ def test_thresholds_of_unknown_categories_are_refused():
 def test_half_quotas_go_to_the_even_number(spark, rate, positives, others):
     rows = spark.createDataFrame([(f"w{i}", i < positives) for i in range(20)], "chunk_id string, positive boolean")
     assert folds.downsample(rows, rate).count() == positives + others
+
+
+def test_ranks_in_slices_of_one_large_group(spark, monkeypatch):
+    from lexspan.operators import folds
+
+    monkeypatch.setattr(folds, "SLICE", 10)
+    rows = spark.createDataFrame([(f"c{i:03}", 5 if i % 7 else i % 3) for i in range(200)], "contract string, size long")
+    sizes = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}
+    told = folds.ranked_within(rows, "size", "contract", sizes).collect()
+    for size in sizes:
+        own = sorted((r["contract"], r["r"]) for r in told if r["size"] == size)
+        assert [p for _, p in own] == list(range(sizes[size]))
