@@ -99,10 +99,15 @@ def small_letters(text: Column) -> Column:
     return F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
 
 
+def may_fire(low: Column, rule: Rule) -> Column:
+    """Whether a text has the letters that a rule needs; ``low`` is its ``small_letters``."""
+    groups = NEEDS.get(rule.name, ()) if rule in RULES else ()
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [low.contains(w) for w in group]) for group in groups], F.lit(True))
+
+
 def fires(text: Column, low: Column, rule: Rule) -> Column:
-    """Whether a rule fires; ``low`` is ``small_letters(text)``. The pattern runs only where the text has the letters it needs."""
-    needed = [reduce(lambda a, b: a | b, [low.contains(w) for w in group]) for group in (NEEDS.get(rule.name, ()) if rule in RULES else ())]
-    return F.coalesce(reduce(lambda a, b: a & b, [*needed, text.rlike(regex(rule.pattern))]), F.lit(False))
+    """Whether a rule fires. The pattern runs only where the text has the letters it needs."""
+    return F.coalesce(may_fire(low, rule) & text.rlike(regex(rule.pattern)), F.lit(False))
 
 
 def hit_array(text: Column, low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -146,8 +151,9 @@ def explain(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     found = []
     for r in rules:
         start, words = first_match(F.col(text), regex(r.pattern))
-        found.append(F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), start.alias("start"), (start + F.length(words)).alias("end"), words.alias("match")))
-    return rows.select(*kept, F.explode(F.array(*found)).alias("f")).select(*kept, "f.*").where("start is not null")
+        told = F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), start.alias("start"), (start + F.length(words)).alias("end"), words.alias("match"))
+        found.append(F.when(fires(F.col(text), F.col("_low"), r), told))
+    return _with_low(rows, text).select(*kept, F.explode(F.array_compact(F.array(*found))).alias("f")).select(*kept, "f.*")
 
 
 def rule_stats(labeled: DataFrame, hits: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.operators.folds import ranked_within
+
 
 def coverage(grid: DataFrame) -> DataFrame:
     """Per category: contracts that have it, and their share in per cent (one place)."""

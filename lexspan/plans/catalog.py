@@ -52,15 +52,41 @@ def scan_conversations(spark, sf):
     return table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("contract"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("scan_nested_json", f"SELECT contract, category, start, \"end\", text FROM {_values(samples.JSON_SPANS, 'contract, category, start, \"end\", text')}")
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/lexspan/{uuid.uuid4().hex}"
+
+
+@query("scan_nested_json", with_sql("SELECT contract, category, start, \"end\", text FROM spans", "spans"))
 def scan_nested_json(spark, sf):
-    return tables.spans_of(tables.flatten(samples.raw_json(spark))).select("contract", "category", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text")
+    """The spans are written as nested JSON files, a few contracts each, and read back."""
+    path = _folder(spark)
+    rows = B.annotations(spark, sf).withColumn("file", F.pmod(F.xxhash64("contract"), F.lit(16)))
+    files = rows.groupBy("file").agg(F.to_json(F.struct(F.lit("t").alias("version"), F.collect_list("entry").alias("data"))).alias("value"))  # fixed: 16 files of a test corpus
+    files.write.partitionBy("file").text(path)
+    found = tables.spans_of(tables.flatten(annotations.read_annotations(spark, f"{path}/file=*")))
+    out, _ = spill(spark, found.select("contract", "category", "start", "end", "text"))
+    forget(spark, path)
+    return out
+
 
+_NAMES = r"names AS (SELECT DISTINCT replace(source, '_', ' ') AS raw, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"
 
-@query("scan_category_descriptions", f"SELECT * FROM {_values(samples.DESCRIBED, 'category, category_raw, description, answer_format, json_category')}")
+
+@query("scan_category_descriptions", f"""WITH {_NAMES} SELECT list_aggregate(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(raw[i - 1], '\\p{{L}}') THEN upper(raw[i]) ELSE lower(raw[i]) END), 'string_agg', '') AS category, raw AS category_raw, 'Is it "' || raw || '", or not?' || chr(10) || 'in ' || lang AS description, 'Yes/No' AS answer_format, CASE WHEN lang <> 'en' THEN NULL ELSE upper(raw) END AS json_category FROM names""")
 def scan_category_descriptions(spark, sf):
-    known = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    return annotations.match_categories(annotations.describe(samples.raw_descriptions(spark)), known).select("category", "category_raw", "description", "answer_format", "json_category")
+    """Descriptions of the documents' sources are written as CSV, with quotes and line breaks in values, and read back."""
+    path = _folder(spark)
+    docs = table(spark, sf, "documents").where("source is not null and lang is not null")
+    raw = F.translate("source", "_", " ")
+    rows = docs.select(raw.alias("raw"), "lang").distinct()
+    told = rows.select(F.concat(F.lit("Category: "), "raw").alias("Category"), F.concat(F.lit('Description: Is it "'), "raw", F.lit('", or not?\nin '), "lang").alias("Description"), F.lit("Answer Format: Yes/No").alias("Answer Format"), F.concat(F.lit("Group: "), "lang").alias("Group"))
+    told.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    known = rows.select(F.upper("raw").alias("category")).distinct()
+    found = annotations.match_categories(annotations.read_descriptions(spark, path), known)
+    json = F.when(F.col("group") == "en", F.col("json_category")).alias("json_category")
+    out, _ = spill(spark, found.select("category", "category_raw", "description", "answer_format", json))
+    forget(spark, path)
+    return out
 
 
 @query("proj_spans", with_sql("SELECT contract, category, start, \"end\", \"end\" - start AS n_chars_span, CAST(start AS DOUBLE) / n_chars AS rel_position FROM spans", "spans"))
@@ -367,10 +393,10 @@ def chunk_fixed_words(spark, sf):
     return chunking.fixed_words(B.contracts(spark, sf), 50, 10)
 
 
-@query("chunk_paragraph_only", f"SELECT * FROM {_values(samples.PARAGRAPHS, 'contract, start, \"end\", text')}")
+@query("chunk_paragraph_only", with_sql(r"""SELECT contract, start, start + n AS "end", text FROM (SELECT contract, p AS text, CAST(length(p) AS BIGINT) AS n, CAST(coalesce(sum(length(p)) OVER (PARTITION BY contract ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM (SELECT contract, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT contract, regexp_extract_all(text, '[\s\S]+?(?:\n[ \t]*\n+|\z)') AS ps FROM contracts))) WHERE NOT regexp_matches(text, '^\s*$')""", "contracts"))
 def chunk_paragraph_only(spark, sf):
-    rows = chunking.paragraphs(samples.paragraph_text(spark))
-    return rows.select("contract", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text")
+    return chunking.paragraphs(B.contracts(spark, sf))
 
 
 @query("chunk_hybrid_words")
@@ -414,11 +440,6 @@ def label_report(spark, sf):
 # Rules ----------------------------------------------------------------------
 
 
-@query("rule_table", f"SELECT * FROM {_values([(r.category, r.name) for r in rules.RULES], 'category, rule')}")
-def rule_table(spark, sf):
-    return rules.rule_table(spark).select("category", "rule")
-
-
 # All shipped rules but the one that looks behind, which DuckDB's patterns can't say; it has a query of its own.
 _SAID = tuple(r for r in rules.RULES if "(?<!" not in r.pattern)
 
@@ -435,6 +456,14 @@ def rule_hits(spark, sf):
     return rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), _SAID, fired=True).select("chunk_id", "category", "rule")
 
 
+@query("rule_table", with_sql("SELECT r.category, r.rule, length(r.rationale) AS said, count(h.rule) AS fired FROM " + _values([(r.category, r.name, r.rationale) for r in _SAID], "category, rule, rationale").replace("AS t(", "AS r(") + " LEFT JOIN (SELECT * FROM hits WHERE hit) h USING (category, rule) GROUP BY ALL", "clauses", more=_HITS))
+def rule_table(spark, sf):
+    """Every shipped rule that SQL can say, with how many windows it fires in."""
+    fired = rules.rule_hits(B.clauses(spark, sf).select("chunk_id", "text"), _SAID, fired=True).groupBy("category", "rule").agg(F.count("*").alias("fired"))
+    told = rules.rule_table(spark, _SAID).select("category", "rule", F.length("rationale").cast("long").alias("said"))
+    return told.join(fired, ["category", "rule"], "left").fillna(0, ["fired"])
+
+
 @query("rule_hits_exclusive")
 def rule_hits_exclusive(spark, sf):
     only = tuple(r for r in rules.RULES if r not in _SAID)
@@ -801,19 +830,26 @@ def tfidf_oof(spark, sf):
 # Risk -----------------------------------------------------------------------
 
 
-@query("risk_adjustments", f"SELECT * FROM {_values(samples.RISK_FLAGS, 'id, category, adjustment, points')}")
+_FLAGS = "flags AS (" + " UNION ALL ".join(f"SELECT chunk_id, category, '{a.name}' AS adjustment, {a.points} AS points FROM risky WHERE category IN ({', '.join(repr(c) for c in a.categories)}) AND regexp_matches(text, '{_rule_sql(a.pattern)}')" for a in risk.ADJUSTMENTS) + ")"
+_RISK = _FLAGS + ", points(category, p) AS (VALUES " + ", ".join(f"('{c}', {p})" for c, p in risk.BASE.items()) + ")" + """,
+risk AS (SELECT r.*, CASE WHEN trim(text) <> '' THEN p END AS base, CASE WHEN p IS NOT NULL AND trim(text) <> '' THEN coalesce(most, 0) END AS points FROM risky r LEFT JOIN points USING (category) LEFT JOIN (SELECT chunk_id, max(points) AS most FROM flags GROUP BY chunk_id) USING (chunk_id)),
+reviewed AS (SELECT *, base + points AS score, CASE WHEN base + points >= 4 THEN 'High' WHEN base + points >= 2 THEN 'Medium' WHEN base IS NOT NULL THEN 'Low' END AS level, base IS NULL OR base + points >= 4 AS needs_review FROM risk)"""
+
+
+@query("risk_adjustments", with_sql("SELECT chunk_id, category, adjustment, points FROM flags", "risky", more=_FLAGS))
 def risk_adjustments(spark, sf):
-    return risk.adjustments(samples.risk_clauses(spark)).where("matched").select("id", "category", "adjustment", "points")
+    return risk.adjustments(B.risk_clauses(spark, sf).select("chunk_id", "category", "text")).where("matched").select("chunk_id", "category", "adjustment", "points")
 
 
-@query("risk_score", f"SELECT * FROM {_values(samples.RISK_SCORES, 'id, base, points, score, level, needs_review')}")
+@query("risk_score", with_sql("SELECT chunk_id, coalesce(base, -1) AS base, coalesce(points, -1) AS points, coalesce(score, -1) AS score, level, needs_review FROM reviewed", "risky", more=_RISK))
 def risk_score(spark, sf):
-    return risk.score_clauses(samples.risk_clauses(spark)).select("id", "base", "points", "score", "level", "needs_review")
+    scored = risk.score_clauses(B.risk_clauses(spark, sf).select("chunk_id", "category", "text"))
+    return scored.select("chunk_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("base", "points", "score")), "level", "needs_review")
 
 
-@query("risk_review", f"SELECT * FROM {_values(samples.RISK_ROUTED, 'id, to_review')}")
+@query("risk_review", with_sql("SELECT chunk_id, needs_review OR (source <> 'annotation' AND NOT coalesce(NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 AND TRY_CAST(confidence AS DECIMAL(10,6)) >= CAST(threshold AS DECIMAL(10,6)) + 0.10::DECIMAL(4,2) * (1.000000::DECIMAL(10,6) - CAST(threshold AS DECIMAL(10,6))), FALSE)) AS to_review FROM reviewed", "risky", more=_RISK))
 def risk_review(spark, sf):
-    return risk.route_review(risk.score_clauses(samples.routed_clauses(spark))).select("id", "to_review")
+    return risk.route_review(risk.score_clauses(B.risk_clauses(spark, sf))).select("chunk_id", "to_review")
 
 
 @query("risk_base_points", with_sql("SELECT contract, category, points AS base, CASE WHEN points >= 4 THEN 'High' WHEN points >= 2 THEN 'Medium' ELSE 'Low' END AS level FROM (SELECT DISTINCT contract, category FROM spans) JOIN (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p})" for c, p in risk.BASE.items()) + ") b(category, points)) USING (category)", "spans"))

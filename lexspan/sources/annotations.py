@@ -53,7 +53,7 @@ def load_all(spark: SparkSession, raw_paths: dict[str, str], path: str, rebuild:
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """The category descriptions: columns by place, field names stripped from the values, a title-case ``category``."""
-    return describe(spark.read.schema(CATEGORY_DESCRIPTIONS).option("header", True).option("enforceSchema", True).option("multiLine", True).csv(path))
+    return describe(spark.read.schema(CATEGORY_DESCRIPTIONS).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", "\"").csv(path))
 
 
 def describe(raw: DataFrame) -> DataFrame:

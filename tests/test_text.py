@@ -198,7 +198,8 @@ def test_needed_letters_never_keep_a_rule_from_firing(spark):
 
     rng = random.Random(4)
     words = sorted({w for groups in rules.NEEDS.values() for g in groups for w in g})
-    words += "in no event liable shall not exceed limited to the amount except for governed by laws of law governing assignment without consent neither party may terminate at any time for convenience change of control non-exclusive exclusive sole supplier not to compete agrees automatically renew renewal term successive years audits books and records access to inspect null void purported transfer merger".split()
+    phrases = ["in no event", "be liable", "indirect damages", "total liability", "shall not exceed", "limited to the amount", "except for", "shall not apply", "governed by", "the laws of", "laws of", "construed", "governing law", "assign", "consent", "may not assign", "no party", "not assignable", "purported transfer", "null", "change of control", "merger", "terminates", "may terminate", "without cause", "for convenience", "at any time", "exclusive rights", "non-exclusive", "sole supplier", "not to compete", "competitor", "directly or indirectly", "automatically renew", "renewal term", "renew", "successive one year terms", "audits", "inspect", "books", "access to", "records"]
+    words += phrases * 2
     odd = {"s": "ſ", "i": "ıİ", "k": "K"}
     texts = []
     for _ in range(700):
