@@ -7,7 +7,9 @@
    ``n - ceil(0.85 n) + 1`` shingles in that order. A tile is the classes that share such a
    shingle, cut into bands where the next size is too far to link. Whatever list of frequent
    shingles is used, no link is lost. Tiles of the same members are one tile: near copies
-   share dozens of prefix shingles, and equal tiles hold equal pairs.
+   share dozens of prefix shingles, and equal tiles hold equal pairs. From a tile of many,
+   members go for which no other is small enough, if the tile's shingle is the first that
+   they share: texts of one template that do not link leave its tiles.
 3. In a tile, sizes are checked first; then the bits in which two hashed bitmaps differ (each
    as wide as its size band asks) bound the overlap from above. Of the pairs that are left, a
    tile names a spanning forest of the likeliest, so at most one pair per member; sorted-array
@@ -219,6 +221,9 @@ def _members(percent: int):
     A tile is cut wherever the next size is too large to link, so no pair of it is lost. One of
     more than ``TILE_ROWS`` members comes in rows of as many; its id is its shingle's, and so is
     that of a tile that is gathered in parts (``part`` > 0), whose single members stay.
+
+    Of a tile of that size members are left out for which even its smallest set is too large
+    (``most``, from the shingle's place): what they may link to shares an earlier shingle.
     """
     limit = TILE_ROWS
 
@@ -237,11 +242,11 @@ def _members(percent: int):
                 column.clear()
             return made
 
-        names = ("part", "sig", "n", "cid")
-        held = [np.zeros(0, np.int64)] * 4  # the group that may go on
-        rows_out, goes_on = 0, 0  # its rows that are out already, and its id
+        names = ("part", "sig", "n", "cid", "most")
+        held = [np.zeros(0, np.int64)] * 5  # the group that may go on
+        rows_out, goes_on, least = 0, 0, 0  # its rows that are out already, its id and its smallest size
         for batch in _and_end(batches):
-            part, sig, n, cid = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names))
+            part, sig, n, cid, most = held if batch is None else (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names))
             if not len(sig):
                 continue
             new = np.ones(len(sig), bool)
@@ -250,7 +255,7 @@ def _members(percent: int):
             apart[1:] |= (part[1:] == 0) & (100 * n[:-1] < percent * n[1:])
             fresh = apart.copy()
             fresh[1:] |= cid[1:] != cid[:-1]
-            part, sig, n, cid, apart = part[fresh], sig[fresh], n[fresh], cid[fresh], apart[fresh]
+            part, sig, n, cid, most, apart = part[fresh], sig[fresh], n[fresh], cid[fresh], most[fresh], apart[fresh]
             begins = np.flatnonzero(apart)
             ends = np.append(begins[1:], len(sig))
             mixed = mix(cid.view(np.uint64))
@@ -258,18 +263,20 @@ def _members(percent: int):
             d1, d2 = ((t[ends] - t[begins]).view(np.int64).tolist() for t in sums)
             lowest = np.where(part[begins] == 0, n[begins], 0).view(np.uint64)  # of the band; parts of a tile have one id
             own = mix(mix(sig[begins].view(np.uint64)) ^ mix(lowest)).view(np.int64).tolist()
+            smallest = n[begins].copy()
             if rows_out:
-                own[0] = goes_on
+                own[0], smallest[0] = goes_on, least
+            stays = (most >= np.repeat(smallest, ends - begins)) | (part > 0)  # those of parts were looked at before
             last = len(begins) - 1
             for g, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
                 if batch is not None and g == last:  # waits for what follows, but for full rows
                     while b - a > limit:
-                        put(own[g], int(part[a]), rows_out, cid[a : a + limit])
+                        put(own[g], int(part[a]), rows_out, cid[a : a + limit][stays[a : a + limit]])
                         a, rows_out = a + limit, rows_out + 1
-                    held, goes_on = [part[a:b], sig[a:b], n[a:b], cid[a:b]], own[g]
+                    held, goes_on, least = [part[a:b], sig[a:b], n[a:b], cid[a:b], most[a:b]], own[g], int(smallest[g])
                 elif rows_out or b - a > limit or part[a]:
                     for at in range(a, b, limit):
-                        put(own[g], int(part[a]), rows_out, cid[at : min(b, at + limit)])
+                        put(own[g], int(part[a]), rows_out, cid[at : min(b, at + limit)][stays[at : min(b, at + limit)]])
                         rows_out += 1
                     rows_out = 0
                 elif b - a > 1:
@@ -293,9 +300,10 @@ def _tiles(signed: DataFrame, hot: DataFrame | None, percent: int) -> DataFrame:
     """
     part = F.lit(0).cast("long")
     if hot is not None:
-        signed = signed.join(F.broadcast(hot), "sig", "left")
+        least = signed.join(F.broadcast(hot), "sig").groupBy("sig", "parts").agg(F.min("n").alias("least"))
+        signed = signed.join(F.broadcast(least), "sig", "left").where("least is null or most >= least")  # a row per frequent shingle
         part = F.when(F.col("parts").isNull(), part).otherwise(1 + F.pmod(F.xxhash64("cid"), "parts"))
-    placed = signed.select(part.alias("part"), "sig", "n", "cid").repartition("sig", "part").sortWithinPartitions("part", "sig", "n", "cid")
+    placed = signed.select(part.alias("part"), "sig", "n", "cid", "most").repartition("sig", "part").sortWithinPartitions("part", "sig", "n", "cid")
     found = placed.mapInArrow(_members(percent), "tile long, tile2 long, row long, cids array<long>")
     return found.dropDuplicates(["tile", "tile2", "row"]).select("tile", "cids")
 
@@ -598,7 +606,9 @@ def grouped(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: s
     hot = None
     if (parts > 1).any():
         hot = spark.createDataFrame(pa.table({"sig": frequent[parts > 1].view(np.int64), "parts": parts[parts > 1].astype(np.int64)}))
-    signed = _told_apart(_prefixes(docs, frequent, ngram, percent), ambiguous).select("n", "cid", F.explode("prefix").alias("sig"))
+    signed = _told_apart(_prefixes(docs, frequent, ngram, percent), ambiguous).select("n", "cid", F.posexplode("prefix").alias("at", "sig"))
+    # if the shingle at this place is the first that two sets share, all they share is from it on: the largest set that can link
+    signed = signed.select("n", "cid", "sig", (F.expr(f"(n - at) * {100 + percent} div {percent}") - F.col("n")).cast("long").alias("most"))
     tiles = keep(_tiles(signed, hot, percent))
     members = tiles.select("tile", F.explode("cids").alias("cid"))
 

@@ -278,3 +278,48 @@ def test_passages_cover_whole_texts():
     block = TextBlock(pa.array(["x" * 1000, "", None, "é " * 300]))
     x, firsts = quality_classifier.passages(block)
     assert np.diff(firsts).tolist() == [4, 1, 1, 4] and x.shape[0] == 10
+
+
+def templated(n, seed, own=7, common=46):
+    """Texts of one template with words of their own, so that no two link."""
+    rng = random.Random(seed)
+    head = " ".join(f"c{i}" for i in range(common))
+    return [(i, head + " " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(own))) for i in range(n)]
+
+
+def test_templated_texts_grow_in_proportion(spark, monkeypatch):
+    """What is dealt out for comparison grows with the texts, not with their square."""
+    seen, dealt = [], jaccard_join._dealt
+
+    def noted(*args):
+        out = dealt(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_dealt", noted)
+    counts = []
+    for n in (3000, 6000):
+        seen.clear()
+        rows = templated(n, n)
+        found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert found.where("component_id <> doc_id").count() == 0
+        counts.append(sum(seen))
+    assert counts[1] <= 2.5 * max(counts[0], 3000)
+
+
+def test_large_tiles_lose_no_link(spark, monkeypatch):
+    """Small tiles at once count as large: members leave them, links do not."""
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 2)
+    for seed, parts in ((5, 100_000), (6, 4)):
+        monkeypatch.setattr(jaccard_join, "PART_ROWS", parts)
+        rng = random.Random(seed)
+        rows = templated(30, seed, own=4) + templated(10, seed + 1, own=2)
+        rows = [(i, t) for i, (_, t) in enumerate(rows)]
+        for i, t in rows[:12]:
+            words = t.split()
+            words[rng.randrange(len(words))] = "changed"
+            rows.append((100 + i, " ".join(words)))
+            rows.append((200 + i, " ".join(t.split()[: rng.randint(44, 50)])))
+        found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((tuple(r) for r in found.collect()), key=str) == brute_groups(rows)
