@@ -71,8 +71,10 @@ def priority(spans: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Data
 
 def offset_mismatches(contracts: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans whose text is not what stands at their offsets, or whose contract is unknown."""
-    found = spans.join(contracts.select("contract", F.col("text").alias("full")), "contract", "left")
-    return found.where(~F.col("text").eqNullSafe(F.expr("substring(full, cast(start + 1 as int), cast(end - start as int))"))).drop("full")
+    own = spans.groupBy("contract").agg(F.collect_list(F.struct(*spans.columns)).alias("own"))  # a contract's spans meet its text once
+    found = own.join(contracts.select("contract", F.col("text").alias("full")), "contract", "left")
+    told = lambda s: F.substring(F.col("full"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    return found.select(F.explode(F.filter("own", lambda s: ~s["text"].eqNullSafe(told(s)))).alias("s")).select("s.*")
 
 
 def shared_openings(contracts: DataFrame, n_chars: int = LEAKAGE_PREFIX) -> DataFrame:

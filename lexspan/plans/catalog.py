@@ -411,9 +411,43 @@ def chunk_byte_bpe(spark, sf):
     return chunking.chunk_contracts(B.contracts(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _compared(spark, sf, told):
+    windows, _ = spill(spark, chunking.strategy_windows(B.contracts(spark, sf), told, "words", 120))
+    return chunking.compare_strategies(windows, B.spans(spark, sf), 120)
+
+
 @query("chunk_strategy_compare")
 def chunk_strategy_compare(spark, sf):
-    return chunking.compare_strategies(B.contracts(spark, sf), B.spans(spark, sf), "words", 120, (0, 30))
+    return _compared(spark, sf, chunking.strategies((0, 16, 30, 60), 120))["summary"]
+
+
+@query("chunk_strategy_reasons")
+def chunk_strategy_reasons(spark, sf):
+    return _compared(spark, sf, chunking.strategies((0, 16, 30, 60), 120))["reasons"]
+
+
+_FIXED = tuple(s for s in chunking.strategies((0, 30), 120) if not s.natural)
+_CUT = r"""pieces AS (SELECT contract, n_chars, regexp_extract_all(text, '\S+') AS ws, regexp_extract_all(text, '\s+') AS ss, CASE WHEN regexp_matches(text, '^\s') THEN 1 ELSE 0 END AS lead FROM contracts),
+tokens AS (SELECT contract, k, CAST(coalesce(sum(size) OVER (PARTITION BY contract ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + first AS BIGINT) AS at FROM (SELECT contract, k, CASE WHEN lead = 1 THEN length(ss[1]) ELSE 0 END AS first, length(ws[k]) + coalesce(length(ss[k + lead]), 0) AS size FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM pieces))),"""
+
+
+def _fixed_sql() -> str:
+    parts = [f"SELECT '{s.name}' AS strategy, contract, n_chars, len(ws) AS n, j * (120 - {s.overlap}) AS f FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((len(ws) - 120) / (120.0 - {s.overlap})) AS BIGINT), 0) + 1)) AS j FROM pieces WHERE len(ws) > 0)" for s in _FIXED if s.overlap is not None]
+    return _CUT + "\nfixed AS (" + " UNION ALL ".join(parts) + r"""),
+cut AS (SELECT strategy, fixed.contract, n AS n_source, CASE WHEN f = 0 THEN 0 ELSE a.at END AS start, coalesce(b.at, n_chars) AS "end", least(120, n - f) AS n_tokens FROM fixed LEFT JOIN tokens a ON a.contract = fixed.contract AND a.k = f + 1 LEFT JOIN tokens b ON b.contract = fixed.contract AND b.k = f + 121
+UNION ALL SELECT 'paragraph_only', contract, n, start, start + length(p), len(regexp_extract_all(p, '\S+')) FROM (SELECT contract, n, p, CAST(coalesce(sum(length(p)) OVER (PARTITION BY contract ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT contract, len(ws) AS n, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT c.contract, ws, regexp_extract_all(text, '[\s\S]+?(?:\n[ \t]*\n+|\z)') AS ps FROM contracts c JOIN pieces USING (contract)))) WHERE NOT regexp_matches(p, '^\s*$')),
+own AS (SELECT DISTINCT contract, category, start AS s, "end" AS e FROM spans),
+pairs AS (SELECT c.strategy, c.contract, c.start, c.n_tokens, o.category, s, e, c.start <= s AND e <= c."end" AS full_ FROM cut c JOIN own o ON o.contract = c.contract AND c.start < e AND s < c."end"),
+touched AS (SELECT strategy, count(*) AS touched, sum(CASE WHEN partial THEN 1 ELSE 0 END) AS partial_only FROM (SELECT strategy, contract, start, bool_or(NOT f) AS partial FROM (SELECT strategy, contract, start, category, bool_or(full_) AS f FROM pairs GROUP BY ALL) GROUP BY strategy, contract, start) GROUP BY strategy),
+held AS (SELECT strategy, count(*) AS any_size, sum(CASE WHEN w THEN 1 ELSE 0 END) AS within FROM (SELECT strategy, contract, category, s, e, bool_or(n_tokens <= 120) AS w FROM pairs WHERE full_ GROUP BY ALL) GROUP BY strategy),
+fresh AS (SELECT *, greatest("end" - greatest(start, coalesce(max("end") OVER (PARTITION BY strategy, contract ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS new_ FROM cut)"""
+
+
+@query("chunk_strategy_fixed", with_sql("""SELECT strategy, count(*) AS chunks, CAST(sum(CASE WHEN n_tokens > 120 THEN 1 ELSE 0 END) AS BIGINT) AS over_budget, CAST(sum(n_tokens) AS BIGINT) AS tokens, max(n_tokens) AS max_tokens, CAST(sum(new_) AS BIGINT) AS covered_chars, CAST(any_value(any_size) AS BIGINT) AS contained_any_size, CAST(any_value(within) AS BIGINT) AS contained_within_budget, (SELECT count(*) FROM own) AS spans, CAST(count(*) - any_value(touched) AS BIGINT) AS no_overlap, CAST(any_value(partial_only) AS BIGINT) AS partial_only, sum(n_tokens) / (SELECT CAST(sum(len(ws)) AS DOUBLE) FROM pieces) AS work_multiplier
+FROM fresh JOIN touched USING (strategy) JOIN held USING (strategy) GROUP BY strategy""", "spans", more=_fixed_sql()))
+def chunk_strategy_fixed(spark, sf):
+    """The strategies whose windows SQL can place."""
+    return _compared(spark, sf, _FIXED)["summary"]
 
 
 @query("label_chunks_long", with_sql("SELECT contract, chunk_id, category, label, mask FROM labeled", "labeled"))

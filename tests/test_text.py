@@ -106,7 +106,7 @@ def test_chunk_table_and_tampering(spark):
 
 
 def test_paragraphs_and_fixed_words(spark):
-    assert [tuple(r) for r in chunking.paragraphs(samples.paragraph_text(spark)).collect()] == samples.PARAGRAPHS
+    assert sorted(tuple(r) for r in chunking.paragraphs(samples.paragraph_text(spark)).collect()) == samples.PARAGRAPHS
     words = chunking.fixed_words(spark.createDataFrame([("c", "a b c d e f g"), ("x", "")], "contract string, text string"), 4, 1)
     assert [tuple(r) for r in words.collect()] == [("c", 0, 0, 4, "a b c d"), ("c", 1, 3, 4, "d e f g")]
 
@@ -211,3 +211,38 @@ def test_needed_letters_never_keep_a_rule_from_firing(spark):
     got = {(r["id"], r["rule"]) for r in rules.rule_hits(frame, fired=True).collect()}
     assert got == want and {n for _, n in want} == {r.name for r in rules.RULES}
     assert {(r["id"], r["rule"]) for r in rules.rule_hits(frame).where("hit").collect()} == want
+
+
+def test_strategies_against_all_pairs(spark):
+    """Every counter of the sweep, from windows and spans compared one by one."""
+    import random
+
+    rng = random.Random(8)
+    texts = {f"c{i}": "".join(rng.choice(["word ", "a ", "end. ", "long-word ", "\n\n"]) for _ in range(rng.randint(5, 120))) + "x" for i in range(8)}
+    spans = [(c, rng.choice("AB"), a, min(len(t), a + rng.randint(1, 60))) for c, t in texts.items() for a in (rng.randrange(len(t)) for _ in range(4))]
+    spans += spans[:3]
+    contracts = spark.createDataFrame(list(texts.items()), "contract string, text string")
+    told = chunking.strategies((0, 3), 12)
+    windows = chunking.strategy_windows(contracts, told, "words", 12)
+    rows = [r.asDict() for r in windows.collect()]
+    found = chunking.compare_strategies(windows, spark.createDataFrame(spans, "contract string, category string, start long, end long"), 12)
+    own = set(spans)
+    for r in found["summary"].collect():
+        ws = [w for w in rows if w["strategy"] == r["strategy"]]
+        full = lambda w, s: w["contract"] == s[0] and w["start"] <= s[2] and s[3] <= w["end"]
+        meets = lambda w, s: w["contract"] == s[0] and w["start"] < s[3] and s[2] < w["end"]
+        assert r["chunks"] == len(ws) and r["over_budget"] == sum(w["n_tokens"] > 12 for w in ws) and r["spans"] == len(own)
+        assert r["contained_any_size"] == sum(any(full(w, s) for w in ws) for s in own)
+        assert r["contained_within_budget"] == sum(any(full(w, s) and w["n_tokens"] <= 12 for w in ws) for s in own)
+        assert r["no_overlap"] == sum(not any(meets(w, s) for s in own) for w in ws)
+        assert r["partial_only"] == sum(any(any(meets(w, s) and not full(w, s) for s in own if s[1] == k) and not any(full(w, s) for s in own if s[1] == k) for k in "AB") for w in ws)
+        assert r["covered_chars"] == len({(w["contract"], i) for w in ws for i in range(w["start"], w["end"])})
+        assert r["work_multiplier"] == sum(w["n_tokens"] for w in ws) / sum(len(t.split()) for t in texts.values())
+    for r in found["per_category"].collect():
+        ws = [w for w in rows if w["strategy"] == r["strategy"] and w["n_tokens"] <= 12]
+        mine = [s for s in own if s[1] == r["category"]]
+        assert (r["spans"], r["contained_within_budget"]) == (len(mine), sum(any(w["contract"] == s[0] and w["start"] <= s[2] and s[3] <= w["end"] for w in ws) for s in mine))
+    hybrid = {(w["contract"], w["start"], w["end"]) for w in rows if w["strategy"] == "hybrid_12_3"}
+    plain = chunking.chunk_contracts(contracts.withColumn("split", contracts.contract), "words", chunking.Config(12, 3)).collect()
+    assert hybrid == {(r["contract"], r["start"], r["end"]) for r in plain}
+    assert sum(r["windows"] for r in found["reasons"].collect()) == len(rows)
