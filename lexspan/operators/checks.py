@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.schema import CATEGORIES, MAX_TOKENS
@@ -62,26 +62,33 @@ def chunk_violations(contracts: DataFrame, chunks: DataFrame, max_tokens: int =
     that are not the slice, token counts out of range, windows that do not advance, and
     text other than white space outside all windows.
     """
-    rows = chunks.join(contracts.select("contract", F.col("split").alias("_split"), F.col("text").alias("_full")), "contract", "left")
-    size = F.length("_full")
     order = Window.partitionBy("contract").orderBy("start", "end")
-    around = rows.withColumn("_last", F.lag("start").over(order)).withColumn("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.lead("start").over(order))
-    blank = lambda a, b: F.trim(F.regexp_replace(F.expr(f"substring(_full, cast({a} + 1 as int), cast({b} - {a} as int))"), r"(?U)\s+", "")) == ""
-    repeated = chunks.groupBy("chunk_id").count().where("count > 1 or chunk_id is null").select(F.lit("chunk_id").alias("check"), F.col("chunk_id").alias("key"))
-    tests = F.array(
-        *(F.when(condition, F.lit(name)) for name, condition in (
-            ("nulls", F.greatest(*(F.col(c).isNull().cast("int") for c in ("contract", "split", "start", "end", "text", "n_tokens"))) == 1),
+    around = chunks.withColumn("_last", F.lag("start").over(order)).withColumn("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.lead("start").over(order))
+    names = ("contract", "split", "chunk_id", "start", "end", "text", "n_tokens", "_last", "_reach", "_next")
+    listed = around.groupBy("contract").agg(F.collect_list(F.struct(*names)).alias("own"))  # a contract's windows meet its text once
+    rows = listed.join(contracts.select("contract", F.col("split").alias("_split"), F.col("text").alias("_full")), "contract", "left")
+    size = F.length("_full")
+    part = lambda a, b: F.substring(F.col("_full"), (a + 1).cast("int"), (b - a).cast("int"))
+    blank = lambda a, b: F.trim(F.regexp_replace(part(a, b), r"(?U)\s+", "")) == ""
+
+    def broken_rules(x: Column) -> Column:
+        reach = F.coalesce(x["_reach"], F.lit(0).cast("long"))
+        conditions = (
+            ("nulls", F.greatest(*(x[c].isNull().cast("int") for c in ("contract", "split", "start", "end", "text", "n_tokens"))) == 1),
             ("contract", F.col("_full").isNull()),
-            ("split", F.col("split") != F.col("_split")),
-            ("bounds", (F.col("start") < 0) | (F.col("start") >= F.col("end")) | (F.col("end") > size)),
-            ("text", ~F.col("text").eqNullSafe(F.expr("substring(_full, cast(start + 1 as int), cast(end - start as int))"))),
-            ("n_tokens", (F.col("n_tokens") < 1) | (F.col("n_tokens") > max_tokens)),
-            ("advance", (F.col("start") <= F.col("_last")) | (F.col("end") <= F.col("_reach"))),
-            ("gap", (F.col("start") > F.coalesce("_reach", F.lit(0))) & ~blank("coalesce(_reach, 0)", "start")),
-            ("tail", F.col("_next").isNull() & (F.greatest("end", "_reach") < size) & ~blank("greatest(end, coalesce(_reach, 0))", "length(_full)")),
-        ))
-    )
-    broken = around.select("chunk_id", F.explode(F.array_compact(tests)).alias("check")).select("check", F.col("chunk_id").alias("key"))
+            ("split", x["split"] != F.col("_split")),
+            ("bounds", (x["start"] < 0) | (x["start"] >= x["end"]) | (x["end"] > size)),
+            ("text", ~x["text"].eqNullSafe(part(x["start"], x["end"]))),
+            ("n_tokens", (x["n_tokens"] < 1) | (x["n_tokens"] > max_tokens)),
+            ("advance", (x["start"] <= x["_last"]) | (x["end"] <= x["_reach"])),
+            ("gap", (x["start"] > reach) & ~blank(reach, x["start"])),
+            ("tail", x["_next"].isNull() & (F.greatest(x["end"], reach) < size) & ~blank(F.greatest(x["end"], reach), size.cast("long"))),
+        )
+        return F.struct(x["chunk_id"].alias("key"), F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions))).alias("checks"))
+
+    repeated = chunks.groupBy("chunk_id").count().where("count > 1 or chunk_id is null").select(F.lit("chunk_id").alias("check"), F.col("chunk_id").alias("key"))
+    found = rows.select(F.explode(F.filter(F.transform("own", broken_rules), lambda t: F.size(t["checks"]) > 0)).alias("t"))
+    broken = found.select(F.explode("t.checks").alias("check"), F.col("t.key").alias("key"))
     unseen = contracts.where(~F.col("text").rlike(r"(?U)^\s*$")).join(chunks.select("contract").distinct(), "contract", "left_anti").select(F.lit("missing").alias("check"), F.col("contract").alias("key"))
     return broken.unionByName(repeated).unionByName(unseen)
 
