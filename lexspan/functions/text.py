@@ -36,8 +36,11 @@ def near(a: str, b: str, window: int) -> str:
     return "|".join(f"(?:{first}){gap}(?:{second})" for first, second in ((a, b), (b, a)))
 
 
-def first_match(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Start (code points) and text of a pattern's first match; null without one."""
-    whole = rf"(?iU)^([\s\S]*?)({pattern.removeprefix('(?iU)')})"
-    hit = text.rlike("(?iU)" + pattern.removeprefix("(?iU)"))
-    return F.when(hit, F.length(F.regexp_extract(text, whole, 1)).cast("long")), F.when(hit, F.regexp_extract(text, whole, 2))
+def first_match(text: Column, pattern: str, hit: Column | None = None) -> tuple[Column, Column]:
+    """Start (code points) and text of a pattern's first match, which is not empty; null without one.
+
+    ``hit``: whether it matches, where that is known.
+    """
+    whole = "(?iU)" + pattern.removeprefix("(?iU)")
+    hit = text.rlike(whole) if hit is None else hit
+    return F.when(hit, F.length(F.split(text, whole, 2)[0]).cast("long")), F.when(hit, F.regexp_extract(text, whole, 0))

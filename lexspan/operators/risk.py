@@ -65,9 +65,11 @@ def adjustments(clauses: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in clauses.columns if c != text]
     found = []
     for a in ADJUSTMENTS:
-        start, words = first_match(F.col(text), regex(a.pattern))
-        found.append(F.struct(F.lit(a.name).alias("adjustment"), F.lit(a.points).alias("points"), F.col("category").isin(*a.categories).alias("applies"), start.isNotNull().alias("matched"), words.alias("words")))
-    return clauses.select(*kept, F.explode(F.array(*found)).alias("a")).select(*kept, "a.*").where("applies").drop("applies")
+        hit = F.coalesce(F.col(text).rlike(regex(a.pattern)), F.lit(False))
+        _, words = first_match(F.col(text), regex(a.pattern))
+        told = F.struct(F.lit(a.name).alias("adjustment"), F.lit(a.points).alias("points"), hit.alias("matched"), words.alias("words"))
+        found.append(F.when(F.col("category").isin(*a.categories), told))  # other categories' patterns do not run
+    return clauses.select(*kept, F.explode(F.array_compact(F.array(*found))).alias("a")).select(*kept, "a.*")
 
 
 def score_clauses(clauses: DataFrame, text: str = "text") -> DataFrame:
@@ -78,8 +80,8 @@ def score_clauses(clauses: DataFrame, text: str = "text") -> DataFrame:
     """
     candidates = []
     for place, a in enumerate(ADJUSTMENTS):
-        start, words = first_match(F.col(text), regex(a.pattern))
-        hit = F.col("category").isin(*a.categories) & start.isNotNull()
+        hit = F.col("category").isin(*a.categories) & F.coalesce(F.col(text).rlike(regex(a.pattern)), F.lit(False))
+        _, words = first_match(F.col(text), regex(a.pattern), hit=F.lit(True))
         candidates.append(F.when(hit, F.struct(F.lit(a.points).alias("points"), F.lit(-place).alias("place"), F.lit(a.name).alias("adjustment"), words.alias("words"))))
     best = F.array_max(F.array_compact(F.array(*candidates)))
     valid = base_points(F.col("category")).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
