@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import first_match, near, regex
+from lexspan.functions.text import near, regex
 from lexspan.operators.metrics import score_given
 from lexspan.schema import CATEGORIES
 
@@ -148,25 +148,27 @@ def predict(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 def explain(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every rule that fires with its first match: start, end (code points) and the words."""
     kept = [c for c in rows.columns if c != text]
-    found = []
-    for r in rules:
-        start, words = first_match(F.col(text), regex(r.pattern))
-        told = F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), start.alias("start"), (start + F.length(words)).alias("end"), words.alias("match"))
-        found.append(F.when(fires(F.col(text), F.col("_low"), r), told))
-    return _with_low(rows, text).select(*kept, F.explode(F.array_compact(F.array(*found))).alias("f")).select(*kept, "f.*")
+    # A pattern runs once a row: what lies before and after the first match tells the rest.
+    parts = F.array(*(F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("rule"), F.when(may_fire(F.col("_low"), r), F.split(F.col(text), regex(r.pattern), 2)).alias("p")) for r in rules))
+    told = _with_low(rows, text).select(*kept, F.col(text).alias("_text"), F.explode(F.filter(parts, lambda f: F.size(f["p"]) == 2)).alias("f"))
+    start, end = F.length(F.col("f.p")[0]), F.length("_text") - F.length(F.col("f.p")[1])
+    return told.select(*kept, "f.category", "f.rule", start.cast("long").alias("start"), end.cast("long").alias("end"), F.substring("_text", start + 1, end - start).alias("match"))
 
 
-def rule_stats(labeled: DataFrame, hits: DataFrame) -> DataFrame:
+def rule_stats(labeled: DataFrame, hits: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """Per rule: how often it fires on unmasked rows, how often rightly, and the same where it alone fires in its category.
 
-    ``labeled``: long labels by chunk_id and category; ``hits``: ``rule_hits`` by chunk_id.
+    ``labeled``: long labels by chunk_id and category; ``hits``: ``rule_hits`` by chunk_id. With
+    ``every`` (category, rule: the rules to list) they may be those that fire only.
     """
-    alone = hits.groupBy("chunk_id", "category").agg(F.sum(F.col("hit").cast("int")).alias("n"))
-    rows = hits.where("hit").join(alone, ["chunk_id", "category"]).join(labeled.where("mask").select("chunk_id", "category", "label"), ["chunk_id", "category"])
+    fired = hits.where("hit").groupBy("chunk_id", "category").agg(F.collect_list("rule").alias("fired"))  # a category's rules
+    rows = fired.join(labeled.where("mask").select("chunk_id", "category", "label"), ["chunk_id", "category"])
+    rows = rows.select("category", "label", F.size("fired").alias("n"), F.explode("fired").alias("rule"))
     only = F.when(F.col("n") == 1, 1).otherwise(0)
     found = rows.groupBy("category", "rule").agg(F.count("*").alias("fired"), F.sum("label").alias("true_positive"), F.sum(only).alias("only_rule_fired"), F.sum(only * F.col("label")).alias("only_rule_true_positive"))
     positives = labeled.where("mask").groupBy("category").agg(F.sum("label").alias("positives"))
-    every = hits.select("category", "rule").distinct().join(positives, "category", "left").join(found, ["category", "rule"], "left")
+    every = hits.select("category", "rule").distinct() if every is None else every
+    every = every.join(positives, "category", "left").join(found, ["category", "rule"], "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return every.select("category", "rule", n("fired"), n("true_positive"), F.when(F.col("fired") > 0, F.col("true_positive") / F.col("fired")).alias("precision"), F.when(F.col("positives") > 0, F.coalesce("true_positive", F.lit(0)) / F.col("positives")).alias("recall"), n("only_rule_fired"), n("only_rule_true_positive"))
 
