@@ -56,12 +56,23 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/lexspan/{uuid.uuid4().hex}"
 
 
+#: Characters of a nested JSON file, which is written and parsed as a whole.
+_FILE_CHARS = 1 << 21
+
+
+def _files(chars: int) -> int:
+    """How many nested JSON files a corpus has: files stay small, their number grows."""
+    return max(16, -(-chars // _FILE_CHARS))
+
+
 @query("scan_nested_json", with_sql("SELECT contract, category, start, \"end\", text FROM spans", "spans"))
 def scan_nested_json(spark, sf):
     """The spans are written as nested JSON files, a few contracts each, and read back."""
     path = _folder(spark)
-    rows = B.annotations(spark, sf).withColumn("file", F.pmod(F.xxhash64("contract"), F.lit(16)))
-    files = rows.groupBy("file").agg(F.to_json(F.struct(F.lit("t").alias("version"), F.collect_list("entry").alias("data"))).alias("value"))  # fixed: 16 files of a test corpus
+    rows = B.annotations(spark, sf)
+    n = _files(B.contracts(spark, sf).agg(F.sum("n_chars")).first()[0] or 0)
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("contract"), F.lit(n)))
+    files = rows.groupBy("file").agg(F.to_json(F.struct(F.lit("t").alias("version"), F.collect_list("entry").alias("data"))).alias("value"))  # a file's entries
     files.write.partitionBy("file").text(path)
     found = tables.spans_of(tables.flatten(annotations.read_annotations(spark, f"{path}/file=*")))
     out, _ = spill(spark, found.select("contract", "category", "start", "end", "text"))
