@@ -544,7 +544,8 @@ FROM hits h JOIN (SELECT chunk_id, category, sum(CAST(hit AS INTEGER)) AS n FROM
 LEFT JOIN (SELECT category, sum(label) AS positives FROM labeled WHERE mask GROUP BY category) p ON p.category = r.category""", "labeled", "clauses", more=_HITS))
 def rule_stats(spark, sf):
     labeled, windows = _labeled_clauses(spark, sf)
-    return rules.rule_stats(labeled, rules.rule_hits(windows.select("chunk_id", "text"), _SAID))
+    every = rules.rule_table(spark, _SAID).select("category", "rule").join(windows.limit(1).select(F.lit(1)), F.lit(True), "left_semi")
+    return rules.rule_stats(labeled, rules.rule_hits(windows.select("chunk_id", "text"), _SAID, fired=True), every)
 
 
 # Metrics --------------------------------------------------------------------
