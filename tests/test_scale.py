@@ -58,3 +58,16 @@ def test_optimiser_keeps_nothing_as_long_as_the_dictionary():
     assert not re.search(r"span: int|size \* width", linear._STATE) and "vectors" in linear._STATE and hasattr(linear, "_line")
     steps = linear._GRID * 0.5
     assert abs(linear._step(steps - 0.3, steps) - 0.3) < 1e-12 and linear._step(steps - 100, steps) == steps[-1]
+
+
+def test_weights_move_a_blocks_terms_once(spark):
+    from lexspan.operators import tfidf
+
+    rows = spark.createDataFrame([("a", "x", "red blue red"), ("b", "y", "red green"), ("c", None, "blue green"), ("d", "x", None), ("e", "y", "")], "contract string, lang string, text string")
+    held = tfidf.WEIGHT_CHARS
+    tfidf.WEIGHT_CHARS = 10
+    found = tfidf.weights(rows, "contract", carry=("lang",))
+    told = {(r["contract"], r["lang"], r["term"]): r["weight"] for r in found.collect()}
+    tfidf.WEIGHT_CHARS = held
+    assert set(told) == {("a", "x", "red"), ("a", "x", "blue"), ("b", "y", "red"), ("b", "y", "green"), ("c", None, "blue"), ("c", None, "green")}
+    assert abs(told["a", "x", "red"] ** 2 + told["a", "x", "blue"] ** 2 - 1) < 1e-8 and abs(told["c", None, "blue"] - 0.5**0.5) < 1e-8
