@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspan.operators.checks import require_empty
 from lexspan.operators.metrics import SCALE, fixed, ratio
 from lexspan.schema import WEAK_CATEGORIES
-from lexspan.session import ship
+from lexspan.session import settled, ship
 
 # The order in which equal fixes are preferred, and the control.
 FIXES = ("pos_weight", "focal", "downsample")
@@ -44,38 +44,48 @@ def resampled_sums(counts: DataFrame, samples: int, seed: int = 42) -> DataFrame
     A contract's weight in a sample is a Poisson number of mean 1, made from the bits of
     ``md5("seed:contract:block")``, a block for every four samples. So weights are made where
     the counts are, are the same in any order and on any engine, and no draws are shuffled:
-    a task multiplies the matrix of its contracts' weights with that of their counts.
+    a task multiplies the matrix of its contracts' weights with that of their counts. The sums
+    are stored, so that they are drawn once, whatever is asked of them.
     """
-    ship(counts.sparkSession)
+    spark = counts.sparkSession
+    ship(spark)
     fields = ("tp", "fp", "fn")
     by_contract = counts.groupBy("contract").agg(F.collect_list(F.struct("arm", "category", *fields)).alias("c"))
     blocks = -(-samples // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array(weight_bounds())
+        bounds, md5 = np.array(weight_bounds()), hashlib.md5
+        ends = [str(b).encode() for b in range(blocks)]
         place: dict[tuple[str, str], int] = {}
-        sums = np.zeros((samples, 0))
+        seen: set[int] = set()
+        sums = np.zeros((samples + 1, 0))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                raw = b"".join(hashlib.md5(f"{seed}:{contract}:{b}".encode()).digest() for contract in part.column("contract").to_pylist() for b in range(blocks))
-                weights = np.searchsorted(bounds, np.frombuffer(raw, ">u4").reshape(part.num_rows, 4 * blocks)[:, :samples], "right").astype(float)
-                lists = part.column("c").to_pylist()
-                for key in {(x["arm"], x["category"]) for own in lists for x in own} - set(place):
-                    place[key] = len(place)
+                raw = b"".join([md5(start + end).digest() for start in [f"{seed}:{contract}:".encode() for contract in part.column("contract").to_pylist()] for end in ends])
+                weights = np.ones((part.num_rows, samples + 1))  # the last: the data as they are
+                weights[:, :samples] = np.searchsorted(bounds, np.frombuffer(raw, ">u4").reshape(part.num_rows, 4 * blocks)[:, :samples], "right")
+                own = part.column("c")
+                rows = np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy())
+                entries = own.flatten()
+                arm, category = (entries.field(f).dictionary_encode("encode") for f in ("arm", "category"))
+                names = [(a, c) for a in arm.dictionary.to_pylist() for c in category.dictionary.to_pylist()]
+                for key in names:
+                    place.setdefault(key, len(place))
+                known = np.array([place[key] for key in names], np.int64)
+                k = known[arm.indices.to_numpy().astype(np.int64) * len(category.dictionary) + category.indices.to_numpy()] if len(rows) else np.zeros(0, np.int64)
                 values = np.zeros((part.num_rows, 3 * len(place)))
-                for row, own in enumerate(lists):
-                    for x in own:
-                        k = 3 * place[x["arm"], x["category"]]
-                        values[row, k : k + 3] = [x[f] for f in fields]
+                for f, name in enumerate(fields):
+                    values[rows, 3 * k + f] = entries.field(name).to_numpy()
                 sums = np.pad(sums, ((0, 0), (0, values.shape[1] - sums.shape[1]))) + weights.T @ values  # whole numbers below 2**53
+                seen.update(k.tolist())
         for (arm, category), k in place.items():
-            own = [pa.array(sums[:, 3 * k + f].astype(np.int64)) for f in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([arm] * samples), pa.array(np.arange(samples)), pa.array([category] * samples), *own], ["arm", "sample", "category", *fields])
+            if k in seen:
+                own = [pa.array(sums[:, 3 * k + f].astype(np.int64)) for f in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([arm] * (samples + 1)), pa.array([*range(samples), -1]), pa.array([category] * (samples + 1)), *own], ["arm", "sample", "category", *fields])
 
     drawn = by_contract.mapInArrow(run, "arm string, sample long, category string, tp long, fp long, fn long")
-    total = lambda rows: rows.groupBy("arm", "sample", "category").agg(*(F.sum(f).alias(f) for f in fields))
-    return total(drawn.unionByName(counts.select("arm", F.lit(-1).cast("long").alias("sample"), "category", *fields)))
+    return settled(spark, drawn.groupBy("arm", "sample", "category").agg(*(F.sum(f).alias(f) for f in fields)))
 
 
 def _sample_means(counts: DataFrame, samples: int, seed: int, weak: tuple[str, ...]) -> DataFrame:

@@ -36,17 +36,25 @@ def evidence(windows: DataFrame, spans: DataFrame, categories: tuple[str, ...] =
     )
 
 
-def labels_of(windows: DataFrame, found: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """window x category with ``label`` and ``mask``, all other columns of the windows kept.
+def label_arrays(windows: DataFrame, found: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """The windows, a row each, with ``labels`` and ``label_mask`` in category order.
 
     A window that holds a whole span of a category is positive; one that only cuts spans
-    of it is masked (mask false: unknown); all others are negative.
+    of it is masked (mask false: unknown); all others are negative. Windows meet their
+    evidence before there is a row for each category, so only windows are shuffled.
     """
-    touched = found.groupBy("chunk_id", "category").agg(F.bool_or("fully_contained").alias("_full"))
-    pairs = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(i).alias("category_idx")) for i, c in enumerate(categories)))
-    grid = windows.select("*", F.explode(pairs).alias("_c")).select(*windows.columns, "_c.category", "_c.category_idx")
-    joined = grid.join(touched, ["chunk_id", "category"], "left")
-    return joined.select(*windows.columns, "category", "category_idx", F.coalesce("_full", F.lit(False)).cast("int").alias("label"), (F.col("_full").isNull() | F.col("_full")).alias("mask"))
+    full = [F.bool_or(F.when(F.col("category") == c, F.col("fully_contained"))).alias(f"_{i}") for i, c in enumerate(categories)]
+    touched = found.groupBy("chunk_id").agg(*full).select("chunk_id", F.array(*(f"_{i}" for i in range(len(full)))).alias("_full"))
+    flags = F.coalesce("_full", F.array_repeat(F.lit(None).cast("boolean"), len(full)))
+    joined = windows.join(touched, "chunk_id", "left").select(*windows.columns, flags.alias("_full"))
+    labels = F.transform("_full", lambda f: F.coalesce(f, F.lit(False)).cast("int"))
+    return joined.select(*windows.columns, labels.alias("labels"), F.transform("_full", lambda f: F.coalesce(f, F.lit(True))).alias("label_mask"))
+
+
+def labels_of(windows: DataFrame, found: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """window x category with ``label`` and ``mask`` as ``label_arrays`` has them, all other columns of the windows kept."""
+    told = from_arrays(label_arrays(windows, found, categories), categories)
+    return told.select(*windows.columns, "category", "category_idx", "label", "mask")
 
 
 def label_windows(windows: DataFrame, spans: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:

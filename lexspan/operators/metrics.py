@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexspan.operators.checks import check_grid, require_empty, threshold_values
 from lexspan.schema import CATEGORIES, FINE_GRID, LOW_SUPPORT, THRESHOLD, TUNING_GRID, UNSTABLE_STD
-from lexspan.session import spill
+from lexspan.session import forget, spill
 
 SCALE = 10**12
 #: Stretches of score that are summed by themselves first, so that no task sorts a whole category.
@@ -276,9 +276,18 @@ def weighted_mean_loss(batches: DataFrame) -> DataFrame:
 
 
 def pool_contracts(rows: DataFrame) -> DataFrame:
-    """The highest score of a category in a contract, and whether any window is positive; fails on scores outside 0 to 1."""
-    require_empty(rows.where("score is null or isnan(score) or score < 0 or score > 1").select("contract", "category", "score"), "scores must lie in 0 to 1")
-    return rows.groupBy("contract", "category", "category_idx").agg(F.max("score").alias("score"), F.max("label").alias("label"), F.lit(True).alias("mask"))
+    """The highest score of a category in a contract, and whether any window is positive; fails on scores outside 0 to 1.
+
+    Stored, with the check of the scores made on what is stored, so what made the rows runs once.
+    """
+    wrong = F.max(F.expr("score is null or isnan(score) or score < 0 or score > 1")).alias("_wrong")
+    pooled, path = spill(rows.sparkSession, rows.groupBy("contract", "category", "category_idx").agg(F.max("score").alias("score"), F.max("label").alias("label"), F.lit(True).alias("mask"), wrong))
+    try:
+        require_empty(pooled.where("_wrong").select("contract", "category", "score"), "scores must lie in 0 to 1")
+    except ValueError:
+        forget(rows.sparkSession, path)
+        raise
+    return pooled.drop("_wrong")
 
 
 def require_same_contracts(a: DataFrame, b: DataFrame) -> None:

@@ -71,3 +71,36 @@ def test_weights_move_a_blocks_terms_once(spark):
     tfidf.WEIGHT_CHARS = held
     assert set(told) == {("a", "x", "red"), ("a", "x", "blue"), ("b", "y", "red"), ("b", "y", "green"), ("c", None, "blue"), ("c", None, "green")}
     assert abs(told["a", "x", "red"] ** 2 + told["a", "x", "blue"] ** 2 - 1) < 1e-8 and abs(told["c", None, "blue"] - 0.5**0.5) < 1e-8
+
+
+def test_resampled_sums_are_drawn_once(spark):
+    from lexspan.operators import bootstrap
+
+    rows = [("a", f"c{i}", k, i % 3, i % 2, 1) for i in range(9) for k in ("Exclusivity", "Governing Law")] + [("b", "c1", "Exclusivity", 5, 0, 0)]
+    counts = spark.createDataFrame(rows, "arm string, contract string, category string, tp long, fp long, fn long")
+    sums = bootstrap.resampled_sums(counts, 5)
+    assert "MapInArrow" not in plan(sums) and "Aggregate" not in plan(sums)
+    told = {(r["arm"], r["category"], r["sample"]): r["tp"] for r in sums.collect()}
+    assert len(told) == 3 * 6 and told["a", "Exclusivity", -1] == 9 and told["b", "Exclusivity", -1] == 5
+
+
+def test_pooled_scores_are_made_once(spark):
+    from lexspan.operators import metrics
+
+    rows = spark.createDataFrame([("x", "A", 0, 0.7, 1), ("x", "A", 0, 0.9, 0)], "contract string, category string, category_idx int, score double, label int")
+    found = metrics.pool_contracts(rows)
+    assert "Aggregate" not in plan(found) and tuple(found.select("score", "label", "mask").first()) == (0.9, 1, True)
+
+
+def test_windows_meet_their_evidence_before_categories(spark):
+    from lexspan.operators import labeling
+
+    windows = spark.createDataFrame([("x", "w1"), ("x", "w2"), ("x", None)], "contract string, chunk_id string")
+    found = spark.createDataFrame([("w1", "A", True), ("w1", "A", False), ("w2", "B", False), ("w2", "other", True)], "chunk_id string, category string, fully_contained boolean")
+    told = labeling.labels_of(windows, found, ("A", "B"))
+    lines = plan(told).splitlines()
+    depth = lambda word: min(i for i, line in enumerate(lines) if word in line)
+    assert depth("Generate") < depth("Join")
+    assert sorted(map(tuple, told.select("chunk_id", "category", "category_idx", "label", "mask").collect()), key=str) == sorted(
+        [("w1", "A", 0, 1, True), ("w1", "B", 1, 0, True), ("w2", "A", 0, 0, True), ("w2", "B", 1, 0, False), (None, "A", 0, 0, True), (None, "B", 1, 0, True)], key=str
+    )
