@@ -81,8 +81,10 @@ def oof_rows(rows: DataFrame, predictions: DataFrame, categories: Iterable[str]
     given = predictions.groupBy("chunk_id", "fold").agg(F.count("*").alias("_n"), F.max(F.col("probabilities").isNull() | (F.size("probabilities") != width) | _no_probability("probabilities")).alias("_wrong"))
     both = own.withColumn("_here", F.lit(True)).join(given, ["chunk_id", "fold"], "full")
     require_empty(both.where("_n is null or _here is null or _n > 1 or _wrong"), "predictions do not cover exactly their folds")
-    told = predictions.select("chunk_id", "fold", F.posexplode("probabilities").alias("category_idx", "score")).withColumn("category", F.element_at(names, F.col("category_idx") + 1))
-    return rows.join(told, ["chunk_id", "fold"])
+    met = rows.join(predictions.select("chunk_id", "fold", F.col("probabilities").alias("_p")), ["chunk_id", "fold"])  # a row per window and its array, before there is one per category
+    kept = [c for c in met.columns if c != "_p"]
+    told = met.select(*kept, F.posexplode("_p").alias("category_idx", "score"))
+    return told.withColumn("category", F.element_at(names, F.col("category_idx") + 1))
 
 
 def external_violations(predictions: DataFrame, run: Mapping, contracts: DataFrame, categories: Iterable[str] = CATEGORIES) -> DataFrame:

@@ -76,14 +76,30 @@ def risk_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per window, in one of five folds, with arrays of ``labels``, ``label_mask`` and ``scores`` in category order."""
+    from lexspan.operators.labeling import evidence, label_arrays
+
+    own = windows(spark, sf_dir).select("contract", "doc_id", "chunk_id", "start", "end")
+    labeled = label_arrays(own, evidence(own, spans(spark, sf_dir)))
+    base = F.col("doc_id") * 7919 + F.floor(F.col("start") / STRIDE_CHARS) * 104729
+    lift = lambda label: label * 300  # noqa: E731  positives score higher, so that tuning has something to find
+    scores = F.transform("labels", lambda label, i: F.least((base + i * F.lit(1299709).cast("long")) % 1000 + lift(label), F.lit(999).cast("long")) / F.lit(1000.0))
+    return labeled.withColumn("scores", scores).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+
+
+def long(rows: DataFrame) -> DataFrame:
+    """``wide`` rows by category, with ``label``, ``mask`` and ``score``."""
+    names = F.array(*(F.lit(c) for c in CATEGORIES))
+    kept = [c for c in rows.columns if c not in ("labels", "label_mask", "scores")]
+    told = rows.select(*kept, F.posexplode(F.arrays_zip("labels", "label_mask", "scores")).alias("category_idx", "v"))
+    return told.select(*kept, F.element_at(names, F.col("category_idx") + 1).alias("category"), "category_idx", F.col("v.labels").alias("label"), F.col("v.label_mask").alias("mask"), F.col("v.scores").alias("score"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled windows by category with a score and one of five folds."""
-    from lexspan.operators.labeling import label_windows
-
-    labeled = label_windows(windows(spark, sf_dir).select("contract", "doc_id", "chunk_id", "start", "end"), spans(spark, sf_dir))
-    value = (F.col("doc_id") * 7919 + F.floor(F.col("start") / STRIDE_CHARS) * 104729 + F.col("category_idx") * 1299709) % 1000
-    lift = F.col("label") * 300  # positives score higher, so that tuning has something to find
-    return labeled.withColumn("score", F.least(value + lift, F.lit(999).cast("long")) / F.lit(1000.0)).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    rows = long(wide(spark, sf_dir))
+    return rows.select(*(c for c in rows.columns if c != "fold"), "fold")
 
 
 _CATS = ", ".join(f"('{c}', {i})" for i, c in enumerate(CATEGORIES))

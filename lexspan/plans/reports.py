@@ -19,8 +19,7 @@ from lexspan.session import forget, shared_folder, spill
 
 def _wide(spark, sf):
     """A row per window: arrays of labels, masks and scores in category order."""
-    rows = B.scored(spark, sf).groupBy("contract", "doc_id", "chunk_id", "fold").agg(F.array_sort(F.collect_list(F.struct("category_idx", "label", "mask", "score"))).alias("v"))
-    return rows.select("contract", "doc_id", "chunk_id", "fold", F.col("v.label").alias("labels"), F.col("v.mask").alias("label_mask"), F.col("v.score").alias("scores"))
+    return B.wide(spark, sf).select("contract", "doc_id", "chunk_id", "fold", "labels", "label_mask", "scores")
 
 
 # Score matrices -------------------------------------------------------------
@@ -46,7 +45,7 @@ def matrix_evaluate(spark, sf):
 
 @query("matrix_out_of_fold", with_sql("SELECT chunk_id, fold, category, score FROM scored", "scored"))
 def matrix_out_of_fold(spark, sf):
-    rows = _wide(spark, sf)
+    rows, _ = spill(spark, _wide(spark, sf).select("fold", "chunk_id", "scores"))
     predictions = rows.select("fold", "chunk_id", F.col("scores").alias("probabilities"))
     return matrices.oof_rows(rows.select("chunk_id", "fold"), predictions).select("chunk_id", "fold", "category", "score")
 
