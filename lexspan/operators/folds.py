@@ -79,22 +79,22 @@ def contract_folds(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def with_fold(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Adds each row's fold; fails if a contract has none, or several."""
+    """Adds each row's fold; fails if a contract has none, or several. The checks look at contracts, not at rows."""
     one = folds.groupBy("contract").agg(F.min("fold").alias("fold"), F.max("fold").alias("_f"))
     require_empty(one.where("fold <> _f"), "a contract in two folds")
-    out = rows.join(one.drop("_f"), "contract", "left")
-    require_empty(out.where("fold is null").select("contract"), "no fold for a contract")
-    return out
+    one = one.where("fold is not null").drop("_f")
+    require_empty(rows.select("contract").distinct().join(one, "contract", "left_anti"), "no fold for a contract")
+    return rows.join(one, "contract")
 
 
 def split_by_fold(rows: DataFrame, folds: DataFrame, validation: int) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows of the split ``train``; fails if either is empty."""
     require_empty(rows.where("split <> 'train'").select("contract", "split"), "only training rows have folds")
     placed = with_fold(rows, folds)
-    train, held = placed.where(F.col("fold") != validation), placed.where(F.col("fold") == validation)
-    if train.isEmpty() or held.isEmpty():
+    sides = folds.join(rows.select("contract").distinct(), "contract", "left_semi").agg(F.bool_or(F.col("fold") != validation), F.bool_or(F.col("fold") == validation)).first()
+    if not (sides[0] and sides[1]):
         raise ValueError(f"fold {validation} leaves one side empty")
-    return train.drop("fold"), held.drop("fold")
+    return placed.where(F.col("fold") != validation).drop("fold"), placed.where(F.col("fold") == validation).drop("fold")
 
 
 def draw(seed: int, *parts: Column) -> Column:

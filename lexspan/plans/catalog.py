@@ -672,9 +672,11 @@ def fold_assign(spark, sf):
 
 @query("fold_split", with_sql("SELECT category, count(*) AS n FROM scored WHERE fold <> 2 GROUP BY category", "scored"))
 def fold_split(spark, sf):
-    rows = B.scored(spark, sf).withColumn("split", F.lit("train"))
-    train, _ = folds.split_by_fold(rows.drop("fold"), rows.select("contract", "fold").distinct(), 2)
-    return train.groupBy("category").agg(F.count("*").alias("n"))
+    names = F.array(*(F.lit(c) for c in CATEGORIES))
+    rows = B.wide(spark, sf).select("contract", "chunk_id", "fold", names.alias("categories"), F.lit("train").alias("split"))  # windows are split, then their categories counted
+    dealt, _ = spill(spark, rows.select("contract", "fold").distinct())
+    train, _ = folds.split_by_fold(rows.drop("fold"), dealt, 2)
+    return train.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 def _draw_sql(text: str) -> str:

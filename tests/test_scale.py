@@ -104,3 +104,23 @@ def test_windows_meet_their_evidence_before_categories(spark):
     assert sorted(map(tuple, told.select("chunk_id", "category", "category_idx", "label", "mask").collect()), key=str) == sorted(
         [("w1", "A", 0, 1, True), ("w1", "B", 1, 0, True), ("w2", "A", 0, 0, True), ("w2", "B", 1, 0, False), (None, "A", 0, 0, True), (None, "B", 1, 0, True)], key=str
     )
+
+
+def test_windows_are_split_before_their_categories(spark, tmp_path):
+    docs = [(i, "a b " * 150, "en", "s") for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["fold_split"](spark, str(tmp_path))
+    lines = plan(found).splitlines()
+    assert min(i for i, line in enumerate(lines) if "Generate" in line) < min(i for i, line in enumerate(lines) if "Join" in line)
+    assert {r["n"] for r in found.collect()} == {8 * 2} and found.count() == 10
+
+
+def test_predictions_are_joined_as_arrays(spark):
+    from lexspan.operators import matrices
+
+    rows = spark.createDataFrame([("1", 0), ("2", 1)], "chunk_id string, fold int")
+    told = spark.createDataFrame([(0, "1", [0.1, 0.2]), (1, "2", [0.3, 0.4])], "fold int, chunk_id string, probabilities array<double>")
+    found = matrices.oof_rows(rows, told, ("A", "B"))
+    lines = plan(found).splitlines()
+    assert min(i for i, line in enumerate(lines) if "Generate" in line) < min(i for i, line in enumerate(lines) if "Join" in line)
+    assert sorted(map(tuple, found.select("chunk_id", "category", "category_idx", "score").collect())) == [("1", "A", 0, 0.1), ("1", "B", 1, 0.2), ("2", "A", 0, 0.3), ("2", "B", 1, 0.4)]
