@@ -189,21 +189,36 @@ def cross_fit_thresholds(rows: DataFrame, grid: Iterable[float] = FINE_GRID, def
     return _cross_fitted(stored_counts(rows, "fold"), check_grid(grid), default)
 
 
-def _cross_fitted(counts: DataFrame, steps: tuple[float, ...], default: float) -> DataFrame:
-    folds = counts.select(F.col("fold").alias("held")).distinct()
-    own = _unmasked(counts, "fold")
-    others = lambda frame, *by, **sums: frame.crossJoin(F.broadcast(folds)).where("fold <> held").groupBy("held", *by).agg(*(F.sum(c).alias(c) for c in sums))  # noqa: E731  folds x grid steps
-    histogram = others(_grid_counts(own, steps, "fold"), "category", "step", n=1, tp=1)
-    at_default = others(_at_default(own, default, "fold"), "category", d_tp=1, d_pp=1)
-    return _best(histogram, at_default, steps, default, "held").withColumnRenamed("held", "fold")
+def _cross_fitted(counts: DataFrame, steps: tuple[float, ...], default: float, *keys: str) -> DataFrame:
+    folds = F.broadcast(counts.select(*keys, F.col("fold").alias("held")).distinct())  # folds x keys
+    own = _unmasked(counts, *keys, "fold")
+    met = lambda frame: frame.join(folds, list(keys)) if keys else frame.crossJoin(folds)  # noqa: E731  folds x grid steps
+    others = lambda frame, *by, **sums: met(frame).where("fold <> held").groupBy(*keys, "held", *by).agg(*(F.sum(c).alias(c) for c in sums))
+    histogram = others(_grid_counts(own, steps, *keys, "fold"), "category", "step", n=1, tp=1)
+    at_default = others(_at_default(own, default, *keys, "fold"), "category", d_tp=1, d_pp=1)
+    return _best(histogram, at_default, steps, default, *keys, "held").withColumnRenamed("held", "fold")
+
+
+def cross_fit_counted(counts: DataFrame, grid: Iterable[float] = FINE_GRID, *keys: str) -> DataFrame:
+    """keys, fold, category, threshold: cross-fitted thresholds from ``stored_counts`` by keys and fold. At least two folds are needed."""
+    require_empty(counts.agg(F.countDistinct("fold").alias("n")).where("n < 2"), "cross-fitting needs two folds")
+    return _cross_fitted(counts, check_grid(grid), THRESHOLD, *keys).select(*keys, "fold", "category", "threshold")
+
+
+def decided_by(rows: DataFrame, thresholds: DataFrame, *keys: str) -> DataFrame:
+    """Rows, or counts of rows, with ``decision`` by a table of thresholds (keys, category, threshold); rows without one are left out."""
+    told = F.broadcast(thresholds.select(*keys, "category", F.col("threshold").alias("_t")))  # folds x categories
+    return rows.join(told, [*keys, "category"]).withColumn("decision", (F.col("score") >= F.col("_t")).cast("int")).drop("_t")
+
+
+def tune_counted(counts: DataFrame, grid: Iterable[float] = TUNING_GRID, default: float = THRESHOLD, *keys: str) -> DataFrame:
+    """``tune_thresholds`` from ``stored_counts``."""
+    return _tuned(counts, check_grid(grid), default, *keys)
 
 
 def cross_fit_decisions(rows: DataFrame, grid: Iterable[float] = FINE_GRID) -> DataFrame:
     """Adds ``decision`` by each row's fold's cross-fitted threshold. At least two folds are needed."""
-    counts = stored_counts(rows, "fold")
-    require_empty(counts.agg(F.countDistinct("fold").alias("n")).where("n < 2"), "cross-fitting needs two folds")
-    tuned = _cross_fitted(counts, check_grid(grid), THRESHOLD).select("fold", "category", F.col("threshold").alias("_t"))
-    return rows.join(F.broadcast(tuned), ["fold", "category"]).withColumn("decision", (F.col("score") >= F.col("_t")).cast("int")).drop("_t")  # folds x categories
+    return decided_by(rows, cross_fit_counted(stored_counts(rows, "fold"), grid), "fold")
 
 
 def final_thresholds(rows: DataFrame, grid: Iterable[float] = TUNING_GRID) -> DataFrame:

@@ -101,8 +101,7 @@ def _kept(sql: str) -> str:
 @query("ledger_summary", " UNION ALL ".join(f"SELECT config AS arm, macro_f1, macro_ap FROM {_kept(catalog._sweep_sql(a, m))}" for a, m in _ARMS))
 def ledger_summary(spark, sf):
     path, runs, predictions = _ledger(spark, sf)
-    rows = B.scored(spark, sf).drop("score")
-    found = ledger.summarize(rows, runs, predictions, tuple(a for a, _ in _ARMS), samples=40)
+    found = ledger.compare(_wide(spark, sf).drop("scores"), runs, predictions, tuple(a for a, _ in _ARMS))
     out, _ = spill(spark, found["summary"].select("arm", "macro_f1", "macro_ap"))
     forget(spark, path)
     return out

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from lexspan.operators import chunking, linear, risk, rules
 from lexspan.plans import catalog
 from pyspark.sql import functions as F
@@ -124,3 +125,23 @@ def test_predictions_are_joined_as_arrays(spark):
     lines = plan(found).splitlines()
     assert min(i for i, line in enumerate(lines) if "Generate" in line) < min(i for i, line in enumerate(lines) if "Join" in line)
     assert sorted(map(tuple, found.select("chunk_id", "category", "category_idx", "score").collect())) == [("1", "A", 0, 0.1), ("1", "B", 1, 0.2), ("2", "A", 0, 0.3), ("2", "B", 1, 0.4)]
+
+
+def test_a_ledger_keeps_windows_not_their_categories(spark):
+    from lexspan.operators import ledger
+    from lexspan.schema import CATEGORIES
+
+    kinds = ("Governing Law", "Exclusivity", "not known")  # not in the order of the matrix
+    rows = [(f"c{i}", f"{i}", k, j, i % 2, i != 3, i % 2) for i in range(8) for j, k in enumerate(kinds)]
+    rows = spark.createDataFrame(rows, "contract string, chunk_id string, category string, category_idx int, label int, mask boolean, fold int")
+    scores = [(a, i % 2, f"{i}", [((i * 7 + k * 3 + n) % 10) / 10 for k in range(len(CATEGORIES))]) for n, a in enumerate(("bce", "focal")) for i in range(8)]
+    told = spark.createDataFrame(scores, ledger.PREDICTIONS)
+    runs = spark.createDataFrame([(a, f, False, "l", "f", 1, 1e-5, 1.0, 0.5) for a in ("bce", "focal") for f in (0, 1)], ledger.RUNS)
+    found = ledger.summarize(rows, runs, told, ("bce", "focal"), samples=4, weak=("Exclusivity",))
+    assert "Generate" in plan(found["decided"])
+    given = {(a, c): p for a, _, c, p in scores}
+    decided = found["decided"].collect()
+    assert len(decided) == 2 * 8 * 2 and all(r["score"] == given[r["arm"], r["chunk_id"]][CATEGORIES.index(r["category"])] for r in decided)
+    for wrong in (told.where("arm = 'bce' or chunk_id <> '5'"), told.union(told.where("arm = 'focal' and chunk_id = '2'")), told.withColumn("fold", 1 - told["fold"])):
+        with pytest.raises(ValueError):
+            ledger.summarize(rows, runs, wrong, ("bce", "focal"), samples=4)
