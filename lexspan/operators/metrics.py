@@ -79,6 +79,11 @@ def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
     return _precision_of(score_counts(rows, *keys), *keys)
 
 
+def precision_counted(counts: DataFrame, *keys: str) -> DataFrame:
+    """``average_precision`` from ``stored_counts``."""
+    return _precision_of(_unmasked(counts, *keys), *keys)
+
+
 def _precision_of(counts: DataFrame, *keys: str) -> DataFrame:
     curve = cumulative(counts, *keys)
     at = F.col("tp") * fixed(F.col("cum_tp") / F.col("cum_n"))
@@ -306,5 +311,5 @@ def pool_contracts(rows: DataFrame) -> DataFrame:
 
 
 def require_same_contracts(a: DataFrame, b: DataFrame) -> None:
-    x, y = a.select("contract").distinct(), b.select("contract").distinct()
-    require_empty(x.join(y, "contract", "left_anti").unionByName(y.join(x, "contract", "left_anti")), "contracts differ")
+    x, y = (f.select("contract").distinct().withColumn(n, F.lit(True)) for f, n in ((a, "_a"), (b, "_b")))
+    require_empty(x.join(y, "contract", "full").where("_a is null or _b is null").select("contract"), "contracts differ")

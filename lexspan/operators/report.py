@@ -35,18 +35,18 @@ def evaluation_report(chunks: DataFrame, contracts: DataFrame, configurations: M
     pooled = metrics.pool_contracts(chunks).drop("label").join(contracts.select("contract", "category", "label"), ["contract", "category"])
     columns = ("level", "contract", "category", "label", "mask", "score")
     both = chunks.withColumn("level", F.lit("chunk")).select(*columns).unionByName(pooled.withColumn("level", F.lit("contract")).select(*columns))
-    rows = both.withColumn("c", F.explode(_chosen(configurations, categories))).select(*columns, "c.configuration", "c.threshold")
-    counted = rows.groupBy("level", "configuration", "category", "threshold", "mask", "label", (F.col("score") >= F.col("threshold")).alias("hit")).agg(F.count("*").alias("n"))
-    when = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    valid, positive, hit = F.col("mask"), F.col("label") == 1, F.col("hit")
-    sums = [when(valid & positive).alias("support"), when(valid).alias("scored"), when(~valid).alias("masked"), when(valid & hit).alias("predicted_positive"), when(valid & hit & positive).alias("tp")]
+    counts = metrics.stored_counts(both, "level")  # every figure comes from these
+    rows = counts.withColumn("c", F.explode(_chosen(configurations, categories))).select(*counts.columns, "c.configuration", "c.threshold")
+    when = lambda c, n="n": F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0))
+    valid, hit = F.col("mask"), F.col("score") >= F.col("threshold")
+    sums = [when(valid, "tp").alias("support"), when(valid).alias("scored"), when(~valid).alias("masked"), when(valid & hit).alias("predicted_positive"), when(valid & hit, "tp").alias("tp")]
     keys = ["level", "configuration"]
-    both_levels = counted.groupingSets([[F.col(k) for k in (*keys, "category")], [F.col(k) for k in keys]], *keys, "category").agg(*sums, F.when(F.min("threshold") == F.max("threshold"), F.min("threshold")).alias("threshold"))
+    both_levels = rows.groupingSets([[F.col(k) for k in (*keys, "category")], [F.col(k) for k in keys]], *keys, "category").agg(*sums, F.when(F.min("threshold") == F.max("threshold"), F.min("threshold")).alias("threshold"))
     some = F.col("scored") > 0
     rate = lambda a, b: F.when(some, metrics.ratio(a, b))
     t, p, s = F.col("tp"), F.col("predicted_positive"), F.col("support")
     rated = both_levels.select(*keys, F.coalesce("category", F.lit("micro avg")).alias("category"), "threshold", "support", "scored", "masked", "predicted_positive", rate(t, p).alias("precision"), rate(t, s).alias("recall"), rate(2 * t, p + s).alias("f1"))
-    rated = rated.join(metrics.average_precision(both, "level"), ["level", "category"], "left")
+    rated = rated.join(metrics.precision_counted(counts, "level"), ["level", "category"], "left")
     mean = lambda c: (F.sum(metrics.fixed(F.col(c))) / (F.count(c) * F.lit(metrics.SCALE).cast("long"))).alias(c)
     macro = rated.where("category <> 'micro avg'").groupBy(*keys).agg(F.lit("macro avg").alias("category"), F.when(F.min("threshold") == F.max("threshold"), F.min("threshold")).alias("threshold"), *(F.sum(c).alias(c) for c in ("support", "scored", "masked", "predicted_positive")), *(mean(c) for c in ("precision", "recall", "f1", "average_precision")))
     return rated.unionByName(macro).withColumn("no_support", F.col("support") == 0).withColumn("nothing_predicted", F.col("predicted_positive") == 0)

@@ -163,8 +163,9 @@ def _report_sql() -> str:
 
 @query("report_evaluation", _report_sql())
 def report_evaluation(spark, sf):
-    rows, _ = spill(spark, B.scored(spark, sf))
-    truth = rows.groupBy("contract", "category").agg(F.max("label").alias("label"))
+    stored, _ = spill(spark, _wide(spark, sf))
+    rows = B.long(stored)
+    truth, _ = spill(spark, rows.groupBy("contract", "category").agg(F.max("label").alias("label")))
     found = report.evaluation_report(rows, truth, _CONFIGS)
     return found.select("level", "configuration", "category", "threshold", "support", "predicted_positive", "precision", "recall", "f1", "average_precision", "no_support", "nothing_predicted")
 
