@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ def encode(rows: DataFrame, tokenizer: str, max_length: int = TOKEN_LIMIT, begin
     spark = rows.sparkSession
     ship(spark)
     require_columns(rows, "chunk_id", "text")
-    require_empty(rows.where(F.col("text").isNull() | (F.trim("text") == "")).select("chunk_id"), "rows without text")
-    require_empty(rows.groupBy("chunk_id").count().where("count > 1 or chunk_id is null"), "rows need ids of their own")
+    blank = F.max(F.col("text").isNull() | (F.trim("text") == "")).alias("without_text")
+    require_empty(rows.groupBy("chunk_id").agg(F.count("*").alias("count"), blank).where("without_text or count > 1 or chunk_id is null"), "rows without text, or without ids of their own")
     around = (begin is not None) + (end is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,15 +45,23 @@ def encode(rows: DataFrame, tokenizer: str, max_length: int = TOKEN_LIMIT, begin
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [e.ids for e in told.encode_batch(part.column("text").to_pylist(), add_special_tokens=False)]
-                counts = np.array([len(i) + around for i in found], np.int64)
+                found = [e.ids for e in told.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                counts = lengths + around
                 sizes = np.where(counts > max_length, counts, np.minimum(-(-counts // bucket) * bucket, max_length))
-                ids, attention = [], []
-                for own, n, size in zip(found, counts.tolist(), sizes.tolist()):
-                    whole = ([begin] if begin is not None else []) + own + ([end] if end is not None else [])
-                    ids.append(np.pad(np.array(whole, np.int32), (0, size - n), constant_values=pad))
-                    attention.append(np.repeat(np.array([1, 0], np.int8), (n, size - n)))
-                columns = {name: part.column(name) for name in part.schema.names} | {"n_tokens": pa.array(counts.astype(np.int32)), "size": pa.array(sizes.astype(np.int32)), "ids": pa.array(ids, pa.list_(pa.int32())), "attention": pa.array(attention, pa.list_(pa.int8()))}
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                begins, total = offsets[:-1], int(offsets[-1])
+                inside = np.arange(total) - np.repeat(begins, sizes)  # an id's place in its row
+                attention = inside < np.repeat(counts, sizes)
+                ids = np.full(total, pad, np.int32)
+                first = begin is not None
+                ids[(inside >= first) & (inside < np.repeat(lengths + first, sizes))] = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))
+                if begin is not None:
+                    ids[begins] = begin
+                if end is not None:
+                    ids[begins + counts - 1] = end
+                at = pa.array(offsets.astype(np.int32))
+                columns = {name: part.column(name) for name in part.schema.names} | {"n_tokens": pa.array(counts.astype(np.int32)), "size": pa.array(sizes.astype(np.int32)), "ids": pa.ListArray.from_arrays(at, pa.array(ids)), "attention": pa.ListArray.from_arrays(at, pa.array(attention.astype(np.int8)))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     new = "n_tokens int, size int, ids array<int>, attention array<tinyint>"

@@ -145,3 +145,33 @@ def test_a_ledger_keeps_windows_not_their_categories(spark):
     for wrong in (told.where("arm = 'bce' or chunk_id <> '5'"), told.union(told.where("arm = 'focal' and chunk_id = '2'")), told.withColumn("fold", 1 - told["fold"])):
         with pytest.raises(ValueError):
             ledger.summarize(rows, runs, wrong, ("bce", "focal"), samples=4)
+
+
+def test_report_comes_from_stored_counts(spark):
+    from lexspan.operators import report
+
+    chunks = spark.createDataFrame([("x", "1", "A", 0, 1, True, 0.7), ("x", "2", "A", 0, 0, False, 0.6), ("y", "3", "A", 0, 0, True, 0.8)], "contract string, chunk_id string, category string, category_idx int, label int, mask boolean, score double")
+    truth = spark.createDataFrame([("x", "A", 1), ("y", "A", 0)], "contract string, category string, label int")
+    found = report.evaluation_report(chunks, truth, {"half": 0.5, "high": 0.9}, categories=("A",))
+    assert "LogicalRDD" not in plan(found) and "LocalRelation" not in plan(found)
+    told = {(r["level"], r["configuration"], r["category"]): (r["support"], r["masked"], r["predicted_positive"], r["average_precision"]) for r in found.collect()}
+    assert told["chunk", "half", "A"] == (1, 1, 2, 0.5) and told["contract", "half", "A"] == (1, 0, 2, 0.5) and told["chunk", "high", "macro avg"] == (1, 1, 0, 0.5)
+
+
+def test_rows_are_checked_in_one_pass_and_padded_together(spark, monkeypatch):
+    import public_tokenizers
+    from lexspan.operators import encoding
+    from tokenizers import Tokenizer
+
+    calls = []
+    monkeypatch.setattr(encoding, "require_empty", lambda rows, message: calls.append(rows.count()))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    told = Tokenizer.from_file(path)
+    texts = {f"{i}": "law of Utah \U0001f600 " * n for i, n in enumerate((1, 40, 9, 12, 13, 64))}
+    rows = spark.createDataFrame(list(texts.items()), "chunk_id string, text string").coalesce(1)
+    for around in ({}, {"begin": 1}, {"end": 2}, {"begin": 1, "end": 2}):
+        for r in encoding.encode(rows, path, max_length=4096, pad=7, bucket=32, **around).collect():
+            own = [*([1] if "begin" in around else []), *told.encode(texts[r["chunk_id"]], add_special_tokens=False).ids, *([2] if "end" in around else [])]
+            size = -(-len(own) // 32) * 32
+            assert (r["n_tokens"], r["size"], r["ids"], r["attention"]) == (len(own), size, own + [7] * (size - len(own)), [1] * len(own) + [0] * (size - len(own)))
+    assert calls == [0] * 4
