@@ -175,3 +175,33 @@ def test_rows_are_checked_in_one_pass_and_padded_together(spark, monkeypatch):
             size = -(-len(own) // 32) * 32
             assert (r["n_tokens"], r["size"], r["ids"], r["attention"]) == (len(own), size, own + [7] * (size - len(own)), [1] * len(own) + [0] * (size - len(own)))
     assert calls == [0] * 4
+
+
+def test_an_evaluation_moves_no_terms(spark, monkeypatch):
+    from lexspan.operators import tfidf
+
+    texts = [" ".join(f"w{(i * k) % 41}" for k in range(1, 30)) for i in range(24)]
+    rows = [(f"c{i}", str(i), t, i % 2, "A", 0, int(i % 3 == 0), True) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "contract string, chunk_id string, text string, fold int, category string, category_idx int, label int, mask boolean")
+    monkeypatch.setattr(linear, "RANGE", 20)
+    monkeypatch.setattr(linear, "BLOCK_TERMS", 200)
+    plans, tiles, evaluated, dealt = [], [], linear._evaluated, linear._tiles
+
+    def noted(*args):
+        out = evaluated(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def kept(session, blocks, *args):
+        out = dealt(session, blocks, *args)
+        count = lambda table, column: table.selectExpr(f"sum(length({column}))").first()[0]
+        tiles.append((out.table.select("tile").distinct().count(), len(out.begins), count(out.table, "places"), count(blocks, "columns")))
+        return out
+
+    monkeypatch.setattr(linear, "_evaluated", noted)
+    monkeypatch.setattr(linear, "_tiles", kept)
+    tfidf.fit_folds(frame)
+    assert len(tiles) == 1 and tiles[0][0] == tiles[0][1] > 1 and tiles[0][2] == tiles[0][3] > 0
+    for told in plans:
+        moved = re.findall(r"Exchange (\w+)\((\w+)", told)
+        assert sorted(moved) == [("hashpartitioning", "block"), ("hashpartitioning", "tile")]  # rows' numbers there and back; tiles and rows lie still
