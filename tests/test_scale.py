@@ -205,3 +205,25 @@ def test_an_evaluation_moves_no_terms(spark, monkeypatch):
     for told in plans:
         moved = re.findall(r"Exchange (\w+)\((\w+)", told)
         assert sorted(moved) == [("hashpartitioning", "block"), ("hashpartitioning", "tile")]  # rows' numbers there and back; tiles and rows lie still
+
+
+def test_terms_move_packed_and_their_counts_come_back_alone(spark):
+    import math
+
+    import pyarrow as pa
+    from lexspan.operators import tfidf
+
+    texts = {"a": "Änderung nach Änderung", "b": "nach Änderung x", "c": None, "d": "  ", "e": "rot nach"}
+    rows = spark.createDataFrame(list(texts.items()), "contract string, text string")
+    held, tfidf.WEIGHT_CHARS = tfidf.WEIGHT_CHARS, 8
+    found = tfidf.weights(rows, "contract")
+    told = {(r["contract"], r["term"]): r["weight"] for r in found.collect()}
+    tfidf.WEIGHT_CHARS = held
+    assert "Window" not in plan(found) and "array_join" in plan(found)
+    twice, once, pair = (1 + math.log(2)) * (math.log(6 / 3) + 1), math.log(6 / 3) + 1, math.log(6 / 4) + 1
+    assert set(told) == {("a", "änderung"), ("a", "nach"), ("a", "nach änderung"), ("b", "änderung"), ("b", "nach"), ("b", "nach änderung"), ("e", "nach")}
+    assert abs(told["a", "änderung"] - twice / math.sqrt(twice**2 + once**2 + pair**2)) < 1e-6 and told["e", "nach"] == pytest.approx(1, abs=1e-6)
+    sent = [(b, 0, *tfidf._packed(tfidf._lines(pa.array(names))), tfidf._packed(b"\x01\0\0\0" * len(names))[1]) for b, names in ((3, ["rot", "blau"]), (4, ["blau"]))]
+    back = tfidf._counted(pa.table([pa.array(list(v)) for v in zip(*sent)], names=["block", "range", "size", "terms", "docs"]))
+    assert back.column_names == ["block", "range", "size", "df"]
+    assert [tfidf._unpacked(r["size"], r["df"]) for r in back.to_pylist()] == [b"\x01" + b"\0" * 7 + b"\x02" + b"\0" * 7, b"\x02" + b"\0" * 7]
