@@ -227,3 +227,23 @@ def test_terms_move_packed_and_their_counts_come_back_alone(spark):
     back = tfidf._counted(pa.table([pa.array(list(v)) for v in zip(*sent)], names=["block", "range", "size", "terms", "docs"]))
     assert back.column_names == ["block", "range", "size", "df"]
     assert [tfidf._unpacked(r["size"], r["df"]) for r in back.to_pylist()] == [b"\x01" + b"\0" * 7 + b"\x02" + b"\0" * 7, b"\x02" + b"\0" * 7]
+
+
+def test_a_fit_takes_few_evaluations(spark):
+    from lexspan.operators import tfidf
+
+    texts = [" ".join(f"w{(i * k * k) % 97}" for k in range(1, 12 + i % 9)) + " all of them" for i in range(150)]
+    rows = [(f"c{i}", str(i), t, "A", 0, int(i * i % 7 < 3), True) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "contract string, chunk_id string, text string, category string, category_idx int, label int, mask boolean")
+    assert tfidf._fit(frame, [], True, tfidf.Config(tolerance=1e-6), "text").evaluations <= 28  # 37 with one direction of L-BFGS
+
+
+def test_basis_is_orthonormal():
+    import numpy as np
+
+    vectors = np.zeros((linear._VECTORS, 50))
+    vectors[:5] = np.random.default_rng(3).standard_normal((5, 50)) * 10.0 ** np.arange(0, -10, -2)[:, None]
+    vectors[6] = 3 * vectors[2]  # adds nothing
+    basis = linear._basis(vectors @ vectors.T)
+    made = basis.T @ vectors
+    assert basis[0].any() == False and np.allclose(made[:4] @ made[:4].T, np.eye(4), atol=1e-6) and not made[4:].any()  # noqa: E712  the point itself is none of them
